@@ -1,6 +1,23 @@
-"""All queries of the library by name, with their SQL."""
+"""All queries of the library by name, with their SQL where it expresses them."""
 
 from __future__ import annotations
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a function of (spark, sf_dir)."""
+
+    def add(f):
+        if name in QUERIES:
+            raise ValueError(f"two queries are named {name}")
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+from . import channel_queries, fusion_queries, mesh_queries, projection_queries  # noqa: E402, F401
