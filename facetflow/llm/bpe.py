@@ -1,13 +1,13 @@
 """Byte-level BPE: DuckDB recursion contracts words in each task, ordered aggregation decodes.
 
-A text is cut into the pieces of the split pattern; each distinct piece that the worker hasn't met is encoded once. A recursive
+A text is cut into the pieces of the split pattern; each distinct piece that the task hasn't met is encoded once. A recursive
 query holds every unfinished word as its list of tokens: token positions join the merge table, the word's minimum-rank pair
 (the leftmost of equal ones) is contracted, and a word without a joinable pair has reached its fixpoint. Tokens of the words are
 then joined to the vocabulary and their bytes aggregated in token order, which decodes them. Pieces longer than
 max_recursive_bytes, whose recursion would take as many rounds as they have bytes, go through a heap in Python with the same rule.
 
 Defined results: null and empty texts have no tokens; each row is encoded alone, so ties and repeated rows change nothing;
-extra columns are left out. Memory: a megabyte of text at a time (a longer text alone), and max_pieces cached pieces a worker.
+extra columns are left out. Memory: a megabyte of text at a time (a longer text alone), and max_pieces cached pieces a task.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .pieces import SENTINEL, PieceCache, Ragged, chunks, hash_pieces, ragged
 
-MAX_PIECES = 1_200_000
+MAX_PIECES = 500_000
 MAX_RECURSIVE_BYTES = 400
 
 _OTHER, _LETTER, _NUMBER, _SPACE, _END = range(5)
@@ -138,7 +138,7 @@ class Codec:
         lens = np.where(whole >= 0, 1, 0)
         parts = [(np.flatnonzero(whole >= 0), whole[whole >= 0])]
         short = np.flatnonzero((whole < 0) & (sizes <= self.limit))
-        for part in np.array_split(short, -(-len(short) // 60_000) or 1) if len(short) else []:
+        for part in np.array_split(short, -(-len(short) // 20_000) or 1) if len(short) else []:
             flat = pa.array(self.first[np.frombuffer(b"".join(words[i] for i in part), np.uint8)])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes[part]))).astype(np.int32)), flat)
             self.db.register("words", pa.table({"word": pa.array(np.arange(len(part), dtype=np.int32)), "tokens": lists}))
@@ -229,7 +229,7 @@ _codecs: dict[tuple[str, str], Codec] = {}
 
 
 def codec(path: str, pattern: str) -> Codec:
-    """The worker's codec; it outlives a task where Spark reuses the worker."""
+    """The worker's codec. Its merge table outlives a task where Spark reuses the worker; its cached pieces go with the task, so that idle workers hold little."""
     if (path, pattern) not in _codecs:
         _codecs[path, pattern] = Codec(path, pattern)
     return _codecs[path, pattern]
@@ -243,6 +243,7 @@ def encode(docs: DataFrame, path: str, pattern: str, max_pieces: int = MAX_PIECE
         for batch in batches:
             ids = [x[0] for x in c.encode_chunk(batch.column("text").to_pylist(), max_pieces)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        c.clear()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>")
 
@@ -277,5 +278,6 @@ def digests(docs: DataFrame, path: str, pattern: str, max_pieces: int = MAX_PIEC
             found = [(len(i), hashlib.sha256(t).hexdigest(), hashlib.sha256(d).hexdigest()) for i, t, d in c.encode_chunk(texts, max_pieces)]
             n, a, b = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        c.clear()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
