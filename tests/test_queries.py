@@ -35,7 +35,8 @@ def rows(df: pd.DataFrame) -> list:
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_matches_sql(spark, db, name):
     got = rows(registry.QUERIES[name](spark, SF).toPandas())
-    assert got and got == rows(db.execute(registry.ORACLES[name]).df())
+    assert got == rows(db.execute(registry.ORACLES[name]).df())
+    assert got or name == "join07_unmatched"  # on the smallest tables every landmark has a partner
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
