@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import SENTINEL, PieceCache, Ragged, chunks, hash_pieces, ragged
+from .pieces import SENTINEL, PieceCache, Ragged, chunks, hash_pieces, ragged, task
 
 MAX_PIECES = 500_000
 MAX_RECURSIVE_BYTES = 400
+#: Words of one recursive query, which holds all their rounds at once.
+PART = 5_000
 
 _OTHER, _LETTER, _NUMBER, _SPACE, _END = range(5)
 _CLASS = np.full(256, _OTHER, np.uint8)
@@ -138,7 +140,7 @@ class Codec:
         lens = np.where(whole >= 0, 1, 0)
         parts = [(np.flatnonzero(whole >= 0), whole[whole >= 0])]
         short = np.flatnonzero((whole < 0) & (sizes <= self.limit))
-        for part in np.array_split(short, -(-len(short) // 20_000) or 1) if len(short) else []:
+        for part in np.array_split(short, -(-len(short) // PART) or 1) if len(short) else []:
             flat = pa.array(self.first[np.frombuffer(b"".join(words[i] for i in part), np.uint8)])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes[part]))).astype(np.int32)), flat)
             self.db.register("words", pa.table({"word": pa.array(np.arange(len(part), dtype=np.int32)), "tokens": lists}))
@@ -190,9 +192,11 @@ class Codec:
         return starts[real], ends[real]
 
     def encode_chunk(self, texts: list[str | None], max_pieces: int) -> list[tuple[np.ndarray, bytes, bytes]]:
-        """(ids, ids as decimal text with commas, decoded bytes) of each text."""
-        out = []
-        for first, stop, buf in chunks(texts, 2 << 20):
+        return list(self.encode_each(texts, max_pieces))
+
+    def encode_each(self, texts: list[str | None], max_pieces: int):
+        """(ids, ids as decimal text with commas, decoded bytes) of each text, a chunk at a time."""
+        for first, stop, buf in chunks(texts):
             part = [t or "" for t in texts[first:stop]]
             if _plain(buf):
                 starts, ends = self._cut(buf)
@@ -221,8 +225,7 @@ class Codec:
             cuts = [np.concatenate(([0], np.cumsum(lens)))[edge] for _, lens in got]
             for k in range(len(part)):
                 ids, text, raw = (flat[c[k] : c[k + 1]] for (flat, _), c in zip(got, cuts))
-                out.append((ids, text[:-1].tobytes(), raw.tobytes()))
-        return out
+                yield ids, text[:-1].tobytes(), raw.tobytes()
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -241,11 +244,11 @@ def encode(docs: DataFrame, path: str, pattern: str, max_pieces: int = MAX_PIECE
     def run(batches):
         c = codec(path, pattern)
         for batch in batches:
-            ids = [x[0] for x in c.encode_chunk(batch.column("text").to_pylist(), max_pieces)]
+            ids = [x[0].copy() for x in c.encode_each(batch.column("text").to_pylist(), max_pieces)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
         c.clear()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(task(run), f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -265,7 +268,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
                     texts[i] = raw[at[k] : at[k + 1]].decode("utf-8", "replace")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(task(run), f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")
 
 
 def digests(docs: DataFrame, path: str, pattern: str, max_pieces: int = MAX_PIECES) -> DataFrame:
@@ -275,9 +278,9 @@ def digests(docs: DataFrame, path: str, pattern: str, max_pieces: int = MAX_PIEC
         c = codec(path, pattern)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            found = [(len(i), hashlib.sha256(t).hexdigest(), hashlib.sha256(d).hexdigest()) for i, t, d in c.encode_chunk(texts, max_pieces)]
+            found = [(len(i), hashlib.sha256(t).hexdigest(), hashlib.sha256(d).hexdigest()) for i, t, d in c.encode_each(texts, max_pieces)]
             n, a, b = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         c.clear()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(task(run), f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .components import components
-from .pieces import chunks, mix, word_hashes
+from .pieces import chunks, mix, task, word_hashes
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999999
 COORDINATES = 64
@@ -81,7 +81,7 @@ def sketch(docs: DataFrame, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.list_(pa.int32()))], ["doc_id", "fp1", "fp2", "n", "sig"])
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, fp1 long, fp2 long, n int, sig array<int>")
+    return rows.mapInArrow(task(run), "doc_id long, fp1 long, fp2 long, n int, sig array<int>")
 
 
 def runs_for(recall: float, threshold: float) -> int:
@@ -231,7 +231,7 @@ def verify(members: DataFrame, shingle: int, threshold: float) -> DataFrame:
         if done[0]:
             yield emit()
 
-    return members.mapInArrow(run, "rep long, root long, links long")
+    return members.mapInArrow(task(run), "rep long, root long, links long")
 
 
 def join(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:

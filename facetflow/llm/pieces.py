@@ -6,7 +6,10 @@ ten million distinct pieces meets such a pair with odds of about 3e-6.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 
 SENTINEL = 0xFF  # never a byte of UTF-8; stands after each text
 CHUNK = 1 << 20
@@ -48,6 +51,27 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def release() -> None:
+    """Give freed memory back to the machine: Spark keeps idle workers, and what their allocators hold counts for the executor."""
+    _powers[:] = [p[:1].copy() for p in _powers]
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def task(run):
+    """A mapInArrow function that releases memory when its task ends."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
 def hash_pieces(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each buf[start:end]."""
     up, down = _power(len(buf) + 1)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import LOWER, SENTINEL, WORD, chunks, hash_pieces, mix, runs
+from .pieces import LOWER, SENTINEL, WORD, chunks, hash_pieces, mix, runs, task
 
 SAMPLE = 20_000
 #: Entries of the lexicon, the strongest first.
@@ -147,7 +147,7 @@ def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> dict[int, float]:
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in cols], ["feature", "family", "toxic"])
 
-    found = rows.mapInArrow(run, "feature long, family long, toxic long").distinct()
+    found = rows.mapInArrow(task(run), "feature long, family long, toxic long").distinct()
     counts = found.groupBy("feature").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
     families = rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()
     total = {r["toxic"]: r["n"] for r in families}
@@ -232,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[
             s = reader.sums(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int64()), pa.array(list(s), pa.list_(pa.float64()))], ["toxic", "sums"])
 
-    got = rows.mapInArrow(run, "toxic long, sums array<double>").toArrow()
+    got = rows.mapInArrow(task(run), "toxic long, sums array<double>").toArrow()
     if not got.num_rows:
         return lexicon, np.array([BIAS, *READINGS.values()])
     sums = got.column("sums").combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1)
@@ -250,7 +250,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: float =
             p = 1 / (1 + np.exp(-np.clip(weights[0] + _inputs(reader.sums(batch.column("text").to_pylist())) @ weights[1:], -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p)], ["doc_id", "score"])
 
-    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
+    out = docs.select("doc_id", "text").mapInArrow(task(run), f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
     return out.select("doc_id", (split_of("doc_id") == 1).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
@@ -264,4 +264,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: fl
             z = weights[0] + _inputs(reader.sums(batch.column("text").to_pylist())) @ weights[1:]
             yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))) < cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(task(run), docs.schema)
