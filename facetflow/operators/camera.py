@@ -80,21 +80,22 @@ def pinhole_hits(pixels: DataFrame, faces: DataFrame, f: tuple, c: tuple, tile:
         for a, g, edge in (("lo_", F.array_min, F.greatest), ("hi_", F.array_max, F.least)):
             t = F.floor(g(seen) / tile).cast("int")
             side[a + n] = F.when(front, edge(t, F.col(f"{a}i{n}"))).otherwise(F.col(f"{a}i{n}"))
+    n, first = vec.vec("n"), F.get("ring", F.lit(0))
+    axis = F.when((F.abs("nx") >= F.abs("ny")) & (F.abs("nx") >= F.abs("nz")), 0).when(F.abs("ny") >= F.abs("nz"), 1).otherwise(2)
+    flat = F.transform("ring", lambda r: F.struct(*(e.alias(a) for e, a in zip(_drop_axis(F.col("axis"), (r["x"], r["y"], r["z"])), "xy"))))
     q = faces.where((z_near < 0) & F.col("nx").isNotNull()).crossJoin(F.broadcast(extent))  # one row
-    q = q.withColumns({f"t_{k}": v for k, v in side.items()}).where("t_lo_x <= t_hi_x and t_lo_y <= t_hi_y")
+    q = q.withColumns({f"t_{k}": v for k, v in side.items()} | {"axis": axis, "plane": vec.dot(n, (first["x"], first["y"], first["z"]))})
+    q = q.where("t_lo_x <= t_hi_x and t_lo_y <= t_hi_y").withColumn("flat", flat)
+    q = q.withColumns({f"{g}_{a}": f(F.col("flat." + a)) for a in "xy" for g, f in (("lo", F.array_min), ("hi", F.array_max))})
     q = q.withColumn("tx", F.explode(F.sequence("t_lo_x", "t_hi_x"))).withColumn("ty", F.explode(F.sequence("t_lo_y", "t_hi_y")))
+    q = q.select("image", "tx", "ty", "facet", "nx", "ny", "nz", "axis", "plane", "flat", "lo_x", "hi_x", "lo_y", "hi_y")
     tiled = p.withColumns({"tx": F.floor(F.col("ix") / tile).cast("int"), "ty": F.floor(F.col("iy") / tile).cast("int")})
-    direction = vec.pixel_ray(F.col("ix"), F.col("iy"), *map(float, (*f, *c)))
-    first = F.get("ring", F.lit(0))
-    j = tiled.join(q.select("image", "facet", "ring", "nx", "ny", "nz", "tx", "ty"), ["image", "tx", "ty"])
-    j = j.withColumns(dict(zip(("dx", "dy", "dz"), direction)))
-    n, d = vec.vec("n"), vec.vec("d")
+    tiled = tiled.withColumns(dict(zip(("dx", "dy", "dz"), vec.pixel_ray(F.col("ix"), F.col("iy"), *map(float, (*f, *c))))))
+    d = vec.vec("d")
     facing = vec.dot(n, d)
-    j = j.withColumn("dist", F.try_divide(vec.dot(n, (first["x"], first["y"], first["z"])), F.nullif(facing, F.lit(0.0)))).where("dist > 0")
-    axis = F.when((F.abs("nx") >= F.abs("ny")) & (F.abs("nx") >= F.abs("nz")), 0).when(F.abs("ny") >= F.abs("nz"), 1).otherwise(2)
-    j = j.withColumn("axis", axis)
+    j = tiled.join(q, ["image", "tx", "ty"]).withColumn("dist", F.try_divide("plane", F.nullif(facing, F.lit(0.0)))).where("dist > 0")
     hx, hy = _drop_axis(F.col("axis"), vec.scale(d, F.col("dist")))
-    flat = F.transform("ring", lambda r: F.struct(*(e.alias(a) for e, a in zip(_drop_axis(F.col("axis"), (r["x"], r["y"], r["z"])), "xy"))))
-    hit = j.withColumns({"hx": hx, "hy": hy, "flat": flat}).where(pr.in_polygon(F.col("flat"), F.col("hx"), F.col("hy")))
+    # the box of the facet first: it is compiled, and few rows are left for the exact test
+    hit = j.where(hx.between(F.col("lo_x"), F.col("hi_x")) & hy.between(F.col("lo_y"), F.col("hi_y")) & pr.in_polygon(F.col("flat"), hx, hy))
     near = hit.groupBy("image", "ix", "iy").agg(F.min(F.struct("dist", "facet", F.abs(facing).alias("cosine"))).alias("near"))
     return p.join(near, ["image", "ix", "iy"], "left").select("image", "ix", "iy", "near.dist", "near.facet", "near.cosine")

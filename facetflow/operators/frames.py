@@ -12,9 +12,8 @@ _IDENTITY = [float(i % 5 == 0) for i in range(16)]
 
 def product(a: Column, b: Column) -> Column:
     """Row-major 4 x 4 product of two arrays of doubles."""
-    at = lambda m, i, j: F.get(m, F.lit(4 * i + j))
-    cell = lambda i, j: at(a, i, 0) * at(b, 0, j) + at(a, i, 1) * at(b, 1, j) + at(a, i, 2) * at(b, 2, j) + at(a, i, 3) * at(b, 3, j)
-    return F.array(*(cell(i, j) for i in range(4) for j in range(4)))
+    cell = lambda i: sum((F.get(a, i - i % 4 + k) * F.get(b, i % 4 + 4 * k) for k in range(1, 4)), F.get(a, i - i % 4) * F.get(b, i % 4))
+    return F.transform(F.sequence(F.lit(0), F.lit(15)), cell)
 
 
 def inverse(m: Column) -> Column:
@@ -58,6 +57,6 @@ def to_root(edges: DataFrame) -> DataFrame:
 def between(pairs: DataFrame, rooted: DataFrame) -> DataFrame:
     """pairs (src, dst) with m: the map from src to dst through their common root; null where they have none."""
     a = rooted.select(F.col("frame").alias("src"), F.col("root").alias("ra"), F.col("m").alias("ma"))
-    b = rooted.select(F.col("frame").alias("dst"), F.col("root").alias("rb"), F.col("m").alias("mb"))
+    b = rooted.select(F.col("frame").alias("dst"), F.col("root").alias("rb"), inverse(F.col("m")).alias("back"))
     j = pairs.join(a, "src", "left").join(b, "dst", "left")
-    return j.select(*pairs.columns, F.when(F.col("ra") == F.col("rb"), product(inverse(F.col("mb")), F.col("ma"))).alias("m"))
+    return j.select(*pairs.columns, F.when(F.col("ra") == F.col("rb"), product(F.col("back"), F.col("ma"))).alias("m"))
