@@ -69,7 +69,7 @@ def pinhole_hits(pixels: DataFrame, faces: DataFrame, f: tuple, c: tuple, tile:
     facets meet on the square tiles that a facet's picture touches; a facet that reaches behind the camera meets every tile that has
     pixels. The exact test is done in the coordinate plane that the facet faces most. Degenerate facets (null normal) are never hit."""
     p = pixels.select("image", "ix", "iy").distinct()
-    extent = p.agg(*(g(F.floor(F.col(n) / tile)).cast("int").alias(a + n) for n in ("ix", "iy") for a, g in (("lo_", F.min), ("hi_", F.max))))
+    extent = p.groupBy("image").agg(*(g(F.floor(F.col(n) / tile)).cast("int").alias(a + n) for n in ("ix", "iy") for a, g in (("lo_", F.min), ("hi_", F.max))))
     z_far = F.array_max(F.transform("ring", lambda q: q["z"]))
     z_near = F.array_min(F.transform("ring", lambda q: q["z"]))
     picture = {"x": lambda q: c[0] - f[0] * q["x"] / q["z"], "y": lambda q: c[1] + f[1] * q["y"] / q["z"]}
@@ -83,7 +83,7 @@ def pinhole_hits(pixels: DataFrame, faces: DataFrame, f: tuple, c: tuple, tile:
     n, first = vec.vec("n"), F.get("ring", F.lit(0))
     axis = F.when((F.abs("nx") >= F.abs("ny")) & (F.abs("nx") >= F.abs("nz")), 0).when(F.abs("ny") >= F.abs("nz"), 1).otherwise(2)
     flat = F.transform("ring", lambda r: F.struct(*(e.alias(a) for e, a in zip(_drop_axis(F.col("axis"), (r["x"], r["y"], r["z"])), "xy"))))
-    q = faces.where((z_near < 0) & F.col("nx").isNotNull()).crossJoin(F.broadcast(extent))  # one row
+    q = faces.where((z_near < 0) & F.col("nx").isNotNull()).join(extent, "image")
     q = q.withColumns({f"t_{k}": v for k, v in side.items()} | {"axis": axis, "plane": vec.dot(n, (first["x"], first["y"], first["z"]))})
     q = q.where("t_lo_x <= t_hi_x and t_lo_y <= t_hi_y").withColumn("flat", flat)
     q = q.withColumns({f"{g}_{a}": f(F.col("flat." + a)) for a in "xy" for g, f in (("lo", F.array_min), ("hi", F.array_max))})
