@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from ..sources import fixtures as fx
-from ..streaming import accumulate as op
+from ..streaming import accumulate as op, frames
 from .registry import query
 
 
@@ -16,3 +16,26 @@ def stream_accumulate(spark, d):
     n = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(d)
     p = n.select((F.col("l_partkey") % 32).cast("int").alias("ix"), (F.col("l_suppkey") % 32).cast("int").alias("iy"), F.col("l_linenumber").alias("t"), F.col("l_quantity").alias("v"), (1 - F.col("l_discount") * 10).alias("w"))
     return op.normalized(op.run_available(op.accumulate_stream(p), "stream-accumulate"))
+
+
+def _events(spark, d):
+    return spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+
+
+@query("str03_grabbed_frames", "SELECT DISTINCT event_id AS frame FROM events WHERE event_id % 4 = 0")
+def grabbed(spark, d):
+    """Every fourth event is a grabbed frame that comes twice and counts once."""
+    e = _events(spark, d).select(F.col("event_id").alias("frame"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_id") % 4 == 0).alias("grabbed"))
+    twice = e.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
+    return frames.each_batch(frames.grabbed(twice, "frame", "at", "4000 days").select("frame"), lambda b: b, "grabbed", "frame long")
+
+
+@query("str08_stream_background", f"WITH {fx.PIXELS_SQL}, s AS (SELECT shot, ix, iy, t, avg(v) AS v FROM pixels GROUP BY ALL), b AS (SELECT shot, ix, iy, avg(v) AS early FROM s WHERE t <= 2 GROUP BY ALL) SELECT shot, ix, iy, t, round(v - early, 6) + 0.0 AS v FROM s LEFT JOIN b USING (shot, ix, iy)")
+def stream_background(spark, d):
+    """Stacks that come whole in a batch, less the mean of their first two frames."""
+    n = spark.readStream.schema(table(spark, d, "lineitem").schema).option("pathGlobFilter", "lineitem.parquet").parquet(d)
+    p = n.select((F.col("l_orderkey") % 4).alias("shot"), (F.col("l_partkey") % 32).cast("int").alias("ix"), (F.col("l_suppkey") % 32).cast("int").alias("iy"), F.col("l_linenumber").cast("long").alias("t"), F.col("l_quantity").cast("double").alias("v"))
+    cell = ("shot", "ix", "iy")
+    work = lambda b: frames.without_early(b.groupBy(*cell, "t").agg(F.avg("v").alias("v")), 2, *cell)
+    out = frames.each_batch(p, work, "background", "shot long, ix int, iy int, t long, v double")
+    return out.select(*cell, "t", (F.round("v", 6) + 0.0).alias("v"))
