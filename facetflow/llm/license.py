@@ -2,7 +2,8 @@
 
 A text is read as its words (A-Z lower-cased) with one blank between them. A notice that may be matched with up to e edits is
 split into e + 1 pieces: e edits leave one piece untouched, so an exact piece marks each place where the notice can stand; there
-the regex library's bounded-error matching verifies it and gives the span. The three base phrases are matched word for word.
+the regex library's bounded-error matching verifies it and gives the span. The three base phrases are matched word for word; those
+of 20 characters and more are also searched with edits, and count there only where no exact or longer match with the same label does.
 
 Defined results: a null text is empty; an empty text has no words, no places and score 0; each row is judged alone, so ties and
 repeated rows change nothing; extra columns are left out.
@@ -21,6 +22,8 @@ from .pieces import TO_WORDS
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: Short notices that the fuzzy search looks for, with their labels.
 NOTICES = {
+    "under the mit license": "mit",
+    "apache license version 2": "apache-2",
     "released under the mit license": "mit",
     "permission is hereby granted free of charge to any person obtaining a copy": "mit",
     "licensed under the apache license version 2": "apache-2",
@@ -34,6 +37,8 @@ NOTICES = {
     "this is free and unencumbered software released into the public domain": "unlicense",
     "all rights reserved": "all-rights-reserved",
 }
+#: What tells a base phrase from other licenses (mpl, version 1), and the edits allowed in it.
+NAMES = {"under the mit license": ("mit", 1), "apache license version 2": (" 2", 0)}
 
 
 def edits_for(notice: str) -> int:
@@ -53,6 +58,7 @@ class Scanner:
         import regex
 
         self.notices = [(n, label, e := edits_for(n), regex.compile(rf"(?e)(?<![^ ])(?:{regex.escape(n)}){{e<={e}}}(?![^ ])")) for n, label in notices.items()]
+        self.names = {n: regex.compile(rf"(?:{regex.escape(name)}){{e<={e}}}{'(?![^ ])' * (not e)}") for n, (name, e) in NAMES.items()}
         found: dict[str, list[tuple[int, int]]] = {}
         for k, (n, _, e, _) in enumerate(self.notices):
             for at, piece in seeds(n, e):
@@ -62,8 +68,9 @@ class Scanner:
             self.automaton.add_word(piece, (len(piece), where))
         self.automaton.make_automaton()
 
-    def fuzzy(self, text: str) -> list[tuple[int, int, str, int]]:
-        """(start, end, label, edits) of verified notices in a text of words and single blanks, leftmost first and each place once."""
+    def fuzzy(self, text: str, base: list[tuple[int, int, str]] = ()) -> list[tuple[int, int, str, int]]:
+        """(start, end, label, edits) of verified notices in a text of words and single blanks, leftmost first and each place once.
+        Base phrases with edits are left out where they meet a span of base or of another notice with their label."""
         windows: dict[int, list[list[int]]] = {}
         for end, (size, where) in self.automaton.iter(text):
             for k, at in where:
@@ -75,19 +82,33 @@ class Scanner:
                     w[-1][1] = max(w[-1][1], b)
                 else:
                     w.append([a, b])
-        out = set()
+        out, short = set(), set()
         for k, spans in windows.items():
-            _, label, _, pattern = self.notices[k]
+            n, label, _, pattern = self.notices[k]
             for a, b in spans:
                 for m in pattern.finditer(text, a, b):
-                    out.add((m.start(), m.end(), label, sum(m.fuzzy_counts)))
+                    if n not in self.names:
+                        out.add((m.start(), m.end(), label, sum(m.fuzzy_counts)))
+                    elif self.names[n].search(m[0]):
+                        short.add((m.start(), m.end(), label, sum(m.fuzzy_counts)))
+        taken: dict[str, list[tuple[int, int]]] = {}
+        for a, b, label, *_ in sorted([*base, *out] if short else ()):
+            merged = taken.setdefault(label, [])
+            if merged and a < merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+            else:
+                merged.append((a, b))
+        for a, b, label, e in short:
+            at = bisect_left(taken.get(label, []), (b,)) - 1  # the last that starts before b
+            if at < 0 or taken[label][at][1] <= a:
+                out.add((a, b, label, e))
         return sorted(out)
 
     def scan(self, text: str | None) -> dict:
         words = (text or "").encode().translate(TO_WORDS).split()
         line = b" ".join(words).decode()
         padded = f" {line} "
-        places, base = [], set()
+        places, base, exact, held = [], set(), [], set()
         for phrase, label in BASE.items():
             seen, counted = 0, 0
             at = padded.find(f" {phrase} ")
@@ -96,15 +117,18 @@ class Scanner:
                 seen = at + 1
                 places.append(counted - 1)
                 base.add(label)
+                exact.append((at, at + len(phrase), label))
+                held.update(range(counted - 1, counted + phrase.count(" ")))
                 at = padded.find(f" {phrase} ", at + 1)
-        spans, fuzzy = [], self.fuzzy(line)
+        spans, fuzzy = [], self.fuzzy(line, exact)
         blanks = [i for i, c in enumerate(line) if c == " "] if fuzzy else []
         for a, b, label, e in fuzzy:
             spans.append({"start": bisect_left(blanks, a), "end": bisect_left(blanks, b) + 1, "label": label, "edits": e})
         labels = base | {x["label"] for x in spans}
-        covered = len(places) * 4 + sum(x["end"] - x["start"] for x in spans)
+        for x in spans:
+            held.update(range(x["start"], x["end"]))
         best = max([1.0 if base else 0.0, *(1 - e / max(1, b - a) for a, b, _, e in fuzzy)])
-        score = best * (0.5 + 0.5 * min(1.0, covered / max(1, len(words)))) if labels else 0.0
+        score = best * (0.5 + 0.5 * len(held) / max(1, len(words))) if labels else 0.0
         return {"n_words": len(words), "n_base": len(places), "first_word": min(places, default=None), "last_word": max(places, default=None), "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(labels)), "score": score, "spans": spans}
 
 

@@ -290,6 +290,21 @@ def test_licenses(spark, docs):
     assert s["n_base"] == 0 and s["labels"] == "mit" and 0 < s["score"] < 1 and s["spans"][0]["start"] == 2 and s["spans"][0]["end"] == 7
 
 
+def test_licenses_misspelt_base_phrases():
+    scan = license.Scanner().scan
+    cases = {"available under the MIT licence": ("mit", 1, 5), "distributed under teh MIT license": ("mit", 1, 5), "see the Apache Licence, Version 2.0": ("apache-2", 2, 6)}
+    for text, (label, a, b) in cases.items():
+        s = scan(text)
+        assert s["n_base"] == 0 and s["labels"] == label and 0 < s["score"] < 1, text
+        assert [(x["start"], x["end"]) for x in s["spans"]] == [(a, b)]
+    for text in ("under the MPL license", "under the BSD license", "Apache License, Version 1.1"):
+        assert scan(text)["labels"] == "", text
+    s = scan("available under the MIT license")
+    assert s["n_base"] == 1 and s["spans"] == [] and s["score"] == 0.5 + 0.5 * 4 / 5
+    s = scan("under the MIT license or under the MIT licence or relased under the MIT licence")
+    assert [(x["start"], x["end"]) for x in s["spans"]] == [(5, 9), (10, 15)]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
