@@ -2,7 +2,8 @@
 
 A text goes through three transducers that each keep, for every output character, the source range it came from: look-alike
 characters to ASCII (invisible ones vanish), words for digits to digits, and "at"/"dot" in words or brackets to @ and a full
-stop. The identifier patterns then run on the output, and their spans go back through the ranges to source characters. The
+stop. Runs of three number words and more are always read as digits, then also shorter ones beside digits, a plus or a dot chain;
+what only the second reading finds is added last. The identifier patterns then run on the output, and their spans go back through the ranges to source characters. The
 plain patterns run on the source itself; their spans always stay, and a span from the transducers is added where it touches
 none of them.
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -77,22 +79,33 @@ LOOKALIKES = dict(zip("аеорсухіјѕԁһӏАВЕКМНОРСТХІЈЅο
 INVISIBLE = "­​‌‍⁠﻿"
 #: Words for the digits 0 to 9 in four languages.
 DIGIT_WORDS = {w: d for d, ws in enumerate(("zero oh null cero", "one eins un une uno", "two zwei deux dos", "three drei trois tres", "four vier quatre cuatro", "five fünf cinq cinco", "six sechs seis", "seven sieben sept siete", "eight acht huit ocho", "nine neun neuf nueve")) for w in ws.split()}
-#: At least three number words in a row, or number words beside digits, are read as digits.
+#: At least three number words in a row, or number words beside digits, a plus or a dot chain, are read as digits.
 _NUMBER = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-_SPELLED = re.compile(rf"(?<![^\W_])(?:{_NUMBER})(?:[ ,-]{{1,2}}(?:{_NUMBER}|[0-9]+))+(?![^\W_])", re.I)
+_SPELLED = re.compile(rf"(?<![^\W_])(?:{_NUMBER})(?:[ ,-]{{1,2}}(?:{_NUMBER}|[0-9]+))*(?![^\W_])", re.I)
 _SPELLED_WORD = re.compile(rf"(?:{_NUMBER})(?![^\W_])", re.I)
 _PLUS = re.compile(r"\bplus[ -]+(?=[0-9])", re.I)
 #: user (at) host (dot) tld, in brackets or as bare words; bare words count only as the whole chain.
 _TOKEN = r"[A-Za-z0-9][A-Za-z0-9_%+-]*"
 _AT = r"(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+|\s*@\s*)"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+|\.)"
-_CHAIN = re.compile(rf"(?<![A-Za-z0-9_%+-])({_TOKEN}(?:{_DOT}{_TOKEN}){{0,3}}){_AT}({_TOKEN}(?:{_DOT}{_TOKEN}){{1,4}})", re.I)
+_CHAIN = re.compile(rf"(?<![A-Za-z0-9_%+-]){_TOKEN}(?:{_DOT}{_TOKEN})*", re.I)
+#: An "at" without the blanks around it; a part that ends where one begins; a domain after it.
+_AT_CORE = re.compile(r"[\[({<]\s*(?:at|@)\s*[\])}>]|(?<=\s)at(?=\s)|@", re.I)
+_DOMAIN_CHAIN = re.compile(rf"\s*({_TOKEN}(?:{_DOT}{_TOKEN})+)", re.I)
 _BARE = re.compile(r"\s(?:at|dot)\s", re.I)
 #: What a chain in bare words must end in, as "at" and "dot" are also plain words.
 COMMON_ENDS = frozenset("com org net edu gov info io co biz dev ai uk us eu de fr es it nl ch at be ca au".split())
-_AT_ONE, _DOT_ONE = re.compile(_AT, re.I), re.compile(_DOT, re.I)
+#: Ends that are also words, so that a capital after a full stop begins a sentence.
+WORD_ENDS = frozenset("it be us at".split())
+#: Words before a bare "at" and a plainly written host that tell where something is and are no local part.
+PLACE_WORDS = frozenset("a about and are available be bought but find found go hosted i is it live look me more now off on online or out published read see shop site the them there this up us visit was we were".split())
+_DOT_ONE = re.compile(_DOT, re.I)
 _DISGUISED = re.compile(r"[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]|\sdot\s", re.I)
+#: A bare "at" before a dotted name with a common end.
+_AT_HOST = re.compile(rf"\sat\s+[A-Za-z0-9][A-Za-z0-9_%+.-]*\.(?:{'|'.join(sorted(COMMON_ENDS))})(?![A-Za-z0-9_%+-])", re.I)
 _IP_DOTS = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
+_BEFORE = re.compile(rf"(?:[0-9][ ,().-]{{1,3}}|\+[ (]?|(?<![^\W_])plus[ -]+|(?:[0-9]|(?<![^\W_])(?:{_NUMBER})){_DOT})\Z", re.I)
+_BESIDE = re.compile(rf"[ ,().-]{{1,3}}[0-9]|{_DOT}(?:[0-9]|(?:{_NUMBER})(?![^\W_]))", re.I)
 _ODD = re.compile("[" + re.escape("".join(LOOKALIKES)) + INVISIBLE + "！-～\U0001d400-\U0001d7ff٠-٩۰-۹]")
 
 
@@ -140,39 +153,68 @@ def homoglyphs(tape: Tape) -> Tape:
     return tape.rewrite(edits)
 
 
-def spelled_digits(tape: Tape) -> Tape:
+def spelled_digits(tape: Tape, least: int = 3) -> Tape:
+    """Runs of `least` number words and more as digits. Shorter ones are left alone at 3; at 1 they are read beside digits, a plus
+    or a dot chain, and keep what stands between them and digits."""
     edits = []
     for m in _SPELLED.finditer(tape.text):
         found = list(_SPELLED_WORD.finditer(tape.text, m.start(), m.end()))
-        if len(found) < 3:
+        few = len(found) < 3
+        if few and (least >= 3 or not (_DIGIT.search(m[0]) or _BESIDE.match(tape.text, m.end()) or _BEFORE.search(tape.text[max(0, m.start() - 40) : m.start()]))):
             continue
-        at = m.start()
+        at, word = m.start(), False
         while at < m.end():
             w = _SPELLED_WORD.match(tape.text, at)
             if w:
                 edits.append((at, w.end(), str(DIGIT_WORDS[w[0].lower()])))
-                at = w.end()
+                at, word = w.end(), True
             elif tape.text[at] in " ,-":
                 b = at
                 while b < m.end() and tape.text[b] in " ,-":
                     b += 1
-                edits.append((at, b, ""))
+                if not few or word and _SPELLED_WORD.match(tape.text, b):
+                    edits.append((at, b, ""))
                 at = b
             else:
-                at += 1
-    tape = tape.rewrite(edits)
+                at, word = at + 1, False
+    return tape.rewrite(edits)
+
+
+def plus_sign(tape: Tape) -> Tape:
     return tape.rewrite([(m.start(), m.end(), "+") for m in _PLUS.finditer(tape.text)])
 
 
+def _chains(text: str):
+    """(start, end of the local part, start, end of the domain) of each local at domain. What lies between two "at" is read once for
+    each of them, so the time is linear in the text."""
+    cores = [(m.start(), m.end()) for m in _AT_CORE.finditer(text)]
+    for k, (a, b) in enumerate(cores):
+        free = cores[k - 1][1] if k else 0
+        domain = _DOMAIN_CHAIN.match(text, b, cores[k + 1][0] if k + 1 < len(cores) else len(text))
+        if domain:
+            local = None
+            for local in _CHAIN.finditer(text, free, a):
+                pass
+            if local and not text[local.end() : a].strip():
+                yield local.start(), local.end(), domain.start(1), domain.end(1)
+
+
 def at_dot(tape: Tape) -> Tape:
-    edits = []
-    for m in _CHAIN.finditer(tape.text):
-        if not _DISGUISED.search(m[0]) or _BARE.search(m[0]) and m[0].split(".")[-1].split()[-1].lower() not in COMMON_ENDS:
+    edits, taken = [], 0
+    for a, b, c, d in _chains(tape.text):
+        whole, middle = tape.text[a:d], tape.text[b:c]
+        if a < taken or not (_DISGUISED.search(whole) or _BARE.search(middle)):
             continue
-        split = _AT_ONE.search(tape.text, m.end(1))
-        for part, lo, hi in ((_DOT_ONE, m.start(1), m.end(1)), (_AT_ONE, split.start(), split.end()), (_DOT_ONE, m.start(2), m.end(2))):
-            edits += [(x.start(), x.end(), "@" if part is _AT_ONE else ".") for x in part.finditer(tape.text, lo, hi)]
-    taken = max((b for _, b, _ in edits), default=0)
+        if _BARE.search(whole):
+            end = whole.split(".")[-1].split()[-1]
+            if end.lower() not in COMMON_ENDS:
+                continue
+            if not _DISGUISED.search(whole) and (end.lower() in WORD_ENDS and not end.islower() or tape.text[a:b].lower() in PLACE_WORDS):
+                continue
+        edits += [(x.start(), x.end(), ".") for x in _DOT_ONE.finditer(tape.text, a, b)]
+        edits.append((b, c, "@"))
+        edits += [(x.start(), x.end(), ".") for x in _DOT_ONE.finditer(tape.text, c, d)]
+        taken = d
     for m in _IP_DOTS.finditer(tape.text):
         if m.start() >= taken and _DISGUISED.search(m[0]):
             edits += [(x.start(), x.end(), ".") for x in _DOT_ONE.finditer(tape.text, m.start(), m.end())]
@@ -185,19 +227,33 @@ def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, in
     tape = Tape(text)
     if _ODD.search(text):
         tape = homoglyphs(tape)
+    tapes = [tape]
     if _SPELLED.search(tape.text):
-        tape = spelled_digits(tape)
-    if _DISGUISED.search(tape.text):
-        tape = at_dot(tape)
+        sure, more = spelled_digits(tape), spelled_digits(tape, 1)
+        tapes = [sure, more] if more.text != sure.text else [sure]
     out = list(base)
-    if tape.text is not text:
-        taken = sorted((a, b) for _, a, b in base)
+    for tape in tapes:
+        if _PLUS.search(tape.text):
+            tape = plus_sign(tape)
+        if _DISGUISED.search(tape.text) or _AT_HOST.search(tape.text):
+            tape = at_dot(tape)
+        if tape.text == text:
+            continue
+        starts, ends, new = [], [], []  # what the spans so far cover
+        for a, b in sorted((a, b) for _, a, b in out):
+            if ends and a < ends[-1]:
+                ends[-1] = max(ends[-1], b)
+            else:
+                starts.append(a)
+                ends.append(b)
         for kind, a, b in base_spans(tape.text):
             if kind == "email" and not _TLD.search(tape.text[a:b]):
                 continue
             a, b = tape.start[a], tape.end[b - 1]
-            if not any(a < y and x < b for x, y in taken):
-                out.append((kind, a, b))
+            at = bisect_left(starts, b) - 1
+            if at < 0 or ends[at] <= a:
+                new.append((kind, a, b))
+        out += new
     order = lambda s: (KINDS.index(s[0]), s[1], s[2])
     return sorted(base, key=order), sorted(out, key=order)
 

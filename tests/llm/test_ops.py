@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import timeit
 import zlib
 
 import numpy as np
@@ -97,6 +98,35 @@ def test_pii_disguises_and_redaction(spark, docs):
     assert pii.find(docs.limit(0)).count() == 0 and pii.find(docs).count() == docs.count()
 
 
+def test_pii_few_number_words_plus_bare_at_and_long_chains():
+    long = " dot ".join("abcdefghij")
+    cases = {
+        "call +1 415 five five 5 0199 now": ("phone", "+1 415 five five 5 0199"),
+        "call +1 (415) five five 5-0199": ("phone", "+1 (415) five five 5-0199"),
+        "host one two seven dot zero dot zero dot one up": ("ip", "one two seven dot zero dot zero dot one"),
+        "host 10.zero.0.one up": ("ip", "10.zero.0.one"),
+        "call plus 49 30 1234567 now": ("phone", "plus 49 30 1234567"),
+        "write john at example.com now": ("email", "john at example.com"),
+        f"mail {long} at example dot com.": ("email", f"{long} at example dot com"),
+        f"mail: john at {long} dot com.": ("email", f"john at {long} dot com"),
+        f"mail: john [at] {long.replace(' dot ', '.')}.com.": ("email", f"john [at] {long.replace(' dot ', '.')}.com"),
+    }
+    for text, (kind, part) in cases.items():
+        base, every = pii.all_spans(text)
+        assert not base and [(k, text[a:b]) for k, a, b in every] == [(kind, part)], text
+    for text in ("One of us came at noon.It rained", "look at example.com", "two plus two", "at 5 one left", "we sat at the end. 10 came"):
+        assert pii.all_spans(text) == ([], []), text
+    assert [k for k, _, _ in pii.all_spans("one ４１１１ １１１１ １１１１ １１１１")[1]] == ["card"]
+
+
+def test_pii_takes_linear_time():
+    for part in ("a dot ", "a at ", "a.", "[at] ", "at dot ", "one dot ", "five 5 ", "plus 4 ", "x @ y.", " at a.com b", "[ ", "one, ", "plus 49 30 1234567 a@b.co "):
+        seconds = []
+        for n in (4_000, 32_000):
+            seconds.append(min(timeit.repeat(lambda: pii.all_spans(part * n), number=1, repeat=2)))  # noqa: B023
+        assert seconds[1] < 24 * seconds[0] + 0.2, (part, seconds)
+
+
 def test_byte_bpe(spark, docs):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
