@@ -28,6 +28,8 @@ SAMPLE = 20_000
 LEXICON = 4_000
 MIN_FAMILIES, MIN_LOG_ODDS = 6, 3.0
 PREFIXES = (4, 5)
+#: Words in a row by which copies are told.
+SHINGLE = 5
 CUT = 0.7
 
 #: symbols' words in English, German, French and Spanish. Words that are also articles or pronouns of things are left out.
@@ -115,6 +117,15 @@ def _features(buf: np.ndarray):
     return starts, ends, out
 
 
+def _family(words: np.ndarray) -> int:
+    """The least hash of SHINGLE words in a row, of a text's word hashes."""
+    n = min(SHINGLE, len(words))
+    h = np.full(len(words) - n + 1, n, np.uint64)
+    for i in range(n):
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + words[i : len(words) - n + 1 + i])
+    return int(h.min().view(np.int64))
+
+
 def split_of(doc_id) -> F.Column:
     return F.crc32(F.col(doc_id).cast("string")) % 3
 
@@ -127,8 +138,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
 
 def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> dict[int, float]:
-    """Hash -> log-odds of words and beginnings that mark toxic rows. A feature counts once a family, by the least word hash of its
-    texts, so that many copies of one text weigh as one."""
+    """Hash -> log-odds of words and beginnings that mark toxic rows. Features and totals count families, so that many copies of one
+    text weigh as one. A family is the texts with the same least hash of SHINGLE words in a row (of all words in shorter texts)."""
 
     def run(batches):
         for batch in batches:
@@ -140,22 +151,24 @@ def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> dict[int, float]:
                     if a == b:
                         continue
                     found = np.unique(np.concatenate([h[a:b] for h in hashes]))
-                    found = found[found != 0]
-                    family = int(mix(hashes[0][a:b]).min() >> np.uint64(44))
+                    found = np.union1d(found, np.zeros(1, np.uint64))  # 0 is no feature: its counts are the totals
+                    family = _family(hashes[0][a:b])
                     for c, v in zip(cols, (found.view(np.int64), np.full(len(found), family), np.full(len(found), toxic[first + k]))):
                         c.append(v)
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in cols], ["feature", "family", "toxic"])
 
     found = rows.mapInArrow(task(run), "feature long, family long, toxic long").distinct()
-    counts = found.groupBy("feature").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
-    families = rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()
-    total = {r["toxic"]: r["n"] for r in families}
-    if not total.get(0) or not total.get(1):
-        return {}
-    odds = F.log((F.col("pos") + 0.5) / (total[1] + 1)) - F.log((F.col("neg") + 0.5) / (total[0] + 1))
-    top = counts.where(F.col("pos") >= MIN_FAMILIES).withColumn("odds", odds).where(F.col("odds") >= MIN_LOG_ODDS).orderBy(F.desc("odds"), "feature").limit(size)
-    return {r["feature"]: r["odds"] for r in top.select("feature", "odds").collect()}
+    counts = found.groupBy("feature").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")).persist()
+    try:
+        total = counts.where("feature = 0").first()
+        if not total or not total["pos"] or not total["neg"]:
+            return {}
+        odds = F.log((F.col("pos") + 0.5) / (total["pos"] + 1)) - F.log((F.col("neg") + 0.5) / (total["neg"] + 1))
+        top = counts.where((F.col("feature") != 0) & (F.col("pos") >= MIN_FAMILIES)).withColumn("odds", odds).where(F.col("odds") >= MIN_LOG_ODDS).orderBy(F.desc("odds"), "feature").limit(size)
+        return {r["feature"]: r["odds"] for r in top.select("feature", "odds").collect()}
+    finally:
+        counts.unpersist()
 
 
 class Reader:

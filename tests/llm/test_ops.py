@@ -166,6 +166,23 @@ def test_toxicity_edges_and_contexts(spark, docs):
     assert names == [[(i, "t")], [(i, "")], [(i, "nt")], [(i, "rt")], [], [], [(i, "")]]
 
 
+def test_toxicity_lexicon_counts_families(spark):
+    """Copies weigh as one in features and totals, and unrelated texts that share a word are families of their own."""
+    ship(spark)
+    rng, rows = random.Random(9), []
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(9))
+    common = [word() for _ in range(12)]
+    text = lambda *more: " ".join([w for c in zip(*[iter(rng.sample(common, 12))] * 2) for w in (word(), *c)] + [*more])
+    for k in range(60):  # 60 toxic families of 20 copies
+        rows += [(text(*["vexgrumble"] * (k < 12)), 1)] * 20
+    rows += [(text(*["vexgrumble"] * (k < 3)), 0) for k in range(1500)]
+    d = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(rows)], "doc_id long, text string, toxic int")
+    lexicon = toxicity.learn_lexicon(d)
+    h = int(toxicity._word_hash("vexgrumble").view(np.int64)[0])
+    assert lexicon[h] == pytest.approx(np.log(12.5 / 61) - np.log(3.5 / 1501))
+    assert not {int(x) for w in common for x in toxicity._word_hash(w).view(np.int64)} & set(lexicon)
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(5)
     for _ in range(2000):
