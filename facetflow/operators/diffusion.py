@@ -17,8 +17,8 @@ def steps_on(v: np.ndarray, upper: np.ndarray, steps: int, rate: float) -> np.nd
     return v
 
 
-def diffuse(raster: DataFrame, nx: int, ny: int, steps: int, rate: float = 0.2, tile: int = 64) -> DataFrame:
-    """ix, iy, v of a dense raster (ix, iy, v, upper) after the steps."""
+def diffuse(raster: DataFrame, nx: int, ny: int, steps: int, rate: float = 0.2, tile: int = 64, frame=()) -> DataFrame:
+    """frame, ix, iy, v of a dense raster (frame, ix, iy, v, upper) after the steps, each frame alone."""
     span = lambda c, n: F.sequence(F.floor(F.greatest(F.col(c) - steps, F.lit(0)) / tile), F.floor(F.least(F.col(c) + steps, F.lit(n - 1)) / tile))
     dealt = raster.withColumn("tx", F.explode(span("ix", nx))).withColumn("ty", F.explode(span("iy", ny)))
 
@@ -28,6 +28,7 @@ def diffuse(raster: DataFrame, nx: int, ny: int, steps: int, rate: float = 0.2,
         v[pdf.iy - y0, pdf.ix - x0], upper[pdf.iy - y0, pdf.ix - x0] = pdf.v, pdf.upper
         core = pdf[(pdf.ix // tile == pdf.tx) & (pdf.iy // tile == pdf.ty)]
         out = steps_on(v, upper, steps, rate)
-        return pd.DataFrame({"ix": core.ix, "iy": core.iy, "v": out[core.iy - y0, core.ix - x0]})
+        return pd.DataFrame({**{f: core[f] for f in frame}, "ix": core.ix, "iy": core.iy, "v": out[core.iy - y0, core.ix - x0]})
 
-    return dealt.groupBy("tx", "ty").applyInPandas(run, "ix int, iy int, v double")
+    kinds = dict(raster.dtypes)
+    return dealt.groupBy(*frame, "tx", "ty").applyInPandas(run, ", ".join([*(f"{f} {kinds[f]}" for f in frame), "ix int, iy int, v double"]))

@@ -70,11 +70,13 @@ def compare(a: DataFrame, b: DataFrame, cell=CELL) -> DataFrame:
     return j.agg(F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("n_differ"), F.try_divide(F.sqrt(F.sum(d * d)), F.sqrt(F.sum(F.col("a") * F.col("a")))).alias("relative"))
 
 
-def dense(raster: DataFrame, nx: int, ny: int, fill: float = 0.0) -> DataFrame:
-    """Every cell of the grid, the raster's value or fill."""
+def dense(raster: DataFrame, nx: int, ny: int, fill: float = 0.0, frame=()) -> DataFrame:
+    """Every cell of the grid in each frame (values of the columns `frame`, not null), the raster's value or fill."""
     spark = raster.sparkSession
     n = spark.range(nx * ny).select((F.col("id") % nx).cast("int").alias("ix"), F.expr(f"cast(id div {nx} as int)").alias("iy"))
-    return n.join(raster, ["ix", "iy"], "left").withColumn("v", F.coalesce("v", F.lit(fill)))
+    if frame:
+        n = raster.select(*frame).distinct().crossJoin(n)
+    return n.join(raster, [*frame, "ix", "iy"], "left").withColumn("v", F.coalesce("v", F.lit(fill)))
 
 
 def frame_range(frames: DataFrame, key: str) -> DataFrame:
@@ -82,27 +84,27 @@ def frame_range(frames: DataFrame, key: str) -> DataFrame:
     return frames.groupBy(key).agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count_if(~present(F.col("v"))).alias("n_missing"))
 
 
-def opened(mask: DataFrame) -> DataFrame:
-    """Binary opening of a dense mask (ix, iy, m) by the 4-neighbour cross; outside is false."""
+def opened(mask: DataFrame, frame=()) -> DataFrame:
+    """Binary opening of a dense mask (frame, ix, iy, m) by the 4-neighbour cross, each frame alone; outside is false."""
 
     def cross(d: DataFrame, least: bool) -> DataFrame:
         f = F.min if least else F.max
         edge = F.lit(False)
-        row, col = Window.partitionBy("iy").orderBy("ix"), Window.partitionBy("ix").orderBy("iy")
+        row, col = Window.partitionBy(*frame, "iy").orderBy("ix"), Window.partitionBy(*frame, "ix").orderBy("iy")
         near = [F.lag("m", 1).over(row), F.lead("m", 1).over(row), F.lag("m", 1).over(col), F.lead("m", 1).over(col)]
         all_ = [F.col("m"), *(F.coalesce(x, edge) for x in near)]
-        return d.select("ix", "iy", (F.least(*all_) if least else F.greatest(*all_)).alias("m"))
+        return d.select(*frame, "ix", "iy", (F.least(*all_) if least else F.greatest(*all_)).alias("m"))
 
     return cross(cross(mask, True), False)
 
 
-def slope_mismatch(depth: DataFrame, limit: float) -> DataFrame:
-    """Cells of a dense depth raster whose step to any 4-neighbour reaches limit; edges and missing values always are."""
-    row, col = Window.partitionBy("iy").orderBy("ix"), Window.partitionBy("ix").orderBy("iy")
+def slope_mismatch(depth: DataFrame, limit: float, frame=()) -> DataFrame:
+    """Cells of a dense depth raster, each frame alone, whose step to any 4-neighbour reaches limit; edges and missing values always are."""
+    row, col = Window.partitionBy(*frame, "iy").orderBy("ix"), Window.partitionBy(*frame, "ix").orderBy("iy")
     v = F.nanvl("v", F.lit(None))
     d = depth.withColumn("v", v)
     near = [F.lag("v", 1).over(row), F.lead("v", 1).over(row), F.lag("v", 1).over(col), F.lead("v", 1).over(col)]
     smooth = F.lit(True)
     for x in near:
         smooth = smooth & F.coalesce(F.abs(F.col("v") - x) < limit, F.lit(False))
-    return d.select("ix", "iy", (~smooth).alias("m"))
+    return d.select(*frame, "ix", "iy", (~smooth).alias("m"))

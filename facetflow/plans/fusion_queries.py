@@ -220,4 +220,7 @@ def ranked(spark, d):
 def diffusion(spark, d):
     from ..operators.diffusion import diffuse
 
-    return diffuse(_grid(spark, d).select("ix", "iy", F.col("v").alias("upper"), (F.col("v") * 0.5).alias("v")), 32, 32, 8).select("ix", "iy", R("v").alias("v"))
+    frame = ("shot", "t")
+    g = op.dense(fx.pixels(spark, d).groupBy(*frame, "ix", "iy").agg(F.max("v").alias("v")), 32, 32, frame=frame)
+    g = g.select(*frame, "ix", "iy", F.col("v").alias("upper"), (F.col("v") * 0.5).alias("v"))
+    return diffuse(g, 32, 32, 8, tile=16, frame=frame).select(*frame, "ix", "iy", R("v").alias("v"))
