@@ -28,27 +28,56 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or where it is unset a new temporary one."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where it is unset a local master gets a temporary one; a
+    cluster has no folder to fall back on."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+def _application_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/facetflow-{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_application_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends there, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
+    spark = ship(df.sparkSession)
     path = fresh_path(spark, name)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote and that no DataFrame still to be run reads."""
+    for df in tables:
+        path = getattr(df, "_cut_path", None)
+        if path:
+            _delete(df.sparkSession, path)
+            df._cut_path = None
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all that this application wrote to the shared folder; for when its results are stored."""
+    _delete(spark, _application_dir(spark))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
