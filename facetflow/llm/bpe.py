@@ -7,7 +7,9 @@ then joined to the vocabulary and their bytes aggregated in token order, which d
 max_recursive_bytes, whose recursion would take as many rounds as they have bytes, go through a heap in Python with the same rule.
 
 Defined results: null and empty texts have no tokens; each row is encoded alone, so ties and repeated rows change nothing;
-extra columns are left out. Memory: a megabyte of text at a time (a longer text alone), and max_pieces cached pieces a task.
+extra columns are left out. Pieces are looked up by hash and compared by bytes: what decodes to other bytes than the text's is encoded
+anew without hashes. Memory: a megabyte of text at a time (a longer text alone), max_pieces cached pieces a task, and a recursive
+query's rounds within ROUNDS_BYTES; DuckDB never spills to a local folder.
 """
 
 from __future__ import annotations
@@ -21,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import SENTINEL, PieceCache, Ragged, chunks, hash_pieces, ragged, task
+from .pieces import SENTINEL, PieceCache, Ragged, arrow_map, chunks, hash_pieces, ragged
 
 MAX_PIECES = 500_000
-MAX_RECURSIVE_BYTES = 400
-#: Words of one recursive query, which holds all their rounds at once.
-PART = 5_000
+MAX_RECURSIVE_BYTES = 1_024
+#: Words of one recursive query, and bytes of all their rounds, which it holds at once (a word's square, times two).
+PART, ROUNDS_BYTES = 5_000, 64 << 20
 
 _OTHER, _LETTER, _NUMBER, _SPACE, _END = range(5)
 _CLASS = np.full(256, _OTHER, np.uint8)
@@ -94,7 +96,7 @@ class Codec:
                 if x is not None and y is not None:
                     pairs.append((x << 32) + y)
                     ranks.append(rank)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
         self.db.register("t", pa.table({"pair": pa.array(pairs, pa.int64()), "rank": pa.array(ranks, pa.int32())}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM t")
         self.db.register("t", pa.table({"id": pa.array(list(self.bytes_of), pa.int32()), "bytes": [b.hex() for b in self.bytes_of.values()]}))
@@ -140,7 +142,9 @@ class Codec:
         lens = np.where(whole >= 0, 1, 0)
         parts = [(np.flatnonzero(whole >= 0), whole[whole >= 0])]
         short = np.flatnonzero((whole < 0) & (sizes <= self.limit))
-        for part in np.array_split(short, -(-len(short) // PART) or 1) if len(short) else []:
+        heavy = np.cumsum(2 * sizes[short].astype(np.int64) ** 2)
+        turn = np.maximum(np.arange(len(short)) // PART, heavy // ROUNDS_BYTES)
+        for part in np.split(short, np.flatnonzero(np.diff(turn)) + 1) if len(short) else []:
             flat = pa.array(self.first[np.frombuffer(b"".join(words[i] for i in part), np.uint8)])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes[part]))).astype(np.int32)), flat)
             self.db.register("words", pa.table({"word": pa.array(np.arange(len(part), dtype=np.int32)), "tokens": lists}))
@@ -165,13 +169,21 @@ class Codec:
         sizes = np.diff(np.frombuffer(raw.buffers()[1], np.int32, len(raw) + 1, raw.offset * 4))
         return np.frombuffer(raw.buffers()[2], np.uint8)[: int(sizes.sum())], sizes
 
-    def _learn(self, words: list[bytes], h: np.ndarray) -> None:
+    def _fill(self, stores, words: list[bytes]) -> None:
+        """A row for each word in the stores of ids, their decimal text and their decoded bytes."""
         tokens, lens = self.encode_words(words)
-        self.cache.add(h)
-        self.ids.append(tokens, lens)
         digits, sizes = self.decimal.take(tokens)
-        self.text.append(digits, np.add.reduceat(sizes, np.cumsum(lens) - lens))
-        self.decoded.append(*self.decode_words(tokens, lens))
+        stores[0].append(tokens, lens)
+        stores[1].append(digits, np.add.reduceat(sizes, np.cumsum(lens) - lens))
+        stores[2].append(*self.decode_words(tokens, lens))
+
+    def _by_bytes(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Values and lengths from each store for pieces of which some share a hash: their bytes tell them apart."""
+        names: dict[bytes, int] = {}
+        rows = np.array([names.setdefault(raw[a:b], len(names)) for a, b in zip(starts.tolist(), ends.tolist())])
+        stores = Ragged(np.int32), Ragged(np.uint8), Ragged(np.uint8)
+        self._fill(stores, list(names))
+        return [store.take(rows) for store in stores]
 
     def _cut(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the pieces of plain texts, each followed by the sentinel."""
@@ -218,10 +230,13 @@ class Codec:
             known = self.cache.find(distinct)[1]
             if not known.all():
                 raw = buf.tobytes()
-                self._learn([raw[starts[i] : ends[i]] for i in at[~known]], distinct[~known])
+                self._fill((self.ids, self.text, self.decoded), [raw[starts[i] : ends[i]] for i in at[~known]])
+                self.cache.add(distinct[~known])
             rows = self.cache.find(distinct)[0][inverse]
             edge = np.concatenate(([0], np.searchsorted(starts, np.flatnonzero(buf == SENTINEL))))
             got = [store.take(rows) for store in (self.ids, self.text, self.decoded)]
+            if not (np.array_equal(got[2][1], ends - starts) and np.array_equal(got[2][0], buf[buf != SENTINEL])):
+                got = self._by_bytes(buf.tobytes(), starts, ends)
             cuts = [np.concatenate(([0], np.cumsum(lens)))[edge] for _, lens in got]
             for k in range(len(part)):
                 ids, text, raw = (flat[c[k] : c[k + 1]] for (flat, _), c in zip(got, cuts))
@@ -248,7 +263,7 @@ def encode(docs: DataFrame, path: str, pattern: str, max_pieces: int = MAX_PIECE
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
         c.clear()
 
-    return docs.select("doc_id", "text").mapInArrow(task(run), f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>")
+    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -268,7 +283,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
                     texts[i] = raw[at[k] : at[k + 1]].decode("utf-8", "replace")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(task(run), f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")
+    return arrow_map(encoded.select("doc_id", "ids"), run, f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")
 
 
 def digests(docs: DataFrame, path: str, pattern: str, max_pieces: int = MAX_PIECES) -> DataFrame:
@@ -283,4 +298,4 @@ def digests(docs: DataFrame, path: str, pattern: str, max_pieces: int = MAX_PIEC
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         c.clear()
 
-    return docs.select("doc_id", "text").mapInArrow(task(run), f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -1,7 +1,8 @@
 """Texts as byte arrays cut into pieces, with 64-bit piece hashes: the numpy helpers that the text operators share.
 
-Equal pieces have equal hashes. Two different pieces share one with odds of 2**-64 a pair; a worker that has seen
-ten million distinct pieces meets such a pair with odds of about 3e-6.
+Equal pieces have equal hashes. A hash folds a piece's eight-byte lanes with a non-linear mixing step, so no structure of a text (as
+there is for sums of powers) makes two pieces clash: pieces of up to eight bytes never share a hash with others of their length, longer
+ones share it like random numbers do. Where a wrong result could follow, the callers compare bytes on top.
 """
 
 from __future__ import annotations
@@ -10,14 +11,14 @@ import ctypes
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+
+from ..session import ship
 
 SENTINEL = 0xFF  # never a byte of UTF-8; stands after each text
 CHUNK = 1 << 20
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
 #: A-Z to a-z, all else as it is.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -42,18 +43,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, b in enumerate((_BASE, _INVERSE)):
-            p = np.full(n, b, np.uint64)
-            p[0] = 1
-            _powers[i] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
-
-
 def release() -> None:
     """Give freed memory back to the machine: Spark keeps idle workers, and what their allocators hold counts for the executor."""
-    _powers[:] = [p[:1].copy() for p in _powers]
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
     if trim is not None:
@@ -72,13 +63,37 @@ def task(run):
     return whole
 
 
+def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow with this package on the executors, and memory released when a task ends."""
+    ship(df.sparkSession)
+    return df.mapInArrow(task(run), schema)
+
+
+_LANE = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
+_GOLD, _FOLD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Longer pieces are hashed one at a time.
+_MANY_LANES = 128
+
+
 def hash_pieces(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each buf[start:end]."""
-    up, down = _power(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    return mix(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    padded = np.concatenate((buf, np.zeros(8, np.uint8)))
+    lanes = np.ndarray((len(buf) + 1,), "<u8", padded.data, strides=(1,))
+    lens = ends - starts
+    h = mix((lanes[starts] & _LANE[np.minimum(lens, 8)]) ^ (lens.astype(np.uint64) * _FOLD))
+    more = np.flatnonzero(lens > 8)
+    long = more[lens[more] > _MANY_LANES]
+    more = more[lens[more] <= _MANY_LANES]
+    at = 8
+    while len(more):
+        left = np.minimum(lens[more] - at, 8)
+        h[more] = mix((h[more] + _GOLD) ^ (lanes[starts[more] + at] & _LANE[left]))
+        at += 8
+        more = more[lens[more] > at]
+    if len(long):
+        view = memoryview(np.ascontiguousarray(buf))
+        h[long] = [xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist())]
+    return h
 
 
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
