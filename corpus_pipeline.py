@@ -20,10 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal rows one stays, too; rows without an id all stay."""
-    ship(spark)
-    kept = jaccard.join(docs).where("doc_id is not null and kept").select("doc_id").distinct()
-    out = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return out.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    return jaccard.representatives(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

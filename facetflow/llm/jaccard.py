@@ -3,15 +3,18 @@
 Texts with the same shingle set are one class. A class has a signature of independent minimum hashes; a path picks two of its
 coordinates at random (the same for all classes at a node) and every class follows each to a child named by the value there.
 Children of one class end; small ones are leaves; larger ones split again, unless a split leaves most of them together: then
-the node is dense and is a leaf itself. A pair of similarity s survives a level with odds 1 - (1 - s p)^2, p being the odds of
-survival below, so at 0.8 one run finds it with odds 0.9375 at least, at any depth; `runs` is the least number that reaches
-`recall`. In leaves all pairs are compared on their exact shingle sets, so no link is false. Leaves with equal members count once;
-a leaf is dealt out in blocks of bounded classes and shingles, and a pair that several leaves hold is counted in the first of
-them only. Tasks give each class its links and its root in the block, never pairs.
+the node is dense and is a leaf itself. Of a pair of similarity s a share of the coordinates agrees, s in the mean. With the share a
+it survives a level with odds 1 - (1 - a p)^2, p being the odds of survival below, so at a = 0.8 one run finds it with odds 0.9375 at
+least, at any depth. All runs draw from one pool of coordinates, so the odds of a miss are averaged over the binomial share; `runs`
+is the least number that reaches `recall` for pairs at the threshold itself, the hardest. In leaves all pairs are compared on their
+shingle sets (of 64-bit hashes, see pieces.py). Leaves with equal members count once; a leaf is dealt out in blocks of bounded
+classes and shingles, and a pair that several leaves hold is counted in the first of them only. Tasks give each class its links and
+its root in the block, never pairs. Classes have numbers of their own; ids of documents name them at the end only.
 
 Defined results: words are runs of 0-9, a-z (A-Z lower-cased) and non-ASCII; a text of fewer words than `shingle` has one shingle
 of all; null and empty texts have no shingle, link with nothing and are their own class; a row without doc_id has a null class
-and no links; rows that repeat a doc_id and text count as copies; extra columns are left out.
+and no links; rows that repeat a doc_id count as documents of their own, each by its text (copies where the text is equal, too); extra
+columns are left out by join() and kept by representatives().
 """
 
 from __future__ import annotations
@@ -24,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from ..session import cut
-from .components import components
-from .pieces import chunks, mix, task, word_hashes
+from .pieces import arrow_map, chunks, mix, word_hashes
 
-SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999999
+SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
 COORDINATES = 64
 #: Classes of a leaf; larger nodes split again.
 LEAF = 96
@@ -69,8 +72,13 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
     return int(np.bitwise_xor.reduce(m).view(np.int64)), int((m * np.uint64(0xC2B2AE3D27D4EB4F) ^ s).sum().view(np.int64))
 
 
+def text_key() -> F.Column:
+    """Tells texts of one doc_id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def sketch(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, fp1, fp2, n (shingles), sig of each row with an id."""
+    """doc_id, text_key, fp1, fp2, n (shingles), sig of each row with an id."""
 
     def run(batches):
         for batch in batches:
@@ -78,20 +86,29 @@ def sketch(docs: DataFrame, shingle: int) -> DataFrame:
             for s in shingle_sets(batch.column("text").to_pylist(), shingle):
                 for c, x in zip(cols, (*(fingerprint(s) if len(s) else (0, 0)), len(s), signature(s) if len(s) else None)):
                     c.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.list_(pa.int32()))], ["doc_id", "fp1", "fp2", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.list_(pa.int32()))], ["doc_id", "text_key", "fp1", "fp2", "n", "sig"])
+
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
+    return arrow_map(rows, run, "doc_id long, text_key long, fp1 long, fp2 long, n int, sig array<int>")
+
+
+def _survival(share: float) -> float:
+    """The fixpoint of p = 1 - (1 - share p)^2: the odds that one run, of any depth, keeps a pair together."""
+    return (2 * share - 1) / share**2 if share > 0.5 else 0.0
 
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(task(run), "doc_id long, fp1 long, fp2 long, n int, sig array<int>")
+
+def expected_recall(runs: int, similarity: float, coordinates: int = COORDINATES) -> float:
+    n = coordinates
+    miss = lambda k: (1 - _survival(k / n)) ** runs
+    return 1 - sum(math.comb(n, k) * similarity**k * (1 - similarity) ** (n - k) * miss(k) for k in range(n + 1))
 
 
 def runs_for(recall: float, threshold: float) -> int:
-    """Runs until the target recall: survival is the fixpoint of p = 1 - (1 - threshold p)^2."""
-    p = 1.0
-    for _ in range(200):
-        p = 1 - (1 - threshold * p) ** 2
-    if p <= 0.01:
-        raise ValueError("two coordinates a node can't hold pairs of so low a similarity")
-    return math.ceil(math.log(1 - recall) / math.log(1 - p))
+    """Runs until the target recall."""
+    for runs in range(1, COORDINATES // 2 + 1):
+        if expected_recall(runs, threshold) >= recall:
+            return runs
+    raise ValueError("the coordinates can't hold pairs of so low a similarity with that recall")
 
 
 def _children(nodes: DataFrame) -> DataFrame:
@@ -191,7 +208,7 @@ def group_links(reps, copies, sides, sets, buckets, bucket: int, split: bool, sh
 
 
 def verify(members: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """(rep, root, links) from rows (bucket, p, q, rep, copies, side, fp1, fp2, buckets, text), sorted by (bucket, p, q) in each partition."""
+    """(rep, root, links) from rows (bucket, p, q, rep, copies, side, buckets, text), sorted by (bucket, p, q) in each partition."""
     t = Fraction(threshold).limit_denominator(10**6)
     share = float(t / (1 + t))
 
@@ -199,14 +216,10 @@ def verify(members: DataFrame, shingle: int, threshold: float) -> DataFrame:
         key, rows, done = None, [], ([], [], [])
 
         def close():
-            seen = {r[0]: r for r in rows}  # a repeated row comes once
-            group = [seen[k] for k in sorted(seen)]
-            sets = list(shingle_sets([r[6] for r in group], shingle))
-            group, sets = zip(*[(r, s) for r, s in zip(group, sets) if fingerprint(s) == (r[3], r[4])] or [((), ())])
-            if len(group) < 2:
-                return
+            group = sorted(rows, key=lambda r: r[0])
+            sets = list(shingle_sets([r[4] for r in group], shingle))
             reps = np.array([r[0] for r in group])
-            links, root = group_links(reps, np.array([r[1] for r in group], np.float64), np.array([r[2] for r in group]), list(sets), [np.array(r[5]) for r in group], key[0], key[1] != key[2], share)
+            links, root = group_links(reps, np.array([r[1] for r in group], np.float64), np.array([r[2] for r in group]), list(sets), [np.array(r[3]) for r in group], key[0], key[1] != key[2], share)
             for c, x in zip(done, (reps, reps[root], links.astype(np.int64))):
                 c.append(x[(links > 0) | (root != np.arange(len(root)))])
 
@@ -217,7 +230,7 @@ def verify(members: DataFrame, shingle: int, threshold: float) -> DataFrame:
             return out
 
         for batch in batches:
-            names = ("rep", "copies", "side", "fp1", "fp2", "buckets", "text")
+            names = ("rep", "copies", "side", "buckets", "text")
             for k, r in zip(zip(*(batch.column(c).to_pylist() for c in ("bucket", "p", "q"))), zip(*(batch.column(c).to_pylist() for c in names))):
                 if k != key:
                     if len(rows) > 1:
@@ -231,34 +244,58 @@ def verify(members: DataFrame, shingle: int, threshold: float) -> DataFrame:
         if done[0]:
             yield emit()
 
-    return members.mapInArrow(task(run), "rep long, root long, links long")
+    return arrow_map(members, run, "rep long, root long, links long")
 
 
-def join(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id (smallest doc_id that it reaches by links), n_links (other rows of similarity threshold or more), kept
-    (whether it is its class) of every row of docs."""
+def _classes(rows: DataFrame) -> DataFrame:
+    """rep (a number of its own), first (doc_id and text_key of the least row), copies, sig of each class of equal shingle sets. It is
+    written before it is used, so a number stays what it is."""
+    full = rows.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+    return cut(full.withColumn("rep", F.monotonically_increasing_id()), "classes")
+
+
+def _grouped(docs: DataFrame, shingle: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """(sketches, classes with component_first, the least (doc_id, text_key) that they reach, and n_links)."""
     rows = cut(sketch(docs, shingle), "sketches")
-    full = rows.where("n > 0")
-    classes = cut(full.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "classes")
-    found = _once(leaves(classes, runs_for(recall, threshold)))
-    found = cut(found, "leaves")
+    classes = _classes(rows)
+    found = cut(_once(leaves(classes, runs_for(recall, threshold))), "leaves")
     per = found.groupBy("rep").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"), F.collect_set(F.struct("bucket", "blocks")).alias("at"))
-    per = per.join(classes.select("rep", "copies", "fp1", "fp2"), "rep")
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), "text")
-    m = per.join(texts, "rep").withColumn("a", F.explode("at")).withColumn("side", F.pmod(F.xxhash64("rep", "a.bucket"), F.col("a.blocks")).cast("int"))
+    per = per.join(classes.select("rep", "copies", F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key")), "rep")
+    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text").dropDuplicates(["doc_id", "text_key"])
+    m = per.join(texts, ["doc_id", "text_key"]).withColumn("a", F.explode("at")).withColumn("side", F.pmod(F.xxhash64("rep", "a.bucket"), F.col("a.blocks")).cast("int"))
     m = m.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("a.blocks") - 1)))
-    m = m.select(F.col("a.bucket").alias("bucket"), F.least("side", "o").alias("p"), F.greatest("side", "o").alias("q"), "rep", "copies", "side", "fp1", "fp2", "buckets", "text")
+    m = m.select(F.col("a.bucket").alias("bucket"), F.least("side", "o").alias("p"), F.greatest("side", "o").alias("q"), "rep", "copies", "side", "buckets", "text")
     parts = cut(verify(m.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q"), shingle, threshold), "links")
     links = parts.groupBy("rep").agg(F.sum("links").alias("links"))
-    groups = components(parts, "rep", "root")
-    named = classes.select("fp1", "fp2", "n", "rep", "copies").join(groups.withColumnRenamed("node", "rep"), "rep", "left").join(links, "rep", "left")
-    named = named.select("fp1", "fp2", "n", F.coalesce("component", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    groups = components(parts, "rep", "root").withColumnRenamed("node", "rep")
+    named = classes.select("fp1", "fp2", "n", "rep", "first", "copies").join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least = named.groupBy("component").agg(F.min("first").alias("component_first"))
+    named = named.join(least, "component").join(links, "rep", "left")
+    return rows, named.select("fp1", "fp2", "n", "component_first", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+
+
+def join(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id (smallest doc_id that it reaches by links), n_links (other rows of similarity threshold or more), kept
+    (whether it is its class) of every row of docs."""
+    rows, named = _grouped(docs, shingle, threshold, recall)
     out = rows.select("doc_id", "fp1", "fp2", "n").join(named, ["fp1", "fp2", "n"], "left")
-    out = out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = out.select("doc_id", F.coalesce("component_first.doc_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     none = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return out.unionByName(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
+def representatives(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """docs with one row of each class of linked texts: that of the least doc_id (of several such rows one text, once). Texts without
+    shingles link with nothing, so all but repeated rows of them stay; so do all rows without an id."""
+    rows, named = _grouped(docs, shingle, threshold, recall)
+    firsts = named.select("component_first.*").distinct()
+    lone = rows.where("n = 0").select("doc_id", "text_key").distinct()
+    kept = firsts.unionByName(lone).select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"))
+    some = docs.where("doc_id is not null")
+    same = (some["doc_id"].cast("long") == kept["kept_id"]) & (F.xxhash64(F.coalesce(some["text"], F.lit(""))) == kept["kept_key"])
+    return some.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
 ORACLE = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + least(5, len(w)) - 1], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM w WHERE len(w) > 0)),
