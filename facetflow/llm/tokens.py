@@ -1,15 +1,17 @@
 """Token ids of a corpus in binary shards, compressed by a Re-Pair grammar, with random access.
 
-Texts are dealt out by ranges of doc_id and sorted; each task encodes its texts, appends the end id to each, and writes shards.
-In a shard, rounds of pair counting replace frequent neighbouring ids by new symbols (never across two documents) until no pair
-is frequent or a round gains little; rules, their expansion lengths and the documents' places in the symbols are stored, so that any document, or any
-range of its ids, is decoded without the rest.
+Texts are dealt out by ranges of doc_id and sorted; each task encodes its texts, appends the end id to each, and writes files of
+shards. In a shard, each round replaces the pairs of neighbouring ids that are at least 1 / STEP as frequent as the most frequent one by new
+symbols (never across two documents), until no pair stands in MIN_COUNT places, where a rule would take as much room as it saves.
+Rules, their expansion lengths and the documents' places in the symbols are stored, so that any document, or any range of its ids, is
+decoded without the rest.
 
-Shard layout, little-endian: b"RPI1", header length (u32), JSON header, then the arrays it lists: rules (left, right), lengths,
-doc_ids, doc_null, counts, offsets (documents + 1, in symbols), symbols.
+A file is one shard after another. Shard layout, little-endian: b"RPI1", header length (u32), JSON header, then the arrays it lists:
+rules (left, right), lengths, doc_ids, doc_null, counts, offsets (documents + 1, in symbols), symbols (of the header's `width` bits, the
+lowest first, without gaps).
 
 Defined results: null and empty texts hold the end id alone; null ids come first; equal ids are ordered by text; an empty table
-has no shards. Memory: a shard is at most shard_tokens ids and one document.
+has no shards; extra columns are left out. Memory: shard_tokens ids and one document, and the shards of a file.
 """
 
 from __future__ import annotations
@@ -28,12 +30,11 @@ from pyspark.sql import functions as F
 from . import store
 from .pieces import SENTINEL, PieceCache, Ragged, chunks, hash_pieces, ragged
 
-SHARD_TOKENS = 4 << 20
-MIN_COUNT = 64
+SHARD_TOKENS, FILE_BYTES = 4 << 20, 64 << 20
+#: A rule takes two symbols and a length, a place saves a symbol; rarer pairs aren't frequent.
+MIN_COUNT = 4
 #: A round takes the pairs that are at least this part, as a divisor, as frequent as the most frequent one.
-STEP = 4096
-#: The last round is the first that shortens the symbols by less than this part.
-MIN_GAIN = 0.06
+STEP = 4
 MAX_PIECES = 1_200_000
 
 _PLAIN = re.compile(r"[\t\n\r\x20-&(-~À-ÖØ-öø-ÿ]*\Z")
@@ -51,17 +52,45 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
+#: What a tokenizers file says before its model where _plain_chunk does the same to plain texts.
+_PLAIN_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 class Encoder:
-    """A tokenizers file applied with a cache of words. Texts of ASCII and Latin-1 letters, which no normalizer step joins across
-    words, are cut and lower-cased by array operations and each new word goes to the library's model; others go whole to the library."""
+    """A tokenizers file applied with a cache of words. Where the file's steps before the model are those that are known here, texts of
+    ASCII and Latin-1 letters, which no normalizer step joins across words, are cut and lower-cased by array operations and each new
+    word goes to the library's model; other texts, and all texts of other files, go whole to the library. Words are looked up by hash
+    and compared by bytes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            settings = json.load(f)
+        self.known_steps = all(settings.get(k) == v for k, v in _PLAIN_STEPS.items())
+        self.added = [t["content"] for t in settings.get("added_tokens") or [] if t["content"]]
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.cache, self.ids = PieceCache(), Ragged(np.uint32)
+        self.clear()
+
+    def clear(self) -> None:
+        self.cache, self.ids, self.words = PieceCache(), Ragged(np.uint32), Ragged(np.uint8)
+
+    def _fill(self, ids: Ragged, words: list[bytes]) -> None:
+        letters, tokenize = self.letters, self.model.tokenize
+        new = [[t.id for t in tokenize("".join([letters[b] for b in w]))] for w in words]
+        lens = np.array([len(x) for x in new])
+        ids.append(np.fromiter((i for x in new for i in x), np.uint32, int(lens.sum())), lens)
 
     def _plain_chunk(self, buf: np.ndarray, max_pieces: int) -> list[np.ndarray]:
         low = buf.copy()
@@ -79,29 +108,39 @@ class Encoder:
         starts, ends = starts[solid], ends[solid]
         distinct, at, inverse = np.unique(hash_pieces(low, starts, ends), return_index=True, return_inverse=True)
         if len(self.cache.keys) > max_pieces:
-            self.cache.clear()
-            self.ids = Ragged(np.uint32)
+            self.clear()
         known = self.cache.find(distinct)[1]
         if not known.all():
-            raw, letters, tokenize = low.tobytes(), self.letters, self.model.tokenize
-            new = [[t.id for t in tokenize("".join([letters[b] for b in raw[starts[i] : ends[i]]]))] for i in at[~known]]
-            lens = np.array([len(x) for x in new])
+            raw = low.tobytes()
+            new = [raw[starts[i] : ends[i]] for i in at[~known]]
+            self._fill(self.ids, new)
+            self.words.append(np.frombuffer(b"".join(new), np.uint8), np.array([len(w) for w in new]))
             self.cache.add(distinct[~known])
-            self.ids.append(np.fromiter((i for x in new for i in x), np.uint32, int(lens.sum())), lens)
-        flat, lens = self.ids.take(self.cache.find(distinct)[0][inverse])
+        rows = self.cache.find(distinct)[0][inverse]
+        flat, lens = self.ids.take(rows)
+        same, sizes = self.words.take(rows)
+        if not (np.array_equal(sizes, ends - starts) and np.array_equal(same, low[_CLASS[low] != _SPACE])):
+            names, raw = {}, low.tobytes()  # words that share a hash are told apart by their bytes
+            rows = np.array([names.setdefault(raw[a:b], len(names)) for a, b in zip(starts.tolist(), ends.tolist())])
+            ids = Ragged(np.uint32)
+            self._fill(ids, list(names))
+            flat, lens = ids.take(rows)
         stops = np.searchsorted(starts, np.flatnonzero(buf == SENTINEL))
         edge = np.concatenate(([0], np.cumsum(lens)))[np.concatenate(([0], stops))]
         return [flat[a:b] for a, b in zip(edge[:-1], edge[1:])]
 
+    def _is_plain(self, text: str | None) -> bool:
+        return not text or (_PLAIN.match(text) is not None and not any(t in text for t in self.added))
+
     def encode(self, texts: list[str | None], max_pieces: int = MAX_PIECES) -> list[np.ndarray]:
         out: list = [None] * len(texts)
-        plain = [i for i, t in enumerate(texts) if not t or (_PLAIN.match(t) and "<|" not in t)]
+        plain = [i for i, t in enumerate(texts) if self._is_plain(t)] if self.known_steps else []
         for first, stop, buf in chunks([texts[i] for i in plain]):
             for i, ids in zip(plain[first:stop], self._plain_chunk(buf, max_pieces)):
                 out[i] = ids
         for i, ids in enumerate(out):
             if ids is None:
-                out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+                out[i] = np.array(self.tokenizer.encode(texts[i] or "", add_special_tokens=False).ids, np.uint32)
         return out
 
 
@@ -114,77 +153,129 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def compress(ids: np.ndarray, counts: np.ndarray, base: int, min_count: int = MIN_COUNT, max_rules: int = 16_000) -> dict[str, np.ndarray]:
-    """The grammar of documents' ids: rules (n, 2), lengths (n), symbols, offsets (documents + 1). Symbols from base on are rules."""
-    wide = base + max_rules > 65536
-    kind, bits = (np.uint64, 32) if wide else (np.uint32, 16)
-    s = ids.astype(kind)
+def _frequent(key: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, counts) of the keys that stand in `least` places or more. Buckets of a hash tell most rare ones first, so few are sorted."""
+    if least > 2:
+        bucket = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 20)).view(np.int64)
+        key = key[(np.bincount(bucket, minlength=1 << 20) >= least)[bucket]]
+    key = np.sort(key)
+    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))) if len(key) else np.zeros(1, np.int64)
+    n = np.diff(edge)
+    return key[edge[:-1]][n >= least], n[n >= least]
+
+
+def _slot(key: np.ndarray) -> np.ndarray:
+    return (((key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(44)).view(np.int64)
+
+
+def _places(key: np.ndarray, at: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, numbers of chosen pairs) to replace, from pairs and their positions. Of pairs that overlap every other one from the
+    left is taken."""
+    place = np.full(1 << 20, -1, np.int32)
+    place[_slot(chosen)[::-1]] = np.arange(len(chosen), dtype=np.int32)[::-1]  # of pairs in one slot the most frequent; others wait
+    rule = place[_slot(key)]
+    some = np.flatnonzero(rule >= 0)
+    rule = rule[some]
+    same = chosen[rule] == key[some]
+    spot, rule = at[some[same]], rule[same]
+    fresh = np.concatenate(([True], np.diff(spot) != 1))
+    begin = spot[np.maximum.accumulate(np.where(fresh, np.arange(len(spot)), 0))]
+    left = (spot - begin) % 2 == 0
+    return spot[left], rule[left]
+
+
+def compress(ids: np.ndarray, counts: np.ndarray, base: int, min_count: int = MIN_COUNT) -> dict[str, np.ndarray]:
+    """The grammar of documents' ids: rules (n, 2), lengths (n), symbols, offsets (documents + 1). Symbols from base on are rules.
+
+    The pairs of a round are at least 1 / STEP as frequent as the most frequent one; the bound falls until it is min_count. Only places
+    whose two symbols are both that frequent are looked at."""
+    s = ids.astype(np.uint32)
     last = np.zeros(len(s), bool)
     last[np.cumsum(counts) - 1] = True
+    seen = np.bincount(s, minlength=base)  # places of each symbol
     rules: list[np.ndarray] = []
-    n_rules = 0
-    while len(s) > 1 and n_rules < max_rules:
-        key = (s[:-1] << kind(bits)) | s[1:]
-        order = np.sort(key[~last[:-1]])
-        edge = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1], [True]))) if len(order) else np.zeros(1, int)
-        n = np.diff(edge)
-        top = np.flatnonzero(n >= min_count)
-        if not len(top):
-            break
-        top = top[np.argsort(-n[top], kind="stable")][: max_rules - n_rules]
-        top = top[n[top] * STEP >= n[top[0]]]  # rarer pairs wait: their counts change with this round
-        chosen = order[edge[top]]
-        slot = lambda k: ((k ^ (k >> kind(bits - 3))) * kind(2654435761) >> kind(bits - 4)).astype(np.uint32) & np.uint32(0xFFFFF)
-        place = np.full(1 << 20, -1, np.int16)
-        place[slot(chosen)[::-1]] = np.arange(len(chosen), dtype=np.int16)[::-1]  # of pairs in one slot the most frequent; others wait
-        rule = place[slot(key)]
-        spot = np.flatnonzero(rule >= 0)
-        rule = rule[spot]
-        same = (chosen[rule] == key[spot]) & ~last[spot]
-        spot, rule = spot[same], rule[same]
-        fresh = np.concatenate(([True], np.diff(spot) != 1))
-        begin = spot[np.maximum.accumulate(np.where(fresh, np.arange(len(spot)), 0))]
-        left = (spot - begin) % 2 == 0  # of overlapping pairs every other one from the left
-        spot, rule = spot[left], rule[left]
-        used = np.flatnonzero(np.bincount(rule, minlength=len(chosen)))
-        name = np.zeros(len(chosen), kind)
+    n_rules, least = 0, int(np.partition(seen, -2)[-2:].min()) if len(seen) > 1 else 0
+    while len(s) > 1 and least > min_count:
+        least = max(min_count, least // STEP)
+        often = seen >= least
+        often = often[s]
+        at = np.flatnonzero(often[:-1] & often[1:] & ~last[:-1])
+        key = (s[at].astype(np.uint64) << np.uint64(32)) | s[at + 1]
+        chosen, n = _frequent(key, least)
+        if not len(chosen):
+            continue
+        if n.max() > STEP * least:  # overlaps and new pairs that stand over the bound before
+            least = -(-int(n.max()) // STEP)
+            chosen, n = chosen[n >= least], n[n >= least]
+        chosen = chosen[np.argsort(-n, kind="stable")]
+        spot, rule = _places(key, at, chosen)
+        uses = np.bincount(rule, minlength=len(chosen))
+        used = np.flatnonzero(uses)
+        pair = np.stack((chosen[used] >> np.uint64(32), chosen[used] & np.uint64(0xFFFFFFFF)), 1).astype(np.int64)
+        seen = np.concatenate((seen, uses[used]))
+        np.subtract.at(seen, pair, uses[used, None])
+        name = np.zeros(len(chosen), np.uint32)
         name[used] = base + n_rules + np.arange(len(used))
         s[spot] = name[rule]
         last[spot] = last[spot + 1]
         keep = np.ones(len(s), bool)
         keep[spot + 1] = False
         s, last = s[keep], last[keep]
-        rules.append(np.stack((chosen[used] >> kind(bits), chosen[used] & kind((1 << bits) - 1)), 1).astype(np.int64))
+        rules.append(pair)
         n_rules += len(used)
-        if len(spot) < MIN_GAIN * len(keep):
-            break
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
     size = np.ones(base + len(table), np.int64)
     done = 0
     for r in rules:
         size[base + done : base + done + len(r)] = size[r[:, 0]] + size[r[:, 1]]
         done += len(r)
-    return {"rules": table.astype(np.uint32), "lengths": size[base:].astype(np.uint32), "symbols": s.astype(np.uint16 if base + len(table) <= 65536 else np.uint32), "offsets": np.concatenate(([0], np.flatnonzero(last) + 1)).astype(np.uint64)}
+    return {"rules": table.astype(np.uint32), "lengths": size[base:].astype(np.uint32), "symbols": s, "offsets": np.concatenate(([0], np.flatnonzero(last) + 1)).astype(np.uint64)}
+
+
+def to_bits(values: np.ndarray, width: int) -> np.ndarray:
+    """Bytes that hold the lowest `width` bits of each value, one after another."""
+    out = []
+    for at in range(0, len(values), 1 << 16):
+        bits = np.unpackbits(np.ascontiguousarray(values[at : at + (1 << 16)].astype("<u4"))[:, None].view(np.uint8), axis=1, bitorder="little")
+        out.append(np.packbits(bits[:, :width], bitorder="little"))
+    return np.concatenate(out) if out else np.empty(0, np.uint8)
+
+
+def from_bits(data: np.ndarray, width: int, first: int, last: int) -> np.ndarray:
+    """values[first:last] of to_bits(values, width); only the bytes that hold them are read."""
+    out = []
+    for at in range(first, last, 1 << 16):
+        stop = min(last, at + (1 << 16))
+        skip = at * width % 8
+        bits = np.unpackbits(data[at * width // 8 : -(-stop * width // 8)], bitorder="little")[skip : skip + (stop - at) * width]
+        wide = np.zeros((stop - at, 32), np.uint8)
+        wide[:, :width] = bits.reshape(-1, width)
+        out.append(np.packbits(wide, axis=1, bitorder="little").view("<u4")[:, 0])
+    return np.concatenate(out) if out else np.empty(0, np.uint32)
 
 
 def pack(header: dict, arrays: dict[str, np.ndarray]) -> bytes:
-    head = json.dumps(header | {"arrays": [[k, v.dtype.str, list(v.shape)] for k, v in arrays.items()]}).encode()
+    """A shard; `symbols` go in as numbers and are stored in as few bits as all of them need."""
+    width = max(1, int(header["base"] + len(arrays["rules"]) - 1).bit_length())
+    arrays = arrays | {"symbols": to_bits(arrays["symbols"], width)}
+    head = json.dumps(header | {"width": width, "arrays": [[k, v.dtype.str, list(v.shape)] for k, v in arrays.items()]}).encode()
     return b"".join([b"RPI1", struct.pack("<I", len(head)), head, *(np.ascontiguousarray(v).tobytes() for v in arrays.values())])
 
 
 class Shard:
-    """A shard's content, opened for random access."""
+    """A shard's content, opened for random access; `end` is where it ends in data."""
 
-    def __init__(self, data: bytes):
-        if data[:4] != b"RPI1":
+    def __init__(self, data, start: int = 0):
+        if bytes(data[start : start + 4]) != b"RPI1":
             raise ValueError("not a token shard")
-        (n,) = struct.unpack_from("<I", data, 4)
-        self.header = json.loads(data[8 : 8 + n])
-        at = 8 + n
+        (n,) = struct.unpack_from("<I", data, start + 4)
+        self.header = json.loads(bytes(data[start + 8 : start + 8 + n]))
+        at = start + 8 + n
         for name, kind, shape in self.header["arrays"]:
             size = int(np.prod(shape))
             setattr(self, name, np.frombuffer(data, np.dtype(kind), size, at).reshape(shape))
             at += size * np.dtype(kind).itemsize
+        self.end = at
         self.base = self.header["base"]
         self._expand()
 
@@ -217,7 +308,7 @@ class Shard:
 
     def ids(self, first: int, last: int) -> np.ndarray:
         """The ids of symbols[first:last]."""
-        symbols = self.symbols[first:last].astype(np.int64)
+        symbols = from_bits(self.symbols, self.header["width"], first, last).astype(np.int64)
         sizes = self._sizes(symbols)
         out = np.repeat(symbols, sizes).astype(np.uint32)
         to = np.cumsum(sizes) - sizes
@@ -229,7 +320,7 @@ class Shard:
     def document(self, k: int, first: int = 0, last: int | None = None) -> np.ndarray:
         """Ids first to last of the k-th document; only the symbols that hold them are expanded."""
         a, b = int(self.offsets[k]), int(self.offsets[k + 1])
-        ends = np.cumsum(self._sizes(self.symbols[a:b].astype(np.int64)))
+        ends = np.cumsum(self._sizes(from_bits(self.symbols, self.header["width"], a, b).astype(np.int64)))
         last = int(ends[-1]) if last is None else min(last, int(ends[-1]))
         if first >= last:
             return np.empty(0, np.uint32)
@@ -238,24 +329,31 @@ class Shard:
         return self.ids(a + i, a + j)[first - skip : last - skip]
 
 
-def write(docs: DataFrame, path: str, end_id: int = 2, shard_tokens: int = SHARD_TOKENS) -> tuple[str, DataFrame]:
+def write(docs: DataFrame, path: str, end_id: int = 2, shard_tokens: int = SHARD_TOKENS, file_bytes: int = FILE_BYTES) -> tuple[str, DataFrame]:
     """Write the shards; (folder, manifest of file, part, seq, n_docs, n_tokens)."""
 
     def run(folder):
         def shards(batches):
             enc, part, seq = encoder(path), TaskContext.get().partitionId(), 0
             base = max(enc.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
-            have, size = [], 0
+            have, size, packed, n_docs, n_tokens = [], 0, [], 0, 0
 
-            def flush():
-                nonlocal have, size, seq
+            def close():
+                nonlocal have, size, n_docs, n_tokens
                 counts = np.array([len(x) for _, x in have], np.int64)
-                ids = np.concatenate([x for _, x in have])
                 keys = [k for k, _ in have]
+                ids = np.concatenate([x for _, x in have])
+                have, size = [], 0
                 arrays = compress(ids, counts, base) | {"doc_ids": np.array([k or 0 for k in keys], np.int64), "doc_null": np.array([k is None for k in keys], np.uint8), "counts": counts.astype(np.uint32)}
-                name = store.put(folder, f"shard-{part:06d}-{seq:06d}", pack({"base": base, "end_id": end_id}, arrays))
-                row = pa.RecordBatch.from_pydict({"file": [name], "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": [len(keys)], "n_tokens": [len(ids)]})
-                have, size, seq = [], 0, seq + 1
+                packed.append(pack({"base": base, "end_id": end_id}, arrays))
+                n_docs, n_tokens = n_docs + len(keys), n_tokens + len(ids)
+
+            def flush():
+                nonlocal seq, n_docs, n_tokens
+                name = store.put(folder, f"shard-{part:06d}-{seq:06d}", b"".join(packed))
+                row = pa.RecordBatch.from_pydict({"file": [name], "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": [n_docs], "n_tokens": [n_tokens]})
+                packed.clear()
+                seq, n_docs, n_tokens = seq + 1, 0, 0
                 return row
 
             for batch in batches:
@@ -265,9 +363,14 @@ def write(docs: DataFrame, path: str, end_id: int = 2, shard_tokens: int = SHARD
                         have.append((k, np.append(ids, np.uint32(end_id))))
                         size += len(have[-1][1])
                         if size >= shard_tokens:
-                            yield flush()
+                            close()
+                            if sum(map(len, packed)) >= file_bytes:
+                                yield flush()
             if have:
+                close()
+            if packed:
                 yield flush()
+            enc.clear()
 
         return shards
 
@@ -275,20 +378,35 @@ def write(docs: DataFrame, path: str, end_id: int = 2, shard_tokens: int = SHARD
     return store.write(ordered, run, "file string, part int, seq int, n_docs long, n_tokens long", "token-shards")
 
 
+def file_starts(manifest: DataFrame, block: int = 1024) -> DataFrame:
+    """The manifest with `file_start`, the ids in all files before. Sums by task and by block of tasks come first, so the one global
+    window sees a row for each block of tasks."""
+    m = manifest.withColumn("block", F.expr(f"part div {block}"))
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = m.groupBy("block", "part").agg(F.sum("n_tokens").alias("n"))
+    blocks = parts.groupBy("block").agg(F.sum("n").alias("n")).select("block", before(Window.orderBy("block"), "n").alias("b"))
+    parts = parts.select("block", "part", before(Window.partitionBy("block").orderBy("part"), "n").alias("p"))
+    m = m.withColumn("f", before(Window.partitionBy("part").orderBy("seq"), "n_tokens"))
+    return m.join(parts, ["block", "part"]).join(blocks, "block").select("file", (F.col("f") + F.col("p") + F.col("b")).alias("file_start"))
+
+
 def read(spark, folder: str, manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the shards."""
-    w = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    manifest = manifest.withColumn("shard_start", F.coalesce(F.sum("n_tokens").over(w), F.lit(0)))
 
     def run(batches):
         for batch in batches:
-            for data, start in zip(batch.column("content"), batch.column("shard_start").to_pylist()):
-                shard = Shard(data.as_buffer().to_pybytes())
-                n = shard.counts.astype(np.int64)
-                every = memoryview(shard.ids(0, len(shard.symbols)).astype("<u4").tobytes())
-                edge = np.concatenate(([0], np.cumsum(n))) * 4
-                crc = [zlib.crc32(every[a:b]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
-                ids = pa.array(shard.doc_ids, mask=shard.doc_null.astype(bool))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(start + np.cumsum(n) - n), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return store.read(spark, folder, manifest).select("content", "shard_start").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+            for name, data in zip(batch.column("file").to_pylist(), batch.column("content")):
+                data, at, done = data.as_buffer(), 0, 0
+                data = memoryview(data)
+                while at < len(data):
+                    shard = Shard(data, at)
+                    at, n = shard.end, shard.counts.astype(np.int64)
+                    every = memoryview(shard.ids(0, int(shard.offsets[-1])).astype("<u4").tobytes())
+                    edge = np.concatenate(([0], np.cumsum(n))) * 4
+                    crc = [zlib.crc32(every[a:b]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+                    ids = pa.array(shard.doc_ids, mask=shard.doc_null.astype(bool))
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(n)), ids, pa.array(done + np.cumsum(n) - n), pa.array(n), pa.array(crc, pa.int64())], ["file", "doc_id", "at", "n_tokens", "ids_crc32"])
+                    done += int(n.sum())
+
+    out = store.read(spark, folder, file_starts(manifest), run, "file string, doc_id long, at long, n_tokens long, ids_crc32 long")
+    return out.select("doc_id", (F.col("file_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

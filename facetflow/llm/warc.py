@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import store
 
-FILE_BYTES = 16 << 20
+FILE_BYTES = 64 << 20
 DICTIONARY_BYTES = 64 << 10
 #: Bytes of records that a dictionary is trained on.
 SAMPLE_BYTES = 2 << 20
@@ -130,23 +130,23 @@ def write(pages: DataFrame, min_revisit_bytes: int = 0, file_bytes: int = FILE_B
 
 def read(spark, folder: str, manifest: DataFrame, with_payload: bool = False) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every record, from the archives; with_payload adds url and payload (null for revisits)."""
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    schema = "file string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
     number = lambda uri: int(x) if uri and (x := uri.strip("<>").removeprefix("urn:page:")) else None
 
     def run(batches):
         for batch in batches:
-            for data in batch.column("content"):
+            for name, data in zip(batch.column("file").to_pylist(), batch.column("content")):
                 rows = []
                 for head, http, payload in records(data.as_buffer().to_pybytes()):
                     kind = head["warc-type"]
                     size = int(re.search(rb"(?i)content-length: *(\d+)", http)[1])
-                    row = (number(head["warc-record-id"]), size, head["warc-payload-digest"].removeprefix("sha1:"), kind, number(head.get("warc-refers-to")))
+                    row = (name, number(head["warc-record-id"]), size, head["warc-payload-digest"].removeprefix("sha1:"), kind, number(head.get("warc-refers-to")))
                     rows.append((*row, head["warc-target-uri"], payload if kind == "response" else None) if with_payload else row)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()][: 7 if with_payload else 5]
-    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"][: len(types)]
-    return store.read(spark, folder, manifest).select("content").mapInArrow(run, schema + (", url string, payload binary" if with_payload else ""))
+    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()][: 8 if with_payload else 6]
+    names = ["file", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"][: len(types)]
+    return store.read(spark, folder, manifest.select("file"), run, schema + (", url string, payload binary" if with_payload else "")).drop("file")
 
 
 ORACLE = r"""
