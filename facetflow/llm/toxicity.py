@@ -1,15 +1,19 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words become symbols: insults (a lexicon of words and word beginnings learned from labelled rows), threats, targets, negations and
-reporting verbs. Small transducers for negation, reported speech and target rewrite insult and threat symbols by their context;
-composed into one machine they read a clause from left to right and give each match its reading (plain, at a target, negated,
-reported, or several). The weights of the readings come from a logistic fit on documents' sums, held near prior weights.
+Words become symbols: insults (a lexicon learned from labelled rows), threats, targets, negations and reporting verbs. Small
+transducers for negation, reported speech and target add what they saw to insult and threat symbols; those that look back are composed
+into one machine that reads a clause from left to right, those that look ahead into one that reads the result from right to left. A clause
+with an insult or a threat is a match, with one reading for each of the two: at a target or not, negated or not, reported or not. Scores
+come from matched clauses alone: a document's clauses are counted by reading, and the weights of the readings come from a logistic fit on
+these counts, held near prior weights. A clause that has nothing but an insult in it is the weakest plain reading, and counts for what the
+labelled rows show it to be worth.
 
 Labels are read from rows whose crc32(doc_id) mod 3 isn't 1, at most `sample` of them (the least hashes of doc_id); all of a text is
 scored. Labels, language, source and id are no inputs of a score.
 
 Defined results: null and empty texts have no match and get the score of the bias; a null doc_id is scored but never learned from,
-its held_out is null; without labelled rows of both kinds the lexicon is empty and the prior weights hold; each row is scored alone.
+its held_out is null; without labelled rows of both kinds the lexicon is empty and the prior weights hold; each row is scored alone, so
+ties and repeated rows change nothing; extra columns are left out by score() and kept by drop_toxic().
 """
 
 from __future__ import annotations
@@ -21,23 +25,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import LOWER, SENTINEL, WORD, chunks, hash_pieces, mix, runs, task
+from .pieces import LOWER, SENTINEL, WORD, arrow_map, chunks, hash_pieces, mix, runs
 
 SAMPLE = 20_000
-#: Entries of the lexicon, the strongest first.
-LEXICON = 4_000
+#: What a word must show in the labelled sample to be an insult: families of toxic texts that hold it, and log-odds.
 MIN_FAMILIES, MIN_LOG_ODDS = 6, 3.0
-PREFIXES = (4, 5)
+#: Bytes of the stems that stand for a word's inflections, and the log-odds that a stem must show.
+STEMS, STEM_LOG_ODDS = (4, 5), 5.0
 #: Words in a row by which copies are told.
 SHINGLE = 5
 CUT = 0.7
 
 #: symbols' words in English, German, French and Spanish. Words that are also articles or pronouns of things are left out.
-THREATS = "kill murder hurt destroy stab shoot strangle punish töten umbringen vernichten verletzen tuer frapper détruire matar golpear destruir"
-TARGETS = "you your yourself he she they him them du dich dir ihr euch tu toi vous te usted ustedes tú"
-NEGATIONS = "not never no nor nobody without nicht kein keine niemals ne pas jamais nunca jamás"
-REPORTS = "said says wrote writes quoted quote claimed called reported alleged sagte schrieb zitiert dit écrit cité dijo escribió citó"
+THREATS = (
+    "kill murder hurt destroy stab shoot strangle punish beat slap punch burn hang choke crush rape execute slaughter behead "
+    "töten umbringen vernichten verletzen erschießen erstechen schlagen erwürgen verprügeln verbrennen "
+    "tuer tuerai frapper frapperai détruire étrangler poignarder brûler égorger massacrer "
+    "matar mataré golpear golpearé destruir estrangular apuñalar quemar degollar"
+)
+TARGETS = (
+    "you your yours yourself yourselves u ur he him his she her they them their theirs "
+    "du dich dir dein deine deinen ihr euch euer eure er ihm ihn ihnen tu toi te ton tes vous votre vos lui leur elle elles ils "
+    "usted ustedes tú ti tus vosotros vuestro ellos ellas"
+)
+NEGATIONS = "not never no nor nobody neither none without cannot isn aren wasn won don didn doesn wouldn nicht kein keine keinen keiner niemals nie niemand ohne ne pas jamais aucun aucune personne sans jamás nunca ningún ninguna nadie ni sin"
+REPORTS = (
+    "said says saying say told tells wrote writes quoted quotes quote claimed claims called calls reported reports alleged allegedly according shouted yelled "
+    "sagte sagt sagten schrieb schreibt zitiert behauptete nannte meinte rief laut dit disait écrit écrivait cité affirme appelé selon "
+    "dijo dice dicen escribió escribe citó afirmó llamó según"
+)
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+#: Words between a mark and what it bears on.
+NEGATION_REACH, TARGET_REACH, REPORT_AFTER = 4, 5, 3
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?;\n"]] = True
 _END[SENTINEL] = True
@@ -52,6 +71,13 @@ class Transducer:
     def step(self, state, symbol):
         return self.arcs.get((state, symbol)) or (self.rest(state), symbol)
 
+    def run(self, symbols: list) -> list:
+        state, out = self.start, []
+        for symbol in symbols:
+            state, symbol = self.step(state, symbol)
+            out.append(symbol)
+        return out
+
 
 def compose(*parts: Transducer) -> Transducer:
     """One machine that feeds each part's output to the next; its states are built as they are met."""
@@ -71,15 +97,22 @@ def compose(*parts: Transducer) -> Transducer:
     return machine
 
 
+FEATURES = ("", "n", "r", "t", "nr", "nt", "rt", "nrt")
+
+
+def _with(features: str, one: str) -> str:
+    return "".join(sorted({*features, one}))
+
+
 def _near(mark: int, feature: str, reach: int) -> Transducer:
-    """Adds a feature to insults and threats up to `reach` words after a mark."""
+    """Adds a feature to insults and threats with fewer than `reach` words between them and a mark read before."""
     arcs = {}
     for s in range(reach + 1):
         arcs[s, (mark, "")] = (reach, (mark, ""))
         if s:
             for kind in (INSULT, THREAT):
-                for had in ("", "n", "r", "nr"):
-                    arcs[s, (kind, had)] = (s - 1, (kind, had + feature))
+                for had in FEATURES:
+                    arcs[s, (kind, had)] = (s - 1, (kind, _with(had, feature)))
     return Transducer(0, arcs, lambda s: max(0, s - 1))
 
 
@@ -87,18 +120,42 @@ def _after(mark: int, feature: str) -> Transducer:
     """Adds a feature to all insults and threats of the clause after a mark."""
     arcs = {(s, (mark, "")): (1, (mark, "")) for s in (0, 1)}
     for kind in (INSULT, THREAT):
-        for had in ("", "n"):
-            arcs[1, (kind, had)] = (1, (kind, had + feature))
+        for had in FEATURES:
+            arcs[1, (kind, had)] = (1, (kind, _with(had, feature)))
     return Transducer(0, arcs, lambda s: s)
 
 
-GRAMMAR = compose(_near(NEGATION, "n", 3), _after(REPORT, "r"), _near(TARGET, "t", 5))
-#: Readings, and the prior weight of one match of each.
-READINGS = {(INSULT, ""): 2.5, (INSULT, "t"): 3.0, (INSULT, "n"): 0.5, (INSULT, "r"): 0.5, (INSULT, "nt"): 0.5, (INSULT, "rt"): 0.7, (INSULT, "nr"): 0.2, (INSULT, "nrt"): 0.2, (THREAT, "t"): 2.0, (THREAT, ""): 0.4}
+#: Read from left to right, then from right to left: "not kill", "said ... kill", "you ... idiot"; "kill you", "idiot, he said".
+LOOK_BACK = compose(_near(NEGATION, "n", NEGATION_REACH), _after(REPORT, "r"), _near(TARGET, "t", TARGET_REACH))
+LOOK_AHEAD = compose(_near(TARGET, "t", TARGET_REACH), _near(REPORT, "r", REPORT_AFTER))
+
+
+def readings(kinds: list[int]) -> list[tuple[int, str]]:
+    """(kind, features) of each word of a clause."""
+    forth = LOOK_BACK.run([(k, "") for k in kinds])
+    return LOOK_AHEAD.run(forth[::-1])[::-1]
+
+
+#: Prior weight of a clause of each reading.
+READINGS = {
+    (INSULT, "t"): 3.0, (INSULT, ""): 1.0, (INSULT, "nt"): 0.3, (INSULT, "rt"): 0.6, (INSULT, "n"): 0.1, (INSULT, "r"): 0.3, (INSULT, "nr"): 0.1, (INSULT, "nrt"): 0.1,
+    (THREAT, "t"): 3.0, (THREAT, ""): 0.2, (THREAT, "nt"): 0.4, (THREAT, "rt"): 0.6, (THREAT, "n"): 0.0, (THREAT, "r"): 0.1, (THREAT, "nr"): 0.0, (THREAT, "nrt"): 0.1,
+}
 _COLUMN = {r: i for i, r in enumerate(READINGS)}
 BIAS = -3.0
 
 
+def clause_matches(kinds: list[int], strengths: list[float]) -> dict[tuple[int, str], float]:
+    """The readings of a clause with their strengths: of its insults and of its threats the reading of the most prior weight, once each.
+    Its strength adds up the words that are as much negated and reported."""
+    best: dict[int, tuple[int, str]] = {}
+    found = readings(kinds)
+    for r in found:
+        if r in READINGS and (r[0] not in best or READINGS[r] > READINGS[best[r[0]]]):
+            best[r[0]] = r
+    return {r: sum(s for x, s in zip(found, strengths) if x[0] == r[0] and x[1].replace("t", "") == r[1].replace("t", "")) for r in best.values()}
+
+
 def _word_hash(words: str) -> np.ndarray:
     raw = [w.encode() for w in words.split()]
     buf = np.frombuffer(b"".join(raw), np.uint8)
@@ -106,15 +163,15 @@ def _word_hash(words: str) -> np.ndarray:
     return hash_pieces(buf, ends - [len(w) for w in raw], ends)
 
 
-def _features(buf: np.ndarray):
-    """(word starts, ends, hashes of words, then of their beginnings; 0 where a word is no longer than the beginning)."""
+def _words(buf: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(word starts, hashes of words, then of their stems; 0 where a word is no longer than the stem)."""
     low = LOWER[buf]
     starts, ends = runs(WORD[low])
     out = [hash_pieces(low, starts, ends)]
-    for n in PREFIXES:
-        h = hash_pieces(low, starts, np.minimum(ends, starts + n)) ^ np.uint64(n * 0x9E3779B97F4A7C15 % (1 << 64))
+    for n in STEMS:
+        h = mix(hash_pieces(low, starts, np.minimum(ends, starts + n)) + np.uint64(n))
         out.append(np.where(ends - starts > n, h, np.uint64(0)))
-    return starts, ends, out
+    return starts, out
 
 
 def _family(words: np.ndarray) -> int:
@@ -137,35 +194,37 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
 
 
-def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> dict[int, float]:
-    """Hash -> log-odds of words and beginnings that mark toxic rows. Features and totals count families, so that many copies of one
-    text weigh as one. A family is the texts with the same least hash of SHINGLE words in a row (of all words in shorter texts)."""
+def learn_lexicon(rows: DataFrame) -> dict[int, float]:
+    """Hash -> log-odds of the words and stems that mark toxic rows: all that pass the thresholds, so at most the sample's vocabulary.
+    Words and totals count families, so that many copies of one text weigh as one. A family is the texts with the same least hash of SHINGLE words
+    in a row (of all words in shorter texts)."""
 
     def run(batches):
         for batch in batches:
-            toxic, cols = batch.column("toxic").to_pylist(), ([], [], [])
+            toxic, cols = batch.column("toxic").to_pylist(), ([], [], [], [])
             for first, _, buf in chunks(batch.column("text").to_pylist()):
-                starts, _, hashes = _features(buf)
+                starts, hashes = _words(buf)
                 edge = np.concatenate(([0], np.searchsorted(starts, np.flatnonzero(buf == SENTINEL))))
                 for k, (a, b) in enumerate(zip(edge[:-1], edge[1:])):
                     if a == b:
                         continue
-                    found = np.unique(np.concatenate([h[a:b] for h in hashes]))
-                    found = np.union1d(found, np.zeros(1, np.uint64))  # 0 is no feature: its counts are the totals
+                    part = [np.unique(h[a:b]) for h in hashes]
+                    found = np.concatenate([np.zeros(1, np.uint64), *(h[h != 0] for h in part)])  # 0 stands for no word: its counts are the totals
+                    stem = np.repeat([0, 0, *[1] * len(STEMS)], [1, *(np.count_nonzero(h) for h in part)])
                     family = _family(hashes[0][a:b])
-                    for c, v in zip(cols, (found.view(np.int64), np.full(len(found), family), np.full(len(found), toxic[first + k]))):
+                    for c, v in zip(cols, (found.view(np.int64), stem, np.full(len(found), family), np.full(len(found), toxic[first + k]))):
                         c.append(v)
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in cols], ["feature", "family", "toxic"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in cols], ["feature", "stem", "family", "toxic"])
 
-    found = rows.mapInArrow(task(run), "feature long, family long, toxic long").distinct()
-    counts = found.groupBy("feature").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")).persist()
+    found = arrow_map(rows, run, "feature long, stem long, family long, toxic long").distinct()
+    counts = found.groupBy("feature", "stem").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")).persist()
     try:
         total = counts.where("feature = 0").first()
         if not total or not total["pos"] or not total["neg"]:
             return {}
         odds = F.log((F.col("pos") + 0.5) / (total["pos"] + 1)) - F.log((F.col("neg") + 0.5) / (total["neg"] + 1))
-        top = counts.where((F.col("feature") != 0) & (F.col("pos") >= MIN_FAMILIES)).withColumn("odds", odds).where(F.col("odds") >= MIN_LOG_ODDS).orderBy(F.desc("odds"), "feature").limit(size)
+        top = counts.where((F.col("feature") != 0) & (F.col("pos") >= MIN_FAMILIES)).withColumn("odds", odds).where(F.col("odds") >= F.when(F.col("stem") == 1, STEM_LOG_ODDS).otherwise(MIN_LOG_ODDS))
         return {r["feature"]: r["odds"] for r in top.select("feature", "odds").collect()}
     finally:
         counts.unpersist()
@@ -186,10 +245,11 @@ class Reader:
         self.mark_kinds = np.array([marks[k] for k in sorted(marks)], np.uint8)
 
     def sums(self, texts: list[str | None]) -> np.ndarray:
-        """For each text, the sums of its matches by reading: an insult counts its log-odds over 6, at most 1; a threat counts 1."""
+        """For each text, the sums of its matched clauses by reading: an insult has the strength of its log-odds over 6, at most 1; a
+        threat has 1."""
         out = np.zeros((len(texts), len(READINGS)))
         for first, _, buf in chunks(texts):
-            starts, _, hashes = _features(buf)
+            starts, hashes = _words(buf)
             if not len(starts):
                 continue
             weight = np.zeros(len(starts))
@@ -198,20 +258,18 @@ class Reader:
                 np.maximum(weight, np.where(self.keys[at] == h, self.weights[at], 0), out=weight)
             at = np.minimum(np.searchsorted(self.mark_keys, hashes[0]), len(self.mark_keys) - 1)
             kind = np.where(self.mark_keys[at] == hashes[0], self.mark_kinds[at], OTHER)
-            kind[weight > 0] = INSULT
+            kind[(weight > 0) & (kind == OTHER)] = INSULT
             hits = np.flatnonzero((kind == INSULT) | (kind == THREAT))
             if not len(hits):
                 continue
+            strength = np.where(kind == THREAT, 1.0, np.minimum(1.0, weight / 6))
             clause = np.searchsorted(np.flatnonzero(_END[buf]), starts)
             doc = np.searchsorted(np.flatnonzero(buf == SENTINEL), starts)
             for c in np.unique(clause[hits]).tolist():
                 a, b = np.searchsorted(clause, (c, c + 1))
-                state, row = GRAMMAR.start, out[first + int(doc[a])]
-                for k, symbol in enumerate(kind[a:b].tolist()):
-                    state, (symbol, reading) = GRAMMAR.step(state, (symbol, ""))
-                    if symbol in (INSULT, THREAT):
-                        column = _COLUMN.get((symbol, "".join(sorted(reading))), _COLUMN[symbol, ""])
-                        row[column] += min(1.0, weight[a + k] / 6) if symbol == INSULT else 1.0
+                row = out[first + int(doc[a])]
+                for reading, x in clause_matches(kind[a:b].tolist(), strength[a:b].tolist()).items():
+                    row[_COLUMN[reading]] += x
         return out
 
 
@@ -245,7 +303,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[
             s = reader.sums(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int64()), pa.array(list(s), pa.list_(pa.float64()))], ["toxic", "sums"])
 
-    got = rows.mapInArrow(task(run), "toxic long, sums array<double>").toArrow()
+    got = arrow_map(rows, run, "toxic long, sums array<double>").toArrow()
     if not got.num_rows:
         return lexicon, np.array([BIAS, *READINGS.values()])
     sums = got.column("sums").combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1)
@@ -263,7 +321,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: float =
             p = 1 / (1 + np.exp(-np.clip(weights[0] + _inputs(reader.sums(batch.column("text").to_pylist())) @ weights[1:], -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p)], ["doc_id", "score"])
 
-    out = docs.select("doc_id", "text").mapInArrow(task(run), f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
+    out = arrow_map(docs.select("doc_id", "text"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
     return out.select("doc_id", (split_of("doc_id") == 1).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
@@ -277,4 +335,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: fl
             z = weights[0] + _inputs(reader.sums(batch.column("text").to_pylist())) @ weights[1:]
             yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))) < cut))
 
-    return docs.mapInArrow(task(run), docs.schema)
+    return arrow_map(docs, run, docs.schema)
