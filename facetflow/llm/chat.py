@@ -1,12 +1,14 @@
 """Conversations as training text: a visitor over typed content parts, markers around turns, reversible escapes, a loss mask.
 
 Each turn is formatted by itself, so that no conversation has to fit in memory: <|turn|>role<|text|>content<|end|>. A visitor
-flattens the content's parts in order; image, audio and document parts become numbered placeholders, and their references and
-the tokens that they expand to are recorded. Inside texts every control string gets a backslash after its first character, or
-one more where backslashes stand there already; unescaping takes one away, so any text comes back as it was.
+flattens the content's parts in order; image, audio and document parts become placeholders, numbered through the conversation, and
+their references and the tokens that they expand to are recorded. Inside texts every control string gets a backslash after its first character, or
+one more where backslashes stand there already; unescaping takes one away, so any text comes back as it was, and a text that looks
+like a placeholder is never read as one.
 
 Defined results: null text and null role are empty; an unknown part type raises ValueError; turns are ordered by turn (null
-first), then role, then text, and repeated rows stay; an empty table gives no conversations; extra columns are left out.
+first), then role, then text, then parts, and repeated rows stay; a null part type raises ValueError, too; an empty table gives no
+conversations; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -16,9 +18,11 @@ import math
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pieces import arrow_map
+
 #: Strings that mark turns here or in common templates. None ends as another begins.
 CONTROLS = ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 _PLAIN = re.compile("|".join(f"({re.escape(c[0])}\\\\*){re.escape(c[1:])}" for c in sorted(CONTROLS, key=len, reverse=True)))
@@ -41,6 +45,7 @@ class Flatten:
 
     def __init__(self, first: int = 0):
         self.out: list[str] = []
+        self.texts: list[str] = []  # of neighbouring text parts, escaped as one
         self.refs: list[dict] = []
         self.next = first
 
@@ -51,9 +56,16 @@ class Flatten:
         visitor(part)
 
     def visit_text(self, part: dict) -> None:
-        self.out.append(escape(part.get("text") or ""))
+        self.texts.append(part.get("text") or "")
+
+    def finish(self) -> str:
+        """What has been visited so far, flat."""
+        self.out.append(escape("".join(self.texts)))
+        self.texts.clear()
+        return "".join(self.out)
 
     def _attach(self, kind: str, part: dict, tokens: int) -> None:
+        self.finish()
         self.out.append(f"<|{kind}:{self.next}|>")
         self.refs.append({"index": self.next, "type": kind, "ref": part.get("ref"), "tokens": tokens})
         self.next += 1
@@ -68,71 +80,98 @@ class Flatten:
         self._attach("document", part, math.ceil((part.get("pages") or 0) * 800))
 
 
-def format_turn(role: str | None, parts: list[dict]) -> tuple[str, int, int, list[dict]]:
-    """(formatted turn, loss start, loss end, attachments); the loss covers an assistant's content and nothing of the markers."""
-    v = Flatten()
+def format_turn(role: str | None, parts: list[dict], first: int = 0) -> tuple[str, int, int, list[dict]]:
+    """(formatted turn, loss start, loss end, attachments, numbered from first); the loss covers an assistant's content and nothing of the markers."""
+    v = Flatten(first)
     for p in parts:
         v.visit(p)
-    head, body = f"<|turn|>{escape(role or '')}<|text|>", "".join(v.out)
+    head, body = f"<|turn|>{escape(role or '')}<|text|>", v.finish()
     span = (len(head), len(head) + len(body)) if role == "assistant" else (0, 0)
     return f"{head}{body}<|end|>", *span, v.refs
 
 
-def parse_turn(formatted: str) -> tuple[str, str]:
-    """(role, content with placeholders) as they were."""
+def parse_content(content: str) -> list[dict]:
+    """The parts of formatted content: texts as they were (neighbouring ones are one), attachments with their type and number."""
+    parts, at = [], 0
+    for m in _PART.finditer(content):
+        if m.start() > at:
+            parts.append({"type": "text", "text": unescape(content[at : m.start()])})
+        parts.append({"type": m[1], "index": int(m[2])})
+        at = m.end()
+    if at < len(content):
+        parts.append({"type": "text", "text": unescape(content[at:])})
+    return parts
+
+
+def text_of(parts: list[dict]) -> str:
+    return "".join(p["text"] for p in parts if p["type"] == "text")
+
+
+def parse_turn(formatted: str) -> tuple[str, list[dict]]:
+    """(role, parts) as they were."""
     m = _TURN.fullmatch(formatted)
     if m is None:
         raise ValueError("not a formatted turn")
-    return unescape(m[1]), unescape(m[2])
+    return unescape(m[1]), parse_content(m[2])
 
 
 def format_turns(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, formatted, loss_start, loss_end (code points in formatted), attachments of each row; content is taken from a
     column `parts` of type PARTS where there is one and it isn't null, else from `text`."""
-    has_parts = "parts" in conversations.columns
-    cols = [F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text", *(["parts"] if has_parts else [])]
+    cols = [F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text"]
+    if "parts" in conversations.columns:
+        count = F.coalesce(F.size(F.filter("parts", lambda p: p["type"] != "text")), F.lit(0))
+        before = Window.partitionBy("conv_id").orderBy("turn", "role", "text", "parts").rowsBetween(Window.unboundedPreceding, -1)
+        rows = conversations.select(*cols, "parts").withColumn("count", F.when(F.col("parts").isNull(), 0).otherwise(count))
+        rows = rows.withColumn("first", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    else:
+        rows = conversations.select(*cols)
     refs = pa.list_(pa.struct([("index", pa.int32()), ("type", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())]))
 
     def run(batches):
         for batch in batches:
             d = batch.to_pydict()
-            parts = d.get("parts") or [None] * len(d["role"])
-            done = [format_turn(r, p if p is not None else [{"type": "text", "text": t}]) for r, t, p in zip(d["role"], d["text"], parts)]
+            n = batch.num_rows
+            done = [format_turn(r, p if p is not None else [{"type": "text", "text": t}], k) for r, t, p, k in zip(d["role"], d["text"], d.get("parts") or [None] * n, d.get("first") or [0] * n)]
             f, a, b, x = zip(*done) if done else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), pa.array(f, pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(x, refs)], ["conv_id", "turn", "formatted", "loss_start", "loss_end", "attachments"])
 
-    out = "conv_id long, turn long, formatted string, loss_start long, loss_end long, attachments array<struct<index:int,type:string,ref:string,tokens:long>>"
-    return conversations.select(*cols).mapInArrow(run, out)
+    return arrow_map(rows, run, "conv_id long, turn long, formatted string, loss_start long, loss_end long, attachments array<struct<index:int,type:string,ref:string,tokens:long>>")
 
 
 def read_back(turns: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of each conversation, from formatted turns alone. One
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_attachments (placeholders read in the texts),
+    attachment_tokens (what they expand to) of each conversation, from formatted turns. A turn's text is that of its text parts. One
     sort by conversation and turn; digests advance turn by turn, so a conversation of any length takes the memory of one turn."""
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_attachments", "attachment_tokens"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches):
         now, state, rows = None, None, []
 
         def close():
             if state:
-                rows.append((now[0], state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
+                rows.append((now[0], state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), *state[4:]))
 
         def emit():
-            cols = list(zip(*rows))
-            types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
         for batch in batches:
-            for conv, formatted, a, b in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_start", "loss_end"))):
+            for conv, formatted, a, b, refs in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_start", "loss_end", "attachments"))):
                 if now != (conv,):
                     close()
-                    now, state = (conv,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, text = parse_turn(formatted)
+                    now, state = (conv,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
+                role, parts = parse_turn(formatted)
+                tokens = {r["index"]: r["tokens"] for r in refs or ()}
                 state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode())
-                loss = unescape(formatted[a:b])
+                state[1].update(f"{role}\n{text_of(parts)}\n".encode())
+                loss = text_of(parse_content(formatted[a:b]))
                 state[2] += len(loss)
                 state[3].update(loss.encode())
                 state[4] += len(formatted)
+                found = [p["index"] for p in parts if p["type"] != "text"]
+                state[5] += len(found)
+                state[6] += sum(tokens[i] for i in found)
             if rows:
                 yield emit()
                 rows = []
@@ -140,8 +179,8 @@ def read_back(turns: DataFrame) -> DataFrame:
         if rows:
             yield emit()
 
-    ordered = turns.select("conv_id", "turn", "formatted", "loss_start", "loss_end").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
-    return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    ordered = turns.select("conv_id", "turn", "formatted", "loss_start", "loss_end", "attachments").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
+    return arrow_map(ordered, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, attachment_tokens long")
 
 
 ORACLE = r"""
@@ -151,6 +190,7 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  sum(length(role) + length(text) + 23 + len(regexp_extract_all(role || chr(10) || text, '<\\*\||<\\*s>|<\\*/s>|\[\\*INST\]|\[\\*/INST\]|<\\*<SYS>>|<\\*</SYS>>')))::BIGINT AS formatted_chars
+  sum(length(role) + length(text) + 23 + len(regexp_extract_all(role || chr(10) || text, '<\\*\||<\\*s>|<\\*/s>|\[\\*INST\]|\[\\*/INST\]|<\\*<SYS>>|<\\*</SYS>>')))::BIGINT AS formatted_chars,
+  0::BIGINT AS n_attachments, 0::BIGINT AS attachment_tokens
 FROM c GROUP BY conv_id
 """

@@ -16,7 +16,7 @@ from bisect import bisect_left
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .pieces import TO_WORDS
+from .pieces import TO_WORDS, arrow_map
 
 #: Phrases whose consecutive words count as places, with their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -146,4 +146,4 @@ def scan(docs: DataFrame) -> DataFrame:
             found = [_scanner[0].scan(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([f[k] for f in found], t) for k, t in kinds.items())], ["doc_id", *kinds])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<start:long,end:long,label:string,edits:int>>")
+    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<start:long,end:long,label:string,edits:int>>")

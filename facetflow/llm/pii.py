@@ -20,7 +20,7 @@ from bisect import bisect_left
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .pieces import task
+from .pieces import arrow_map
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -263,23 +263,23 @@ def _join(spans) -> str:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (plain patterns), base_sha256, spans, n_added of every row of docs."""
+    """doc_id, n_email, n_ip, n_card, n_phone (plain patterns), base_sha256, spans, n_added, all_email, all_ip, all_card, all_phone
+    (disguised ones included) of every row of docs."""
+    names = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", *(f"all_{k}" for k in KINDS)]
+    types = [pa.string() if n in ("base_sha256", "spans") else pa.int64() for n in names]
 
     def run(batches):
         for batch in batches:
             rows = []
             for t in batch.column("text").to_pylist():
                 base, every = all_spans(t or "")
-                kinds = [k for k, _, _ in base]
-                rows.append((*(kinds.count(k) for k in KINDS), hashlib.sha256(_join(base).encode()).hexdigest(), _join(every), len(every) - len(base)))
-            cols = list(zip(*rows)) or [()] * 7
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string()), pa.array(cols[5], pa.string()), pa.array(cols[6], pa.int64())],
-                ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"],
-            )
+                plain, found = [k for k, _, _ in base], [k for k, _, _ in every]
+                rows.append((*map(plain.count, KINDS), hashlib.sha256(_join(base).encode()).hexdigest(), _join(every), len(every) - len(base), *map(found.count, KINDS)))
+            cols = list(zip(*rows)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, types))], ["doc_id", *names])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(task(run), f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    kinds = ", ".join(f"{n} {'string' if t == pa.string() else 'long'}" for n, t in zip(names, types))
+    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, {kinds}")
 
 
 def redacted(text: str) -> str:
@@ -301,4 +301,4 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             at = batch.schema.get_field_index(text_col)
             yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
 
-    return docs.mapInArrow(task(run), docs.schema)
+    return arrow_map(docs, run, docs.schema)
