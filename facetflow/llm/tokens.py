@@ -35,6 +35,7 @@ SHARD_TOKENS, FILE_BYTES = 4 << 20, 64 << 20
 MIN_COUNT = 4
 #: A round takes the pairs that are at least this part, as a divisor, as frequent as the most frequent one.
 STEP = 4
+#: Words that a worker keeps from task to task.
 MAX_PIECES = 1_200_000
 
 _PLAIN = re.compile(r"[\t\n\r\x20-&(-~À-ÖØ-öø-ÿ]*\Z")
@@ -156,8 +157,9 @@ def encoder(path: str) -> Encoder:
 def _frequent(key: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """(keys, counts) of the keys that stand in `least` places or more. Buckets of a hash tell most rare ones first, so few are sorted."""
     if least > 2:
-        bucket = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 20)).view(np.int64)
-        key = key[(np.bincount(bucket, minlength=1 << 20) >= least)[bucket]]
+        bits = min(20, max(10, len(key).bit_length()))
+        bucket = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
+        key = key[(np.bincount(bucket, minlength=1 << bits) >= least)[bucket]]
     key = np.sort(key)
     edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))) if len(key) else np.zeros(1, np.int64)
     n = np.diff(edge)
@@ -197,9 +199,10 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int, min_count: int = MI
     n_rules, least = 0, int(np.partition(seen, -2)[-2:].min()) if len(seen) > 1 else 0
     while len(s) > 1 and least > min_count:
         least = max(min_count, least // STEP)
-        often = seen >= least
-        often = often[s]
-        at = np.flatnonzero(often[:-1] & often[1:] & ~last[:-1])
+        often = (seen >= least)[s]
+        often[:-1] &= often[1:]
+        often[:-1] &= ~last[:-1]
+        at = np.flatnonzero(often[:-1])
         key = (s[at].astype(np.uint64) << np.uint64(32)) | s[at + 1]
         chosen, n = _frequent(key, least)
         if not len(chosen):
@@ -370,7 +373,6 @@ def write(docs: DataFrame, path: str, end_id: int = 2, shard_tokens: int = SHARD
                 close()
             if packed:
                 yield flush()
-            enc.clear()
 
         return shards
 
