@@ -1,4 +1,8 @@
-"""Surface meshes as tables: vertices (mesh, vid, x, y, z) and corners (mesh, facet, k, vid)."""
+"""Surface meshes as tables: vertices (mesh, vid, x, y, z) and corners (mesh, facet, k, vid).
+
+Defined results: rows with a null mesh, facet or vid join with nothing; a repeated corner row counts as one more corner; a facet of fewer
+than three corners, or of parallel edges only, has null measures; empty tables give empty results; extra columns are left out.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vec
+from ..session import cut, discard
+from .graph import components
 
 FACET = ("mesh", "facet")
 #: Corners of the unit box and its six outward faces; fixed values of the generator.
@@ -13,6 +19,18 @@ BOX_VERTICES = [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1)
 BOX_FACES = [(0, 3, 2, 1), (4, 5, 6, 7), (0, 1, 5, 4), (1, 2, 6, 5), (2, 3, 7, 6), (3, 0, 4, 7)]
 
 
+def grid_meshes(dims: DataFrame, n: int, m: int) -> tuple[DataFrame, DataFrame]:
+    """(vertices with u and v, corners) of a height field for each row of dims (mesh, amplitude): n x m vertices on the unit square, quads
+    turning left seen from above, z = amplitude sin(3 x) cos(2 y)."""
+    one = dims.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    x, y = F.col("i") / F.lit(float(n - 1)), F.col("j") / F.lit(float(m - 1))
+    vertices = one.select("mesh", (F.col("j") * n + F.col("i")).alias("vid"), x.alias("x"), y.alias("y"), (F.col("amplitude") * F.sin(3 * x) * F.cos(2 * y)).alias("z"), x.alias("u"), y.alias("v"))
+    q = one.where((F.col("i") < n - 1) & (F.col("j") < m - 1))
+    turn = F.array(*[F.struct(F.lit(k).alias("k"), (F.col("j") * n + F.col("i") + d).alias("vid")) for k, d in enumerate((0, 1, n + 1, n))])
+    corners = q.select("mesh", (F.col("j") * (n - 1) + F.col("i")).alias("facet"), F.explode(turn).alias("c")).select("mesh", "facet", "c.*")
+    return vertices, corners
+
+
 def box_vertices(dims: DataFrame) -> DataFrame:
     corner = F.array(*[F.struct(F.lit(i).alias("vid"), *(F.lit(float(c)).alias(n) for c, n in zip(v, "xyz"))) for i, v in enumerate(BOX_VERTICES)])
     d = dims.withColumn("c", F.explode(corner))
@@ -36,19 +54,67 @@ def centroids(ring: DataFrame) -> DataFrame:
 
 
 def normals(ring: DataFrame, least: float = 1e-3) -> DataFrame:
-    """mesh, facet, nx, ny, nz: the unit cross product at the first corner whose edges aren't parallel; null for degenerate facets."""
-    r = ring.groupBy(*FACET).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x", "y", "z"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["z"].alias("z"))).alias("r"))
-    at = lambda i: F.get("r", F.pmod(i, F.size("r")))
-    xyz = lambda p: (p["x"], p["y"], p["z"])
-
-    def candidate(i):
-        a, b = vec.sub(xyz(at(i + 1)), xyz(at(i))), vec.sub(xyz(at(i + 2)), xyz(at(i + 1)))
-        c = vec.cross(a, b)
-        u = vec.unit(c)
-        return F.struct((vec.norm(c) > least * vec.norm(a) * vec.norm(b)).alias("ok"), *(x.alias(n) for x, n in zip(u, ("nx", "ny", "nz"))))
-
-    every = F.transform(F.sequence(F.lit(0), F.size("r") - 1), candidate)
-    return r.select(*FACET, F.get(F.filter(every, lambda c: c["ok"]), F.lit(0)).alias("n")).select(*FACET, "n.nx", "n.ny", "n.nz")
+    """mesh, facet, nx, ny, nz: the unit cross product at the first corner whose edges aren't parallel; null for degenerate facets. The
+    next two corners come by window and the first good corner by aggregate, both dealt by facet: one shuffle, compiled arithmetic."""
+    turn = Window.partitionBy(*FACET).orderBy("k")
+    whole = turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cols = {}
+    for c in "xyz":
+        first, second = F.first(c).over(whole), F.nth_value(c, 2).over(whole)
+        cols["p" + c] = F.coalesce(F.lead(c, 1).over(turn), first)
+        cols["q" + c] = F.coalesce(F.lead(c, 2).over(turn), F.when(F.lead(c, 1).over(turn).isNull(), second).otherwise(first))
+    r = ring.select(*FACET, "k", "x", "y", "z", *(e.alias(n) for n, e in cols.items()))
+    a, b = vec.sub(vec.vec("p"), vec.vec()), vec.sub(vec.vec("q"), vec.vec("p"))
+    r = r.select(*FACET, "k", *(e.alias("c" + n) for n, e in zip("xyz", vec.cross(a, b))), (vec.norm(a) * vec.norm(b)).alias("size"))
+    ok = vec.norm(vec.vec("c")) > least * F.col("size")
+    n = r.groupBy(*FACET).agg(F.min(F.when(ok, F.struct("k", "cx", "cy", "cz"))).alias("n"))
+    return n.select(*FACET, *(e.alias(k) for k, e in zip(("nx", "ny", "nz"), vec.unit(vec.vec("n.c")))))
+
+
+def best_fit_frames(ring: DataFrame) -> DataFrame:
+    """mesh, facet, centroid cx, cy, cz, basis e1 and e2 (ax..az, bx..bz), normal nx, ny, nz, off (root of the summed squared distances
+    to the plane), refsize: the plane that fits a facet's corners best, right-handed, its normal on the side of the facet's normal.
+
+    Spark sums each facet's moments; tasks solve the 3 x 3 eigenproblems of a batch at once."""
+    import numpy as np
+    import pandas as pd
+
+    c = ring.groupBy(*FACET).agg(*(F.avg(a).alias("c" + a) for a in "xyz"))
+    d = ring.join(c, list(FACET))
+    part = {a: F.col(a) - F.col("c" + a) for a in "xyz"}
+    moments = d.groupBy(*FACET, "cx", "cy", "cz").agg(*(F.sum(part[a] * part[b]).alias(a + b) for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")))
+    rows = moments.join(normals(ring).select(*FACET, *(F.col("n" + a).alias("r" + a) for a in "xyz")), list(FACET))
+
+    def run(frames):
+        for f in frames:
+            m = f[["xx", "xy", "xz", "xy", "yy", "yz", "xz", "yz", "zz"]].to_numpy(float).reshape(-1, 3, 3)
+            good = np.isfinite(m).all((1, 2)) & f[["rx", "ry", "rz"]].notna().all(axis=1).to_numpy()
+            w, v = np.linalg.eigh(np.where(good[:, None, None], m, np.eye(3)))
+            n, a = v[:, :, 0], v[:, :, 2]
+            n = n * np.where((n * f[["rx", "ry", "rz"]].to_numpy(float)).sum(1) < 0, -1, 1)[:, None]
+            out = np.concatenate((a, np.cross(n, a), n, np.sqrt(np.maximum(w[:, :1], 0)), np.sqrt(np.maximum(w.sum(1, keepdims=True), 0))), 1)
+            out[~good] = np.nan
+            yield pd.concat([f[[*FACET, "cx", "cy", "cz"]], pd.DataFrame(out, columns=names, index=f.index)], axis=1)
+
+    names = ["ax", "ay", "az", "bx", "by", "bz", "nx", "ny", "nz", "off", "refsize"]
+    kinds = dict(ring.dtypes)
+    out = rows.mapInPandas(run, f"mesh {kinds['mesh']}, facet {kinds['facet']}, cx double, cy double, cz double, " + ", ".join(f"{n} double" for n in names))
+    return out.select(*FACET, "cx", "cy", "cz", *(F.nanvl(n, F.lit(None)).alias(n) for n in names))
+
+
+def planar_parameters(ring: DataFrame, facet_surface: DataFrame) -> DataFrame:
+    """mesh, surface, mean point mx, my, mz, mean unit normal nx, ny, nz, u axis ux, uy, uz (the first edge of the surface's smallest facet
+    less its part along the normal) and v axis vx, vy, vz = n x u; null where the first edge runs along the normal."""
+    r = ring.join(facet_surface, list(FACET))
+    first = F.min(F.when(F.col("k") <= 1, F.struct("facet", "k", "x", "y", "z")))
+    second = F.min(F.when(F.col("k") == 1, F.struct("facet", "k", "x", "y", "z")))
+    g = r.groupBy("mesh", "surface").agg(*(F.avg(c).alias("m" + c) for c in "xyz"), first.alias("p"), second.alias("q"))
+    n = normals(ring).join(facet_surface, list(FACET)).groupBy("mesh", "surface").agg(*(F.avg("n" + c).alias("n" + c) for c in "xyz"))
+    j = g.join(n, ["mesh", "surface"]).withColumns(dict(zip(("tx", "ty", "tz"), vec.unit(vec.vec("n")))))
+    t, e = vec.vec("t"), vec.sub(vec.vec("q."), vec.vec("p."))
+    u = vec.unit(vec.add_scaled(e, t, -vec.dot(e, t)))
+    j = j.withColumns(dict(zip(("ux", "uy", "uz"), u)))
+    return j.select("mesh", "surface", "mx", "my", "mz", *(F.col("t" + c).alias("n" + c) for c in "xyz"), "ux", "uy", "uz", *(x.alias("v" + c) for c, x in zip("xyz", vec.cross(t, vec.vec("u")))))
 
 
 def bounds(vertices: DataFrame, eps: float = 1e-4) -> DataFrame:
@@ -79,23 +145,21 @@ def neighbours(corners: DataFrame) -> DataFrame:
 
 
 def adjacency(corners: DataFrame) -> DataFrame:
-    """mesh, facet, other: facets that share an edge."""
-    e = edges(corners).select(*FACET, F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
-    o = e.select("mesh", "lo", "hi", F.col("facet").alias("other"))
-    return e.join(o, ["mesh", "lo", "hi"]).where("facet <> other").select("mesh", "facet", "other").distinct()
+    """mesh, facet, other: facets that share an edge. An edge's facets, two on a manifold, meet in one row; one shuffle before the last."""
+    e = edges(corners).groupBy("mesh", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.collect_set("facet").alias("f")).where("size(f) > 1")
+    e = e.select("mesh", "f", F.explode("f").alias("facet")).select("mesh", "facet", F.explode("f").alias("other")).where("facet <> other")
+    return e.distinct()
 
 
 def segments(corners: DataFrame, facet_normals: DataFrame, angle: float) -> DataFrame:
-    """mesh, facet, surface: facets joined across edges where normals are within angle; a surface is named by its smallest facet."""
-    from .graph import components
-
-    n = facet_normals
-    pairs = adjacency(corners).join(n, list(FACET)).join(n.select("mesh", F.col("facet").alias("other"), *(F.col(c).alias("o" + c) for c in ("nx", "ny", "nz"))), ["mesh", "other"])
+    """mesh, facet, surface: facets joined across edges where the normals of both are within angle; a surface is named by its smallest
+    facet. Neighbours are compared, not a surface's first facet, so the order of facets changes nothing."""
+    n = cut(facet_normals, "normals")
+    pairs = adjacency(corners).where("facet < other").join(n, list(FACET)).join(n.select("mesh", F.col("facet").alias("other"), *(F.col(c).alias("o" + c) for c in ("nx", "ny", "nz"))), ["mesh", "other"])
     near = pairs.where(vec.dot(vec.vec("n"), vec.vec("on")) > F.cos(F.lit(angle)))
     key = lambda f: F.struct(F.col("mesh"), F.col(f).alias("facet"))
-    comp = components(near.select(key("facet").alias("a"), key("other").alias("b")))
-    out = corners.select(*FACET).distinct().withColumn("node", F.struct("mesh", "facet")).join(comp, "node", "left")
-    return out.select(*FACET, F.coalesce(F.col("component.facet"), F.col("facet")).alias("surface"))
+    comp = components(near.select(key("facet").alias("a"), key("other").alias("b"))).select("node.mesh", "node.facet", F.col("component.facet").alias("surface"))
+    return corners.select(*FACET).distinct().join(comp, list(FACET), "left").select(*FACET, F.coalesce("surface", "facet").alias("surface"))
 
 
 def packed_polygons(packed: DataFrame) -> DataFrame:
@@ -112,14 +176,42 @@ def pack(corners: DataFrame) -> DataFrame:
     return f.select("mesh", F.flatten(F.transform("polys", lambda p: F.concat(p["ids"], F.array(F.lit(-1))))).alias("index"))
 
 
-def merge_close(points: DataFrame, tolerance: float) -> DataFrame:
-    """id, leader: the smallest id within tolerance of each point (itself where none is smaller), found through cells as wide as the tolerance."""
-    cell = [F.floor(F.col(c) / tolerance) for c in "xyz"]
-    p = points.select("id", "x", "y", "z", *(c.alias("g" + n) for c, n in zip(cell, "xyz")))
-    near = p
+def merge_close(points: DataFrame, tolerance: float, max_rounds: int = 1000) -> DataFrame:
+    """id, leader: a point with no smaller leader within tolerance is a leader; others have the smallest leader within it.
+
+    Equal points are one to begin with. Pairs within tolerance are found through cells as wide as it; then each round makes leaders of
+    the undecided points that no undecided smaller one is near to, and members of those near a new leader."""
+    p = points.select("id", *(F.col(c).cast("double").alias(c) for c in "xyz")).where("id is not null and x is not null and y is not null and z is not null")
+    own = p.groupBy("x", "y", "z").agg(F.min("id").alias("id"))
+    cell = {"g" + c: F.floor(F.col(c) / tolerance) for c in "xyz"}
+    own = own.withColumns(cell)
+    near = own
     for n in "xyz":
         near = near.withColumn("g" + n, F.explode(F.array(F.col("g" + n) - 1, F.col("g" + n), F.col("g" + n) + 1)))
-    o = p.select(F.col("id").alias("other"), *(F.col(c).alias("o" + c) for c in "xyz"), "gx", "gy", "gz")
+    o = own.select(F.col("id").alias("other"), *(F.col(c).alias("o" + c) for c in "xyz"), "gx", "gy", "gz")
     d = vec.sub(vec.vec(), vec.vec("o"))
-    j = near.join(o, ["gx", "gy", "gz"]).where((F.col("other") <= F.col("id")) & (vec.dot(d, d) <= tolerance * tolerance))
-    return j.groupBy("id").agg(F.min("other").alias("leader"))
+    pairs = cut(near.join(o, ["gx", "gy", "gz"]).where((F.col("other") < F.col("id")) & (vec.dot(d, d) <= tolerance * tolerance)).select("id", "other"), "near-points")
+    left, members = pairs, None
+    for _ in range(max_rounds):
+        blocked = left.select(F.col("id").alias("other")).distinct()
+        led = left.join(blocked, "other", "left_anti").groupBy("id").agg(F.min("other").alias("leader"))
+        led = cut(led, "members")
+        if led.isEmpty():
+            break
+        members = led if members is None else members.unionByName(led)
+        gone = led.select(F.col("id").alias("gone"))
+        new = left.join(gone, F.col("id") == F.col("gone"), "left_anti").join(gone, F.col("other") == F.col("gone"), "left_anti")
+        new = cut(new, "near-points")
+        if left is not pairs:
+            discard(left)
+        left = new
+    else:
+        raise RuntimeError("points did not settle")
+    one = own.select("x", "y", "z", F.col("id").alias("own"))
+    if members is not None:
+        # a member may be within tolerance of leaders of other rounds, too: the smallest counts
+        members = pairs.join(members.select(F.col("id").alias("other")), "other", "left_anti").groupBy("id").agg(F.min("other").alias("leader"))
+        one = one.join(members, F.col("own") == F.col("id"), "left").drop("id")
+    else:
+        one = one.withColumn("leader", F.col("own"))
+    return p.join(one, ["x", "y", "z"]).select("id", F.coalesce("leader", "own").alias("leader"))

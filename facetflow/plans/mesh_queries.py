@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vec
 from ..operators import mesh as op
-from ..session import table
+from ..session import cut, table
 from ..sources import fixtures as fx
 from .registry import query
 
@@ -85,12 +85,55 @@ def adjacency(spark, d):
     return op.adjacency(_c(spark, d))
 
 
-@query("join16_segments", f"{W} SELECT mesh, c.facet, c.facet AS surface FROM boxes, (VALUES (0), (1), (2), (3), (4), (5)) c(facet)")
+GRID = f"""WITH {fx.GRIDS_SQL}, p AS (SELECT mesh, facet, list(struct_pack(x := x, y := y, z := z) ORDER BY k) AS r FROM gcorners JOIN gvertices USING (mesh, vid) GROUP BY ALL),
+d AS (SELECT mesh, facet, r, r[2].x - r[1].x AS ax, r[2].y - r[1].y AS ay, r[2].z - r[1].z AS az, r[3].x - r[2].x AS bx, r[3].y - r[2].y AS by_, r[3].z - r[2].z AS bz FROM p),
+c AS (SELECT mesh, facet, r, ay * bz - az * by_ AS nx, az * bx - ax * bz AS ny, ax * by_ - ay * bx AS nz FROM d),
+n AS (SELECT mesh, facet, r, nx / sqrt(nx * nx + ny * ny + nz * nz) AS nx, ny / sqrt(nx * nx + ny * ny + nz * nz) AS ny, nz / sqrt(nx * nx + ny * ny + nz * nz) AS nz FROM c)"""
+ADJACENT = "g AS (SELECT mesh, facet, vid AS a, coalesce(lead(vid) OVER w, first_value(vid) OVER w) AS b FROM gcorners WINDOW w AS (PARTITION BY mesh, facet ORDER BY k)), h AS (SELECT DISTINCT mesh, facet, least(a, b) AS lo, greatest(a, b) AS hi FROM g), adj AS (SELECT DISTINCT x.mesh, x.facet, y.facet AS other FROM h x JOIN h y ON x.mesh = y.mesh AND x.lo = y.lo AND x.hi = y.hi AND x.facet <> y.facet)"
+STEEP = math.radians(12)
+
+
+def _grids(spark, d):
+    return op.grid_meshes(fx.grid_dims(spark, d), fx.GRID_N, fx.GRID_M)
+
+
+@query("src11_grid_meshes", f"WITH {fx.GRIDS_SQL} SELECT mesh, facet, k, vid, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) + 0.0 AS z, round(u, 6) AS u, round(v, 6) AS v FROM gcorners JOIN gvertices USING (mesh, vid)")
+def grids(spark, d):
+    v, c = _grids(spark, d)
+    return c.join(v, ["mesh", "vid"]).select("mesh", "facet", "k", "vid", *(R(n).alias(n) for n in "xyzuv"))
+
+
+@query("join16_segments", GRID.replace("WITH", "WITH RECURSIVE", 1) + f""", {ADJACENT}, near AS (SELECT a.mesh, a.facet, a.other FROM adj a JOIN n x ON x.mesh = a.mesh AND x.facet = a.facet JOIN n y ON y.mesh = a.mesh AND y.facet = a.other WHERE x.nx * y.nx + x.ny * y.ny + x.nz * y.nz > cos({STEEP!r}::DOUBLE)),
+r(mesh, facet, other) AS (SELECT mesh, facet, facet FROM n UNION SELECT r.mesh, r.facet, e.other FROM r JOIN near e ON e.mesh = r.mesh AND e.facet = r.other) SELECT mesh, facet, min(other) AS surface FROM r GROUP BY ALL""")
 def segments(spark, d):
+    """Height fields of several steepnesses: smooth parts merge, steep steps part them."""
+    v, c = _grids(spark, d)
+    return op.segments(c, op.normals(op.corner_points(c, v)), STEEP)
+
+
+@query("join16_box_segments", f"{W} SELECT mesh, c.facet, c.facet AS surface FROM boxes, (VALUES (0), (1), (2), (3), (4), (5)) c(facet)")
+def box_segments(spark, d):
     """Faces of a box stand at right angles: 80 degrees part them all."""
     return op.segments(_c(spark, d), op.normals(_ring(spark, d)), math.radians(80))
 
 
+@query("agg05_normals_skip_parallel", f"{W}, c AS (SELECT mesh, facet, CASE WHEN k > 0 THEN k + 1 ELSE k END AS k, x, y, z FROM ring UNION ALL SELECT a.mesh, a.facet, 1, (a.x + b.x) / 2, (a.y + b.y) / 2, (a.z + b.z) / 2 FROM ring a JOIN ring b ON a.mesh = b.mesh AND a.facet = b.facet AND a.k = 0 AND b.k = 1), p AS (SELECT mesh, facet, list(struct_pack(x := x, y := y, z := z) ORDER BY k) AS r FROM c GROUP BY ALL), e AS (SELECT mesh, facet, r[3].x - r[2].x AS ax, r[3].y - r[2].y AS ay, r[3].z - r[2].z AS az, r[4].x - r[3].x AS bx, r[4].y - r[3].y AS by_, r[4].z - r[3].z AS bz FROM p), n AS (SELECT mesh, facet, ay * bz - az * by_ AS nx, az * bx - ax * bz AS ny, ax * by_ - ay * bx AS nz FROM e) SELECT mesh, facet, round(nx / sqrt(nx * nx + ny * ny + nz * nz), 6) + 0.0 AS nx, round(ny / sqrt(nx * nx + ny * ny + nz * nz), 6) + 0.0 AS ny, round(nz / sqrt(nx * nx + ny * ny + nz * nz), 6) + 0.0 AS nz FROM n")
+def skip_parallel(spark, d):
+    """Each face with one more corner in the middle of its first edge: its first two edges are parallel."""
+    r = _ring(spark, d)
+    a, b = r.where("k = 0"), r.where("k = 1").select("mesh", "facet", *(F.col(c).alias("o" + c) for c in "xyz"))
+    middle = a.join(b, ["mesh", "facet"]).select("mesh", "facet", F.lit(1).alias("k"), *(((F.col(c) + F.col("o" + c)) / 2).alias(c) for c in "xyz"))
+    ring = r.select("mesh", "facet", F.when(F.col("k") > 0, F.col("k") + 1).otherwise(F.col("k")).alias("k"), "x", "y", "z").unionByName(middle)
+    return op.normals(ring).select("mesh", "facet", *(R(c).alias(c) for c in ("nx", "ny", "nz")))
+
+
+@query("agg06_best_fit_frames", f"{W}, c AS (SELECT mesh, facet, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM ring GROUP BY ALL), s AS (SELECT mesh, facet, sqrt(sum((x - cx) ** 2 + (y - cy) ** 2 + (z - cz) ** 2)) AS refsize FROM ring JOIN c USING (mesh, facet) GROUP BY ALL) SELECT mesh, facet, round(cx, 6) AS cx, round(cy, 6) AS cy, round(cz, 6) AS cz, f.nx, f.ny, f.nz, 0.0::DOUBLE AS off, round(refsize, 6) AS refsize, 1.0::DOUBLE AS handed FROM s JOIN c USING (mesh, facet) JOIN (VALUES (0, 0.0::DOUBLE, 0.0::DOUBLE, -1.0::DOUBLE), (1, 0.0, 0.0, 1.0), (2, 0.0, -1.0, 0.0), (3, 1.0, 0.0, 0.0), (4, 0.0, 1.0, 0.0), (5, -1.0, 0.0, 0.0)) f(facet, nx, ny, nz) USING (facet)")
+def frames(spark, d):
+    f = op.best_fit_frames(_ring(spark, d))
+    handed = vec.dot(vec.cross(vec.vec("a"), vec.vec("b")), vec.vec("n"))
+    return f.select("mesh", "facet", *(R(c, 5).alias(c) if c == "off" else R(c).alias(c) for c in ("cx", "cy", "cz", "nx", "ny", "nz", "off", "refsize")), R(handed).alias("handed"))
+
+
 @query("snk01_pack", f"{W}, f AS (SELECT mesh, facet, list(vid ORDER BY k) AS ids FROM corners GROUP BY ALL) SELECT mesh, string_agg(array_to_string(ids, ' ') || ' -1', ' ' ORDER BY facet) AS text FROM f GROUP BY mesh")
 def packed(spark, d):
     return op.pack(_c(spark, d)).select("mesh", F.array_join(F.transform("index", lambda i: i.cast("string")), " ").alias("text"))
@@ -114,9 +157,19 @@ def first_facet(spark, d):
     return _c(spark, d).groupBy("mesh", "vid").agg(F.min_by("facet", "facet").alias("facet"))
 
 
-@query("agg13_planar_parameters", f"{W} SELECT mesh, facet, round(avg(x), 6) AS mx, round(avg(y), 6) AS my, round(avg(z), 6) AS mz, min(k) AS first_k FROM ring GROUP BY ALL")
+@query("agg13_planar_parameters", f"""{GRID}, s AS (SELECT mesh, facet, facet // 11 % 3 AS surface, nx, ny, nz, r FROM n), m AS (SELECT mesh, surface, avg(nx) AS nx, avg(ny) AS ny, avg(nz) AS nz, arg_min(r, facet) AS r FROM s GROUP BY ALL),
+q AS (SELECT mesh, surface, avg(p.x) AS mx, avg(p.y) AS my, avg(p.z) AS mz FROM (SELECT mesh, surface, unnest(r) AS p FROM s) GROUP BY ALL),
+t AS (SELECT mesh, surface, nx / sqrt(nx * nx + ny * ny + nz * nz) AS nx, ny / sqrt(nx * nx + ny * ny + nz * nz) AS ny, nz / sqrt(nx * nx + ny * ny + nz * nz) AS nz, r[2].x - r[1].x AS ex, r[2].y - r[1].y AS ey, r[2].z - r[1].z AS ez FROM m),
+w AS (SELECT *, ex - (ex * nx + ey * ny + ez * nz) * nx AS wx, ey - (ex * nx + ey * ny + ez * nz) * ny AS wy, ez - (ex * nx + ey * ny + ez * nz) * nz AS wz FROM t),
+u AS (SELECT *, wx / sqrt(wx * wx + wy * wy + wz * wz) AS ux, wy / sqrt(wx * wx + wy * wy + wz * wz) AS uy, wz / sqrt(wx * wx + wy * wy + wz * wz) AS uz FROM w)
+SELECT mesh, surface, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in ('mx', 'my', 'mz', 'nx', 'ny', 'nz', 'ux', 'uy', 'uz'))}, round(ny * uz - nz * uy, 6) + 0.0 AS vx, round(nz * ux - nx * uz, 6) + 0.0 AS vy, round(nx * uy - ny * ux, 6) + 0.0 AS vz FROM u JOIN q USING (mesh, surface)""")
 def planar(spark, d):
-    return _ring(spark, d).groupBy("mesh", "facet").agg(R(F.avg("x")).alias("mx"), R(F.avg("y")).alias("my"), R(F.avg("z")).alias("mz"), F.min_by("k", "k").alias("first_k"))
+    """Height fields whose rows of facets belong to three surfaces in turn."""
+    v, c = _grids(spark, d)
+    ring = cut(op.corner_points(c, v), "ring")
+    surface = c.select("mesh", "facet", F.expr("facet div 11 % 3").alias("surface")).distinct()
+    p = op.planar_parameters(ring, surface)
+    return p.select("mesh", "surface", *(R(a + b).alias(a + b) for a in "mnuv" for b in "xyz"))
 
 
 @query("pred09_all_in_set", f"{W} SELECT mesh, facet, bool_and(vid < 4) AS inside FROM corners GROUP BY ALL")
@@ -167,10 +220,13 @@ def rms(spark, d):
     return _v(spark, d).groupBy("mesh").agg(R(F.sqrt(F.sum(vec.dot(p, p)) / F.count("*"))).alias("rms"))
 
 
-@query("join15_merge_close", "WITH p AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings) SELECT a.id, min(b.id) AS leader FROM p a JOIN p b ON b.id <= a.id AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 <= 0.02 * 0.02 GROUP BY a.id")
+@query("join15_merge_close", """WITH RECURSIVE p AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, row_number() OVER (ORDER BY vec_id) AS k FROM embeddings),
+go(k, leaders) AS (SELECT 0::BIGINT, []::STRUCT(id BIGINT, x DOUBLE, y DOUBLE, z DOUBLE)[] UNION ALL SELECT p.k, CASE WHEN len(list_filter(leaders, lambda a: (a.x - p.x) ** 2 + (a.y - p.y) ** 2 + (a.z - p.z) ** 2 <= 0.03 * 0.03)) = 0 THEN list_append(leaders, {'id': p.id, 'x': p.x, 'y': p.y, 'z': p.z}) ELSE leaders END FROM go JOIN p ON p.k = go.k + 1),
+l AS (SELECT unnest(leaders) AS a FROM (SELECT leaders FROM go ORDER BY k DESC LIMIT 1))
+SELECT p.id, min(a.id) AS leader FROM p JOIN l ON a.id <= p.id AND (a.x - p.x) ** 2 + (a.y - p.y) ** 2 + (a.z - p.z) ** 2 <= 0.03 * 0.03 GROUP BY p.id""")
 def merge_close(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), *(F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate("xyz")))
-    return op.merge_close(e, 0.02)
+    return op.merge_close(e, 0.03)
 
 
 @query("top01_nearest_vertex", f"{W} SELECT mesh, arg_min(vid, (x - 5) ** 2 + (y - 2) ** 2 + (z - 1) ** 2 + vid * 1e-9) AS vid FROM vertices GROUP BY mesh")

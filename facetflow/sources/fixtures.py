@@ -16,6 +16,18 @@ ring AS (SELECT mesh, facet, k, vid, x, y, z FROM corners JOIN vertices USING (m
 LINES_SQL = "lines AS (SELECT o_orderkey AS line, (o_orderkey % 97) / 97.0::DOUBLE AS u1, (o_orderkey % 89) / 89.0::DOUBLE AS v1, (o_custkey % 83) / 83.0::DOUBLE * 1.4 - 0.2 AS u2, (o_custkey % 79) / 79.0::DOUBLE * 1.4 - 0.2 AS v2 FROM orders)"
 
 
+GRID_N, GRID_M = 12, 9
+GRIDS_SQL = f"""gdims AS (SELECT s_suppkey AS mesh, 0.05::DOUBLE + (s_suppkey % 10) * 0.1::DOUBLE AS amplitude FROM supplier),
+gvertices AS (SELECT mesh, (j * {GRID_N} + i)::INTEGER AS vid, i / {GRID_N - 1}.0::DOUBLE AS x, j / {GRID_M - 1}.0::DOUBLE AS y, amplitude * sin(3 * (i / {GRID_N - 1}.0::DOUBLE)) * cos(2 * (j / {GRID_M - 1}.0::DOUBLE)) AS z, i / {GRID_N - 1}.0::DOUBLE AS u, j / {GRID_M - 1}.0::DOUBLE AS v FROM gdims, range({GRID_N}) a(i), range({GRID_M}) b(j)),
+gcorners AS (SELECT mesh, (j * {GRID_N - 1} + i)::INTEGER AS facet, k, (j * {GRID_N} + i + o)::INTEGER AS vid FROM gdims, range({GRID_N - 1}) a(i), range({GRID_M - 1}) b(j), (VALUES (0, 0), (1, 1), (2, {GRID_N + 1}), (3, {GRID_N})) c(k, o))"""
+
+
+def grid_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mesh, amplitude: one height field a supplier."""
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(k.alias("mesh"), (0.05 + (k % 10) * 0.1).alias("amplitude"))
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """shot, ix, iy, t, v, w: line items as measurement pixels."""
     n = table(spark, sf_dir, "lineitem")
