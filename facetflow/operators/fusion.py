@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,14 +48,22 @@ def subtract_early_average(stack: DataFrame, last_early: int) -> DataFrame:
 
 
 def weight_drift(stack: DataFrame, first: int = 1) -> DataFrame:
-    """t, drift: the norm of the difference from the first frame's weights over the first frame's norm; a missing weight is 0."""
+    """t, drift: the norm of the difference from the first frame's weights over the first frame's norm; a missing weight is 0. The squared
+    difference of a frame is the first frame's square plus what its own cells change of it: one join by cell."""
     w0 = stack.where(F.col("t") == first).select("ix", "iy", F.col("w").alias("w0"))
-    norm = w0.agg(F.sqrt(F.sum(F.col("w0") * F.col("w0"))).alias("norm"))
-    frames = stack.where(F.col("t") != first).select("t").distinct()
-    grid = w0.crossJoin(F.broadcast(frames))  # frames of a stack are few; cells stay dealt out
-    j = grid.join(stack.where(F.col("t") != first).select("ix", "iy", "t", "w"), ["ix", "iy", "t"], "full")
-    d = F.coalesce("w0", F.lit(0.0)) - F.coalesce("w", F.lit(0.0))
-    return j.groupBy("t").agg(F.sqrt(F.sum(d * d)).alias("d")).crossJoin(norm).select("t", F.try_divide("d", "norm").alias("drift"))
+    norm = w0.agg(F.sum(F.col("w0") * F.col("w0")).alias("square"))
+    j = stack.where(F.col("t") != first).join(w0, ["ix", "iy"], "left")
+    d, o = F.coalesce("w0", F.lit(0.0)) - F.coalesce("w", F.lit(0.0)), F.coalesce("w0", F.lit(0.0))
+    change = j.groupBy("t").agg(F.sum(d * d - o * o).alias("change")).crossJoin(F.broadcast(norm))  # norm is one row
+    return change.select("t", F.try_divide(F.sqrt(F.greatest(F.col("square") + F.col("change"), F.lit(0.0))), F.nullif(F.sqrt("square"), F.lit(0.0))).alias("drift"))
+
+
+def measurement_files(measurements: DataFrame, files: DataFrame) -> DataFrame:
+    """specimen, measurement, file, n_params, usable of every file (measurement, file) of measurements (specimen, measurement, param): a
+    specimen is usable if all its measurements share one parameter value (null is none)."""
+    params = measurements.groupBy("specimen").agg(F.countDistinct("param").alias("n_params"))
+    j = measurements.select("specimen", "measurement").join(params, "specimen").join(files, "measurement")
+    return j.select("specimen", "measurement", "file", "n_params", (F.col("n_params") == 1).alias("usable"))
 
 
 def overlap(a: DataFrame, b: DataFrame, cell=CELL) -> DataFrame:
@@ -63,11 +73,12 @@ def overlap(a: DataFrame, b: DataFrame, cell=CELL) -> DataFrame:
     return j.select(*cell, F.when(F.col("old").isNull(), "only_new").when(F.col("new").isNull(), "only_old").otherwise("both").alias("kind"))
 
 
-def compare(a: DataFrame, b: DataFrame, cell=CELL) -> DataFrame:
-    """One row: cells that differ (missing equals missing) and the norm of the differences over the norm of a."""
+def compare(a: DataFrame, b: DataFrame, cell=CELL, by=()) -> DataFrame:
+    """A row for each value of the cell columns `by`, or one in all: cells that differ (missing equals missing) and the norm of the
+    differences over the norm of a."""
     j = a.select(*cell, F.nanvl("v", F.lit(None)).alias("a")).join(b.select(*cell, F.nanvl("v", F.lit(None)).alias("b")), list(cell), "full")
     d = F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0))
-    return j.agg(F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("n_differ"), F.try_divide(F.sqrt(F.sum(d * d)), F.sqrt(F.sum(F.col("a") * F.col("a")))).alias("relative"))
+    return j.groupBy(*by).agg(F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("n_differ"), F.try_divide(F.sqrt(F.sum(d * d)), F.sqrt(F.sum(F.col("a") * F.col("a")))).alias("relative"))
 
 
 def dense(raster: DataFrame, nx: int, ny: int, fill: float = 0.0, frame=()) -> DataFrame:
@@ -98,13 +109,15 @@ def opened(mask: DataFrame, frame=()) -> DataFrame:
     return cross(cross(mask, True), False)
 
 
-def slope_mismatch(depth: DataFrame, limit: float, frame=()) -> DataFrame:
-    """Cells of a dense depth raster, each frame alone, whose step to any 4-neighbour reaches limit; edges and missing values always are."""
+def slope_mismatch(depth: DataFrame, focal: tuple[float, float], frame=(), limit: float = math.pi / 5) -> DataFrame:
+    """frame, ix, iy, m: cells of a dense depth raster (z, and dx, dy, the change of z that the surface there predicts a pixel on), each
+    frame alone, whose slope angle to any of the four neighbours is off the predicted angle by limit or more. A pixel is as wide as
+    z / focal; predictions of both axes are taken with the first focal length. Edges and missing values always mismatch."""
     row, col = Window.partitionBy(*frame, "iy").orderBy("ix"), Window.partitionBy(*frame, "ix").orderBy("iy")
-    v = F.nanvl("v", F.lit(None))
-    d = depth.withColumn("v", v)
-    near = [F.lag("v", 1).over(row), F.lead("v", 1).over(row), F.lag("v", 1).over(col), F.lead("v", 1).over(col)]
+    d = depth.withColumns({c: F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in ("z", "dx", "dy")})
+    z = F.col("z")
+    steps = [("dx", z - F.lead("z").over(row), focal[0]), ("dx", F.lag("z").over(row) - z, focal[0]), ("dy", z - F.lead("z").over(col), focal[1]), ("dy", F.lag("z").over(col) - z, focal[1])]
     smooth = F.lit(True)
-    for x in near:
-        smooth = smooth & F.coalesce(F.abs(F.col("v") - x) < limit, F.lit(False))
+    for predicted, actual, f in steps:
+        smooth = smooth & F.coalesce(F.abs(F.atan2(F.col(predicted), z / focal[0]) - F.atan2(actual, z / f)) < limit, F.lit(False))
     return d.select(*frame, "ix", "iy", (~smooth).alias("m"))

