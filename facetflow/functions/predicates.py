@@ -1,7 +1,13 @@
-"""Geometric predicates as Column expressions over rings (arrays of struct x, y)."""
+"""Geometric predicates as Column expressions over rings (arrays of struct x, y; in space x, y, z).
+
+Null coordinates give null. Edges and corners are inside, and boxes are closed.
+"""
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,11 +35,89 @@ def _on(a, b, px, py) -> Column:
     return (s == 0) & (px >= F.least(a["x"], b["x"])) & (px <= F.greatest(a["x"], b["x"])) & (py >= F.least(a["y"], b["y"])) & (py <= F.greatest(a["y"], b["y"]))
 
 
-def in_polygon(ring: Column, px: Column, py: Column) -> Column:
-    """Winding number test; corners and edges are inside."""
+def in_polygon(ring: Column, px: Column, py: Column, tolerance: float = 0.0) -> Column:
+    """Winding number test; corners and edges, and what is within tolerance of an edge, are inside."""
     e = _edges(ring)
     wind = F.aggregate(e, F.lit(0), lambda n, x: n + _step(x["a"], x["b"], px, py))
-    return (wind != 0) | F.exists(e, lambda x: _on(x["a"], x["b"], px, py))
+    near = (lambda x: _edge_distance2(x["a"], x["b"], px, py) <= tolerance * tolerance) if tolerance else (lambda x: _on(x["a"], x["b"], px, py))
+    return (wind != 0) | F.exists(e, near)
+
+
+def _edge_distance2(a, b, px, py) -> Column:
+    """Squared distance of a point to a segment."""
+    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+    t = F.try_divide((px - a["x"]) * dx + (py - a["y"]) * dy, F.nullif(dx * dx + dy * dy, F.lit(0.0)))
+    t = F.coalesce(F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+    x, y = a["x"] + t * dx - px, a["y"] + t * dy - py
+    return x * x + y * y
+
+
+def winding(ring: Column, px: Column, py: Column) -> Column:
+    """Turns of the ring around a point, by its edges' angles; null on a corner or an edge."""
+    e = F.transform(_edges(ring), lambda s: F.struct((s["a"]["x"] - px).alias("ax"), (s["a"]["y"] - py).alias("ay"), (s["b"]["x"] - px).alias("bx"), (s["b"]["y"] - py).alias("by")))
+    det, dot = lambda s: s["ax"] * s["by"] - s["bx"] * s["ay"], lambda s: s["ax"] * s["bx"] + s["ay"] * s["by"]
+    on = F.exists(e, lambda s: (det(s) == 0) & (dot(s) <= 0))
+    return F.when(~on, F.aggregate(e, F.lit(0.0), lambda n, s: n + F.atan2(det(s), dot(s))) / (2 * math.pi))
+
+
+def inside_by_winding(turns: Column) -> Column:
+    """On the ring, or around it by a thousandth of a turn at least: what is no whole turn comes from rounding near an edge."""
+    return turns.isNull() | (F.abs(turns) >= 0.001)
+
+
+def in_polygon3(ring: Column, point: tuple, first: tuple, second: tuple) -> Column:
+    """in_polygon for a planar ring in space, in the plane of two in-plane vectors."""
+    flat = lambda x, y, z, e: x * e[0] + y * e[1] + z * e[2]
+    r = F.transform(ring, lambda q: F.struct(flat(q["x"], q["y"], q["z"], first).alias("x"), flat(q["x"], q["y"], q["z"], second).alias("y")))
+    return in_polygon(r, flat(*point, first), flat(*point, second))
+
+
+def vertices_in_box(ring: Column, low: dict, high: dict) -> Column:
+    """Whether all corners are in a closed box; low and high by axis name, two or three of them."""
+    inside = lambda q: functools.reduce(lambda a, b: a & b, [(q[n] >= low[n]) & (q[n] <= high[n]) for n in low])
+    return F.forall(ring, inside)
+
+
+def polygon_hits_box2(ring: Column, bx0, by0, bx1, by1) -> Column:
+    """Whether an edge meets the box."""
+    return F.exists(_edges(ring), lambda s: segment_hits_box2(s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"], bx0, by0, bx1, by1))
+
+
+def box_in_polygon2(ring: Column, bx0, by0, bx1, by1) -> Column:
+    """Whether all four corners of the box are inside."""
+    return functools.reduce(lambda a, b: a & b, [in_polygon(ring, x, y) for x in (bx0, bx1) for y in (by0, by1)])
+
+
+def polygon_touches_box2(ring: Column, bx0, by0, bx1, by1) -> Column:
+    """Whether a polygon and a box have a point in common: corners in the box, an edge that meets it, or the box inside."""
+    return vertices_in_box(ring, {"x": bx0, "y": by0}, {"x": bx1, "y": by1}) | polygon_hits_box2(ring, bx0, by0, bx1, by1) | box_in_polygon2(ring, bx0, by0, bx1, by1)
+
+
+def segment_hits_box(a: tuple, b: tuple, low: tuple, high: tuple) -> Column:
+    """Slab method for a segment in two or three dimensions."""
+    enter, leave, ok = F.lit(0.0), F.lit(1.0), F.lit(True)
+    for p, q, lo, hi in zip(a, b, low, high):
+        d = q - p
+        t0, t1 = F.try_divide(lo - p, F.nullif(d, F.lit(0.0))), F.try_divide(hi - p, F.nullif(d, F.lit(0.0)))
+        enter, leave = F.greatest(enter, F.least(t0, t1)), F.least(leave, F.greatest(t0, t1))  # nulls, where d is 0, are passed over
+        ok = ok & ((d != 0) | ((p >= lo) & (p <= hi)))
+    return ok & (enter <= leave)
+
+
+def polygon_hits_box3(ring: Column, normal: tuple, first: tuple, second: tuple, low: tuple, high: tuple) -> Column:
+    """Whether a planar polygon meets a box: an edge does, or one of the box's diagonals goes through the polygon. normal and the two
+    in-plane vectors are Columns."""
+    xyz = lambda q: (q["x"], q["y"], q["z"])
+    edge = F.exists(_edges(ring), lambda s: segment_hits_box(xyz(s["a"]), xyz(s["b"]), low, high))
+    p0, through = F.get(ring, F.lit(0)), F.lit(False)
+    plane = sum(n * c for n, c in zip(normal, xyz(p0)))
+    for flip in ((0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1)):
+        a = tuple(h if f else lo for f, lo, h in zip(flip, low, high))
+        d = tuple((lo if f else h) - c for f, lo, h, c in zip(flip, low, high, a))
+        t = F.try_divide(plane - sum(n * c for n, c in zip(normal, a)), F.nullif(sum(n * c for n, c in zip(normal, d)), F.lit(0.0)))
+        at = tuple(c + t * s for c, s in zip(a, d))
+        through = through | F.coalesce(t.between(0, 1) & in_polygon3(ring, at, first, second), F.lit(False))
+    return edge | through
 
 
 def in_quad(corners: list[tuple[Column, Column]], px: Column, py: Column) -> Column:

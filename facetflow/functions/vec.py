@@ -90,3 +90,50 @@ def plane_distance(normal, centre, origin, direction) -> Column:
 def pixel_ray(px, py, fx: float, fy: float, cx: float, cy: float):
     """Unit direction of a pinhole pixel, y and z turned from the image's to the scene's sense."""
     return unit(((px - cx) / fx, -(py - cy) / fy, F.lit(-1.0)))
+
+
+def hit_direction_shift(normal, centre, origin, direction, change):
+    """How the place where a ray meets a plane moves with its direction's change; null where they are parallel."""
+    facing = F.nullif(dot(direction, normal), F.lit(0.0))
+    far = F.try_divide(dot(normal, sub(centre, origin)), facing * facing)
+    return tuple(far * (c * facing - dot(change, normal) * d) for c, d in zip(change, direction))
+
+
+def hit_origin_shift(normal, direction, change):
+    """How the place where a ray meets a plane moves with its origin's change; null where they are parallel."""
+    t = F.try_divide(dot(change, normal), F.nullif(dot(direction, normal), F.lit(0.0)))
+    return tuple(c - t * d for c, d in zip(change, direction))
+
+
+def orthographic_ray(px, py, fx: float, fy: float, cu: float, cv: float):
+    """(origin, direction) of a pixel without perspective."""
+    return ((px - cu) / fx, -(py - cv) / fy, F.lit(0.0)), (F.lit(0.0), F.lit(0.0), F.lit(-1.0))
+
+
+def pixel_ray_shifts(px, py, fx: float, fy: float, cx: float, cy: float):
+    """How the unit direction of a pinhole pixel changes a pixel to the right, and a pixel down."""
+    raw = ((px - cx) / fx, -(py - cy) / fy, F.lit(-1.0))
+    n = norm(raw)
+    u = tuple(x / n for x in raw)
+    out = []
+    for step in ((F.lit(1 / fx), F.lit(0.0), F.lit(0.0)), (F.lit(0.0), F.lit(-1 / fy), F.lit(0.0))):
+        along = dot(u, step)
+        out.append(tuple((s - along * c) / n for s, c in zip(step, u)))
+    return tuple(out)
+
+
+def project(point, pose: list, fx: float, fy: float, cx: float, cy: float):
+    """Pixel of a point: the pose (4 x 4, row by row, numbers or Columns) takes it before the camera, which looks along -z; null where the
+    point isn't before it."""
+    x, y, z = affine(pose, point)
+    deep = F.when(z < 0, -z)
+    return x / deep * fx + cx, -y / deep * fy + cy
+
+
+def rotation(rx, ry, rz) -> list:
+    """The 4 x 4 rotation, row by row, about a rotation vector whose length is the angle (Columns); no rotation for a zero vector."""
+    angle = F.sqrt(rx * rx + ry * ry + rz * rz)
+    x, y, z = (F.coalesce(F.try_divide(c, F.nullif(angle, F.lit(0.0))), F.lit(0.0)) for c in (rx, ry, rz))
+    c, s = F.cos(angle), F.sin(angle)
+    k, zero, one = 1 - c, F.lit(0.0), F.lit(1.0)
+    return [c + x * x * k, x * y * k - z * s, x * z * k + y * s, zero, y * x * k + z * s, c + y * y * k, y * z * k - x * s, zero, z * x * k - y * s, z * y * k + x * s, c + z * z * k, zero, zero, zero, zero, one]

@@ -55,3 +55,8 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     part = lambda c, n: (F.col(c) % n) / float(n)
     return o.select(F.col("o_orderkey").alias("line"), part("o_orderkey", 97).alias("u1"), part("o_orderkey", 89).alias("v1"), (part("o_custkey", 83) * 1.4 - 0.2).alias("u2"), (part("o_custkey", 79) * 1.4 - 0.2).alias("v2"))
+
+
+def texels(spark: SparkSession, nx: int, ny: int) -> DataFrame:
+    """iu, iv of an nx x ny texture."""
+    return spark.range(nx * ny).select((F.col("id") % nx).cast("int").alias("iu"), F.expr(f"cast(id div {nx} as int)").alias("iv"))
