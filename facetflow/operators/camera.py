@@ -37,13 +37,18 @@ def rectification_map(images: DataFrame, corners: list[str], n: Column, m: Colum
     return d.withColumns({"sx": at(x0, x1, x3), "sy": at(y0, y1, y3)}).drop("g", "h")
 
 
+def taps(places: DataFrame, place: list[str]) -> DataFrame:
+    """place, px, py, tw: the up to four pixels that a place (sx, sy) is read from, with their bilinear weights."""
+    fx, fy = F.col("sx") - F.floor("sx"), F.col("sy") - F.floor("sy")
+    four = [(a, b, (fx if a else 1 - fx) * (fy if b else 1 - fy)) for a in (0, 1) for b in (0, 1)]
+    tap = F.array(*(F.struct((F.floor("sx") + a).cast("int").alias("px"), (F.floor("sy") + b).cast("int").alias("py"), w.alias("tw")) for a, b, w in four))
+    return places.select(*place, F.explode(tap).alias("tap")).select(*place, "tap.*").where("tw > 0")
+
+
 def resample(places: DataFrame, frames: DataFrame, place: list[str], keys: list[str] = []) -> DataFrame:
     """place, the other columns of frames, v: frames (ix, iy, v, ...) read bilinearly at places (sx, sy), joined on keys and pixel.
     Pixels that aren't there count as 0; a place that sees none has no row, and a result of exactly 0 is null."""
-    fx, fy = F.col("sx") - F.floor("sx"), F.col("sy") - F.floor("sy")
-    taps = [(a, b, (fx if a else 1 - fx) * (fy if b else 1 - fy)) for a in (0, 1) for b in (0, 1)]
-    tap = F.array(*(F.struct((F.floor("sx") + a).cast("int").alias("px"), (F.floor("sy") + b).cast("int").alias("py"), w.alias("tw")) for a, b, w in taps))
-    p = places.select(*place, *(k for k in keys if k not in place), F.explode(tap).alias("tap")).select("*", "tap.*").where("tw > 0")
+    p = taps(places, [*place, *(k for k in keys if k not in place)])
     other = [c for c in frames.columns if c not in ("ix", "iy", "v", *keys)]
     source = frames.where("v is not null and not isnan(v)").select(*keys, *other, F.col("ix").alias("px"), F.col("iy").alias("py"), "v")
     out = p.join(source, [*keys, "px", "py"]).groupBy(*place, *other).agg(F.sum(F.col("tw") * F.col("v")).alias("v"))
@@ -62,7 +67,7 @@ def _drop_axis(axis: Column, p) -> tuple[Column, Column]:
     return F.when(axis == 0, y).otherwise(x), F.when(axis == 2, y).otherwise(z)
 
 
-def pinhole_hits(pixels: DataFrame, faces: DataFrame, f: tuple, c: tuple, tile: int = 8) -> DataFrame:
+def pinhole_hits(pixels: DataFrame, faces: DataFrame, f: tuple, c: tuple, tile: int = 8, perspective: bool = True) -> DataFrame:
     """image, ix, iy, dist, facet, cosine: the nearest facet on each pixel's ray, the smallest of equally near ones, null on a miss.
 
     faces: image, facet, ring (array of x, y, z in camera coordinates; the camera looks along -z), normal nx, ny, nz. Pixels and
@@ -72,8 +77,9 @@ def pinhole_hits(pixels: DataFrame, faces: DataFrame, f: tuple, c: tuple, tile:
     extent = p.groupBy("image").agg(*(g(F.floor(F.col(n) / tile)).cast("int").alias(a + n) for n in ("ix", "iy") for a, g in (("lo_", F.min), ("hi_", F.max))))
     z_far = F.array_max(F.transform("ring", lambda q: q["z"]))
     z_near = F.array_min(F.transform("ring", lambda q: q["z"]))
-    picture = {"x": lambda q: c[0] - f[0] * q["x"] / q["z"], "y": lambda q: c[1] + f[1] * q["y"] / q["z"]}
-    front = z_far < 0
+    deep = (lambda q: -q["z"]) if perspective else (lambda q: F.lit(1.0))
+    picture = {"x": lambda q: c[0] + f[0] * q["x"] / deep(q), "y": lambda q: c[1] - f[1] * q["y"] / deep(q)}
+    front = z_far < 0 if perspective else F.lit(True)
     side = {}
     for n, at in picture.items():
         seen = F.transform("ring", at)
@@ -90,12 +96,33 @@ def pinhole_hits(pixels: DataFrame, faces: DataFrame, f: tuple, c: tuple, tile:
     q = q.withColumn("tx", F.explode(F.sequence("t_lo_x", "t_hi_x"))).withColumn("ty", F.explode(F.sequence("t_lo_y", "t_hi_y")))
     q = q.select("image", "tx", "ty", "facet", "nx", "ny", "nz", "axis", "plane", "flat", "lo_x", "hi_x", "lo_y", "hi_y")
     tiled = p.withColumns({"tx": F.floor(F.col("ix") / tile).cast("int"), "ty": F.floor(F.col("iy") / tile).cast("int")})
-    tiled = tiled.withColumns(dict(zip(("dx", "dy", "dz"), vec.pixel_ray(F.col("ix"), F.col("iy"), *map(float, (*f, *c))))))
-    d = vec.vec("d")
+    at = (F.col("ix"), F.col("iy"), *map(float, (*f, *c)))
+    origin, direction = ((F.lit(0.0),) * 3, vec.pixel_ray(*at)) if perspective else vec.orthographic_ray(*at)
+    tiled = tiled.withColumns(dict(zip(("dx", "dy", "dz"), direction)) | dict(zip(("ox", "oy", "oz"), origin)))
+    d, o = vec.vec("d"), vec.vec("o")
     facing = vec.dot(n, d)
-    j = tiled.join(q, ["image", "tx", "ty"]).withColumn("dist", F.try_divide("plane", F.nullif(facing, F.lit(0.0)))).where("dist > 0")
-    hx, hy = _drop_axis(F.col("axis"), vec.scale(d, F.col("dist")))
+    j = tiled.join(q, ["image", "tx", "ty"]).withColumn("dist", F.try_divide(F.col("plane") - vec.dot(n, o), F.nullif(facing, F.lit(0.0)))).where("dist > 0")
+    hx, hy = _drop_axis(F.col("axis"), vec.add_scaled(o, d, F.col("dist")))
     # the box of the facet first: it is compiled, and few rows are left for the exact test
     hit = j.where(hx.between(F.col("lo_x"), F.col("hi_x")) & hy.between(F.col("lo_y"), F.col("hi_y")) & pr.in_polygon(F.col("flat"), hx, hy))
     near = hit.groupBy("image", "ix", "iy").agg(F.min(F.struct("dist", "facet", F.abs(facing).alias("cosine"))).alias("near"))
     return p.join(near, ["image", "ix", "iy"], "left").select("image", "ix", "iy", "near.dist", "near.facet", "near.cosine")
+
+
+def orthographic_hits(pixels: DataFrame, faces: DataFrame, f: tuple, c: tuple, tile: int = 8) -> DataFrame:
+    """pinhole_hits for parallel rays along -z: pixel (ix, iy) starts at ((ix - c) / f, -(iy - c) / f, 0)."""
+    return pinhole_hits(pixels, faces, f, c, tile, perspective=False)
+
+
+def weight_map(projected: DataFrame, angles: DataFrame, nx: int, ny: int, dx: float, dy: float, frame=(), threshold: float = 0.01, tile: int = 64) -> DataFrame:
+    """frame, iu, iv, weight on the texels of an nx x ny texture: the projected agreement of the depths (sums sum_wv, sum_w of frame, iu, iv; less
+    than threshold of weight counts as none), spread by clamped diffusion from 1 over dx and dy texels, times the projected factor of the
+    angles (the same sums)."""
+    from .diffusion import diffuse
+    from .fusion import dense, normalize
+
+    on = lambda s: normalize(s, threshold).select(*frame, F.col("iu").alias("ix"), F.col("iv").alias("iy"), "v")
+    upper = dense(on(projected), nx, ny, frame=frame).select(*frame, "ix", "iy", F.col("v").alias("upper"), F.lit(1.0).alias("v"))
+    blurred = diffuse(upper, nx, ny, dx, dy, tile, frame) if dx > 0 and dy > 0 else upper.select(*frame, "ix", "iy", F.col("upper").alias("v"))
+    j = blurred.join(on(angles).withColumnRenamed("v", "a"), [*frame, "ix", "iy"], "left")
+    return j.select(*frame, F.col("ix").alias("iu"), F.col("iy").alias("iv"), (F.col("v") * F.coalesce("a", F.lit(0.0))).alias("weight"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,3 +62,47 @@ def reference_chain(refs: DataFrame) -> DataFrame:
         if joined.where("far is not null").isEmpty():
             return cur
     raise ValueError("channels refer to each other in a circle")
+
+
+def processable(dims: str, least: int, second: int) -> Column:
+    """Whether an array of dimensions has two or three of them and begins with these two."""
+    return F.size(dims).between(2, 3) & (F.get(dims, F.lit(0)) == least) & (F.get(dims, F.lit(1)) == second)
+
+
+def process_some(channels: DataFrame, which: Column, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """work on the channels that `which` holds for; all others, nulls included, pass. The order is the column `ord`, sorted when read."""
+    yes = F.coalesce(which, F.lit(False))
+    return work(channels.where(yes)).unionByName(channels.where(~yes))
+
+
+def with_geometry(channels: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Channels whose `axis` is among those of wanted."""
+    return channels.join(wanted.select("axis").distinct(), "axis", "left_semi")
+
+
+def scales(textures: DataFrame, scaling: DataFrame) -> DataFrame:
+    """textures with lower and whole of their texture (a leading # doesn't count); 0 and 1 where none is given. Of repeated scalings one counts."""
+    s = scaling.dropDuplicates(["texture"]).select(F.col("texture").alias("name"), "lower", "whole")
+    j = textures.withColumn("name", F.regexp_replace("texture", "^#", "")).join(s, "name", "left").drop("name")
+    return j.withColumns({"lower": F.coalesce("lower", F.lit(0.0)), "whole": F.coalesce("whole", F.lit(1.0))})
+
+
+def replace_surfaces(old: DataFrame, new: DataFrame) -> DataFrame:
+    """part, ord, old_mesh, new_mesh of surfaces (part, ord, mesh) matched by order; raises where a surface lacks its partner."""
+    j = old.select("part", "ord", F.col("mesh").alias("old_mesh")).join(new.select("part", "ord", F.col("mesh").alias("new_mesh")), ["part", "ord"], "full")
+    lone = F.col("old_mesh").isNull() | F.col("new_mesh").isNull()
+    checked = F.when(lone, F.raise_error(F.concat(F.lit("surfaces of a part differ in number: "), F.col("part").cast("string"))).cast("string"))
+    return j.where(checked.isNull())
+
+
+def largest_pattern(found: DataFrame) -> DataFrame:
+    """image, nx, ny of the pattern of most points of those found (image, nx, ny, found)."""
+    return found.where("found").groupBy("image").agg(F.max_by(F.struct("nx", "ny"), F.col("nx") * F.col("ny")).alias("p")).select("image", "p.nx", "p.ny")
+
+
+def landmark_pairs(image: DataFrame, part: DataFrame, least: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(name, px, py, x, y, z of landmarks of both an image (name, px, py) and a part (name, x, y, z), names of the image's that the part lacks).
+    There are no pairs at all if fewer than `least` match. Names are unique in each."""
+    j = image.select("name", "px", "py").join(part.select("name", "x", "y", "z"), "name")
+    enough = j.agg((F.count("*") >= least).alias("enough"))
+    return j.crossJoin(F.broadcast(enough)).where("enough").drop("enough"), image.select("name").join(part, "name", "left_anti")  # enough is one row

@@ -96,3 +96,52 @@ def project_frames(spark, d):
     at = lambda n, f, c: ((F.col(n) - c) / f * depth + 2) * 4
     p = pixels.join(hits, ["image", "ix", "iy"]).select("t", at("ix", FOCAL[0], CENTRE[0]).alias("u"), at("iy", FOCAL[1], CENTRE[1]).alias("v"), F.col("v").alias("value"), (F.col("w") * F.col("cosine")).alias("w"))
     return project.splat(p, "t").select("t", "iu", "iv", R("sum_wv", 4).alias("sum_wv"), R("sum_w", 4).alias("sum_w"))
+
+
+#: The same rectangles seen by parallel rays; pixels of 1/9 and 1/10.
+_PLAN = f"WITH {fx.PIXELS_SQL}, p AS (SELECT DISTINCT shot AS image, ix, iy, (ix - 15.3::DOUBLE) / 9 AS ox, -(iy - 15.7::DOUBLE) / 10 AS oy FROM pixels), f AS (SELECT p_partkey AS facet, 2 + p_partkey / 1000.0::DOUBLE AS depth, (p_partkey % 101) / 101.0::DOUBLE * 1.6::DOUBLE - 0.79863::DOUBLE AS a, (p_partkey % 103) / 103.0::DOUBLE * 1.6::DOUBLE - 0.79741::DOUBLE AS b, p_size / 500.0::DOUBLE AS s FROM part), n AS (SELECT image, ix, iy, min(facet) AS facet, min(depth) AS depth FROM p JOIN f ON ox BETWEEN a * depth AND (a + s) * depth AND -oy BETWEEN b * depth AND (b + s) * depth GROUP BY ALL)"
+
+
+@query("join06_orthographic_hits", f"{_PLAN} SELECT p.image, p.ix, p.iy, facet, round(depth, 6) AS dist, CASE WHEN facet IS NOT NULL THEN 1.0::DOUBLE END AS cosine FROM p LEFT JOIN n USING (image, ix, iy)")
+def orthographic(spark, d):
+    pixels = fx.pixels(spark, d).withColumnRenamed("shot", "image")
+    hits = op.orthographic_hits(pixels, _faces(spark, d), (9.0, 10.0), CENTRE, 4)
+    return hits.select("image", "ix", "iy", "facet", R("dist").alias("dist"), R("cosine").alias("cosine"))
+
+
+@query("agg03_project_orthographic", f"""{_PLAN}, m AS (SELECT l_orderkey % 4 AS image, l_partkey % 32 AS ix, l_suppkey % 32 AS iy, l_linenumber AS t, l_quantity AS value, 1 - l_discount * 10 AS w FROM lineitem),
+g AS (SELECT t, value, w, (ox + 2) * 4 AS u, (oy + 2) * 4 AS z FROM m JOIN n USING (image, ix, iy) JOIN p USING (image, ix, iy) WHERE w > 0),
+k AS (SELECT *, floor(u)::INTEGER + a.d AS iu, floor(z)::INTEGER + b.d AS iv FROM g, (VALUES (-1), (0), (1), (2)) a(d), (VALUES (-1), (0), (1), (2)) b(d)),
+c AS (SELECT t, iu, iv, value, w * (0.5 + 0.5 * cos(sqrt((iu - u) * (iu - u) + (iv - z) * (iv - z)) * 0.4 * pi() / sqrt(2))) AS c FROM k WHERE (iu - u) * (iu - u) + (iv - z) * (iv - z) <= 2.25)
+SELECT t, iu, iv, round(sum(c * value), 4) + 0.0 AS sum_wv, round(sum(c), 4) + 0.0 AS sum_w FROM c GROUP BY ALL""")
+def project_orthographic(spark, d):
+    """Frames with a validity image of their own (w), on what parallel rays meet."""
+    pixels = fx.pixels(spark, d).withColumnRenamed("shot", "image")
+    hits = op.orthographic_hits(pixels, _faces(spark, d), (9.0, 10.0), CENTRE, 4).where("facet is not null")
+    at = lambda n, f, c, sign: (sign * (F.col(n) - c) / f + 2) * 4
+    p = pixels.join(hits, ["image", "ix", "iy"]).select("t", at("ix", 9.0, CENTRE[0], 1).alias("u"), at("iy", 10.0, CENTRE[1], -1).alias("v"), F.col("v").alias("value"), "w")
+    return project.splat(p, "t").select("t", "iu", "iv", R("sum_wv", 4).alias("sum_wv"), R("sum_w", 4).alias("sum_w"))
+
+
+@query("agg34_weight_map", f"WITH {fx.PIXELS_SQL}, s AS (SELECT shot, ix, iy, sum(w * (t % 2)) AS a, sum(w) AS w, sum(w * v / 53) AS b FROM pixels GROUP BY ALL), n AS (SELECT shot, ix, iy, CASE WHEN w < 0.01 THEN 0 ELSE a / w END AS up, CASE WHEN w < 0.01 THEN 0 ELSE b / w END AS f FROM s), g AS (SELECT q.shot, (i % 32)::INTEGER AS iu, (i // 32)::INTEGER AS iv, coalesce(up, 0.0) AS up, coalesce(f, 0.0) AS f FROM (SELECT DISTINCT shot FROM n) q CROSS JOIN range(1024) r(i) LEFT JOIN n ON n.shot = q.shot AND ix = i % 32 AND iy = i // 32) SELECT shot, iu, iv, round(up * f, 5) + 0.0 AS weight FROM g")
+def unblurred_weights(spark, d):
+    """Weights by agreement and angle, without blur (a distance of 0)."""
+    return _weights(spark, d, 0.0).select("shot", "iu", "iv", R("weight", 5).alias("weight"))
+
+
+def _weights(spark, d, far):
+    p = fx.pixels(spark, d).select("shot", F.col("ix").alias("iu"), F.col("iy").alias("iv"), "t", "v", "w")
+    sums = lambda v: p.groupBy("shot", "iu", "iv").agg(F.sum(F.col("w") * v).alias("sum_wv"), F.sum("w").alias("sum_w"))
+    return op.weight_map(sums(F.col("t") % 2), sums(F.col("v") / 53), 32, 32, far, far, ("shot",), tile=16)
+
+
+@query("vec16_project_landmarks", f"WITH {fx.BOXES_SQL} SELECT mesh, vid, round(CASE WHEN z - 3 < 0 THEN (cos(0.3) * x - sin(0.3) * y + 0.1) / (3 - z) * 20 + 11.5 END, 6) AS px, round(CASE WHEN z - 3 < 0 THEN -(sin(0.3) * x + cos(0.3) * y - 0.2) / (3 - z) * 21 + 8.5 END, 6) AS py FROM vertices")
+def project_landmarks(spark, d):
+    """Vertices by a pose (a turn about z, a shift) into a pinhole picture; null behind the camera. Also SF-29: the turn is a rotation vector."""
+    from ..functions import vec
+    from ..operators import mesh
+
+    pose = vec.rotation(F.lit(0.0), F.lit(0.0), F.lit(0.3))
+    pose[3], pose[7], pose[11] = F.lit(0.1), F.lit(-0.2), F.lit(-3.0)
+    px, py = vec.project(vec.vec(), pose, 20.0, 21.0, 11.5, 8.5)
+    return mesh.box_vertices(fx.box_dims(spark, d)).select("mesh", "vid", R(px).alias("px"), R(py).alias("py"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import metadata as meta
 from ..session import table
 from .registry import query
 
@@ -17,16 +18,24 @@ def latest(spark, d):
     return g.select("name", F.col("last.value").alias("x"), (F.col("last.value") / 2).alias("y"))
 
 
-@query("join07_landmark_pairs", "WITH a AS (SELECT DISTINCT user_id % 40 AS k FROM events), b AS (SELECT n_nationkey AS k, n_name FROM nation) SELECT k, n_name AS name FROM a JOIN b USING (k)")
+IMAGE = "image AS (SELECT 'L' || user_id % 40 AS name, arg_max(value, event_id) AS px, min(value) AS py FROM events GROUP BY ALL), part3 AS (SELECT 'L' || n_nationkey AS name, n_nationkey::DOUBLE AS x, n_regionkey::DOUBLE AS y, 0.5::DOUBLE AS z FROM nation)"
+
+
+def _landmarks(spark, d):
+    """The landmarks of an image from a log, those of a part from the nations."""
+    e = table(spark, d, "events").groupBy(F.concat(F.lit("L"), (F.col("user_id") % 40).cast("string")).alias("name")).agg(F.max_by("value", "event_id").alias("px"), F.min("value").alias("py"))
+    p = table(spark, d, "nation").select(F.concat(F.lit("L"), F.col("n_nationkey").cast("string")).alias("name"), F.col("n_nationkey").cast("double").alias("x"), F.col("n_regionkey").cast("double").alias("y"), F.lit(0.5).alias("z"))
+    return meta.landmark_pairs(e, p)
+
+
+@query("join07_landmark_pairs", f"WITH {IMAGE} SELECT name, px, py, x, y, z FROM image JOIN part3 USING (name) WHERE (SELECT count(*) FROM image JOIN part3 USING (name)) >= 4")
 def pairs(spark, d):
-    a = table(spark, d, "events").select((F.col("user_id") % 40).alias("k")).distinct()
-    return a.join(table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("name")), "k")
+    return _landmarks(spark, d)[0]
 
 
-@query("join07_unmatched", "SELECT DISTINCT user_id % 40 AS k FROM events WHERE user_id % 40 NOT IN (SELECT n_nationkey FROM nation)")
+@query("join07_unmatched", f"WITH {IMAGE} SELECT name FROM image WHERE name NOT IN (SELECT name FROM part3)")
 def unmatched(spark, d):
-    a = table(spark, d, "events").select((F.col("user_id") % 40).alias("k")).distinct()
-    return a.join(table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k")), "k", "left_anti")
+    return _landmarks(spark, d)[1]
 
 
 @query("pred16_enough_landmarks", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id HAVING count(*) >= 4")

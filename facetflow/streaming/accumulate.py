@@ -15,16 +15,20 @@ def accumulate_stream(pixels: DataFrame) -> DataFrame:
 
 
 def run_available(stream: DataFrame, name: str) -> DataFrame:
-    """Run an aggregated stream over what there is now; the last state is written to the shared folder and read back."""
+    """Run an aggregated stream over what there is now; each batch writes the whole state to a folder of its own in the shared folder, the
+    last one is read back. A crash between two batches loses neither."""
     spark = stream.sparkSession
     out, place = fresh_path(spark, name), fresh_path(spark, f"{name}-checkpoint")
+    spark.createDataFrame([], stream.schema).write.parquet(f"{out}/none")
+    newest = ["none"]
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch-{number}")
+        newest[0] = f"batch-{number}"
 
     query = stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", place).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(f"{out}/{newest[0]}")
 
 
 def normalized(sums: DataFrame) -> DataFrame:
