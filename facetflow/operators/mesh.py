@@ -215,3 +215,12 @@ def merge_close(points: DataFrame, tolerance: float, max_rounds: int = 1000) ->
     else:
         one = one.withColumn("leader", F.col("own"))
     return p.join(one, ["x", "y", "z"]).select("id", F.coalesce("leader", "own").alias("leader"))
+
+
+def from_arrays(meshes: DataFrame) -> DataFrame:
+    """mesh, facet, n (corners), cx, cy, cz, maxradius, refsize from (mesh, points array of x, y, z, index with -1 ends)."""
+    vertices = meshes.select("mesh", F.posexplode("points").alias("vid", "p")).select("mesh", "vid", *(F.get("p", F.lit(i)).alias(c) for i, c in enumerate("xyz")))
+    run = F.coalesce(F.sum((F.col("vid") == -1).cast("int")).over(Window.partitionBy("mesh").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    corners = meshes.select("mesh", F.posexplode("index").alias("pos", "vid")).withColumn("facet", run).where("vid <> -1").select(*FACET, F.col("pos").alias("k"), "vid")
+    ring = corner_points(corners, vertices)
+    return centroids(ring).join(ring.groupBy(*FACET).agg(F.count("*").alias("n")), list(FACET))

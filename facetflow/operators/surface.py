@@ -67,3 +67,28 @@ def mirrored_line_means(lines: DataFrame, raster: DataFrame, n: int) -> DataFram
     m = line_means(pieces, raster, n)
     seen = F.when(F.col("mean").isNotNull(), F.col("length"))
     return m.groupBy(F.col("line.line").alias("line")).agg(F.count("*").alias("pieces"), F.sum("length").alias("length"), F.try_divide(F.sum(F.col("mean") * F.col("length")), F.nullif(F.sum(seen), F.lit(0.0))).alias("mean"))
+
+
+def merge_curvatures(tensors: DataFrame, tensor_tolerance: float, normal_tolerance: float, unit: float = 1.0, fallback: DataFrame | None = None) -> DataFrame:
+    """vid, k1, k2 (k1 >= k2) of vertices with several tensors (vid, t11, t12, t22, nx, ny, nz): the eigenvalues of the mean tensor, times unit, where
+    all tensors and normals are within tolerance of their means; else what fallback (vid, k1, k2) has, or null. A missing value never agrees."""
+    names = ("t11", "t12", "t22", "nx", "ny", "nz")
+    g = tensors.groupBy("vid").agg(*(F.avg(c).alias(c) for c in names), *(F.min(c).alias("lo_" + c) for c in names), *(F.max(c).alias("hi_" + c) for c in names), F.bool_or(F.lit(False) | F.concat(*(F.col(c).cast("string") for c in names)).isNull()).alias("missing"))
+    ok = ~F.col("missing")
+    for c in names:
+        bound = tensor_tolerance if c[0] == "t" else normal_tolerance
+        ok = ok & (F.greatest(F.col("hi_" + c) - F.col(c), F.col(c) - F.col("lo_" + c)) <= bound)
+    half, off = (F.col("t11") + F.col("t22")) / 2, (F.col("t11") - F.col("t22")) / 2
+    root = F.sqrt(off * off + F.col("t12") * F.col("t12"))
+    out = g.select("vid", F.when(ok, (half + root) * unit).alias("k1"), F.when(ok, (half - root) * unit).alias("k2"))
+    if fallback is None:
+        return out
+    f = fallback.select("vid", F.col("k1").alias("f1"), F.col("k2").alias("f2"))
+    return out.join(f, "vid", "left").select("vid", F.coalesce("k1", "f1").alias("k1"), F.coalesce("k2", "f2").alias("k2"))
+
+
+def candidates_inside(vertices: DataFrame, candidates: DataFrame, tolerance: float) -> DataFrame:
+    """vid, surface of the candidates (vid, surface, dist, inside) that a vertex is inside of and nearer to than tolerance; one row with a null
+    surface where there are none."""
+    good = candidates.where((F.col("dist") < tolerance) & F.col("inside")).select("vid", "surface")
+    return vertices.select("vid").join(good, "vid", "left")
