@@ -123,7 +123,7 @@ def project_orthographic(spark, d):
     return project.splat(p, "t").select("t", "iu", "iv", R("sum_wv", 4).alias("sum_wv"), R("sum_w", 4).alias("sum_w"))
 
 
-@query("agg34_weight_map", f"WITH {fx.PIXELS_SQL}, s AS (SELECT shot, ix, iy, sum(w * (t % 2)) AS a, sum(w) AS w, sum(w * v / 53) AS b FROM pixels GROUP BY ALL), n AS (SELECT shot, ix, iy, CASE WHEN w < 0.01 THEN 0 ELSE a / w END AS up, CASE WHEN w < 0.01 THEN 0 ELSE b / w END AS f FROM s), g AS (SELECT q.shot, (i % 32)::INTEGER AS iu, (i // 32)::INTEGER AS iv, coalesce(up, 0.0) AS up, coalesce(f, 0.0) AS f FROM (SELECT DISTINCT shot FROM n) q CROSS JOIN range(1024) r(i) LEFT JOIN n ON n.shot = q.shot AND ix = i % 32 AND iy = i // 32) SELECT shot, iu, iv, round(up * f, 5) + 0.0 AS weight FROM g")
+@query("agg34_weight_map", f"WITH {fx.PIXELS_SQL}, s AS (SELECT shot, ix, iy, sum(w * (t % 2)) AS a, sum(w) AS w, sum(w * v / 53.1234567::DOUBLE) AS b FROM pixels GROUP BY ALL), n AS (SELECT shot, ix, iy, CASE WHEN w < 0.01 THEN 0 ELSE a / w END AS up, CASE WHEN w < 0.01 THEN 0 ELSE b / w END AS f FROM s), g AS (SELECT q.shot, (i % 32)::INTEGER AS iu, (i // 32)::INTEGER AS iv, coalesce(up, 0.0) AS up, coalesce(f, 0.0) AS f FROM (SELECT DISTINCT shot FROM n) q CROSS JOIN range(1024) r(i) LEFT JOIN n ON n.shot = q.shot AND ix = i % 32 AND iy = i // 32) SELECT shot, iu, iv, round(up * f, 5) + 0.0 AS weight FROM g")
 def unblurred_weights(spark, d):
     """Weights by agreement and angle, without blur (a distance of 0)."""
     return _weights(spark, d, 0.0).select("shot", "iu", "iv", R("weight", 5).alias("weight"))
@@ -132,7 +132,7 @@ def unblurred_weights(spark, d):
 def _weights(spark, d, far):
     p = fx.pixels(spark, d).select("shot", F.col("ix").alias("iu"), F.col("iy").alias("iv"), "t", "v", "w")
     sums = lambda v: p.groupBy("shot", "iu", "iv").agg(F.sum(F.col("w") * v).alias("sum_wv"), F.sum("w").alias("sum_w"))
-    return op.weight_map(sums(F.col("t") % 2), sums(F.col("v") / 53), 32, 32, far, far, ("shot",), tile=16)
+    return op.weight_map(sums(F.col("t") % 2), sums(F.col("v") / 53.1234567), 32, 32, far, far, ("shot",), tile=16)
 
 
 @query("vec16_project_landmarks", f"WITH {fx.BOXES_SQL} SELECT mesh, vid, round(CASE WHEN z - 3 < 0 THEN (cos(0.3) * x - sin(0.3) * y + 0.1) / (3 - z) * 20 + 11.5 END, 6) AS px, round(CASE WHEN z - 3 < 0 THEN -(sin(0.3) * x + cos(0.3) * y - 0.2) / (3 - z) * 21 + 8.5 END, 6) AS py FROM vertices")
