@@ -111,13 +111,13 @@ def opened(mask: DataFrame, frame=()) -> DataFrame:
 
 def slope_mismatch(depth: DataFrame, focal: tuple[float, float], frame=(), limit: float = math.pi / 5) -> DataFrame:
     """frame, ix, iy, m: cells of a dense depth raster (z, and dx, dy, the change of z that the surface there predicts a pixel on), each
-    frame alone, whose slope angle to any of the four neighbours is off the predicted angle by limit or more. A pixel is as wide as
-    z / focal; predictions of both axes are taken with the first focal length. Edges and missing values always mismatch."""
+    frame alone, whose slope angle to any of the four neighbours is off the predicted angle by limit or more. A pixel is
+    z / focal wide, by the focal length of its axis. Edges and missing values always mismatch."""
     row, col = Window.partitionBy(*frame, "iy").orderBy("ix"), Window.partitionBy(*frame, "ix").orderBy("iy")
     d = depth.withColumns({c: F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in ("z", "dx", "dy")})
     z = F.col("z")
     steps = [("dx", z - F.lead("z").over(row), focal[0]), ("dx", F.lag("z").over(row) - z, focal[0]), ("dy", z - F.lead("z").over(col), focal[1]), ("dy", F.lag("z").over(col) - z, focal[1])]
     smooth = F.lit(True)
     for predicted, actual, f in steps:
-        smooth = smooth & F.coalesce(F.abs(F.atan2(F.col(predicted), z / focal[0]) - F.atan2(actual, z / f)) < limit, F.lit(False))
+        smooth = smooth & F.coalesce(F.abs(F.atan2(F.col(predicted), z / f) - F.atan2(actual, z / f)) < limit, F.lit(False))
     return d.select(*frame, "ix", "iy", (~smooth).alias("m"))

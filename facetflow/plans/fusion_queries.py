@@ -135,7 +135,7 @@ def _grid(spark, d):
 #: Depths from values, some missing, and what a plane through each pixel predicts for the next ones.
 DEPTH = "d AS (SELECT shot, t, ix, iy, CASE WHEN v = 13 THEN NULL ELSE 100 + v END AS z, (v - 25) / 10 AS dx, (ix - 16) / 8.0::DOUBLE AS dy FROM g)"
 NEAR = "s AS (SELECT *, lag(z) OVER r AS l, lead(z) OVER r AS n, lag(z) OVER c AS u, lead(z) OVER c AS e FROM d " + WINDOWS + ")"
-AGREE = " AND ".join(f"coalesce(abs(atan2({p}, z / {f}.0::DOUBLE) - atan2({a}, z / {q}.0::DOUBLE)) < pi() / 5, false)" for p, f, a, q in (("dx", 20, "z - n", 20), ("dx", 20, "l - z", 20), ("dy", 20, "z - e", 25), ("dy", 20, "u - z", 25)))
+AGREE = " AND ".join(f"coalesce(abs(atan2({p}, z / {f}.0::DOUBLE) - atan2({a}, z / {q}.0::DOUBLE)) < pi() / 5, false)" for p, f, a, q in (("dx", 20, "z - n", 20), ("dx", 20, "l - z", 20), ("dy", 25, "z - e", 25), ("dy", 25, "u - z", 25)))
 
 
 @query("win03_slope_mismatch", f"{GRID}, {DEPTH}, {NEAR} SELECT shot, t, ix, iy, NOT ({AGREE}) AS m FROM s")
