@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,24 @@ def analytic(waves: DataFrame) -> DataFrame:
     return out.withColumns({c: F.nanvl(c, F.lit(None)) for c in ("re", "im")})
 
 
+def analytic_rows(shots: DataFrame, *keep: str) -> DataFrame:
+    """keep, re, im (arrays) of waveforms that are rows with an array v: nothing is shuffled. An array that is null or holds a null or NaN gives nulls."""
+    kinds = dict(shots.dtypes)
+
+    def run(frames):
+        for pdf in frames:
+            z = [None if v is None else hilbert(np.asarray(v, float)) if len(v) else np.zeros(0, complex) for v in pdf.v]
+            whole = [x is not None and bool(np.isfinite(x).all()) for x in z]
+            yield pdf[list(keep)].assign(re=[x.real if ok else None for x, ok in zip(z, whole)], im=[x.imag if ok else None for x, ok in zip(z, whole)])
+
+    return shots.select(*keep, "v").mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keep), "re array<double>, im array<double>"]))
+
+
+def validity(c: Column) -> Column:
+    """A contact's weight: c, less under 0.4 and 0 under 0.1."""
+    return F.when(c < 0.1, F.lit(0.0)).when(c < 0.4, c * c / 0.4).otherwise(c)
+
+
 def contact_weight(signal: DataFrame, no_contact: DataFrame, first: int, last: int) -> DataFrame:
     """wf, c, validity of each waveform: c is 1 less its energy between two samples over that of the waveform without contact (one waveform;
     all c are null if it is missing or silent); validity is c, less under 0.4 and 0 under 0.1."""
@@ -44,8 +62,7 @@ def contact_weight(signal: DataFrame, no_contact: DataFrame, first: int, last: i
     ref = no_contact.agg(energy.alias("e0"))
     c = signal.groupBy("wf").agg(energy.alias("e")).crossJoin(F.broadcast(ref))  # ref is one row
     c = c.select("wf", (1 - F.try_divide("e", F.nullif(F.col("e0"), F.lit(0.0)))).alias("c"))
-    x = F.col("c")
-    return c.withColumn("validity", F.when(x < 0.1, F.lit(0.0)).when(x < 0.4, x * x / 0.4).otherwise(x))
+    return c.withColumn("validity", validity(F.col("c")))
 
 
 def on_face(signal: DataFrame, side: int, diameter: float) -> DataFrame:

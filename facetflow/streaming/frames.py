@@ -25,17 +25,19 @@ def projected(pixels: DataFrame, hits: DataFrame) -> DataFrame:
     return pixels.join(hits, ["image", "ix", "iy"])
 
 
+def tap_sums(pixels: DataFrame, tap_map: DataFrame, *frame: str) -> DataFrame:
+    """frame, ix, iy, s, c: sums of tap x weight x value and of tap x weight. Pixels without a value or weight count for nothing."""
+    p = pixels.where("w > 0 and v is not null and not isnan(v)").select(*frame, F.col("ix").alias("px"), F.col("iy").alias("py"), F.col("v").cast("double").alias("v"), F.col("w").cast("double").alias("w"))
+    c = F.col("tw") * F.col("w")
+    return p.join(tap_map, ["px", "py"]).groupBy(*frame, "ix", "iy").agg(F.sum(c * F.col("v")).alias("s"), F.sum(c).alias("c"))
+
+
 def undistorted(stream: DataFrame, tap_map: DataFrame, *frame: str) -> DataFrame:
     """frame, ix, iy, v: streamed pixels (frame, ix, iy, v, w) through a stored map of taps (ix, iy, px, py, tw) as the mean weighted by w and tap.
     The map is made once for a camera and read by each batch; batches leave sums, so a frame may come in any number of them."""
     kinds = dict(stream.dtypes)
-
-    def part(batch: DataFrame) -> DataFrame:
-        p = batch.where("w > 0 and v is not null and not isnan(v)").select(*frame, F.col("ix").alias("px"), F.col("iy").alias("py"), F.col("v").cast("double").alias("v"), F.col("w").cast("double").alias("w"))
-        c = F.col("tw") * F.col("w")
-        return p.join(tap_map, ["px", "py"]).groupBy(*frame, "ix", "iy").agg(F.sum(c * F.col("v")).alias("s"), F.sum(c).alias("c"))
-
-    sums = each_batch(stream, part, "undistorted", ", ".join([*(f"{f} {kinds[f]}" for f in frame), "ix int, iy int, s double, c double"]))
+    schema = ", ".join([*(f"{f} {kinds[f]}" for f in frame), "ix int, iy int, s double, c double"])
+    sums = each_batch(stream, lambda b: tap_sums(b, tap_map, *frame), "undistorted", schema)
     return sums.groupBy(*frame, "ix", "iy").agg((F.sum("s") / F.sum("c")).alias("v"))
 
 
