@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import mesh, surface as op
-from ..sources import fixtures as fx, x3d
+from ..session import cut
+from ..sources import fixtures as fx, stl, x3d
 from .registry import query
 
 W = f"WITH {fx.BOXES_SQL}"
@@ -31,6 +32,46 @@ def x3d_polygons(spark, d):
     return p.select(F.col("mesh.doc").cast("long").alias("mesh"), F.col("facet").cast("int").alias("facet"), "start", "size")
 
 
+_AXES = "ax AS (SELECT * FROM (VALUES (0, 0, 0, -1), (1, 0, 0, 1), (2, 0, -1, 0), (3, 1, 0, 0), (4, 0, 1, 0), (5, -1, 0, 0)) a(facet, nx, ny, nz))"
+
+
+@query("src03_x3d_attributes", f"{W}, {_AXES} SELECT mesh, facet, k, vid, (k IN (1, 2))::INTEGER::DOUBLE AS u, (k IN (2, 3))::INTEGER::DOUBLE AS v, nx::DOUBLE AS nx, ny::DOUBLE AS ny, nz::DOUBLE AS nz FROM corners JOIN ax USING (facet)")
+def x3d_attributes(spark, d):
+    """Boxes with texture coordinates and facet normals written as X3D and read back, corner by corner."""
+    c, v = _boxes(spark, d)
+    uv = c.withColumns({"u": F.col("k").isin(1, 2).cast("double"), "v": F.col("k").isin(2, 3).cast("double")})
+    found = x3d.shapes(x3d.texts(uv, v, mesh.normals(mesh.corner_points(c, v))).withColumnRenamed("mesh", "doc"))
+    out = x3d.corners(found).select(F.col("mesh.doc").cast("long").alias("mesh"), "facet", "k", "vid", "u", "v", *((F.col(n) + 0.0).alias(n) for n in ("nx", "ny", "nz")))
+    return out
+
+
+@query("src03_x3d_curvatures", f"{W} SELECT mesh, vid, round(1 / (vid + mesh + 1.0::DOUBLE), 6) AS k1, -0.5::DOUBLE * vid AS k2, 1.0::DOUBLE AS ax, 1.0::DOUBLE AS bz FROM vertices")
+def x3d_curvatures(spark, d):
+    """Principal curvatures and their tangents in X3D and back."""
+    c, v = _boxes(spark, d)
+    n = lambda x: F.lit(float(x))
+    bent = v.select("mesh", "vid", (1 / (F.col("vid") + F.col("mesh") + 1.0)).alias("k1"), (F.col("vid") * -0.5).alias("k2"), n(2).alias("ax"), n(0).alias("ay"), n(0).alias("az"), n(0).alias("bx"), n(0).alias("by"), n(3).alias("bz"))
+    found = x3d.shapes(x3d.texts(c, v, None, bent).withColumnRenamed("mesh", "doc"))
+    return x3d.curvatures(found).select(F.col("mesh.doc").cast("long").alias("mesh"), F.col("vid").cast("int").alias("vid"), R("k1").alias("k1"), R("k2").alias("k2"), "ax", "bz")
+
+
+@query("src01_stl_surfaces", f"{W}, {_AXES}, r AS (SELECT mesh, facet, k, x + mesh * 100 AS x, y, z FROM ring), s AS (SELECT mesh, facet, sum(x * w) / 6 AS cx, sum(y * w) / 6 AS cy, sum(z * w) / 6 AS cz FROM (SELECT *, CASE WHEN k IN (0, 2) THEN 2 ELSE 1 END AS w FROM r) GROUP BY ALL) SELECT mesh, 2 AS n, nx::DOUBLE AS nx, ny::DOUBLE AS ny, nz::DOUBLE AS nz, round(cx, 4) + 0.0 AS cx, round(cy, 4) + 0.0 AS cy, round(cz, 4) + 0.0 AS cz FROM s JOIN ax USING (facet)")
+def stl_surfaces(spark, d):
+    """Boxes beside each other as triangles in STL texts in millimetres without normals; read in metres, normals made, coplanar triangles joined."""
+    from ..session import fresh_path
+
+    c, v = _boxes(spark, d)
+    r = mesh.corner_points(c, v).withColumn("x", F.col("x") + F.col("mesh") * 100)
+    half = F.explode(F.array(*(F.struct(F.lit(h).alias("h"), F.lit(k).alias("t")) for h, ks in ((0, (0, 1, 2)), (1, (0, 2, 3))) for k in ks)))
+    t = r.withColumn("a", half).where("a.t = k").select("mesh", (F.col("facet") * 2 + F.col("a.h")).alias("facet"), "k", *((F.col(a) * 1000).alias(a) for a in "xyz"), *(F.lit(0.0).alias(n) for n in ("nx", "ny", "nz")))
+    path = fresh_path(spark, "stl")
+    stl.write_stl_text(t, path)
+    tri = cut(stl.with_normals(stl.read_stl_text(spark, path, 0.001)), "triangles")
+    s = stl.surfaces(tri, 0.5).join(tri, ["mesh", "facet"])
+    whole = s.groupBy("mesh", "surface").agg(F.count_distinct("facet").cast("int").alias("n"), *(F.avg(a).alias(o) for a, o in (("nx", "nx"), ("ny", "ny"), ("nz", "nz"), ("x", "cx"), ("y", "cy"), ("z", "cz"))))
+    return whole.select(F.floor(F.col("cx") / 100 + 1e-9).alias("mesh"), "n", *(R(a).alias(a) for a in ("nx", "ny", "nz")), *(R(a, 4).alias(a) for a in ("cx", "cy", "cz")))
+
+
 @query("agg08_texture_fit", f"{W}, e AS (SELECT mesh, facet, list(struct_pack(x, y, z) ORDER BY k) AS r FROM ring GROUP BY ALL), n AS (SELECT mesh, facet, sqrt((r[2].x - r[1].x) ** 2 + (r[2].y - r[1].y) ** 2 + (r[2].z - r[1].z) ** 2) AS a, sqrt((r[3].x - r[2].x) ** 2 + (r[3].y - r[2].y) ** 2 + (r[3].z - r[2].z) ** 2) AS b FROM e) SELECT mesh, facet, round(1 / a, 6) AS a11, 0.0::DOUBLE AS a12, 0.0::DOUBLE AS a21, round(1 / b, 6) AS a22, 0.5::DOUBLE AS u0, 0.5::DOUBLE AS v0 FROM n")
 def texture_fit(spark, d):
     """Each face of a box with the unit square as its texture: the fit's slopes are one over the sides."""

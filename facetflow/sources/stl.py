@@ -1,4 +1,8 @@
-"""Triangle meshes from STL files, binary or text."""
+"""Triangle meshes from STL files, binary or text: corners as rows, their normals, shared vertices and surfaces.
+
+Defined results: an empty folder or a file without facets gives no rows; facets of which a number can't be read raise in binaries and are
+left out of texts; equal corners of a mesh become one vertex, those of different meshes never do.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,9 @@ import re
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import mesh as op
 
 #: Layout of a binary file: a header, a count, and records of normal, three corners and two spare bytes.
 _HEADER = 80
@@ -30,7 +37,8 @@ def triangles(content: bytes) -> np.ndarray:
 
 
 def read_stl(spark: SparkSession, path: str, scale: float = 1.0) -> DataFrame:
-    """mesh (the file), facet, k, x, y, z, nx, ny, nz: a row for each corner, positions times scale. A file is read by one task."""
+    """mesh (the file), facet, k, x, y, z, nx, ny, nz: a row for each corner, positions times scale. A file is read by one task;
+    read_stl_text splits large texts."""
 
     def run(frames):
         for frame in frames:
@@ -44,3 +52,44 @@ def read_stl(spark: SparkSession, path: str, scale: float = 1.0) -> DataFrame:
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.stl").load(path).select("path", "content")
     return files.mapInPandas(run, "mesh string, facet long, k int, x double, y double, z double, nx double, ny double, nz double")
+
+
+def read_stl_text(spark: SparkSession, path: str, scale: float = 1.0) -> DataFrame:
+    """The columns of read_stl from text files, which Spark splits: a record ends at `endfacet`. facet rises within a mesh but has gaps."""
+    t = spark.read.option("lineSep", "endfacet").text(path).select(F.col("_metadata.file_path").alias("mesh"), F.monotonically_increasing_id().alias("facet"), "value")
+    three = r"(?:normal|vertex)\s+(\S+)\s+(\S+)\s+(\S+)"
+    t = t.select("mesh", "facet", *(F.transform(F.regexp_extract_all("value", F.lit(three), F.lit(i + 1)), lambda x: x.try_cast("double")).alias(c) for i, c in enumerate("xyz")))
+    t = t.where((F.size("x") == 4) & ~F.exists(F.concat("x", "y", "z"), lambda v: v.isNull()))
+    corner = F.posexplode(F.array(*(F.struct(*(F.get(c, F.lit(k)).alias(c) for c in "xyz")) for k in (1, 2, 3))))
+    t = t.select("mesh", "facet", *(F.get(c, F.lit(0)).alias("n" + c) for c in "xyz"), corner.alias("k", "p"))
+    return t.select("mesh", "facet", "k", *((F.col("p." + c) * scale).alias(c) for c in "xyz"), "nx", "ny", "nz")
+
+
+def write_stl_text(triangles: DataFrame, path: str) -> None:
+    """Text files of triangles (mesh, facet, k = 0 to 2, x, y, z, nx, ny, nz), a facet a row, each in a solid of its mesh's name."""
+    number = lambda *cs: F.concat_ws(" ", *(F.col(c).cast("string") for c in cs))
+    line = F.concat(F.lit("    vertex "), number(*"xyz"))
+    corners = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", line.alias("s")))), lambda r: r["s"]), "\n")
+    f = triangles.groupBy("mesh", "facet").agg(corners.alias("corners"), *(F.first(c).alias(c) for c in ("nx", "ny", "nz")))
+    name = F.col("mesh").cast("string")
+    f.select(F.concat(F.lit("solid "), name, F.lit("\nfacet normal "), number("nx", "ny", "nz"), F.lit("\n  outer loop\n"), "corners", F.lit("\n  endloop\nendfacet\nendsolid "), name)).write.text(path)
+
+
+def with_normals(triangles: DataFrame, again: bool = False) -> DataFrame:
+    """triangles with the facets' normals from their corners, for all meshes if asked, else for those whose first facet has a normal of zero;
+    the normal of a facet without area stays null then."""
+    zero = (F.col("nx") == 0) & (F.col("ny") == 0) & (F.col("nz") == 0)
+    first = triangles.groupBy("mesh").agg((F.lit(again) | F.min_by(zero, "facet")).alias("anew"))
+    made = op.normals(triangles.select("mesh", "facet", "k", "x", "y", "z")).select("mesh", "facet", *(F.col(c).alias("m" + c) for c in ("nx", "ny", "nz")))
+    j = triangles.join(first, "mesh").join(made, ["mesh", "facet"])
+    return j.select("mesh", "facet", "k", "x", "y", "z", *(F.when(F.col("anew"), F.col("m" + c)).otherwise(F.col(c)).alias(c) for c in ("nx", "ny", "nz")))
+
+
+def surfaces(triangles: DataFrame, angle: float) -> DataFrame:
+    """mesh, facet, surface: triangles (with their normals) joined over shared edges where normals are within an angle. A vertex is named by the
+    first corner at its place."""
+    t = triangles.withColumn("corner", F.col("facet") * 3 + F.col("k"))
+    place = ["mesh", "x", "y", "z"]
+    corners = t.join(t.groupBy(*place).agg(F.min("corner").alias("vid")), place).select("mesh", "facet", "k", "vid")
+    normals = triangles.where("k = 0").select("mesh", "facet", "nx", "ny", "nz")
+    return op.segments(corners, normals, angle)

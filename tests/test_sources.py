@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from facetflow.operators.metadata import reference_chain
-from facetflow.sources.stl import _RECORD, read_stl
+from facetflow.sources.stl import _RECORD, read_stl, read_stl_text, with_normals
 
 
 def test_binary_and_text_stl_give_the_same_facets(spark, tmp_path):
@@ -20,6 +20,11 @@ def test_binary_and_text_stl_give_the_same_facets(spark, tmp_path):
     a, b = (got[got.mesh.str.endswith(n)].drop(columns="mesh").to_numpy() for n in ("a.stl", "b.stl"))
     assert len(got) == 42 and np.array_equal(a, b)
     assert np.allclose(a[:, 2:5].reshape(7, 3, 3), r["v"] * 2.0) and np.allclose(a[::3, 5:], r["n"])
+    split = read_stl_text(spark, str(tmp_path / "b.stl"), 2.0).toPandas().sort_values(["facet", "k"])
+    assert np.allclose(split[["x", "y", "z", "nx", "ny", "nz"]].to_numpy(), a[:, 2:].astype(float)) and read_stl_text(spark, str(tmp_path / "none.stl")).count() == 0
+    kept, made = (with_normals(read_stl_text(spark, str(tmp_path / "b.stl")), again).toPandas().sort_values(["facet", "k"]) for again in (False, True))
+    want = np.cross(r["v"][:, 1] - r["v"][:, 0], r["v"][:, 2] - r["v"][:, 1])
+    assert np.allclose(kept[["nx", "ny", "nz"]].to_numpy()[::3], r["n"]) and np.allclose(made[["nx", "ny", "nz"]].to_numpy()[::3], want / np.linalg.norm(want, axis=1)[:, None], atol=1e-4)
 
 
 def test_long_reference_chain_and_circle(spark):
