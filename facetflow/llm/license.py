@@ -3,7 +3,8 @@
 A text is read as its words (A-Z lower-cased) with one blank between them. A notice that may be matched with up to e edits is
 split into e + 1 pieces: e edits leave one piece untouched, so an exact piece marks each place where the notice can stand; there
 the regex library's bounded-error matching verifies it and gives the span. The three base phrases are matched word for word; those
-of 20 characters and more are also searched with edits, and count there only where no exact or longer match with the same label does.
+of 20 characters and more are also searched with edits, and count there only where no exact or longer match with the same label does. What tells a license from its neighbours (mit, the version, nc)
+has edits of its own: `released under the mpl license` is no misspelt mit.
 
 Defined results: a null text is empty; an empty text has no words, no places and score 0; each row is judged alone, so ties and
 repeated rows change nothing; extra columns are left out.
@@ -28,17 +29,30 @@ NOTICES = {
     "permission is hereby granted free of charge to any person obtaining a copy": "mit",
     "licensed under the apache license version 2": "apache-2",
     "licensed under cc by nc 4 0": "cc-by-nc",
+    "licensed under cc by sa 4 0": "cc-by-sa",
     "creative commons attribution noncommercial": "cc-by-nc",
     "creative commons attribution sharealike": "cc-by-sa",
     "gnu general public license": "gpl",
     "gnu lesser general public license": "lgpl",
+    "gnu affero general public license": "agpl",
     "mozilla public license": "mpl",
+    "eclipse public license": "epl",
+    "boost software license version 1 0": "boost",
+    "permission to use copy modify and or distribute this software for any purpose": "isc",
+    "cc0 1 0 universal public domain dedication": "cc0",
     "redistribution and use in source and binary forms": "bsd",
     "this is free and unencumbered software released into the public domain": "unlicense",
     "all rights reserved": "all-rights-reserved",
 }
-#: What tells a base phrase from other licenses (mpl, version 1), and the edits allowed in it.
-NAMES = {"under the mit license": ("mit", 1), "apache license version 2": (" 2", 0)}
+#: What tells a notice from those of other licenses (mpl, version 1, cc by sa), and the edits allowed in it.
+NAMES = {
+    "under the mit license": ("mit", 1),
+    "released under the mit license": ("mit", 1),
+    "apache license version 2": (" 2", 0),
+    "licensed under the apache license version 2": (" 2", 0),
+    "licensed under cc by nc 4 0": (" nc ", 0),
+    "licensed under cc by sa 4 0": (" sa ", 0),
+}
 
 
 def edits_for(notice: str) -> int:
@@ -58,7 +72,7 @@ class Scanner:
         import regex
 
         self.notices = [(n, label, e := edits_for(n), regex.compile(rf"(?e)(?<![^ ])(?:{regex.escape(n)}){{e<={e}}}(?![^ ])")) for n, label in notices.items()]
-        self.names = {n: regex.compile(rf"(?:{regex.escape(name)}){{e<={e}}}{'(?![^ ])' * (not e)}") for n, (name, e) in NAMES.items()}
+        self.names = {n: regex.compile(rf"(?:{regex.escape(name)}){{e<={e}}}{'(?![^ ])' * (not e and name[-1] != ' ')}") for n, (name, e) in NAMES.items()}
         found: dict[str, list[tuple[int, int]]] = {}
         for k, (n, _, e, _) in enumerate(self.notices):
             for at, piece in seeds(n, e):
@@ -87,10 +101,8 @@ class Scanner:
             n, label, _, pattern = self.notices[k]
             for a, b in spans:
                 for m in pattern.finditer(text, a, b):
-                    if n not in self.names:
-                        out.add((m.start(), m.end(), label, sum(m.fuzzy_counts)))
-                    elif self.names[n].search(m[0]):
-                        short.add((m.start(), m.end(), label, sum(m.fuzzy_counts)))
+                    if n not in self.names or self.names[n].search(m[0]):
+                        (short if n in BASE else out).add((m.start(), m.end(), label, sum(m.fuzzy_counts)))
         taken: dict[str, list[tuple[int, int]]] = {}
         for a, b, label, *_ in sorted([*base, *out] if short else ()):
             merged = taken.setdefault(label, [])

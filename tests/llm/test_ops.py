@@ -596,6 +596,8 @@ def test_licenses_misspelt_base_phrases():
         assert [(x["start"], x["end"]) for x in s["spans"]] == [(a, b)]
     for text in ("under the MPL license", "under the BSD license", "Apache License, Version 1.1"):
         assert scan(text)["labels"] == "", text
+    long = {"released under the MPL license": "", "licensed under the Apache License, Version 1.1": "", "licensed under CC BY-ND 4.0": "", "licensed under CC BY-SA 4.0": "cc-by-sa", "licenced under CC BY NC 4.0": "cc-by-nc", "relased under the MIT licence": "mit", "GNU Affero General Public Licence": "agpl"}
+    assert {t: scan(t)["labels"] for t in long} == long
     s = scan("available under the MIT license")
     assert s["n_base"] == 1 and s["spans"] == [] and s["score"] == 0.5 + 0.5 * 4 / 5
     s = scan("under the MIT license or under the MIT licence or relased under the MIT licence")
