@@ -15,6 +15,8 @@ from ..operators.metadata import number_rows
 from ..session import cut
 
 _SHAPE = "doc string, shape int, name string, index string, point string, uv string, uv_index string, normal string, normal_index string, curvatures string, axes string, texture string, unit double, m array<double>"
+#: Characters of texts that a task holds before it passes them on.
+HELD = 4_000_000
 _COLUMNS = [c.split()[0] for c in _SHAPE.split(", ")]
 
 
@@ -78,13 +80,20 @@ def shapes(docs: DataFrame) -> DataFrame:
     document's frame in metres) from (doc, text): one row a shape with faces.
 
     DEF and USE are followed, Transform nodes are composed. A null text has no shapes; broken XML or a USE of nothing raises. One
-    document is held at a time; rows leave it shape by shape."""
+    document is held at a time; rows leave when some megabytes of texts are together."""
 
     def run(frames):
+        held, size = [], 0
         for frame in frames:
             for doc, text in zip(frame.doc, frame.text):
                 for row in _shapes(doc, text) if text is not None else ():
-                    yield pd.DataFrame([row], columns=_COLUMNS)
+                    held.append(row)
+                    size += sum(len(x) for x in row if isinstance(x, str))
+                    if size > HELD:
+                        yield pd.DataFrame(held, columns=_COLUMNS)
+                        held, size = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=_COLUMNS)
 
     return docs.select(F.col("doc").cast("string"), "text").mapInPandas(run, _SHAPE)
 
