@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship, table
-from . import bpe, chat, decontaminate, embed, jaccard, license, pii, tokens, toxicity, warc
+from . import bpe, chat, decontaminate, divergence, embed, jaccard, license, phrases, pii, tokens, topk, toxicity, warc
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,11 +52,23 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(table(ship(spark), sf_dir, "documents")).drop("spans")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(ship(spark), sf_dir, "documents"))
+
+
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(topk.sparse_rows(table(ship(spark), sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(ship(spark), sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_byte_bpe, op4_toxicity, op5_chat_format, op6_warc, op7_token_shards, op8_jaccard_join, op9_embedding_neardup, op10_license_scan, pipeline)}
-ORACLES = {"op1_decontaminate": decontaminate.ORACLE, "op5_chat_format": chat.ORACLE, "op6_warc": warc.ORACLE, "op8_jaccard_join": jaccard.ORACLE, "op9_embedding_neardup": embed.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_byte_bpe, op4_toxicity, op5_chat_format, op6_warc, op7_token_shards, op8_jaccard_join, op9_embedding_neardup, op10_license_scan, op11_source_divergence, op12_exact_topk, op13_phrase_collocations, pipeline)}
+ORACLES = {"op1_decontaminate": decontaminate.ORACLE, "op5_chat_format": chat.ORACLE, "op6_warc": warc.ORACLE, "op8_jaccard_join": jaccard.ORACLE, "op9_embedding_neardup": embed.ORACLE, "op11_source_divergence": divergence.ORACLE, "op12_exact_topk": topk.ORACLE, "op13_phrase_collocations": phrases.ORACLE}
