@@ -189,34 +189,46 @@ def _places(key: np.ndarray, at: np.ndarray, chosen: np.ndarray) -> tuple[np.nda
 def compress(ids: np.ndarray, counts: np.ndarray, base: int, min_count: int = MIN_COUNT) -> dict[str, np.ndarray]:
     """The grammar of documents' ids: rules (n, 2), lengths (n), symbols, offsets (documents + 1). Symbols from base on are rules.
 
-    The pairs of a round are at least 1 / STEP as frequent as the most frequent one; the bound falls until it is min_count. Only places
-    whose two symbols are both that frequent are looked at."""
+    The pairs of a round are at least 1 / STEP as frequent as the most frequent one; the bound falls to min_count and stays there until no
+    pair reaches it. Only places whose two symbols are both that frequent are looked at and, once a round has been at the lowest bound, only
+    those of its new symbols and of pairs that it could not replace everywhere."""
     s = ids.astype(np.uint32)
     last = np.zeros(len(s), bool)
     last[np.cumsum(counts) - 1] = True
     seen = np.bincount(s, minlength=base)  # places of each symbol
     rules: list[np.ndarray] = []
-    n_rules, least = 0, int(np.partition(seen, -2)[-2:].min()) if len(seen) > 1 else 0
-    while len(s) > 1 and least > min_count:
+    n_rules, least = 0, int(seen.max(initial=0))
+    waiting: np.ndarray | None = None  # symbols of the pairs to look at
+    while len(s) > 1:
         least = max(min_count, least // STEP)
         often = (seen >= least)[s]
-        often[:-1] &= often[1:]
-        often[:-1] &= ~last[:-1]
-        at = np.flatnonzero(often[:-1])
+        look = often[:-1] & often[1:] & ~last[:-1]
+        if waiting is not None:
+            fresh = s >= waiting[-1]
+            waits = np.zeros(len(seen), bool)
+            waits[waiting] = True
+            waits = waits[s]
+            look &= (waits[:-1] & waits[1:]) | fresh[:-1] | fresh[1:]
+        at = np.flatnonzero(look)
         key = (s[at].astype(np.uint64) << np.uint64(32)) | s[at + 1]
         chosen, n = _frequent(key, least)
         if not len(chosen):
+            if least == min_count:
+                break
             continue
         if n.max() > STEP * least:  # overlaps and new pairs that stand over the bound before
             least = -(-int(n.max()) // STEP)
             chosen, n = chosen[n >= least], n[n >= least]
-        chosen = chosen[np.argsort(-n, kind="stable")]
+        order = np.argsort(-n, kind="stable")
+        chosen, n = chosen[order], n[order]
         spot, rule = _places(key, at, chosen)
         uses = np.bincount(rule, minlength=len(chosen))
         used = np.flatnonzero(uses)
         pair = np.stack((chosen[used] >> np.uint64(32), chosen[used] & np.uint64(0xFFFFFFFF)), 1).astype(np.int64)
         seen = np.concatenate((seen, uses[used]))
         np.subtract.at(seen, pair, uses[used, None])
+        rest = chosen[uses < n]
+        waiting = np.concatenate((rest >> np.uint64(32), rest & np.uint64(0xFFFFFFFF), [np.uint64(base + n_rules)])).astype(np.int64) if least == min_count else None
         name = np.zeros(len(chosen), np.uint32)
         name[used] = base + n_rules + np.arange(len(used))
         s[spot] = name[rule]
