@@ -7,8 +7,8 @@ one more where backslashes stand there already; unescaping takes one away, so an
 like a placeholder is never read as one.
 
 Defined results: null text and null role are empty; an unknown part type raises ValueError; turns are ordered by turn (null
-first), then role, then text, then parts, and repeated rows stay; a null part type raises ValueError, too; an empty table gives no
-conversations; extra columns are left out.
+first), then role, then text (with U+FFFC for each attachment), then parts, and repeated rows stay; a null part type raises ValueError,
+too; an empty table gives no conversations; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -29,6 +29,11 @@ _PLAIN = re.compile("|".join(f"({re.escape(c[0])}\\\\*){re.escape(c[1:])}" for c
 _ESCAPED = re.compile("|".join(f"({re.escape(c[0])}\\\\*)\\\\{re.escape(c[1:])}" for c in sorted(CONTROLS, key=len, reverse=True)))
 _TURN = re.compile(r"<\|turn\|>(.*?)<\|text\|>(.*?)<\|end\|>", re.S)
 _PART = re.compile(r"<\|(image|audio|document):(\d+)\|>")
+#: The same for Spark's readers: an escaped control, a placeholder, a turn.
+_ESCAPED_COLUMN = r"(<\\*)\\(\||s>|/s>|<SYS>>|</SYS>>)|(\[\\*)\\(INST\]|/INST\])"
+_PART_COLUMN = r"<\|(?:image|audio|document):\d+\|>"
+_TURN_COLUMN = r"(?s)^<\|turn\|>(.*?)<\|text\|>(.*)<\|end\|>$"
+ATTACHED = "\uFFFC"
 PARTS = "array<struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
 
 
@@ -121,7 +126,8 @@ def format_turns(conversations: DataFrame) -> DataFrame:
     cols = [F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text"]
     if "parts" in conversations.columns:
         count = F.coalesce(F.size(F.filter("parts", lambda p: p["type"] != "text")), F.lit(0))
-        before = Window.partitionBy("conv_id").orderBy("turn", "role", "text", "parts").rowsBetween(Window.unboundedPreceding, -1)
+        flat = F.array_join(F.transform("parts", lambda p: F.when(p["type"] == "text", F.coalesce(p["text"], F.lit(""))).otherwise(F.lit(ATTACHED))), "")
+        before = Window.partitionBy("conv_id").orderBy("turn", F.coalesce("role", F.lit("")), F.coalesce(flat, F.col("text"), F.lit("")), "parts").rowsBetween(Window.unboundedPreceding, -1)
         rows = conversations.select(*cols, "parts").withColumn("count", F.when(F.col("parts").isNull(), 0).otherwise(count))
         rows = rows.withColumn("first", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     else:
@@ -139,6 +145,13 @@ def format_turns(conversations: DataFrame) -> DataFrame:
     return arrow_map(rows, run, "conv_id long, turn long, formatted string, loss_start long, loss_end long, attachments array<struct<index:int,type:string,ref:string,tokens:long>>")
 
 
+def in_order(turns: DataFrame) -> DataFrame:
+    """turns by conversation, each conversation's in order: by what their formatted texts stand for, as escapes and marks sort otherwise."""
+    plain = lambda c: F.regexp_replace(c, _ESCAPED_COLUMN, "$1$3$2$4")
+    keys = {"_role": plain(F.regexp_extract("formatted", _TURN_COLUMN, 1)), "_text": plain(F.regexp_replace(F.regexp_extract("formatted", _TURN_COLUMN, 2), _PART_COLUMN, ATTACHED)), "_first": F.get("attachments", F.lit(0))["index"]}
+    return turns.repartition("conv_id").withColumns(keys).sortWithinPartitions("conv_id", "turn", *keys, "formatted").drop(*keys)
+
+
 def read_back(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_attachments (placeholders read in the texts),
     attachment_tokens (what they expand to) of each conversation, from formatted turns. A turn's text is that of its text parts. One
@@ -179,7 +192,7 @@ def read_back(turns: DataFrame) -> DataFrame:
         if rows:
             yield emit()
 
-    ordered = turns.select("conv_id", "turn", "formatted", "loss_start", "loss_end", "attachments").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
+    ordered = in_order(turns.select("conv_id", "turn", "formatted", "loss_start", "loss_end", "attachments"))
     return arrow_map(ordered, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, attachment_tokens long")
 
 

@@ -279,6 +279,26 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.format_turns(rows.limit(0))).count() == 0
 
 
+def test_chat_tied_turns(spark):
+    """Turns with the same number are in the order of role and text as they were, not as they are escaped and marked."""
+    rng = random.Random(8)
+    bits = ["ok", " then", "!", "<", "<|", "<\\|", "<a", "[INST]", "[", "[J", "</s>", "<0", "\n", "é", "\\", "<<SYS>>", "<image:0|>"]
+    rows = [(1, 0, "user", "ok"), (1, 0, "user", "ok then"), (1, 0, "user", "ok!")]
+    rows += [(c, rng.choice((None, 0, 0, 1)), rng.choice(("user", "assistant", "<|", "<a", None)), rng.choice((None, *bits)) and "".join(rng.choices(bits, k=rng.randrange(4)))) for c in range(2, 60) for _ in range(8)]
+    got = {r.conv_id: r for r in chat.read_back(chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    for c in got:
+        turns = sorted(((t is not None, t or 0, (r or "").encode(), (x or "").encode()) for i, t, r, x in rows if i == c))
+        assert got[c].turns_sha256 == hashlib.sha256(b"".join(r + b"\n" + x + b"\n" for _, _, r, x in turns)).hexdigest()
+        assert got[c].loss_sha256 == hashlib.sha256(b"".join(x for _, _, r, x in turns if r == b"assistant")).hexdigest()
+    image = {"type": "image", "text": None, "ref": None, "width": 14, "height": 14, "seconds": None, "pages": None}
+    text = lambda t: image | {"type": "text", "text": t}
+    parts = [(1, 0, "user", None, p) for p in ([image], [text("!"), image], [text("a"), image], [text("\U0001f600")], [image, image])]
+    back = chat.format_turns(spark.createDataFrame(parts, f"conv_id long, turn long, role string, text string, parts {chat.PARTS}"))
+    order = [chat.parse_turn(r.formatted)[1] for r in chat.in_order(back).collect()]
+    assert [p["index"] for turn in order for p in turn if p["type"] == "image"] == [0, 1, 2, 3, 4]
+    assert [chat.text_of(p) for p in order] == ["!", "a", "", "", "\U0001f600"]
+
+
 def test_warc(spark):
     ship(spark)
     html = [None, "", "<p>é</p>", "<p>é</p>", "same", "same", "same", "x" * 500_000]
