@@ -204,7 +204,7 @@ def test_phrases(spark):
     docs = [(rng.choice(("en", "en", "de", None, "")), rng.choice((" ", ". ", "\n", "\t", ",")).join(rng.choices(stock + [f"w{rng.randrange(40)}"], k=rng.randrange(15)))) for _ in range(400)]
     docs += docs[:20] + [("en", None), ("en", ""), ("fr", "...  \t"), ("en", "of the " * 20_000), ("de", "oneword"), ("en", "a b" + "x" * 5000)]
     df = spark.createDataFrame([(i, t, x, 1, "w") for i, (x, t) in enumerate(docs)], "doc_id long, text string, lang string, f int, w1 string").repartition(3)
-    for least, percent, top, buckets in ((100, 100, 2000, phrases.BUCKETS), (5, 100, 7, 1 << 16), (5, 60, 2000, 8), (1, 100, 2000, 1 << 16), (300, 100, 3, 1 << 16)):
+    for least, percent, top, buckets in ((100, 100, 2000, None), (5, 100, 7, 1 << 16), (5, 60, 2000, 8), (1, 100, 2000, 1 << 16), (300, 100, 3, 1 << 16)):
         got = sorted(tuple(r) for r in phrases.collocations(df, least, percent, top, buckets=buckets).select(*COLUMNS).collect())
         assert got == brute_phrases(docs, least, percent, top)
     for order in (2, 3):
