@@ -1,12 +1,13 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words become symbols: insults (a lexicon learned from labelled rows), threats, targets, negations and reporting verbs. Small
-transducers for negation, reported speech and target add what they saw to insult and threat symbols; those that look back are composed
-into one machine that reads a clause from left to right, those that look ahead into one that reads the result from right to left. A clause
-with an insult or a threat is a match, with one reading for each of the two: at a target or not, negated or not, reported or not. Scores
-come from matched clauses alone: a document's clauses are counted by reading, and the weights of the readings come from a logistic fit on
-these counts, held near prior weights. A clause that has nothing but an insult in it is the weakest plain reading, and counts for what the
-labelled rows show it to be worth.
+Words become symbols: insults (a lexicon learned from labelled rows), threats, targets, addresses (imperatives, verbs of the second
+person, words of name-calling), negations and reporting verbs. Small transducers for negation, reported speech, target and address add
+what they saw to insult and threat symbols; those that look back are composed into one machine that reads a clause from left to right,
+those that look ahead into one that reads the result from right to left. A clause with an insult or a threat is a match, with one reading
+for each of the two: at a target (or addressed) or not, negated or not, reported or not. Scores come from matched clauses alone: a
+document's clauses are counted by reading, and the weights of the readings come from a logistic fit on these counts, held near prior weights
+and in their order: a negated or reported clause never weighs more than the same one plain, and a clause with nothing but an insult
+in it weighs MARGIN less than one at a target at least, whatever the labelled rows say.
 
 Labels are read from rows whose crc32(doc_id) mod 3 isn't 1, at most `sample` of them (the least hashes of doc_id); all of a text is
 scored. Labels, language, source and id are no inputs of a score.
@@ -38,25 +39,31 @@ CUT = 0.7
 
 #: symbols' words in English, German, French and Spanish. Words that are also articles or pronouns of things are left out.
 THREATS = (
-    "kill murder hurt destroy stab shoot strangle punish beat slap punch burn hang choke crush rape execute slaughter behead "
-    "töten umbringen vernichten verletzen erschießen erstechen schlagen erwürgen verprügeln verbrennen "
-    "tuer tuerai frapper frapperai détruire étrangler poignarder brûler égorger massacrer "
-    "matar mataré golpear golpearé destruir estrangular apuñalar quemar degollar"
+    "kill murder hurt destroy stab shoot strangle punish beat slap punch burn hang choke crush rape execute slaughter behead drown poison lynch torture maim smash whip bury gut "
+    "töten töte umbringen vernichten vernichte verletzen verletze erschießen erschieße erstechen ersteche schlagen schlage erwürgen erwürge verprügeln verprügle verbrennen ertränken vergiften foltern zusammenschlagen aufhängen abstechen abknallen totschlagen "
+    "tuer tuerai tuerons frapper frapperai détruire détruirai étrangler étranglerai poignarder poignarderai brûler brûlerai égorger égorgerai massacrer massacrerai noyer empoisonner torturer pendre crever buter buterai casserai "
+    "matar mataré mataremos golpear golpearé destruir destruiré estrangular estrangularé apuñalar apuñalaré quemar quemaré degollar degollaré ahogar envenenar torturar ahorcar reventar reventaré aplastar romperé"
 )
 TARGETS = (
     "you your yours yourself yourselves u ur he him his she her they them their theirs "
     "du dich dir dein deine deinen ihr euch euer eure er ihm ihn ihnen tu toi te ton tes vous votre vos lui leur elle elles ils "
     "usted ustedes tú ti tus vosotros vuestro ellos ellas"
 )
-NEGATIONS = "not never no nor nobody neither none without cannot isn aren wasn won don didn doesn wouldn nicht kein keine keinen keiner niemals nie niemand ohne ne pas jamais aucun aucune personne sans jamás nunca ningún ninguna nadie ni sin"
+ADDRESSES = (
+    "shut shush scram begone hey oi such what bloody fucking damn total utter complete "
+    "halt verpiss verschwinde zisch bist seid solch solche verdammter verdammte blöder blöde elender elende dreckiger dreckige "
+    "ferme dégage dégagez casse tais taisez êtes espèce quel quelle sale sales pauvre "
+    "cállate cállense lárgate lárguense vete váyanse piérdete eres sois qué pedazo maldito maldita sucio sucia"
+)
+NEGATIONS = "not never no nor nobody neither none without cannot isn aren wasn won don didn doesn wouldn shouldn couldn hardly scarcely nicht kein keine keinen keiner niemals nie niemand weder kaum keinesfalls ohne ne pas jamais aucun aucune personne sans guère nullement jamás nunca ningún ninguna nadie ni sin tampoco apenas"
 REPORTS = (
-    "said says saying say told tells wrote writes quoted quotes quote claimed claims called calls reported reports alleged allegedly according shouted yelled "
-    "sagte sagt sagten schrieb schreibt zitiert behauptete nannte meinte rief laut dit disait écrit écrivait cité affirme appelé selon "
-    "dijo dice dicen escribió escribe citó afirmó llamó según"
+    "said says saying say told tells wrote writes quoted quotes quote claimed claims called calls reported reports alleged allegedly according shouted yelled screamed replied stated argued asked texted posted tweeted testified "
+    "sagte sagt sagten schrieb schreibt zitiert behauptete nannte meinte rief erklärte antwortete fragte berichtete laut dit disait écrit écrivait cité affirme appelé répondit déclara déclaré cria demanda raconte selon "
+    "dijo dice dicen escribió escribe citó afirmó llamó respondió declaró gritó preguntó contó según"
 )
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, ADDRESS = range(7)
 #: Words between a mark and what it bears on.
-NEGATION_REACH, TARGET_REACH, REPORT_AFTER = 4, 5, 3
+NEGATION_REACH, TARGET_REACH, REPORT_AFTER, ADDRESS_REACH = 4, 5, 3, 2
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?;\n"]] = True
 _END[SENTINEL] = True
@@ -125,9 +132,9 @@ def _after(mark: int, feature: str) -> Transducer:
     return Transducer(0, arcs, lambda s: s)
 
 
-#: Read from left to right, then from right to left: "not kill", "said ... kill", "you ... idiot"; "kill you", "idiot, he said".
-LOOK_BACK = compose(_near(NEGATION, "n", NEGATION_REACH), _after(REPORT, "r"), _near(TARGET, "t", TARGET_REACH))
-LOOK_AHEAD = compose(_near(TARGET, "t", TARGET_REACH), _near(REPORT, "r", REPORT_AFTER))
+#: Read from left to right, then from right to left: "not kill", "said ... kill", "you ... idiot", "such an idiot"; "kill you", "idiot, shut up", "idiot, he said".
+LOOK_BACK = compose(_near(NEGATION, "n", NEGATION_REACH), _after(REPORT, "r"), _near(TARGET, "t", TARGET_REACH), _near(ADDRESS, "t", ADDRESS_REACH))
+LOOK_AHEAD = compose(_near(TARGET, "t", TARGET_REACH), _near(ADDRESS, "t", ADDRESS_REACH), _near(REPORT, "r", REPORT_AFTER))
 
 
 def readings(kinds: list[int]) -> list[tuple[int, str]]:
@@ -141,6 +148,9 @@ READINGS = {
     (INSULT, "t"): 3.0, (INSULT, ""): 1.0, (INSULT, "nt"): 0.3, (INSULT, "rt"): 0.6, (INSULT, "n"): 0.1, (INSULT, "r"): 0.3, (INSULT, "nr"): 0.1, (INSULT, "nrt"): 0.1,
     (THREAT, "t"): 3.0, (THREAT, ""): 0.2, (THREAT, "nt"): 0.4, (THREAT, "rt"): 0.6, (THREAT, "n"): 0.0, (THREAT, "r"): 0.1, (THREAT, "nr"): 0.0, (THREAT, "nrt"): 0.1,
 }
+#: Readings of a kind from the weakest to the strongest, and how much more the strongest weighs than the next at least.
+CHAINS = {INSULT: ("nr", "n", "nrt", "r", "nt", "rt", "", "t"), THREAT: ("nr", "n", "r", "nrt", "", "nt", "rt", "t")}
+MARGIN = 0.5
 _COLUMN = {r: i for i, r in enumerate(READINGS)}
 BIAS = -3.0
 
@@ -188,10 +198,10 @@ def split_of(doc_id) -> F.Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, text, toxic of the bounded sample."""
+    """doc_id, text, toxic of the bounded sample: a row for each id, with the least of its texts and labels."""
     ids = labels.where("doc_id is not null and toxic in (0, 1)").where(split_of("doc_id") != 1).select("doc_id", "toxic")
-    ids = ids.orderBy(F.xxhash64("doc_id"), "toxic").limit(sample).dropDuplicates(["doc_id"])
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    ids = ids.orderBy(F.xxhash64("doc_id"), "toxic").limit(sample).groupBy("doc_id").agg(F.min("toxic").alias("toxic"))
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
 
 
 def learn_lexicon(rows: DataFrame) -> dict[int, float]:
@@ -238,7 +248,7 @@ class Reader:
         order = np.argsort(keys)
         self.keys, self.weights = keys[order], np.array(list(lexicon.values()), np.float64)[order]
         marks = {}
-        for kind, words in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
+        for kind, words in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (ADDRESS, ADDRESSES)):
             for h in _word_hash(words).tolist():
                 marks[h] = kind
         self.mark_keys = np.array(sorted(marks), np.uint64)
@@ -277,19 +287,54 @@ def _inputs(sums: np.ndarray) -> np.ndarray:
     return np.log1p(sums) / math.log(2)
 
 
-def fit_weights(sums: np.ndarray, toxic: np.ndarray, rounds: int = 50, hold: float = 3.0) -> np.ndarray:
-    """Bias and weights by Newton steps on the logistic loss plus hold/2 times the squared distance from the prior."""
-    prior = np.array([BIAS, *READINGS.values()])
+def _steps() -> tuple[np.ndarray, np.ndarray]:
+    """(matrix from the bias and steps along the chains to the bias and weights, the least value of each step)."""
+    m, least, at = np.zeros((1 + len(READINGS),) * 2), np.zeros(1 + len(READINGS)), 1
+    m[0, 0], least[0] = 1.0, -np.inf
+    for kind, chain in CHAINS.items():
+        for k in range(len(chain)):
+            for features in chain[k:]:
+                m[1 + _COLUMN[kind, features], at] = 1.0
+            least[at] = MARGIN if k == len(chain) - 1 else 0.0
+            at += 1
+    return m, least
+
+
+def _bounded_step(h: np.ndarray, g: np.ndarray, least: np.ndarray, sweeps: int = 300) -> np.ndarray:
+    """The s >= least with the smallest g s + s h s / 2, by coordinates."""
+    s = np.maximum(0.0, least)
+    for _ in range(sweeps):
+        before = s.copy()
+        for i in range(len(s)):
+            s[i] = max(least[i], s[i] - (g[i] + h[i] @ s) / h[i, i])
+        if np.abs(s - before).max() < 1e-12:
+            break
+    return s
+
+
+def fit_weights(sums: np.ndarray, toxic: np.ndarray, rounds: int = 100, hold: float = 3.0) -> np.ndarray:
+    """Bias and weights by Newton steps on the logistic loss plus hold/2 times the squared distance from the prior, within the order of CHAINS."""
+    prior, (m, least) = np.array([BIAS, *READINGS.values()]), _steps()
     x = np.column_stack((np.ones(len(sums)), _inputs(sums)))
-    w = prior.copy()
+
+    def loss(w):
+        z = x @ w
+        return np.logaddexp(0, z).sum() - z @ toxic + hold / 2 * ((w - prior) ** 2).sum()
+
+    d = np.maximum(least, np.linalg.solve(m, prior))
     for _ in range(rounds):
+        w = m @ d
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (p - toxic) + hold * (w - prior)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + hold * np.eye(len(w)), grad)
-        w = w - np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-9:
+        h = (x * (p * (1 - p))[:, None]).T @ x + hold * np.eye(len(w))
+        step = _bounded_step(m.T @ h @ m, m.T @ grad, least - d)
+        size, now = 1.0, loss(w)
+        while size > 1e-6 and loss(m @ (d + size * step)) > now:
+            size /= 2
+        d = np.maximum(least, d + size * step)
+        if np.abs(step).max() < 1e-9 or size <= 1e-6:
             break
-    return w
+    return m @ d
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[int, float], np.ndarray]:
