@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import fresh_path
+from .store import run_batches
 
 
 def grabbed(frames: DataFrame, key: str, at: str, late: str = "1 hour") -> DataFrame:
@@ -32,37 +32,27 @@ def tap_sums(pixels: DataFrame, tap_map: DataFrame, *frame: str) -> DataFrame:
     return p.join(tap_map, ["px", "py"]).groupBy(*frame, "ix", "iy").agg(F.sum(c * F.col("v")).alias("s"), F.sum(c).alias("c"))
 
 
-def undistorted(stream: DataFrame, tap_map: DataFrame, *frame: str) -> DataFrame:
+def undistorted(stream: DataFrame, tap_map: DataFrame, *frame: str, store: str | None = None) -> DataFrame:
     """frame, ix, iy, v: streamed pixels (frame, ix, iy, v, w) through a stored map of taps (ix, iy, px, py, tw) as the mean weighted by w and tap.
     The map is made once for a camera and read by each batch; batches leave sums, so a frame may come in any number of them."""
     kinds = dict(stream.dtypes)
     schema = ", ".join([*(f"{f} {kinds[f]}" for f in frame), "ix int, iy int, s double, c double"])
-    sums = each_batch(stream, lambda b: tap_sums(b, tap_map, *frame), "undistorted", schema)
+    sums = each_batch(stream, lambda b: tap_sums(b, tap_map, *frame), "undistorted", schema, store)
     return sums.groupBy(*frame, "ix", "iy").agg((F.sum("s") / F.sum("c")).alias("v"))
 
 
-def each_batch(stream: DataFrame, work: Callable[[DataFrame], DataFrame], name: str, schema: str) -> DataFrame:
-    """work's rows over all there is now, one batch after another, written to the shared folder. A batch that is run again after a
-    failure replaces its own folder, so no row is written twice. schema has no column named round."""
-    spark = stream.sparkSession
-    out, place = fresh_path(spark, name), fresh_path(spark, f"{name}-checkpoint")
+def each_batch(stream: DataFrame, work: Callable[[DataFrame], DataFrame], name: str, schema: str, store: str | None = None) -> DataFrame:
+    """work's rows over all there is now, one batch after another; with a store a job of this name goes on where it stopped."""
+    return run_batches(stream, work, name, schema, store).drop("round")
 
-    spark.createDataFrame([], schema).write.parquet(f"{out}/round=-1")  # so that no rows at all read as none
 
-    def keep(batch: DataFrame, number: int) -> None:
-        work(batch).write.mode("overwrite").parquet(f"{out}/round={number}")
-
-    stream.writeStream.foreachBatch(keep).option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(out).drop("round")
-
-
-def without_early(stream: DataFrame, last_early: int, *cell: str) -> DataFrame:
+def without_early(stream: DataFrame, last_early: int, *cell: str, store: str | None = None) -> DataFrame:
     """cell, t, v: each frame (the mean of a cell's values at t) less the mean of the cell's frames up to last_early; null where a cell has
     none of those. Batches leave partial sums by cell and frame, so a stack may come in any number of them."""
     kinds = dict(stream.dtypes)
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in (*cell, "t")), "sum_v double", "n long"])
     part = lambda b: b.where("v is not null and not isnan(v)").groupBy(*cell, "t").agg(F.sum(F.col("v").cast("double")).alias("sum_v"), F.count("*").alias("n"))
-    sums = each_batch(stream, part, "stack-sums", schema)
+    sums = each_batch(stream, part, "stack-sums", schema, store)
     stack = sums.groupBy(*cell, "t").agg((F.sum("sum_v") / F.sum("n")).alias("v"))
     early = F.avg(F.when(F.col("t") <= last_early, F.col("v"))).over(Window.partitionBy(*cell))
     return stack.withColumn("early", early).select(*cell, "t", (F.col("v") - F.col("early")).alias("v"))
@@ -79,7 +69,7 @@ def latest_commands(log: DataFrame) -> DataFrame:
     return out.select("name", F.when(set_, F.col("last.x")).alias("x"), F.when(set_, F.col("last.y")).alias("y"), (~set_).alias("invalid"))
 
 
-def streamed_commands(log: DataFrame) -> DataFrame:
+def streamed_commands(log: DataFrame, store: str | None = None) -> DataFrame:
     """latest_commands of a stream. Each batch leaves the last command of each name that it holds, and its last clear-all: no batch is needed
     again, and what is left of all batches is folded at the end."""
     kinds = dict(log.dtypes)
@@ -90,7 +80,7 @@ def streamed_commands(log: DataFrame) -> DataFrame:
         some = batch.where(F.col("command").isin("set", "invalid", "clear", "clear-all"))
         return some.groupBy(key.alias("key")).agg(F.max(F.struct("seq", "command", "name", "x", "y")).alias("r")).select("r.*")
 
-    return latest_commands(each_batch(log, fold, "commands", schema))
+    return latest_commands(each_batch(log, fold, "commands", schema, store))
 
 
 def posed(solved: DataFrame, manual: DataFrame) -> DataFrame:

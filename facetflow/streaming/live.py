@@ -30,7 +30,7 @@ def chained_taps(second: DataFrame, first: DataFrame) -> DataFrame:
     return a.join(b, ["mx", "my"]).groupBy("ix", "iy", "px", "py").agg(F.sum(F.col("outer") * F.col("tw")).alias("tw"))
 
 
-def accumulated_projection(stream: DataFrame, tap_map: DataFrame, hits: DataFrame, frame: str) -> DataFrame:
+def accumulated_projection(stream: DataFrame, tap_map: DataFrame, hits: DataFrame, frame: str, store: str | None = None) -> DataFrame:
     """frame, iu, iv, sum_wv, sum_w: streamed pixels (image, frame, ix, iy, v, w) undistorted by a map of taps, put where the hits (image, ix,
     iy, hu, hv) of their image's pose say, and added up. The sums are what fusion.normalize takes."""
     kinds = dict(stream.dtypes)
@@ -40,7 +40,7 @@ def accumulated_projection(stream: DataFrame, tap_map: DataFrame, hits: DataFram
         seen = frames.projected(straight, hits.select("image", "ix", "iy", "hu", "hv"))
         return project.splat(seen.select(frame, F.col("hu").alias("u"), F.col("hv").alias("v"), "value", "w"), frame)
 
-    sums = frames.each_batch(stream, part, "live-projection", f"{frame} {kinds[frame]}, iu int, iv int, sum_wv double, sum_w double")
+    sums = frames.each_batch(stream, part, "live-projection", f"{frame} {kinds[frame]}, iu int, iv int, sum_wv double, sum_w double", store)
     return fusion.merge(sums, cell=(frame, "iu", "iv"))
 
 
