@@ -1,8 +1,8 @@
 """Token ids of a corpus in binary shards, compressed by a Re-Pair grammar, with random access.
 
 Texts are dealt out by ranges of doc_id and sorted; each task encodes its texts, appends the end id to each, and writes files of
-shards. In a shard, each round replaces the pairs of neighbouring ids that are at least 1 / STEP as frequent as the most frequent one by new
-symbols (never across two documents), until no pair stands in MIN_COUNT places, where a rule would take as much room as it saves.
+shards. In a shard, each round replaces the pairs of neighbouring ids that are as frequent as its bound by new symbols (never across two
+documents); bounds fall from round to round until no pair stands in MIN_COUNT places, where a rule would take as much room as it saves.
 Rules, their expansion lengths and the documents' places in the symbols are stored, so that any document, or any range of its ids, is
 decoded without the rest.
 
@@ -33,7 +33,7 @@ from .pieces import SENTINEL, PieceCache, Ragged, chunks, hash_pieces, ragged
 SHARD_TOKENS, FILE_BYTES = 4 << 20, 64 << 20
 #: A rule takes two symbols and a length, a place saves a symbol; rarer pairs aren't frequent.
 MIN_COUNT = 4
-#: A round takes the pairs that are at least this part, as a divisor, as frequent as the most frequent one.
+#: A round's bound for the frequency of its pairs is the last one's over this.
 STEP = 4
 #: Words that a worker keeps from task to task.
 MAX_PIECES = 1_200_000
@@ -189,8 +189,8 @@ def _places(key: np.ndarray, at: np.ndarray, chosen: np.ndarray) -> tuple[np.nda
 def compress(ids: np.ndarray, counts: np.ndarray, base: int, min_count: int = MIN_COUNT) -> dict[str, np.ndarray]:
     """The grammar of documents' ids: rules (n, 2), lengths (n), symbols, offsets (documents + 1). Symbols from base on are rules.
 
-    The pairs of a round are at least 1 / STEP as frequent as the most frequent one; the bound falls to min_count and stays there until no
-    pair reaches it. Only places whose two symbols are both that frequent are looked at and, once a round has been at the lowest bound, only
+    The pairs of a round are at least as frequent as a bound, which falls to 1 / STEP from round to round, down to min_count, where it stays
+    until no pair reaches it. Only places whose two symbols are both that frequent are looked at and, once a round has been at the lowest bound, only
     those of its new symbols and of pairs that it could not replace everywhere."""
     s = ids.astype(np.uint32)
     last = np.zeros(len(s), bool)
@@ -216,9 +216,6 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int, min_count: int = MI
             if least == min_count:
                 break
             continue
-        if n.max() > STEP * least:  # overlaps and new pairs that stand over the bound before
-            least = -(-int(n.max()) // STEP)
-            chosen, n = chosen[n >= least], n[n >= least]
         order = np.argsort(-n, kind="stable")
         chosen, n = chosen[order], n[order]
         spot, rule = _places(key, at, chosen)
