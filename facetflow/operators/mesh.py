@@ -176,11 +176,36 @@ def pack(corners: DataFrame) -> DataFrame:
     return f.select("mesh", F.flatten(F.transform("polys", lambda p: F.concat(p["ids"], F.array(F.lit(-1))))).alias("index"))
 
 
-def merge_close(points: DataFrame, tolerance: float, max_rounds: int = 1000) -> DataFrame:
+def _decided(names: list[str]):
+    """Groups of a tile's pairs (id, other, local, known: 1 leader, 0 member, null unknown) and points: the points that can be decided, in the
+    order of their ids. A point is a member where a smaller one near it leads, a leader where all of these are members."""
+    import numpy as np
+    import pandas as pd
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        f = frame.sort_values("id", kind="stable")
+        ids = f["id"].to_numpy()
+        edge = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1], [True])))
+        others, known = f["other"].tolist(), f["known"].fillna(-1).astype(int).tolist()
+        status: dict = {}
+        for first, last in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            seen = [known[k] if known[k] >= 0 else status.get(others[k], -1) for k in range(first, last)]
+            if 1 in seen:
+                status[ids[first]] = 0
+            elif -1 not in seen:
+                status[ids[first]] = 1
+        return pd.DataFrame({names[0]: list(status), names[1]: list(status.values())}).astype({names[0]: ids.dtype, names[1]: int})
+
+    return run
+
+
+def merge_close(points: DataFrame, tolerance: float, tile: int = 64) -> DataFrame:
     """id, leader: a point with no smaller leader within tolerance is a leader; others have the smallest leader within it.
 
-    Equal points are one to begin with. Pairs within tolerance are found through cells as wide as it; then each round makes leaders of
-    the undecided points that no undecided smaller one is near to, and members of those near a new leader."""
+    Equal points are one to begin with. Pairs within tolerance are found through cells as wide as it. Points are decided in the order of
+    their ids, inside tiles of `tile` cells a side; what hangs on another tile's points waits for the next round, so rounds follow the borders
+    that a chain of points crosses and not its length. Every round decides the smallest undecided point, so they end. A tile's points and
+    pairs meet in one task; null ids and places are left out."""
     p = points.select("id", *(F.col(c).cast("double").alias(c) for c in "xyz")).where("id is not null and x is not null and y is not null and z is not null")
     own = p.groupBy("x", "y", "z").agg(F.min("id").alias("id"))
     cell = {"g" + c: F.floor(F.col(c) / tolerance) for c in "xyz"}
@@ -188,35 +213,76 @@ def merge_close(points: DataFrame, tolerance: float, max_rounds: int = 1000) ->
     near = own
     for n in "xyz":
         near = near.withColumn("g" + n, F.explode(F.array(F.col("g" + n) - 1, F.col("g" + n), F.col("g" + n) + 1)))
+    of = lambda g: [F.floor(F.col(g + c) / tile) for c in "xyz"]
     o = own.select(F.col("id").alias("other"), *(F.col(c).alias("o" + c) for c in "xyz"), "gx", "gy", "gz")
     d = vec.sub(vec.vec(), vec.vec("o"))
-    pairs = cut(near.join(o, ["gx", "gy", "gz"]).where((F.col("other") < F.col("id")) & (vec.dot(d, d) <= tolerance * tolerance)).select("id", "other"), "near-points")
-    left, members = pairs, None
-    for _ in range(max_rounds):
-        blocked = left.select(F.col("id").alias("other")).distinct()
-        led = left.join(blocked, "other", "left_anti").groupBy("id").agg(F.min("other").alias("leader"))
-        led = cut(led, "members")
-        if led.isEmpty():
-            break
-        members = led if members is None else members.unionByName(led)
-        gone = led.select(F.col("id").alias("gone"))
-        new = left.join(gone, F.col("id") == F.col("gone"), "left_anti").join(gone, F.col("other") == F.col("gone"), "left_anti")
-        new = cut(new, "near-points")
+    home = {"tx": F.floor(F.floor(F.col("x") / tolerance) / tile), "ty": F.floor(F.floor(F.col("y") / tolerance) / tile), "tz": F.floor(F.floor(F.col("z") / tolerance) / tile)}
+    pairs = near.join(o, ["gx", "gy", "gz"]).where((F.col("other") < F.col("id")) & (vec.dot(d, d) <= tolerance * tolerance))
+    same = F.lit(True)
+    for k, t in zip(("tx", "ty", "tz"), of("g")):
+        same = same & (F.col(k) == t)
+    pairs = cut(pairs.withColumns(home).select("tx", "ty", "tz", "id", "other", same.alias("local")), "near-points")
+    # what has no smaller point near it leads
+    free = pairs.select("other").distinct().join(pairs.select(F.col("id").alias("other")).distinct(), "other", "left_anti")
+    known = cut(free.select(F.col("other").alias("point"), F.lit(1).alias("known")), "decided")
+    kind = dict(own.dtypes)["id"]
+    left, tables = pairs.withColumn("known", F.lit(None).cast("int")), [known]
+    while True:
+        now = left.join(known.withColumnRenamed("known", "new"), left["other"] == known["point"], "left").drop("point")
+        now = now.withColumn("known", F.coalesce("known", "new")).drop("new")
+        now = cut(now.join(known.select(F.col("point").alias("id")), "id", "left_anti"), "near-points")
         if left is not pairs:
             discard(left)
-        left = new
-    else:
-        raise RuntimeError("points did not settle")
-    one = own.select("x", "y", "z", F.col("id").alias("own"))
-    if members is not None:
-        # a member may be within tolerance of leaders of other rounds, too: the smallest counts
-        members = pairs.join(members.select(F.col("id").alias("other")), "other", "left_anti").groupBy("id").agg(F.min("other").alias("leader"))
-        one = one.join(members, F.col("own") == F.col("id"), "left").drop("id")
-    else:
-        one = one.withColumn("leader", F.col("own"))
+        if now.isEmpty():
+            break
+        known = cut(now.groupBy("tx", "ty", "tz").applyInPandas(_decided(["point", "known"]), f"point {kind}, known int"), "decided")
+        tables.append(known)
+        left = now
+    decided = tables[0]
+    for t in tables[1:]:
+        decided = decided.unionByName(t)
+    # a member may be within tolerance of several leaders: the smallest counts
+    leads = decided.where("known = 1").select(F.col("point").alias("other"))
+    members = pairs.join(decided.where("known = 0").select(F.col("point").alias("id")), "id").join(leads, "other").groupBy("id").agg(F.min("other").alias("leader"))
+    one = own.select("x", "y", "z", F.col("id").alias("own")).join(members, F.col("own") == F.col("id"), "left").drop("id")
     return p.join(one, ["x", "y", "z"]).select("id", F.coalesce("leader", "own").alias("leader"))
 
 
+def grown_segments(corners: DataFrame, facet_normals: DataFrame, angle: float) -> DataFrame:
+    """mesh, facet, surface: surfaces that grow from seeds. The smallest facet without a surface is a seed; its surface is all facets without one
+    that edges join to it by way of facets whose normals are within angle of the seed's; then the next seed follows.
+
+    Facets that no edge joins can't meet, so each connected part of what is left grows a surface in every round; a part and what grows in it
+    are components of a graph. Rounds are as many as surfaces lie one after another in a part. A facet without a normal is a surface of its
+    own; facets that are listed twice are one; an empty mesh has no rows."""
+    facets = corners.select(*FACET).distinct()
+    order = facets.join(facet_normals.dropDuplicates(list(FACET)), list(FACET), "left").repartitionByRange(*FACET).sortWithinPartitions(*FACET)
+    left = numbered = cut(order.select(*FACET, "nx", "ny", "nz", F.monotonically_increasing_id().alias("id")), "numbered-facets")  # ids in the order of mesh and facet
+    name = numbered.select(*FACET, "id")
+    pairs = adjacency(corners).where("facet < other").join(name, list(FACET)).select("mesh", "other", F.col("id").alias("a"))
+    edges_left = cut(pairs.join(name.withColumnsRenamed({"facet": "other", "id": "b"}), ["mesh", "other"]).select("a", "b"), "facet-pairs")
+    grown = []
+    while not left.isEmpty():
+        part = components(edges_left).select(F.col("node").alias("id"), F.col("component").alias("seed"))
+        now = left.join(part, "id", "left").withColumn("seed", F.coalesce("seed", "id"))
+        n = left.select(F.col("id").alias("seed"), *(F.col(c).alias("s" + c) for c in ("nx", "ny", "nz")))
+        within = (F.col("id") == F.col("seed")) | F.coalesce(vec.dot(vec.vec("n"), vec.vec("sn")) > F.cos(F.lit(angle)), F.lit(False))
+        near = cut(now.join(n, "seed").where(within).select("id", "seed"), "near-seeds")
+        inside = near.select("id")
+        sub = edges_left.join(inside.withColumnRenamed("id", "a"), "a", "left_semi").join(inside.withColumnRenamed("id", "b"), "b", "left_semi")
+        reach = components(sub).select(F.col("node").alias("id"), "component")
+        mine = cut(near.join(reach, "id", "left").where(F.coalesce("component", "id") == F.col("seed")).select("id", "seed"), "surfaces")
+        grown.append(mine)
+        left = cut(left.join(mine, "id", "left_anti"), "facets-left")
+        edges_left = cut(edges_left.join(mine.select(F.col("id").alias("a")), "a", "left_anti").join(mine.select(F.col("id").alias("b")), "b", "left_anti"), "facet-pairs")
+    out = None
+    for mine in grown:
+        out = mine if out is None else out.unionByName(mine)
+    if out is None:
+        return facets.withColumn("surface", F.col("facet"))
+    return name.join(out, "id").join(name.select(F.col("id").alias("seed"), F.col("facet").alias("surface")), "seed").select(*FACET, "surface")
+
+
 def from_arrays(meshes: DataFrame) -> DataFrame:
     """mesh, facet, n (corners), cx, cy, cz, maxradius, refsize from (mesh, points array of x, y, z, index with -1 ends)."""
     vertices = meshes.select("mesh", F.posexplode("points").alias("vid", "p")).select("mesh", "vid", *(F.get("p", F.lit(i)).alias(c) for i, c in enumerate("xyz")))

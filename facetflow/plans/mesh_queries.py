@@ -117,6 +117,25 @@ def box_segments(spark, d):
     return op.segments(_c(spark, d), op.normals(_ring(spark, d)), math.radians(80))
 
 
+_TURNS = math.radians(65)
+
+
+@query("join16_grown_segments", f"""WITH RECURSIVE c AS (SELECT p_partkey AS mesh, 6 + p_partkey % 7 AS sides FROM part), f AS (SELECT mesh, sides, unnest(range(sides)) AS facet, 2 * pi() / sides AS step FROM c), k AS (SELECT DISTINCT sides, greatest(1, floor({_TURNS!r}::DOUBLE / (2 * pi() / sides) + 1e-9)::BIGINT) AS reach FROM c),
+g(sides, seed, lo, hi) AS (SELECT sides, 0::BIGINT, CASE WHEN 2 * pi() / sides < {_TURNS!r}::DOUBLE - 1e-9 THEN -floor(({_TURNS!r}::DOUBLE - 1e-9) / (2 * pi() / sides))::BIGINT ELSE 0 END, CASE WHEN 2 * pi() / sides < {_TURNS!r}::DOUBLE - 1e-9 THEN floor(({_TURNS!r}::DOUBLE - 1e-9) / (2 * pi() / sides))::BIGINT ELSE 0 END FROM (SELECT DISTINCT sides FROM c)
+UNION ALL SELECT sides, hi + 1, lo, least(hi + 1 + floor(({_TURNS!r}::DOUBLE - 1e-9) / (2 * pi() / sides))::BIGINT, sides + lo0 - 1) FROM (SELECT g.sides, g.seed, g.lo, g.hi, -floor(({_TURNS!r}::DOUBLE - 1e-9) / (2 * pi() / g.sides))::BIGINT AS lo0 FROM g) WHERE hi + 1 < sides + lo0)
+SELECT f.mesh, f.facet, max(g.seed) AS surface FROM f JOIN g ON g.sides = f.sides AND ((f.facet BETWEEN greatest(g.seed, 0) AND g.hi AND g.seed > 0) OR (g.seed = 0 AND (f.facet <= g.hi OR f.facet - f.sides >= g.lo))) GROUP BY ALL""")
+def grown(spark, d):
+    """A prism of 6 to 12 sides a part: facets turn by equal angles, so surfaces of a seed's reach follow each other around it, the first to both
+    sides of its seed. Neighbours alone would join all sides of the finer ones."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("mesh"), (6 + F.col("p_partkey") % 7).cast("long").alias("sides"))
+    f = p.withColumn("facet", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1)))
+    turn = 2 * math.pi * F.col("facet") / F.col("sides")
+    normals = f.select("mesh", "facet", F.cos(turn).alias("nx"), F.sin(turn).alias("ny"), F.lit(0.0).alias("nz"))
+    nxt = (F.col("facet") + 1) % F.col("sides")
+    corners = f.select("mesh", "facet", F.posexplode(F.array(F.col("facet"), nxt, nxt + F.col("sides"), F.col("facet") + F.col("sides"))).alias("k", "vid"))
+    return op.grown_segments(corners, normals, _TURNS)
+
+
 @query("agg05_normals_skip_parallel", f"{W}, c AS (SELECT mesh, facet, CASE WHEN k > 0 THEN k + 1 ELSE k END AS k, x, y, z FROM ring UNION ALL SELECT a.mesh, a.facet, 1, (a.x + b.x) / 2, (a.y + b.y) / 2, (a.z + b.z) / 2 FROM ring a JOIN ring b ON a.mesh = b.mesh AND a.facet = b.facet AND a.k = 0 AND b.k = 1), p AS (SELECT mesh, facet, list(struct_pack(x := x, y := y, z := z) ORDER BY k) AS r FROM c GROUP BY ALL), e AS (SELECT mesh, facet, r[3].x - r[2].x AS ax, r[3].y - r[2].y AS ay, r[3].z - r[2].z AS az, r[4].x - r[3].x AS bx, r[4].y - r[3].y AS by_, r[4].z - r[3].z AS bz FROM p), n AS (SELECT mesh, facet, ay * bz - az * by_ AS nx, az * bx - ax * bz AS ny, ax * by_ - ay * bx AS nz FROM e) SELECT mesh, facet, round(nx / sqrt(nx * nx + ny * ny + nz * nz), 6) + 0.0 AS nx, round(ny / sqrt(nx * nx + ny * ny + nz * nz), 6) + 0.0 AS ny, round(nz / sqrt(nx * nx + ny * ny + nz * nz), 6) + 0.0 AS nz FROM n")
 def skip_parallel(spark, d):
     """Each face with one more corner in the middle of its first edge: its first two edges are parallel."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import mesh, surface as op
-from ..session import cut
+from ..session import cut, table
 from ..sources import fixtures as fx, stl, x3d
 from .registry import query
 
@@ -72,6 +72,24 @@ def stl_surfaces(spark, d):
     return whole.select(F.floor(F.col("cx") / 100 + 1e-9).alias("mesh"), "n", *(R(a).alias(a) for a in ("nx", "ny", "nz")), *(R(a, 4).alias(a) for a in ("cx", "cy", "cz")))
 
 
+@query("src01_stl_binary", f"{W}, {_AXES}, t AS (SELECT mesh, facet, x, y, z, CASE WHEN k IN (0, 2) THEN 2 ELSE 1 END AS w FROM ring) SELECT mesh, facet, 2 AS n, nx::DOUBLE AS nx, ny::DOUBLE AS ny, nz::DOUBLE AS nz, round(sum(x * w) / 6, 3) + 0.0 AS cx, round(sum(y * w) / 6, 3) + 0.0 AS cy, round(sum(z * w) / 6, 3) + 0.0 AS cz FROM t JOIN ax USING (facet) GROUP BY ALL")
+def stl_binary(spark, d):
+    """Boxes as binary STL files, each read by many tasks, record by record; records stand in the order of meshes and facets."""
+    from ..session import fresh_path
+
+    c, v = _boxes(spark, d)
+    half = F.explode(F.array(*(F.struct(F.lit(h).alias("h"), F.lit(k).alias("t"), F.lit(n).alias("j")) for h, ks in ((0, (0, 1, 2)), (1, (0, 2, 3))) for n, k in enumerate(ks))))
+    t = mesh.corner_points(c, v).join(mesh.normals(mesh.corner_points(c, v)), ["mesh", "facet"]).withColumn("a", half).where("a.t = k")
+    t = t.select("mesh", (F.col("facet") * 2 + F.col("a.h")).alias("facet"), F.col("a.j").alias("k"), *"xyz", "nx", "ny", "nz")
+    path = fresh_path(spark, "stl-binary")
+    stl.write_stl_binary(t, path)
+    back = stl.read_stl_binary(spark, path, 1.0, 1000)
+    first = table(spark, d, "part").agg(F.min("p_partkey")).first()[0]  # parts are numbered without gaps
+    at = F.expr("facet div 12") + (first or 0)
+    out = back.groupBy(at.alias("mesh"), F.expr("cast(facet % 12 div 2 as int)").alias("facet")).agg(F.count_distinct("facet").cast("int").alias("n"), *(F.avg(a).alias(o) for a, o in (("nx", "nx"), ("ny", "ny"), ("nz", "nz"), ("x", "cx"), ("y", "cy"), ("z", "cz"))))
+    return out.select("mesh", "facet", "n", *(R(a).alias(a) for a in ("nx", "ny", "nz")), *(R(a, 3).alias(a) for a in ("cx", "cy", "cz")))
+
+
 @query("agg08_texture_fit", f"{W}, e AS (SELECT mesh, facet, list(struct_pack(x, y, z) ORDER BY k) AS r FROM ring GROUP BY ALL), n AS (SELECT mesh, facet, sqrt((r[2].x - r[1].x) ** 2 + (r[2].y - r[1].y) ** 2 + (r[2].z - r[1].z) ** 2) AS a, sqrt((r[3].x - r[2].x) ** 2 + (r[3].y - r[2].y) ** 2 + (r[3].z - r[2].z) ** 2) AS b FROM e) SELECT mesh, facet, round(1 / a, 6) AS a11, 0.0::DOUBLE AS a12, 0.0::DOUBLE AS a21, round(1 / b, 6) AS a22, 0.5::DOUBLE AS u0, 0.5::DOUBLE AS v0 FROM n")
 def texture_fit(spark, d):
     """Each face of a box with the unit square as its texture: the fit's slopes are one over the sides."""

@@ -12,15 +12,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators import mesh as op
+from ..session import cut, ship
 
 #: Layout of a binary file: a header, a count, and records of normal, three corners and two spare bytes.
 _HEADER = 80
 _RECORD = np.dtype([("n", "<f4", 3), ("v", "<f4", (3, 3)), ("spare", "<u2")])
 _NUMBERS = re.compile(rb"(?:normal|vertex)\s+(\S+)\s+(\S+)\s+(\S+)")
-#: Facets of one batch of rows.
-BATCH = 50_000
+#: Facets of one batch of rows, and of one partition of a binary file.
+BATCH, RANGE = 50_000, 1 << 20
+COLUMNS = "mesh string, facet long, k int, x double, y double, z double, nx double, ny double, nz double"
 
 
 def triangles(content: bytes) -> np.ndarray:
@@ -38,7 +41,7 @@ def triangles(content: bytes) -> np.ndarray:
 
 def read_stl(spark: SparkSession, path: str, scale: float = 1.0) -> DataFrame:
     """mesh (the file), facet, k, x, y, z, nx, ny, nz: a row for each corner, positions times scale. A file is read by one task;
-    read_stl_text splits large texts."""
+    read_stl_text splits large texts, read_stl_binary large binaries."""
 
     def run(frames):
         for frame in frames:
@@ -51,7 +54,7 @@ def read_stl(spark: SparkSession, path: str, scale: float = 1.0) -> DataFrame:
                     yield pd.DataFrame({"mesh": mesh, "facet": ids, "k": np.tile([0, 1, 2], len(part)).astype("int32"), **dict(zip("xyz", xyz.T)), **dict(zip(("nx", "ny", "nz"), normal.T))})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.stl").load(path).select("path", "content")
-    return files.mapInPandas(run, "mesh string, facet long, k int, x double, y double, z double, nx double, ny double, nz double")
+    return files.mapInPandas(run, COLUMNS)
 
 
 def read_stl_text(spark: SparkSession, path: str, scale: float = 1.0) -> DataFrame:
@@ -93,3 +96,106 @@ def surfaces(triangles: DataFrame, angle: float) -> DataFrame:
     corners = t.join(t.groupBy(*place).agg(F.min("corner").alias("vid")), place).select("mesh", "facet", "k", "vid")
     normals = triangles.where("k = 0").select("mesh", "facet", "nx", "ny", "nz")
     return op.segments(corners, normals, angle)
+
+
+class BinaryStl(DataSource):
+    """The facets of binary STL files as a Spark source whose partitions are ranges of whole records after the header, so that many tasks read
+    one file. Options: path (a folder or a file, any that pyarrow's file systems open), facets (records a partition), scale. Files whose length
+    doesn't fit their count are no binaries and are left out; so are files that hold no facet."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "facetflow_binary_stl"
+
+    def schema(self) -> str:
+        return COLUMNS
+
+    def reader(self, schema) -> DataSourceReader:
+        return BinaryStlReader(self.options)
+
+
+class Records(InputPartition):
+    def __init__(self, path: str, mesh: str, first: int, count: int):
+        super().__init__(None)
+        self.path, self.mesh, self.first, self.count = path, mesh, first, count
+
+
+class BinaryStlReader(DataSourceReader):
+    def __init__(self, options):
+        self.folder = options["path"]
+        self.facets, self.scale = int(options.get("facets", RANGE)), float(options.get("scale", 1.0))
+
+    def _open(self):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.folder) if "://" in self.folder or self.folder.startswith("file:") else (fs.LocalFileSystem(), self.folder)
+
+    def partitions(self) -> list[Records]:
+        from pyarrow import fs
+
+        where, path = self._open()
+        found = where.get_file_info(path)
+        files = [found] if found.type == fs.FileType.File else where.get_file_info(fs.FileSelector(path, recursive=True))
+        out = []
+        for f in sorted((f for f in files if f.type == fs.FileType.File and f.path.lower().endswith(".stl")), key=lambda f: f.path):
+            if f.size < _HEADER + 4:
+                continue
+            with where.open_input_file(f.path) as data:
+                count = int(np.frombuffer(data.read_at(4, _HEADER), "<u4")[0])
+            if f.size == _HEADER + 4 + count * _RECORD.itemsize:
+                out += [Records(f.path, f.path, at, min(self.facets, count - at)) for at in range(0, count, self.facets)]
+        return out or [Records("", "", 0, 0)]
+
+    def read(self, partition: Records):
+        import pyarrow as pa
+
+        if not partition.count:
+            return
+        where, _ = self._open()
+        with where.open_input_file(partition.path) as data:
+            for at in range(partition.first, partition.first + partition.count, BATCH):
+                n = min(BATCH, partition.first + partition.count - at)
+                r = np.frombuffer(data.read_at(n * _RECORD.itemsize, _HEADER + 4 + at * _RECORD.itemsize), _RECORD, n)
+                xyz, normal = r["v"].reshape(-1, 3).astype(float) * self.scale, np.repeat(r["n"].astype(float), 3, axis=0)
+                columns = [pa.array([partition.mesh] * (3 * n)), pa.array(np.repeat(np.arange(at, at + n), 3)), pa.array(np.tile(np.arange(3, dtype=np.int32), n)), *map(pa.array, (*xyz.T, *normal.T))]
+                yield pa.RecordBatch.from_arrays(columns, ["mesh", "facet", "k", "x", "y", "z", "nx", "ny", "nz"])
+
+
+def read_stl_binary(spark: SparkSession, path: str, scale: float = 1.0, facets: int = RANGE) -> DataFrame:
+    """The columns of read_stl from binary files, each read by as many tasks as it has ranges of `facets` records."""
+    ship(spark).dataSource.register(BinaryStl)
+    return spark.read.format(BinaryStl.name()).options(path=path, scale=str(scale), facets=str(facets)).load()
+
+
+def write_stl_binary(triangles: DataFrame, folder: str, files: int = 1) -> DataFrame:
+    """Binary files of triangles (mesh, facet, k = 0 to 2, x, y, z, nx, ny, nz) ordered by mesh and facet, cut in so many ranges: file, n. A file is
+    as large as its task's triangles are; a task that is run again writes the same file anew. Numbers are stored in single precision."""
+    corners = F.array_sort(F.collect_list(F.struct("k", "x", "y", "z")))
+    rows = triangles.groupBy("mesh", "facet").agg(F.array(*(F.first(c).cast("float") for c in ("nx", "ny", "nz"))).alias("n"), F.flatten(F.transform(corners, lambda c: F.array(*(c[a].cast("float") for a in "xyz")))).alias("v"))
+    rows = rows.repartitionByRange(files, "mesh", "facet").sortWithinPartitions("mesh", "facet").select("n", "v")
+
+    def run(batches):
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        where, path = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        where.create_dir(path, recursive=True)
+        parts = [(b.column("n").flatten().to_numpy(), b.column("v").flatten().to_numpy()) for b in batches if b.num_rows]
+        n = sum(len(a) // 3 for a, _ in parts)
+        r = np.zeros(n, _RECORD)
+        r["n"] = np.concatenate([a for a, _ in parts] or [np.empty(0)]).reshape(-1, 3)
+        r["v"] = np.concatenate([b for _, b in parts] or [np.empty(0)]).reshape(-1, 3, 3)
+        context = TaskContext.get()
+        name = f"part-{context.partitionId():05d}.stl"
+        with where.open_output_stream(f"{path}/_{name}-{context.taskAttemptId()}") as out:
+            out.write(b"binary".ljust(_HEADER) + np.array([n], "<u4").tobytes() + r.tobytes())
+        where.move(f"{path}/_{name}-{context.taskAttemptId()}", f"{path}/{name}")
+        yield pa_batch(name, n)
+
+    return cut(rows.mapInArrow(run, "file string, n long"), "stl-files")
+
+
+def pa_batch(name: str, n: int):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_pydict({"file": [name], "n": pa.array([n], pa.int64())})
