@@ -1,4 +1,12 @@
-"""Principal curvatures of mesh vertices from the points two edges around them."""
+"""Principal curvatures of mesh vertices from the points two edges around them.
+
+A surface is fitted to the points by moments: Spark sums the products of powers of their places in the vertex's basis, tasks solve the
+normal equations of a batch of vertices at once.
+
+Defined results: a vertex without facets or normal, or whose points all lie on its normal, has nulls; where the points don't determine
+a fit, that with the smallest coefficients counts; repeated vertices of one number are an error of the caller's; empty tables give
+empty results.
+"""
 
 from __future__ import annotations
 
@@ -10,31 +18,47 @@ from pyspark.sql import functions as F
 from ..functions import vec
 from .mesh import edges, neighbours
 
+#: Powers of x and y in the fitted surface.
+POWERS = [(i, j) for i in range(3) for j in range(3)]
+#: What is summed: x^i y^j, and z times them; the largest reach scales all.
+MOMENTS = [(i, j) for i in range(5) for j in range(5)]
+
+
+def solve_fits(moments: np.ndarray, heights: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Larger and smaller curvature (n x 2), positive where the surface bends to its normal, from sums of x^i y^j (n x 25), of z x^i y^j
+    (n x 9), both with the vertex itself at 0, and the largest |x| or |y|."""
+    s = np.where(size > 0, size, 1.0)[:, None]
+    m = moments / s ** [i + j for i, j in MOMENTS]
+    h = heights / s ** [i + j + 1 for i, j in POWERS]
+    at = {p: k for k, p in enumerate(MOMENTS)}
+    a = np.stack([np.stack([m[:, at[i + k, j + l]] for k, l in POWERS], 1) for i, j in POWERS], 1)
+    fit = np.einsum("nij,nj->ni", np.linalg.pinv(a, rcond=1e-11, hermitian=True), h)
+    c = {p: fit[:, k] for k, p in enumerate(POWERS)}
+    p, q, r, t, w = c[1, 0], c[0, 1], 2 * c[2, 0], c[1, 1], 2 * c[0, 2]
+    grow = 1 + p * p + q * q
+    mean = ((1 + q * q) * r - 2 * p * q * t + (1 + p * p) * w) / (2 * grow**1.5)
+    gauss = (r * w - t * t) / grow**2
+    off = np.sqrt(np.maximum(mean * mean - gauss, 0.0))
+    out = np.stack((mean + off, mean - off), 1) / s
+    out[~(size > 0)] = np.nan
+    return out
+
 
 def principal(normal: np.ndarray, offsets: np.ndarray) -> tuple[float, float]:
-    """Larger and smaller curvature, positive where the surface bends to its normal, of a cubic through the vertex fitted to offsets."""
+    """Larger and smaller curvature of one vertex with its normal and the places of the points around it."""
     n = normal / np.linalg.norm(normal)
-    e = np.eye(3)[np.argmin(np.abs(n))]
-    a = np.cross(n, e)
+    a = np.cross(n, np.eye(3)[np.argmin(np.abs(n))])
     a /= np.linalg.norm(a)
     x, y, z = (offsets @ np.stack((a, np.cross(n, a), n), axis=1)).T
-    size = max(np.abs(x).max(), np.abs(y).max())
-    if not size > 0:
-        return float("nan"), float("nan")
-    x, y, z = x / size, y / size, z / size
-    fit = np.linalg.lstsq(np.stack((x, y, x * x, x * y, y * y, x**3, x * x * y, x * y * y, y**3), axis=1), z, rcond=None)[0]
-    p, q, r, s, t = fit[0], fit[1], 2 * fit[2], fit[3], 2 * fit[4]
-    first = np.array([[1 + p * p, p * q], [p * q, 1 + q * q]])
-    bend = np.linalg.solve(first, np.array([[r, s], [s, t]])) / np.sqrt(1 + p * p + q * q) / size
-    k = np.linalg.eigvals(bend).real
-    return float(k.max()), float(k.min())
+    m = np.array([[(x**i * y**j).sum() + (i + j == 0) for i, j in MOMENTS]])
+    return tuple(solve_fits(m, np.array([[(z * x**i * y**j).sum() for i, j in POWERS]]), np.array([max(np.abs(x).max(initial=0), np.abs(y).max(initial=0))]))[0].tolist())
 
 
 def vertex_curvature(vertices: DataFrame, corners: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """mesh, vid, k1, k2 (k1 >= k2) of the wanted vertices (mesh, vid), or of all; null for a vertex without facets or normal.
 
-    The normal sums the cross products of a vertex's edges, facet by facet. What one vertex needs, the points within two edges, is
-    gathered in one row; tasks take rows in batches."""
+    The normal sums the cross products of a vertex's edges, facet by facet. The points within two edges meet their vertex as rows and leave
+    sums; a vertex is one short row when it comes to a task."""
     e = edges(corners)
     fan = e.select("mesh", "facet", F.col("a").alias("vid"), F.col("b").alias("next")).join(e.select("mesh", "facet", F.col("b").alias("vid"), F.col("a").alias("last")), ["mesh", "facet", "vid"])
     if wanted is not None:
@@ -48,15 +72,30 @@ def vertex_curvature(vertices: DataFrame, corners: DataFrame, wanted: DataFrame
     near = one if wanted is None else one.join(wanted.select("mesh", "vid").distinct(), ["mesh", "vid"], "left_semi")
     two = near.select("mesh", "vid", F.col("other").alias("mid")).join(one.select("mesh", F.col("vid").alias("mid"), "other"), ["mesh", "mid"]).select("mesh", "vid", "other")
     ring = near.unionByName(two).where("vid <> other").distinct().join(at("vid", "o"), ["mesh", "vid"]).join(at("other", "p"), ["mesh", "other"])
-    points = ring.groupBy("mesh", "vid").agg(F.flatten(F.collect_list(F.array(*vec.sub(v("p"), v("o"))))).alias("points"))
+    named = normal.where(vec.norm(tuple(F.get("n", F.lit(i)) for i in range(3))) > 0)
+    n = vec.unit(tuple(F.get("n", F.lit(i)) for i in range(3)))
+    named = named.select("mesh", "vid", *(e.alias("n" + c) for c, e in zip("xyz", n)))
+    least = F.least(*(F.abs("n" + c) for c in "xyz"))
+    first = F.when(F.abs("nx") == least, 0).when(F.abs("ny") == least, 1).otherwise(2)  # the axis that the normal is farthest from
+    axis = tuple(F.when(first == i, 1.0).otherwise(0.0) for i in range(3))
+    named = named.withColumns(dict(zip(("ax", "ay", "az"), vec.unit(vec.cross(v("n"), axis)))))
+    named = named.withColumns(dict(zip(("bx", "by", "bz"), vec.cross(v("n"), v("a")))))
+    d = vec.sub(v("p"), v("o"))
+    near = ring.join(named, ["mesh", "vid"]).select("mesh", "vid", vec.dot(d, v("a")).alias("x"), vec.dot(d, v("b")).alias("y"), vec.dot(d, v("n")).alias("z"))
+    power = lambda c, k: F.lit(1.0) if k == 0 else F.col(c) if k == 1 else F.col(f"{c}{k}")
+    near = near.withColumns({"x2": F.col("x") * F.col("x"), "y2": F.col("y") * F.col("y")}).withColumns({f"{c}{k}": F.col(c + "2") * F.col(c if k == 3 else c + "2") for c in "xy" for k in (3, 4)})
+    sums = [F.sum(power("x", i) * power("y", j)) + float(i + j == 0) for i, j in MOMENTS]
+    heights = [F.sum(F.col("z") * power("x", i) * power("y", j)) for i, j in POWERS]
+    size = F.max(F.greatest(F.abs("x"), F.abs("y")))
+    fits = near.groupBy("mesh", "vid").agg(F.array(*sums).alias("m"), F.array(*heights).alias("h"), size.alias("size"))
     every = vertices.select("mesh", "vid") if wanted is None else wanted.select("mesh", "vid").distinct()
-    rows = every.join(normal.join(points, ["mesh", "vid"]), ["mesh", "vid"], "left")
 
     def run(frames):
-        for frame in frames:
-            k = [principal(np.asarray(n), np.asarray(p).reshape(-1, 3)) if n is not None and np.linalg.norm(n) > 0 else (np.nan, np.nan) for n, p in zip(frame.n, frame.points)]
-            yield pd.DataFrame({"mesh": frame.mesh, "vid": frame.vid, "k1": [a for a, _ in k], "k2": [b for _, b in k]})
+        for f in frames:
+            k = solve_fits(np.stack(f["m"].to_numpy()), np.stack(f["h"].to_numpy()), f["size"].to_numpy(float)) if len(f) else np.empty((0, 2))
+            yield pd.DataFrame({"mesh": f["mesh"], "vid": f["vid"], "k1": k[:, 0], "k2": k[:, 1]})
 
     kinds = {c: vertices.schema[c].dataType.simpleString() for c in ("mesh", "vid")}
-    out = rows.mapInPandas(run, f"mesh {kinds['mesh']}, vid {kinds['vid']}, k1 double, k2 double")
+    out = fits.mapInPandas(run, f"mesh {kinds['mesh']}, vid {kinds['vid']}, k1 double, k2 double")
+    out = every.join(out, ["mesh", "vid"], "left")
     return out.withColumns({k: F.nullif(F.col(k), F.lit(float("nan"))) for k in ("k1", "k2")})

@@ -47,11 +47,8 @@ def tensor_at(points: DataFrame, corners: DataFrame) -> DataFrame:
     return j.withColumn("w", w).groupBy("id").agg(*(F.when(~missing, F.sum(F.col("w") * F.col(t)) / F.sum("w")).alias(t) for t in ("t11", "t12", "t22")))
 
 
-def mirrored_line_means(lines: DataFrame, raster: DataFrame, n: int) -> DataFrame:
-    """line, pieces, length, mean: the raster's mean along a segment that the unit square's sides reflect, by length.
-
-    A segment is cut where it crosses a side; pieces outside are folded back by one reflection. Length counts all pieces; pieces that
-    see no raster cell carry no weight in the mean."""
+def mirrored_pieces(lines: DataFrame) -> DataFrame:
+    """line, piece, u1, v1, u2, v2: segments cut where they cross a side of the unit square, pieces outside folded back by one reflection."""
     du, dv = F.col("u2") - F.col("u1"), F.col("v2") - F.col("v1")
     cross = [F.try_divide(F.lit(float(b)) - F.col(c), F.nullif(d, F.lit(0.0))) for c, d in (("u1", du), ("v1", dv)) for b in (0, 1)]
     times = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.filter(F.array(*cross), lambda t: (t > 0) & (t < 1)))))
@@ -63,7 +60,14 @@ def mirrored_line_means(lines: DataFrame, raster: DataFrame, n: int) -> DataFram
         middle = at((F.col("t0") + F.col("t1")) / 2)
         fold = lambda x, middle=middle: F.when(middle < 0, -x).when(middle > 1, 2 - x).otherwise(x)
         ends |= {c + "1": fold(at(F.col("t0"))), c + "2": fold(at(F.col("t1")))}
-    pieces = s.select(F.struct("line", "piece").alias("line"), *(x.alias(k) for k, x in ends.items()))
+    return s.select("line", "piece", *(x.alias(k) for k, x in ends.items()))
+
+
+def mirrored_line_means(lines: DataFrame, raster: DataFrame, n: int) -> DataFrame:
+    """line, pieces, length, mean: the raster's mean along a segment that the unit square's sides reflect, by length.
+
+    Length counts all pieces; pieces that see no raster cell carry no weight in the mean."""
+    pieces = mirrored_pieces(lines).select(F.struct("line", "piece").alias("line"), "u1", "v1", "u2", "v2")
     m = line_means(pieces, raster, n)
     seen = F.when(F.col("mean").isNotNull(), F.col("length"))
     return m.groupBy(F.col("line.line").alias("line")).agg(F.count("*").alias("pieces"), F.sum("length").alias("length"), F.try_divide(F.sum(F.col("mean") * F.col("length")), F.nullif(F.sum(seen), F.lit(0.0))).alias("mean"))

@@ -29,9 +29,8 @@ def landmark_lines(spark, d):
     return src.landmark_lines(e.select("event_id", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("# "), line)).otherwise(line).alias("value")))
 
 
-@query("agg09_vertex_curvature", "SELECT p_partkey AS mesh, greatest(p_size / 25.0, p_partkey % 7 / 4.0 - 1) AS k1, least(p_size / 25.0, p_partkey % 7 / 4.0 - 1) AS k2 FROM part")
-def vertex_curvature(spark, d):
-    """The middle of a 5 x 5 patch of z = (a x^2 + b y^2) / 2 a part, whose curvatures there are a and b."""
+def _patches(spark, d):
+    """A 5 x 5 patch of z = (a x^2 + b y^2) / 2 a part: vertices, corners."""
     side = F.explode(F.sequence(F.lit(0), F.lit(4)))
     p = table(spark, d, "part").select(F.col("p_partkey").alias("mesh"), (F.col("p_size") / 25.0).alias("a"), (F.col("p_partkey") % 7 / 4.0 - 1).alias("b"))
     g = p.withColumn("i", side).withColumn("j", side)
@@ -39,5 +38,21 @@ def vertex_curvature(spark, d):
     vertices = g.select("mesh", (F.col("j") * 5 + F.col("i")).alias("vid"), x.alias("x"), y.alias("y"), ((F.col("a") * x * x + F.col("b") * y * y) / 2).alias("z"))
     low = F.col("j") * 5 + F.col("i")
     corners = g.where("i < 4 and j < 4").select("mesh", (F.col("j") * 4 + F.col("i")).alias("facet"), F.posexplode(F.array(low, low + 1, low + 6, low + 5)).alias("k", "vid"))
-    out = curvature.vertex_curvature(vertices, corners, p.select("mesh", F.lit(12).alias("vid")))
-    return out.select("mesh", R("k1", 5).alias("k1"), R("k2", 5).alias("k2"))
+    return vertices, corners
+
+
+@query("agg09_vertex_curvature", "SELECT p_partkey AS mesh, greatest(p_size / 25.0, p_partkey % 7 / 4.0 - 1) AS k1, least(p_size / 25.0, p_partkey % 7 / 4.0 - 1) AS k2, 25 AS n FROM part")
+def vertex_curvature(spark, d):
+    """All vertices of a patch a part; the middle one's curvatures are known, and all have some."""
+    out = curvature.vertex_curvature(*_patches(spark, d))
+    middle = lambda c: F.max(F.when(F.col("vid") == 12, F.col(c)))
+    return out.groupBy("mesh").agg((F.round(middle("k1"), 5) + 0.0).alias("k1"), (F.round(middle("k2"), 5) + 0.0).alias("k2"), F.count_if(F.col("k1") >= F.col("k2")).cast("int").alias("n"))
+
+
+@query("agg09_flat_curvature", "SELECT p_partkey AS mesh, n AS vid, 0.0::DOUBLE AS k1, 0.0::DOUBLE AS k2 FROM part, range(25) r(n)")
+def flat_curvature(spark, d):
+    """Every vertex of a tilted plane bends nowhere, at the border, too."""
+    v, c = _patches(spark, d)
+    tilted = v.withColumn("z", F.col("x") * (F.col("mesh") % 5) - F.col("y") * (F.col("mesh") % 3))
+    out = curvature.vertex_curvature(tilted, c)
+    return out.select("mesh", F.col("vid").cast("long").alias("vid"), *((F.round(F.abs(k), 5) + 0.0).alias(k) for k in ("k1", "k2")))
