@@ -72,6 +72,22 @@ def in_polygon3(ring: Column, point: tuple, first: tuple, second: tuple) -> Colu
     return in_polygon(r, flat(*point, first), flat(*point, second))
 
 
+def clip_front(ring: Column, near: Column) -> Column:
+    """The part of a ring in camera coordinates that lies in front of the plane z = -near (the camera looks along -z), corner by corner and edge
+    by edge in their order: an edge that crosses the plane leaves its place there. Empty where nothing is in front."""
+    none = F.array().cast("array<struct<x:double,y:double,z:double>>")
+
+    def part(s):
+        a, b = s["a"], s["b"]
+        t = (-near - a["z"]) / F.nullif(b["z"] - a["z"], F.lit(0.0))
+        point = lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"), p["z"].cast("double").alias("z"))
+        cross = F.struct((a["x"] + t * (b["x"] - a["x"])).alias("x"), (a["y"] + t * (b["y"] - a["y"])).alias("y"), (-near).alias("z"))
+        first, second = a["z"] <= -near, b["z"] <= -near
+        return F.when(first & second, F.array(point(a))).when(first, F.array(point(a), cross)).when(second, F.array(cross)).otherwise(none)
+
+    return F.flatten(F.transform(_edges(ring), part))
+
+
 def vertices_in_box(ring: Column, low: dict, high: dict) -> Column:
     """Whether all corners are in a closed box; low and high by axis name, two or three of them."""
     inside = lambda q: functools.reduce(lambda a, b: a & b, [(q[n] >= low[n]) & (q[n] <= high[n]) for n in low])

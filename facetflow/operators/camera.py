@@ -71,25 +71,26 @@ def pinhole_hits(pixels: DataFrame, faces: DataFrame, f: tuple, c: tuple, tile:
     """image, ix, iy, dist, facet, cosine: the nearest facet on each pixel's ray, the smallest of equally near ones, null on a miss.
 
     faces: image, facet, ring (array of x, y, z in camera coordinates; the camera looks along -z), normal nx, ny, nz. Pixels and
-    facets meet on the square tiles that a facet's picture touches; a facet that reaches behind the camera meets every tile that has
-    pixels. The exact test is done in the coordinate plane that the facet faces most. Degenerate facets (null normal) are never hit."""
+    facets meet on the square tiles that a facet's picture touches; of a facet that reaches behind the camera this is the picture of its part in
+    front, from a billionth of its depth on. The exact test is done in the coordinate plane that the facet faces most. Degenerate facets (null normal) are never hit."""
     p = pixels.select("image", "ix", "iy").distinct()
     extent = p.groupBy("image").agg(*(g(F.floor(F.col(n) / tile)).cast("int").alias(a + n) for n in ("ix", "iy") for a, g in (("lo_", F.min), ("hi_", F.max))))
     z_far = F.array_max(F.transform("ring", lambda q: q["z"]))
     z_near = F.array_min(F.transform("ring", lambda q: q["z"]))
     deep = (lambda q: -q["z"]) if perspective else (lambda q: F.lit(1.0))
     picture = {"x": lambda q: c[0] + f[0] * q["x"] / deep(q), "y": lambda q: c[1] - f[1] * q["y"] / deep(q)}
-    front = z_far < 0 if perspective else F.lit(True)
+    near = F.greatest(F.abs(z_near), F.abs(z_far)) * 1e-9
+    front = F.when(z_far < -near, F.col("ring")).otherwise(pr.clip_front(F.col("ring"), near)) if perspective else F.col("ring")
     side = {}
     for n, at in picture.items():
-        seen = F.transform("ring", at)
-        for a, g, edge in (("lo_", F.array_min, F.greatest), ("hi_", F.array_max, F.least)):
-            t = F.floor(g(seen) / tile).cast("int")
-            side[a + n] = F.when(front, edge(t, F.col(f"{a}i{n}"))).otherwise(F.col(f"{a}i{n}"))
+        seen = F.transform("front", at)
+        for a, g in (("lo_", F.array_min), ("hi_", F.array_max)):
+            t = F.floor(g(seen) / tile)
+            side[a + n] = F.least(F.greatest(t, F.col(f"lo_i{n}") - int(a == "hi_")), F.col(f"hi_i{n}") + int(a == "lo_")).cast("int")  # a picture beside the pixels has no tile
     n, first = vec.vec("n"), F.get("ring", F.lit(0))
     axis = F.when((F.abs("nx") >= F.abs("ny")) & (F.abs("nx") >= F.abs("nz")), 0).when(F.abs("ny") >= F.abs("nz"), 1).otherwise(2)
     flat = F.transform("ring", lambda r: F.struct(*(e.alias(a) for e, a in zip(_drop_axis(F.col("axis"), (r["x"], r["y"], r["z"])), "xy"))))
-    q = faces.where((z_near < 0) & F.col("nx").isNotNull()).join(extent, "image")
+    q = faces.where((z_near < 0) & F.col("nx").isNotNull()).withColumn("front", front).where("size(front) > 0").join(extent, "image")
     q = q.withColumns({f"t_{k}": v for k, v in side.items()} | {"axis": axis, "plane": vec.dot(n, (first["x"], first["y"], first["z"]))})
     q = q.where("t_lo_x <= t_hi_x and t_lo_y <= t_hi_y").withColumn("flat", flat)
     q = q.withColumns({f"{g}_{a}": f(F.col("flat." + a)) for a in "xy" for g, f in (("lo", F.array_min), ("hi", F.array_max))})
