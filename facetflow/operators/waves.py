@@ -8,14 +8,16 @@ group is as large as a waveform is long.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 
 def hilbert(v: np.ndarray) -> np.ndarray:
-    """The analytic signal of real samples, by the discrete Fourier transform."""
-    n = len(v)
+    """The analytic signal of real samples, along the last axis, by the discrete Fourier transform."""
+    n = v.shape[-1]
     keep = np.zeros(n)
     keep[0] = 1
     keep[1 : (n + 1) // 2] = 2
@@ -24,17 +26,41 @@ def hilbert(v: np.ndarray) -> np.ndarray:
     return np.fft.ifft(np.fft.fft(v) * keep)
 
 
-def analytic(waves: DataFrame) -> DataFrame:
-    """wf, i, t, re, im of every sample."""
+def _transformed(t: pa.Table, starts: np.ndarray) -> pa.Table:
+    """t with re and im of its waveforms, which begin at starts; those of equal length are transformed at once."""
+    v = t["v"].to_numpy().astype(float)  # nulls become NaN, and so does a whole waveform that holds one
+    z = np.empty(len(v), complex)
+    lens = np.diff(np.append(starts, len(v)))
+    for n in np.unique(lens).tolist():
+        at = starts[lens == n][:, None] + np.arange(n)
+        z[at] = hilbert(v[at])
+    return t.drop_columns(["v"]).append_column("re", pa.array(z.real, from_pandas=True)).append_column("im", pa.array(z.imag, from_pandas=True))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i", kind="stable")
-        z = hilbert(pdf.v.to_numpy(float))
-        return pd.DataFrame({"wf": pdf.wf, "i": pdf.i, "t": pdf.t, "re": z.real, "im": z.imag})
 
+def analytic(waves: DataFrame) -> DataFrame:
+    """wf, i, t, re, im of every sample. Waveforms lie one after another in their partition; a task holds a batch of rows and the waveform that
+    goes on behind it."""
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            if not t.num_rows:
+                continue
+            code = t["wf"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            starts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+            last = int(starts[-1])
+            if last:
+                yield from _transformed(t.slice(0, last), starts[:-1]).to_batches()
+            rest = t.slice(last)
+        if rest is not None:
+            yield from _transformed(rest, np.zeros(1, int)).to_batches()
+
+    ship(waves.sparkSession)
     kinds = dict(waves.dtypes)
-    out = waves.select("wf", "i", "t", "v").groupBy("wf").applyInPandas(run, f"wf {kinds['wf']}, i {kinds['i']}, t {kinds['t']}, re double, im double")
-    return out.withColumns({c: F.nanvl(c, F.lit(None)) for c in ("re", "im")})
+    rows = waves.select("wf", "i", "t", "v").repartition("wf").sortWithinPartitions("wf", "i")
+    return rows.mapInArrow(run, f"wf {kinds['wf']}, i {kinds['i']}, t {kinds['t']}, re double, im double")
 
 
 def analytic_rows(shots: DataFrame, *keep: str) -> DataFrame:
