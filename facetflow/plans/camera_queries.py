@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import camera as op, fusion, project
-from ..session import table
+from ..operators.diffusion import diffusion_steps
+from ..session import cut, table
 from ..sources import fixtures as fx
 from .registry import query
 
@@ -135,6 +136,41 @@ def _weights(spark, d, far):
     return op.weight_map(sums(F.col("t") % 2), sums(F.col("v") / 53.1234567), 32, 32, far, far, ("shot",), tile=16)
 
 
+def _blurred_sql(steps: int, dt: float, rx: float, ry: float) -> str:
+    """The mismatch of slopes projected on the texture, thresholded, diffused step by step, times the projected angles."""
+    from . import fusion_queries as fq
+
+    w = "WINDOW r AS (PARTITION BY shot, iy ORDER BY ix), c AS (PARTITION BY shot, ix ORDER BY iy)"
+    out = [
+        f"{fq.GRID}, {fq.DEPTH}, {fq.NEAR}, a AS (SELECT shot, ix * 0.9::DOUBLE + 0.35::DOUBLE AS u, iy * 0.9::DOUBLE + 0.25::DOUBLE AS z, CASE WHEN {fq.AGREE} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS up, 1 / sqrt(1 + ((ix - 16) / 20.0::DOUBLE) ** 2 + ((iy - 16) / 25.0::DOUBLE) ** 2) AS f FROM s)",
+        "k AS (SELECT shot, u, z, up, f, floor(u)::INTEGER + a1.d AS iu, floor(z)::INTEGER + b1.d AS iv FROM a, (VALUES (-1), (0), (1), (2)) a1(d), (VALUES (-1), (0), (1), (2)) b1(d))",
+        "e AS (SELECT shot, iu, iv, up, f, 0.5 + 0.5 * cos(sqrt((iu - u) * (iu - u) + (iv - z) * (iv - z)) * 0.4 * pi() / sqrt(2)) AS c FROM k WHERE (iu - u) * (iu - u) + (iv - z) * (iv - z) <= 2.25)",
+        "n AS (SELECT shot, iu, iv, CASE WHEN sum(c) < 0.01 THEN 0 ELSE sum(c * up) / sum(c) END AS up, CASE WHEN sum(c) < 0.01 THEN 0 ELSE sum(c * f) / sum(c) END AS f FROM e GROUP BY ALL)",
+        "q0 AS (SELECT b.shot, (i % 32)::INTEGER AS ix, (i // 32)::INTEGER AS iy, coalesce(up, 0.0) AS upper, coalesce(f, 0.0) AS f, 1.0::DOUBLE AS v FROM (SELECT DISTINCT shot FROM n) b CROSS JOIN range(1024) r(i) LEFT JOIN n ON n.shot = b.shot AND iu = i % 32 AND iv = i // 32)",
+    ]
+    for j in range(steps):
+        out.append(f"c{j} AS MATERIALIZED (SELECT shot, ix, iy, upper, f, least(v, upper) AS v FROM q{j})")
+        out.append(f"q{j + 1} AS MATERIALIZED (SELECT shot, ix, iy, upper, f, v + {dt!r}::DOUBLE * ((coalesce(lag(v) OVER r, v) + coalesce(lead(v) OVER r, v) - 2 * v) * {rx!r}::DOUBLE + (coalesce(lag(v) OVER c, v) + coalesce(lead(v) OVER c, v) - 2 * v) * {ry!r}::DOUBLE) AS v FROM c{j} {w})")
+    return ", ".join(out) + f" SELECT shot, ix AS iu, iy AS iv, round(v * f, 5) + 0.0 AS weight FROM q{steps}"
+
+
+@query("agg34_mismatch_weights", _blurred_sql(*diffusion_steps(3.0, 2.0)))
+def mismatch_weights(spark, d):
+    """From depths to weights: slopes that don't fit the surface, projected on each shot's texture with the facets' angles, blurred over 3 texels
+    along u and 2 along v."""
+    from . import fusion_queries as fq
+
+    v, r = F.col("v"), ("shot", "t")
+    g = fq.op.dense(fx.pixels(spark, d).groupBy(*r, "ix", "iy").agg(F.max("v").alias("v")), 32, 32, frame=r)
+    g = g.select(*r, "ix", "iy", F.when(v == 13, F.lit(float("nan"))).otherwise(100 + v).alias("z"), ((v - 25) / 10).alias("dx"), ((F.col("ix") - 16) / 8.0).alias("dy"))
+    m = fq.op.slope_mismatch(g, (20.0, 25.0), r)
+    x, y = (F.col("ix") - 16) / 20.0, (F.col("iy") - 16) / 25.0
+    at = m.select("shot", (F.col("ix") * 0.9 + 0.35).alias("u"), (F.col("iy") * 0.9 + 0.25).alias("v"), F.when(F.col("m"), 0.0).otherwise(1.0).alias("agree"), (1 / F.sqrt(1 + x * x + y * y)).alias("angle"), F.lit(1.0).alias("w"))
+    at = cut(at, "mismatch")
+    sums = lambda c: project.splat(at.select("shot", "u", "v", F.col(c).alias("value"), "w"), "shot")
+    return op.weight_map(sums("agree"), sums("angle"), 32, 32, 3.0, 2.0, ("shot",), tile=16).select("shot", "iu", "iv", R("weight", 5).alias("weight"))
+
+
 @query("vec16_project_landmarks", f"WITH {fx.BOXES_SQL} SELECT mesh, vid, round(CASE WHEN z - 3 < 0 THEN (cos(0.3) * x - sin(0.3) * y + 0.1) / (3 - z) * 20 + 11.5 END, 6) AS px, round(CASE WHEN z - 3 < 0 THEN -(sin(0.3) * x + cos(0.3) * y - 0.2) / (3 - z) * 21 + 8.5 END, 6) AS py FROM vertices")
 def project_landmarks(spark, d):
     """Vertices by a pose (a turn about z, a shift) into a pinhole picture; null behind the camera. Also SF-29: the turn is a rotation vector."""
