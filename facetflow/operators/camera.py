@@ -115,6 +115,28 @@ def orthographic_hits(pixels: DataFrame, faces: DataFrame, f: tuple, c: tuple, t
     return pinhole_hits(pixels, faces, f, c, tile, perspective=False)
 
 
+def pixel_products(hits: DataFrame, facet_frames: DataFrame, f: tuple, c: tuple) -> DataFrame:
+    """image, ix, iy, mesh, facet, dist, cosine of pinhole hits with a mesh, and on the facet's plane: u, v by its own texture fit, and how u, v
+    and z change a pixel to the right and a pixel down (du_h, dv_h, dz_h, du_v, dv_v, dz_v). Frames (uv.frames) are in camera coordinates; a
+    neighbour's ray that runs along the plane has null changes, a miss is left out."""
+    from .uv import to_uv
+
+    keys = ["image", "ix", "iy", "mesh", "facet", "dist", "cosine"]
+    j = hits.select(*keys).where("facet is not null").join(facet_frames.select("mesh", "facet", *(a + b for a in "cn" for b in "xyz")), ["mesh", "facet"])
+    n = vec.vec("n")
+    plane = vec.dot(n, vec.vec("c"))
+    intrinsic = tuple(map(float, (*f, *c)))
+    here = tuple(F.col("dist") * r for r in vec.pixel_ray(F.col("ix"), F.col("iy"), *intrinsic))
+    places = dict(zip("xyz", here))
+    for name, (dx, dy) in {"h": (1, 0), "v": (0, 1)}.items():
+        ray = vec.pixel_ray(F.col("ix") + dx, F.col("iy") + dy, *intrinsic)
+        far = F.try_divide(plane, F.nullif(vec.dot(n, ray), F.lit(0.0)))
+        places |= {f"{name}{a}": far * r - o for a, r, o in zip("xyz", ray, here)}
+    j = j.withColumns(places).select(*keys, *places)
+    out = to_uv(j, facet_frames, {name: tuple(F.col(name + a) for a in "xyz") for name in "hv"})
+    return out.select(*keys, "u", "v", "du_h", "dv_h", F.col("hz").alias("dz_h"), "du_v", "dv_v", F.col("vz").alias("dz_v"))
+
+
 def weight_map(projected: DataFrame, angles: DataFrame, nx: int, ny: int, dx: float, dy: float, frame=(), threshold: float = 0.01, tile: int = 64) -> DataFrame:
     """frame, iu, iv, weight on the texels of an nx x ny texture: the projected agreement of the depths (sums sum_wv, sum_w of frame, iu, iv; less
     than threshold of weight counts as none), spread by clamped diffusion from 1 over dx and dy texels, times the projected factor of the

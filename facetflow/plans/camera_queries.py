@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
-from ..operators import camera as op, fusion, project
+from ..operators import camera as op, fusion, project, uv
 from ..operators.diffusion import diffusion_steps
 from ..session import cut, table
 from ..sources import fixtures as fx
@@ -99,6 +101,49 @@ def project_frames(spark, d):
     return project.splat(p, "t").select("t", "iu", "iv", R("sum_wv", 4).alias("sum_wv"), R("sum_w", 4).alias("sum_w"))
 
 
+#: Wider rectangles, each with a tile of a texture of its own: 8 by 5 tiles.
+_TEXTURED = _SLOPES.replace("p_size / 500.0::DOUBLE AS s", "0.1::DOUBLE + p_size / 100.0::DOUBLE AS s").replace("n AS (SELECT image, ix, iy, min(facet) AS facet, min(depth) AS depth FROM", "n AS (SELECT image, ix, iy, min(facet) AS facet, min(depth) AS depth, arg_min(a, facet) AS a, arg_min(b, facet) AS b, arg_min(s, facet) AS s FROM")
+
+
+def _texture_hits(spark, d):
+    """Pinhole hits of all shots on textured rectangles, with the products of each pixel."""
+    k, depth = F.col("p_partkey"), 2 + F.col("p_partkey") / 1000.0
+    a, b, s = (k % 101) / 101.0 * 1.6 - 0.79863, (k % 103) / 103.0 * 1.6 - 0.79741, 0.1 + F.col("p_size") / 100.0
+    u, v = (k % 8) / 8.0, F.expr("p_partkey div 8 % 5") / 5.0
+    corner = [(a, b, u, v), (a + s, b, u + 1 / 8, v), (a + s, b + s, u + 1 / 8, v + 1 / 5), (a, b + s, u, v + 1 / 5)]
+    ring = F.array(*(F.struct((x * depth).alias("x"), (-y * depth).alias("y"), (-depth).alias("z"), p.alias("u"), q.alias("v")) for x, y, p, q in corner))
+    parts = cut(table(spark, d, "part").select(F.lit(0).alias("mesh"), k.alias("facet"), ring.alias("ring")), "textured")
+    frames = cut(uv.frames(parts.select("mesh", "facet", F.posexplode("ring").alias("k", "q")).select("mesh", "facet", "k", "q.*")), "textured-frames")
+    shots = F.explode(F.array(*(F.lit(i).cast("long") for i in range(4)))).alias("image")
+    n = lambda x: F.lit(float(x))
+    faces = parts.select("facet", F.transform("ring", lambda q: F.struct(*(q[c].alias(c) for c in "xyz"))).alias("ring"), n(0).alias("nx"), n(0).alias("ny"), n(1).alias("nz"), shots)
+    hits = op.pinhole_hits(fx.pixels(spark, d).withColumnRenamed("shot", "image"), faces, FOCAL, CENTRE, 4)
+    return cut(op.pixel_products(hits.withColumn("mesh", F.lit(0)), frames, FOCAL, CENTRE), "texture-hits")
+
+
+@query("join05_pixel_products", f"{_TEXTURED} SELECT image, ix, iy, facet, round(facet % 8 / 8.0::DOUBLE + (sx - a) / s / 8, 9) + 0.0 AS u, round(facet // 8 % 5 / 5.0::DOUBLE + (sy - b) / s / 5, 9) + 0.0 AS v, round(1 / 20.0::DOUBLE / s / 8, 9) AS du_h, 0.0::DOUBLE AS dv_h, 0.0::DOUBLE AS du_v, round(1 / 21.0::DOUBLE / s / 5, 9) AS dv_v, 0.0::DOUBLE AS dz_h, 0.0::DOUBLE AS dz_v FROM n JOIN p USING (image, ix, iy)")
+def pixel_products(spark, d):
+    out = _texture_hits(spark, d)
+    return out.select("image", "ix", "iy", "facet", *(R(c, 9).alias(c) for c in ("u", "v", "du_h", "dv_h", "du_v", "dv_v", "dz_h", "dz_v")))
+
+
+_REACH = repr(0.4 * math.pi / math.sqrt(2))
+
+
+@query("agg02_texture_projection", f"""{_TEXTURED}, m AS (SELECT l_orderkey % 4 AS image, l_partkey % 32 AS ix, l_suppkey % 32 AS iy, l_linenumber AS t, l_quantity AS value, 1 - l_discount * 10 AS w FROM lineitem),
+g AS (SELECT t, value, w / sqrt(1 + sx * sx + sy * sy) AS w, facet % 8 / 8.0::DOUBLE + (sx - a) / s / 8 AS u, facet // 8 % 5 / 5.0::DOUBLE + (sy - b) / s / 5 AS z, 1 / 20.0::DOUBLE / s / 8 AS du, 1 / 21.0::DOUBLE / s / 5 AS dv FROM m JOIN n USING (image, ix, iy) JOIN p USING (image, ix, iy) WHERE w > 0),
+k AS (SELECT g.*, iu::INTEGER AS iu, iv::INTEGER AS iv, iu - (u * 48 - 0.5) AS x, iv - (z * 40 - 0.5) AS y FROM g, range(48) q(iu), range(40) r(iv) WHERE abs(iu - (u * 48 - 0.5)) <= greatest(1.5, 1.5 * du * 48) AND abs(iv - (z * 40 - 0.5)) <= greatest(1.5, 1.5 * dv * 40)),
+e AS (SELECT *, (x / 48 / du) ** 2 + (y / 40 / dv) ** 2 AS r2 FROM k), h AS (SELECT *, w * CASE WHEN sqrt(r2) * {_REACH}::DOUBLE > pi() THEN 0 ELSE 0.5 + 0.5 * cos(sqrt(r2) * {_REACH}::DOUBLE) END AS c FROM e WHERE x * x + y * y <= 2.25 OR r2 <= 2.25)
+SELECT t, iu, iv, round(sum(c * value), 4) + 0.0 AS sum_wv, round(sum(c), 4) + 0.0 AS sum_w FROM h GROUP BY ALL""")
+def texture_projection(spark, d):
+    """All measurements on the texture behind their pixels, each as wide as its pixel is there, weighted by the facets' inclination: pixels to
+    facets to texture coordinates to texels. Hits and their products are made once for all frames."""
+    hits = _texture_hits(spark, d)
+    p = fx.pixels(spark, d).withColumnRenamed("shot", "image").withColumnsRenamed({"v": "value"}).join(hits, ["image", "ix", "iy"])
+    p = p.select("t", "u", "v", F.col("value").cast("double").alias("value"), (F.col("w") * F.col("cosine")).alias("w"), "du_h", "dv_h", "du_v", "dv_v")
+    return uv.splat_footprints(p, 48, 40, "t").select("t", "iu", "iv", R("sum_wv", 4).alias("sum_wv"), R("sum_w", 4).alias("sum_w"))
+
+
 #: The same rectangles seen by parallel rays; pixels of 1/9 and 1/10.
 _PLAN = f"WITH {fx.PIXELS_SQL}, p AS (SELECT DISTINCT shot AS image, ix, iy, (ix - 15.3::DOUBLE) / 9 AS ox, -(iy - 15.7::DOUBLE) / 10 AS oy FROM pixels), f AS (SELECT p_partkey AS facet, 2 + p_partkey / 1000.0::DOUBLE AS depth, (p_partkey % 101) / 101.0::DOUBLE * 1.6::DOUBLE - 0.79863::DOUBLE AS a, (p_partkey % 103) / 103.0::DOUBLE * 1.6::DOUBLE - 0.79741::DOUBLE AS b, p_size / 500.0::DOUBLE AS s FROM part), n AS (SELECT image, ix, iy, min(facet) AS facet, min(depth) AS depth FROM p JOIN f ON ox BETWEEN a * depth AND (a + s) * depth AND -oy BETWEEN b * depth AND (b + s) * depth GROUP BY ALL)"
 

@@ -75,3 +75,37 @@ def test_rings_clipped_in_front_of_the_camera(spark):
     for r in df.select("id", predicates.clip_front(F.col("ring"), F.lit(0.25)).alias("c")).collect():
         want = plain_clip(rings[r.id], 0.25)
         assert len(want) == len(r.c) and all(abs(x - y) < 1e-9 for p, q in zip(r.c, want) for x, y in zip(p, q))
+
+
+def test_products_of_pixels_on_tilted_facets(spark):
+    """Texture coordinates and their changes, and that of z, against rays met with the plane one by one."""
+    import numpy as np
+
+    from facetflow.operators import camera, uv
+
+    f, c = (12.0, 13.0), (4.2, 3.8)
+    corners = np.array([(-1.0, -1.0, -3.0), (1.2, -0.9, -4.0), (1.1, 1.0, -4.4), (-1.1, 0.9, -3.4)])
+    corners[3] = corners[0] + corners[2] - corners[1]  # planar
+    tex = np.array([(0.1, 0.1), (0.7, 0.2), (0.8, 0.9), (0.2, 0.8)])
+    ring = spark.createDataFrame([(1, 0, k, *map(float, (*p, *q))) for k, (p, q) in enumerate(zip(corners, tex))], "mesh long, facet long, k int, x double, y double, z double, u double, v double")
+    n = np.cross(corners[1] - corners[0], corners[2] - corners[1])
+    n /= np.linalg.norm(n)
+    faces = spark.createDataFrame([("i", 0, [tuple(map(float, p)) for p in corners], *map(float, n))], "image string, facet long, ring array<struct<x:double,y:double,z:double>>, nx double, ny double, nz double")
+    pixels = spark.createDataFrame([("i", x, y) for x in range(9) for y in range(8)], "image string, ix int, iy int")
+    hits = camera.pinhole_hits(pixels, faces, f, c).withColumn("mesh", F.lit(1).cast("long"))
+    got = camera.pixel_products(hits, uv.frames(ring), f, c).collect()
+    assert len(got) == hits.where("facet is not null").count() > 10
+    fit = np.linalg.lstsq(np.hstack((corners[:, :2], np.ones((4, 1)))), tex, rcond=None)[0]  # x, y tell a place of the plane
+
+    def meet(x, y):
+        ray = np.array([(x - c[0]) / f[0], -(y - c[1]) / f[1], -1.0])
+        p = ray * (n @ corners[0]) / (n @ ray)
+        return np.array([p[0], p[1], 1]) @ fit, p[2]
+
+    for r in got:
+        (u, v), z = meet(r.ix, r.iy)
+        (uh, vh), zh = meet(r.ix + 1, r.iy)
+        (uv_, vv), zv = meet(r.ix, r.iy + 1)
+        want = (u, v, uh - u, vh - v, zh - z, uv_ - u, vv - v, zv - z)
+        assert np.allclose((r.u, r.v, r.du_h, r.dv_h, r.dz_h, r.du_v, r.dv_v, r.dz_v), want, atol=1e-9)
+    assert camera.pixel_products(hits.limit(0), uv.frames(ring), f, c).count() == 0
