@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import camera_queries, channel_queries, frame_queries, fusion_queries, landmark_queries, live_queries, mesh_queries, metadata_queries, part_queries, projection_queries, raster_queries, record_queries, resume_queries, streaming_queries, surface_queries, tensor_queries, texture_queries, uv_queries  # noqa: E402, F401
+from . import camera_queries, channel_queries, frame_queries, fusion_queries, image_queries, landmark_queries, live_queries, mesh_queries, metadata_queries, part_queries, projection_queries, raster_queries, record_queries, resume_queries, streaming_queries, surface_queries, tensor_queries, texture_queries, uv_queries  # noqa: E402, F401
