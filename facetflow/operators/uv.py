@@ -66,14 +66,22 @@ def cells(polys: DataFrame, most: int = 6, max_depth: int = 18) -> DataFrame:
 
 def locate(points: DataFrame, leaves: DataFrame) -> DataFrame:
     """points (mesh, id, u, v) with the smallest facet that holds each, null where none does. A point meets the polygons of its leaf cell by
-    equi-join, at each depth that there is."""
+    equi-join, at each depth that there is. Triangles and quadrilaterals are rows of corner columns, so their test is compiled; polygons of
+    more corners keep their rings."""
     leaves = cut(leaves, "leaf-cells")
-    depths = [r.depth for r in leaves.select("depth").distinct().collect()]  # at most max_depth + 1 numbers
-    some = points.where("u between 0 and 1 and v between 0 and 1").withColumn("depth", F.explode(F.array(*[F.lit(d) for d in depths]).cast("array<int>")))
+    known = leaves.groupBy("depth").agg(F.max(F.size("ring")).alias("corners")).collect()  # at most max_depth + 1 rows
+    some = points.where("u between 0 and 1 and v between 0 and 1").withColumn("depth", F.explode(F.array(*[F.lit(r["depth"]) for r in known]).cast("array<int>")))
     at = lambda c: F.least(F.floor(F.col(c) * F.pow(F.lit(2.0), F.col("depth"))), F.pow(F.lit(2.0), F.col("depth")) - 1).cast("long")
-    j = some.withColumns({"c_u": at("u"), "c_v": at("v")}).join(leaves, ["mesh", "depth", "c_u", "c_v"])
-    j = j.where("u between lo_u and hi_u and v between lo_v and hi_v").where(pr.in_polygon(F.col("ring"), F.col("u"), F.col("v")))
-    hit = j.groupBy("mesh", "id").agg(F.min("facet").alias("facet"))
+    some = some.withColumns({"c_u": at("u"), "c_v": at("v")})
+    cell, bounds = ["mesh", "depth", "c_u", "c_v"], ["lo_u", "hi_u", "lo_v", "hi_v"]
+    corner = lambda i: F.coalesce(F.get("ring", F.lit(i)), F.get("ring", F.lit(0)))
+    few = leaves.where("size(ring) <= 4").select(*cell, "facet", *bounds, *(corner(i)[a].cast("double").alias(f"{a}{i}") for i in range(4) for a in "xy"))
+    near = "u between lo_u and hi_u and v between lo_v and hi_v"
+    hit = some.join(few, cell).where(near).where(pr.in_quad([(F.col(f"x{i}"), F.col(f"y{i}")) for i in range(4)], F.col("u"), F.col("v"))).select("mesh", "id", "facet")
+    if max((r["corners"] for r in known), default=0) > 4:
+        many = leaves.where("size(ring) > 4").select(*cell, "facet", *bounds, "ring")
+        hit = hit.unionByName(some.join(many, cell).where(near).where(pr.in_polygon(F.col("ring"), F.col("u"), F.col("v"))).select("mesh", "id", "facet"))
+    hit = hit.groupBy("mesh", "id").agg(F.min("facet").alias("facet"))
     return points.join(hit, ["mesh", "id"], "left").select("mesh", "id", "u", "v", "facet")
 
 
