@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vec
+from ..session import dealt
 from .mesh import edges, neighbours
 
 #: Powers of x and y in the fitted surface.
@@ -60,18 +61,18 @@ def vertex_curvature(vertices: DataFrame, corners: DataFrame, wanted: DataFrame
     The normal sums the cross products of a vertex's edges, facet by facet. The points within two edges meet their vertex as rows and leave
     sums; a vertex is one short row when it comes to a task."""
     e = edges(corners)
-    fan = e.select("mesh", "facet", F.col("a").alias("vid"), F.col("b").alias("next")).join(e.select("mesh", "facet", F.col("b").alias("vid"), F.col("a").alias("last")), ["mesh", "facet", "vid"])
+    fan = e.select("mesh", "facet", F.col("a").alias("vid"), F.col("b").alias("next")).join(dealt(e.select("mesh", "facet", F.col("b").alias("vid"), F.col("a").alias("last"))), ["mesh", "facet", "vid"])
     if wanted is not None:
         fan = fan.join(wanted.select("mesh", "vid").distinct(), ["mesh", "vid"], "left_semi")
     at = lambda key, pre: vertices.select("mesh", F.col("vid").alias(key), *(F.col(c).alias(pre + c) for c in "xyz"))
     v = vec.vec
-    f = fan.join(at("vid", "o"), ["mesh", "vid"]).join(at("next", "p"), ["mesh", "next"]).join(at("last", "q"), ["mesh", "last"])
+    f = fan.join(dealt(at("vid", "o")), ["mesh", "vid"]).join(dealt(at("next", "p")), ["mesh", "next"]).join(dealt(at("last", "q")), ["mesh", "last"])
     n = vec.cross(vec.sub(v("p"), v("o")), vec.sub(v("q"), v("o")))
     normal = f.groupBy("mesh", "vid").agg(F.array(*(F.sum(c) for c in n)).alias("n"))
     one = neighbours(corners)
     near = one if wanted is None else one.join(wanted.select("mesh", "vid").distinct(), ["mesh", "vid"], "left_semi")
-    two = near.select("mesh", "vid", F.col("other").alias("mid")).join(one.select("mesh", F.col("vid").alias("mid"), "other"), ["mesh", "mid"]).select("mesh", "vid", "other")
-    ring = near.unionByName(two).where("vid <> other").distinct().join(at("vid", "o"), ["mesh", "vid"]).join(at("other", "p"), ["mesh", "other"])
+    two = near.select("mesh", "vid", F.col("other").alias("mid")).join(dealt(one.select("mesh", F.col("vid").alias("mid"), "other")), ["mesh", "mid"]).select("mesh", "vid", "other")
+    ring = near.unionByName(two).where("vid <> other").distinct().join(dealt(at("vid", "o")), ["mesh", "vid"]).join(dealt(at("other", "p")), ["mesh", "other"])
     named = normal.where(vec.norm(tuple(F.get("n", F.lit(i)) for i in range(3))) > 0)
     n = vec.unit(tuple(F.get("n", F.lit(i)) for i in range(3)))
     named = named.select("mesh", "vid", *(e.alias("n" + c) for c, e in zip("xyz", n)))
@@ -81,7 +82,7 @@ def vertex_curvature(vertices: DataFrame, corners: DataFrame, wanted: DataFrame
     named = named.withColumns(dict(zip(("ax", "ay", "az"), vec.unit(vec.cross(v("n"), axis)))))
     named = named.withColumns(dict(zip(("bx", "by", "bz"), vec.cross(v("n"), v("a")))))
     d = vec.sub(v("p"), v("o"))
-    near = ring.join(named, ["mesh", "vid"]).select("mesh", "vid", vec.dot(d, v("a")).alias("x"), vec.dot(d, v("b")).alias("y"), vec.dot(d, v("n")).alias("z"))
+    near = ring.join(dealt(named), ["mesh", "vid"]).select("mesh", "vid", vec.dot(d, v("a")).alias("x"), vec.dot(d, v("b")).alias("y"), vec.dot(d, v("n")).alias("z"))
     power = lambda c, k: F.lit(1.0) if k == 0 else F.col(c) if k == 1 else F.col(f"{c}{k}")
     near = near.withColumns({"x2": F.col("x") * F.col("x"), "y2": F.col("y") * F.col("y")}).withColumns({f"{c}{k}": F.col(c + "2") * F.col(c if k == 3 else c + "2") for c in "xy" for k in (3, 4)})
     sums = [F.sum(power("x", i) * power("y", j)) + float(i + j == 0) for i, j in MOMENTS]
@@ -97,5 +98,5 @@ def vertex_curvature(vertices: DataFrame, corners: DataFrame, wanted: DataFrame
 
     kinds = {c: vertices.schema[c].dataType.simpleString() for c in ("mesh", "vid")}
     out = fits.mapInPandas(run, f"mesh {kinds['mesh']}, vid {kinds['vid']}, k1 double, k2 double")
-    out = every.join(out, ["mesh", "vid"], "left")
+    out = every.join(dealt(out), ["mesh", "vid"], "left")
     return out.withColumns({k: F.nullif(F.col(k), F.lit(float("nan"))) for k in ("k1", "k2")})

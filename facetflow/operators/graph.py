@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, discard
+from ..session import cut, dealt, discard
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -24,7 +24,7 @@ def _digest(edges: DataFrame) -> tuple:
 def _star(pairs: DataFrame, keep_larger: bool) -> DataFrame:
     """pairs (node, other): hang others, and for the small star the node itself, on the smallest of the node and its others."""
     least = pairs.groupBy("node").agg(F.min("other").alias("m")).withColumn("m", F.least("m", "node"))
-    j = pairs.join(least, "node")
+    j = pairs.join(dealt(least), "node")
     if keep_larger:
         return j.where("other > node").select(F.col("other").alias("u"), F.col("m").alias("v"))
     return j.select(F.col("other").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("node").alias("u"), F.col("m").alias("v")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vec
+from ..session import dealt
 from .mesh import FACET, centroids, normals
 from .project import line_means
 
@@ -17,7 +18,7 @@ def texture_fit(ring: DataFrame) -> DataFrame:
     first = F.min(F.struct("k", "x", "y", "z"))
     second = F.min(F.when(F.col("k") > 0, F.struct("k", "x", "y", "z")))
     edge = ring.groupBy(*FACET).agg(first.alias("a"), second.alias("b")).select(*FACET, *((F.col(f"b.{c}") - F.col(f"a.{c}")).alias("e" + c) for c in "xyz"))
-    r = ring.join(centroids(ring), list(FACET)).join(normals(ring), list(FACET)).join(edge, list(FACET))
+    r = ring.join(dealt(centroids(ring)), list(FACET)).join(dealt(normals(ring)), list(FACET)).join(dealt(edge), list(FACET))
     e = vec.unit(vec.vec("e"))
     d = vec.sub(vec.vec(), vec.vec("c"))
     r = r.select(*FACET, "u", "v", vec.dot(d, e).alias("p"), vec.dot(d, vec.cross(vec.vec("n"), e)).alias("q"))
@@ -40,8 +41,8 @@ def tensor_at(points: DataFrame, corners: DataFrame) -> DataFrame:
 
     points: id, mesh, facet, x, y, z. corners: mesh, facet, x, y, z, t11, t12, t22. Where all corners lie on the point, they count alike."""
     d = vec.norm(vec.sub(vec.vec("p"), vec.vec("")))
-    j = points.select("id", *FACET, *(F.col(c).alias("p" + c) for c in "xyz")).join(corners, list(FACET)).withColumn("d", d)
-    j = j.join(j.groupBy("id").agg(F.max("d").alias("far")), "id")
+    j = points.select("id", *FACET, *(F.col(c).alias("p" + c) for c in "xyz")).join(dealt(corners), list(FACET)).withColumn("d", d)
+    j = j.join(dealt(j.groupBy("id").agg(F.max("d").alias("far"))), "id")
     w = F.when(F.col("far") == 0, 1.0).otherwise(F.try_divide(F.lit(1.0), F.col("d") + F.col("far") / 1e4))
     missing = F.bool_or(F.col("t11").isNull() | F.col("t12").isNull() | F.col("t22").isNull() | F.isnan("t11") | F.isnan("t12") | F.isnan("t22"))
     return j.withColumn("w", w).groupBy("id").agg(*(F.when(~missing, F.sum(F.col("w") * F.col(t)) / F.sum("w")).alias(t) for t in ("t11", "t12", "t22")))

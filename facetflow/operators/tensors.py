@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vec
-from ..session import cut
+from ..session import cut, dealt
 from . import uv
 from .mesh import FACET
 from .surface import mirrored_pieces, tensor_at
@@ -24,8 +24,8 @@ from .surface import mirrored_pieces, tensor_at
 def corner_tensors(ring: DataFrame, bent: DataFrame, facet_frames: DataFrame) -> DataFrame:
     """mesh, facet, x, y, z, t11, t12, t22 of every corner (mesh, facet, k, vid, x, y, z): V K V^T of its vertex's principal curvatures k1, k2
     (bent: mesh, vid, k1, k2, tangents ax .. bz), the tangents laid into the facet's plane and made unit vectors."""
-    j = ring.select("mesh", "facet", "vid", "x", "y", "z").join(bent.select("mesh", "vid", "k1", "k2", *(a + c for a in "ab" for c in "xyz")), ["mesh", "vid"], "left")
-    j = j.join(facet_frames.select(*FACET, *(a + c for a in "ef" for c in "xyz")), list(FACET))
+    j = ring.select("mesh", "facet", "vid", "x", "y", "z").join(dealt(bent.select("mesh", "vid", "k1", "k2", *(a + c for a in "ab" for c in "xyz"))), ["mesh", "vid"], "left")
+    j = j.join(dealt(facet_frames.select(*FACET, *(a + c for a in "ef" for c in "xyz"))), list(FACET))
     sides = {}
     for a in "ab":
         p, q = vec.dot(vec.vec(a), vec.vec("e")), vec.dot(vec.vec(a), vec.vec("f"))
@@ -42,7 +42,7 @@ def texture_tensors(points: DataFrame, corners: DataFrame, facet_frames: DataFra
     coordinates (a t a^-1 of the facet's fit a)."""
     at = cut(uv.to_xyz(points.select(*FACET, "id", "u", "v"), facet_frames).select("id", *FACET, "x", "y", "z"), "tensor-points")
     t = tensor_at(at, corners)
-    j = at.select("id", *FACET).join(t, "id").join(facet_frames.select(*FACET, *(k + n for k in "ai" for n in ("11", "12", "21", "22"))), list(FACET))
+    j = at.select("id", *FACET).join(dealt(t), "id").join(dealt(facet_frames.select(*FACET, *(k + n for k in "ai" for n in ("11", "12", "21", "22")))), list(FACET))
     c = F.col
     m = {"11": c("a11") * c("t11") + c("a12") * c("t12"), "12": c("a11") * c("t12") + c("a12") * c("t22"), "21": c("a21") * c("t11") + c("a22") * c("t12"), "22": c("a21") * c("t12") + c("a22") * c("t22")}
     out = {f"c{i}{k}": m[i + "1"] * c("i1" + k) + m[i + "2"] * c("i2" + k) for i in "12" for k in "12"}
@@ -84,7 +84,7 @@ def facet_line_curvature(lines: DataFrame, leaves: DataFrame, facet_frames: Data
     bent = texture_tensors(at.where("facet is not null").select("mesh", "facet", key, "u", "v"), corners, facet_frames)
     bent = bent.select(F.col("id")["mesh"].alias("mesh"), F.col("id")["id"].alias("id"), "facet", "c11", "c12", "c21", "c22")
     c = F.col
-    j = p.join(bent, ["mesh", "id"], "left").join(facet_frames.select(*FACET, "i11", "i12", "i21", "i22"), list(FACET), "left")
+    j = p.join(dealt(bent), ["mesh", "id"], "left").join(dealt(facet_frames.select(*FACET, "i11", "i12", "i21", "i22")), list(FACET), "left")
     along = F.hypot(c("i11") * c("su") + c("i12") * c("sv"), c("i21") * c("su") + c("i22") * c("sv"))
     bend, across = _along(c("su"), c("sv"))
     k1, k2 = vec.eigvals2(c("c11"), c("c12"), c("c21"), c("c22"))

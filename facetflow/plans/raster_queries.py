@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import mesh, surface
-from ..session import fresh_path, table
+from ..session import dealt, fresh_path, table
 from ..sources import fixtures as fx, rasters as op
 from .registry import query
 
@@ -92,5 +92,5 @@ def from_arrays(spark, d):
     """Vertex arrays and packed polygons of a part to facets with their measures."""
     b = fx.box_dims(spark, d)
     v = mesh.box_vertices(b).groupBy("mesh").agg(F.transform(F.array_sort(F.collect_list(F.struct("vid", "x", "y", "z"))), lambda p: F.array(p["x"], p["y"], p["z"])).alias("points"))
-    facets = mesh.from_arrays(v.join(mesh.pack(mesh.box_corners(b)), "mesh"))
+    facets = mesh.from_arrays(v.join(dealt(mesh.pack(mesh.box_corners(b))), "mesh"))
     return facets.select("mesh", F.col("facet").cast("int").alias("facet"), F.col("n").cast("int").alias("n"), *(R(c).alias(c) for c in ("cx", "cy", "cz", "maxradius")))

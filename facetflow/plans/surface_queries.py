@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import mesh, surface as op
-from ..session import cut, table
+from ..session import cut, dealt, table
 from ..sources import fixtures as fx, stl, x3d
 from .registry import query
 
@@ -67,7 +67,7 @@ def stl_surfaces(spark, d):
     path = fresh_path(spark, "stl")
     stl.write_stl_text(t, path)
     tri = cut(stl.with_normals(stl.read_stl_text(spark, path, 0.001)), "triangles")
-    s = stl.surfaces(tri, 0.5).join(tri, ["mesh", "facet"])
+    s = stl.surfaces(tri, 0.5).join(dealt(tri), ["mesh", "facet"])
     whole = s.groupBy("mesh", "surface").agg(F.count_distinct("facet").cast("int").alias("n"), *(F.avg(a).alias(o) for a, o in (("nx", "nx"), ("ny", "ny"), ("nz", "nz"), ("x", "cx"), ("y", "cy"), ("z", "cz"))))
     return whole.select(F.floor(F.col("cx") / 100 + 1e-9).alias("mesh"), "n", *(R(a).alias(a) for a in ("nx", "ny", "nz")), *(R(a, 4).alias(a) for a in ("cx", "cy", "cz")))
 
@@ -79,7 +79,7 @@ def stl_binary(spark, d):
 
     c, v = _boxes(spark, d)
     half = F.explode(F.array(*(F.struct(F.lit(h).alias("h"), F.lit(k).alias("t"), F.lit(n).alias("j")) for h, ks in ((0, (0, 1, 2)), (1, (0, 2, 3))) for n, k in enumerate(ks))))
-    t = mesh.corner_points(c, v).join(mesh.normals(mesh.corner_points(c, v)), ["mesh", "facet"]).withColumn("a", half).where("a.t = k")
+    t = mesh.corner_points(c, v).join(dealt(mesh.normals(mesh.corner_points(c, v))), ["mesh", "facet"]).withColumn("a", half).where("a.t = k")
     t = t.select("mesh", (F.col("facet") * 2 + F.col("a.h")).alias("facet"), F.col("a.j").alias("k"), *"xyz", "nx", "ny", "nz")
     path = fresh_path(spark, "stl-binary")
     stl.write_stl_binary(t, path)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators import mesh as op
-from ..session import cut, ship
+from ..session import cut, dealt, ship
 
 #: Layout of a binary file: a header, a count, and records of normal, three corners and two spare bytes.
 _HEADER = 80
@@ -84,7 +84,7 @@ def with_normals(triangles: DataFrame, again: bool = False) -> DataFrame:
     zero = (F.col("nx") == 0) & (F.col("ny") == 0) & (F.col("nz") == 0)
     first = triangles.groupBy("mesh").agg((F.lit(again) | F.min_by(zero, "facet")).alias("anew"))
     made = op.normals(triangles.select("mesh", "facet", "k", "x", "y", "z")).select("mesh", "facet", *(F.col(c).alias("m" + c) for c in ("nx", "ny", "nz")))
-    j = triangles.join(first, "mesh").join(made, ["mesh", "facet"])
+    j = triangles.join(first, "mesh").join(dealt(made), ["mesh", "facet"])
     return j.select("mesh", "facet", "k", "x", "y", "z", *(F.when(F.col("anew"), F.col("m" + c)).otherwise(F.col(c)).alias(c) for c in ("nx", "ny", "nz")))
 
 
@@ -93,7 +93,7 @@ def surfaces(triangles: DataFrame, angle: float) -> DataFrame:
     first corner at its place."""
     t = triangles.withColumn("corner", F.col("facet") * 3 + F.col("k"))
     place = ["mesh", "x", "y", "z"]
-    corners = t.join(t.groupBy(*place).agg(F.min("corner").alias("vid")), place).select("mesh", "facet", "k", "vid")
+    corners = t.join(dealt(t.groupBy(*place).agg(F.min("corner").alias("vid"))), place).select("mesh", "facet", "k", "vid")
     normals = triangles.where("k = 0").select("mesh", "facet", "nx", "ny", "nz")
     return op.segments(corners, normals, angle)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import vec
 from ..operators import frames
 from ..operators.metadata import number_rows
-from ..session import cut
+from ..session import cut, dealt
 
 _SHAPE = "doc string, shape int, name string, index string, point string, uv string, uv_index string, normal string, normal_index string, curvatures string, axes string, texture string, unit double, m array<double>"
 #: Characters of texts that a task holds before it passes them on.
@@ -110,9 +110,10 @@ def _number_columns(found: DataFrame, text: str, names: list[str]) -> DataFrame:
 
 def vertices(found: DataFrame) -> DataFrame:
     """mesh (struct of doc and shape), vid, x, y, z in the document's frame."""
+    found = cut(found, "shapes")
     rows = _number_columns(found, "point", ["x", "y", "z"]).withColumnRenamed("row", "vid")
     at = lambda i: sum((F.get("m", F.lit(4 * i + k)) * F.col(n) for k, n in enumerate("xyz")), F.get("m", F.lit(4 * i + 3)))
-    return rows.join(found.select(_key(), "m"), "mesh").select("mesh", "vid", *(at(i).alias(n) for i, n in enumerate("xyz")))
+    return rows.join(dealt(found.select(_key(), "m")), "mesh").select("mesh", "vid", *(at(i).alias(n) for i, n in enumerate("xyz")))
 
 
 def _corner_ids(found: DataFrame, text: str, name: str) -> DataFrame:
@@ -131,13 +132,13 @@ def corners(found: DataFrame) -> DataFrame:
     own = lambda c: F.coalesce(F.nullif(F.trim(c), F.lit("")), "index")
     c = _corner_ids(found, "index", "vid")
     for text, name in (("uv_index", "uv_id"), ("normal_index", "normal_id")):
-        c = c.join(_corner_ids(found.withColumn("one", own(text)), "one", name), ["mesh", "facet", "k"], "left")
-    c = c.join(_number_columns(found, "uv", ["u", "v"]).withColumnRenamed("row", "uv_id"), ["mesh", "uv_id"], "left")
+        c = c.join(dealt(_corner_ids(found.withColumn("one", own(text)), "one", name)), ["mesh", "facet", "k"], "left")
+    c = c.join(dealt(_number_columns(found, "uv", ["u", "v"]).withColumnRenamed("row", "uv_id")), ["mesh", "uv_id"], "left")
     n = _number_columns(found, "normal", ["x", "y", "z"]).withColumnRenamed("row", "normal_id")
-    n = n.join(found.select(_key(), frames.inverse(F.col("m")).alias("back")), "mesh")
+    n = n.join(dealt(found.select(_key(), frames.inverse(F.col("m")).alias("back"))), "mesh")
     turned = [sum((F.get("back", F.lit(4 * k + i)) * F.col(a) for k, a in enumerate("xyz")), F.lit(0.0)) for i in range(3)]
     n = n.select("mesh", "normal_id", *(e.alias(a) for a, e in zip(("nx", "ny", "nz"), vec.unit(turned))))
-    return c.join(n, ["mesh", "normal_id"], "left").select("mesh", "facet", "k", "vid", "u", "v", "nx", "ny", "nz")
+    return c.join(dealt(n), ["mesh", "normal_id"], "left").select("mesh", "facet", "k", "vid", "u", "v", "nx", "ny", "nz")
 
 
 def curvatures(found: DataFrame) -> DataFrame:
@@ -146,7 +147,7 @@ def curvatures(found: DataFrame) -> DataFrame:
     found = cut(found, "shapes")
     k = _number_columns(found, "curvatures", ["k1", "k2"])
     t = _number_columns(found, "axes", ["px", "py", "pz", "qx", "qy", "qz"])
-    j = k.join(t, ["mesh", "row"], "left").join(found.select(_key(), "m", "unit"), "mesh")
+    j = k.join(dealt(t), ["mesh", "row"], "left").join(dealt(found.select(_key(), "m", "unit")), "mesh")
     turn = lambda p: vec.unit([sum((F.get("m", F.lit(4 * i + c)) * F.col(p + a) for c, a in enumerate("xyz")), F.lit(0.0)) for i in range(3)])
     ends = [e.alias(n + a) for n, p in (("a", "p"), ("b", "q")) for a, e in zip("xyz", turn(p))]
     return j.select("mesh", F.col("row").alias("vid"), (F.col("k1") / F.col("unit")).alias("k1"), (F.col("k2") / F.col("unit")).alias("k2"), *ends)
@@ -179,18 +180,18 @@ def texts(corner_table: DataFrame, vertex_table: DataFrame, facet_normals: DataF
         ids = F.transform(F.sequence("start", F.col("start") + F.col("n") - 1), lambda x: x.cast("string"))
         per |= {"uv_ids": F.concat(F.array_join(ids, " "), F.lit(" -1"))}
     out = face.groupBy("mesh").agg(*(_joined(e, "facet", " ").alias(n) for n, e in per.items()), *([_joined(F.col("uv"), "facet", ", ").alias("uv")] if has_uv else []))
-    out = out.join(vertex_table.groupBy("mesh").agg(_joined(words(*"xyz"), "vid", ", ").alias("point")), "mesh")
+    out = out.join(dealt(vertex_table.groupBy("mesh").agg(_joined(words(*"xyz"), "vid", ", ").alias("point"))), "mesh")
     head, body = [F.lit('<X3D version="3.3"><Scene><Shape><IndexedFaceSet coordIndex="'), F.col("index")], [F.lit('"><Coordinate point="'), F.col("point"), F.lit('"/>')]
     if has_uv:
         head += [F.lit('" texCoordIndex="'), F.col("uv_ids")]
         body += [F.lit('<TextureCoordinate point="'), F.col("uv"), F.lit('"/>')]
     if facet_normals is not None:
-        out = out.join(facet_normals.groupBy("mesh").agg(_joined(words("nx", "ny", "nz"), "facet", ", ").alias("vector")), "mesh", "left")
+        out = out.join(dealt(facet_normals.groupBy("mesh").agg(_joined(words("nx", "ny", "nz"), "facet", ", ").alias("vector"))), "mesh", "left")
         head += [F.lit('" normalIndex="'), F.col("normals")]
         body += [F.lit('<Normal vector="'), F.coalesce("vector", F.lit("")), F.lit('"/>')]
     if curvature_table is not None:
         bent = curvature_table.groupBy("mesh").agg(_joined(words("k1", "k2"), "vid", ", ").alias("bent"), _joined(words("ax", "ay", "az", "bx", "by", "bz"), "vid", ", ").alias("axes"))
-        out = out.join(bent, "mesh", "left")
+        out = out.join(dealt(bent), "mesh", "left")
         more = F.concat(F.lit('<PrincipalCurvatures curvatures="'), "bent", F.lit('"/><CurvatureTangentAxes axes="'), "axes", F.lit('"/>'))
         body.append(F.coalesce(more, F.lit("")))
     return out.select("mesh", F.concat(*head, *body, F.lit("</IndexedFaceSet></Shape></Scene></X3D>")).alias("text"))
