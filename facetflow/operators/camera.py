@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as pr
 from ..functions import vec
+from ..session import cut, dealt
+
+#: Pixels that hits send to all tasks; more are dealt by tile.
+SENT = 1_000_000
 
 
 def distorted(x: Column, y: Column, k: list) -> tuple[Column, Column]:
@@ -72,8 +76,9 @@ def pinhole_hits(pixels: DataFrame, faces: DataFrame, f: tuple, c: tuple, tile:
 
     faces: image, facet, ring (array of x, y, z in camera coordinates; the camera looks along -z), normal nx, ny, nz. Pixels and
     facets meet on the square tiles that a facet's picture touches; of a facet that reaches behind the camera this is the picture of its part in
-    front, from a billionth of its depth on. The exact test is done in the coordinate plane that the facet faces most. Degenerate facets (null normal) are never hit."""
-    p = pixels.select("image", "ix", "iy").distinct()
+    front, from a billionth of its depth on. Facets are many: they stay where they are while up to SENT pixels (counted) are sent to them, else both are
+    dealt by tile. The exact test is done in the coordinate plane that the facet faces most. Degenerate facets (null normal) are never hit."""
+    p = cut(pixels.select("image", "ix", "iy").distinct(), "pixels")
     extent = p.groupBy("image").agg(*(g(F.floor(F.col(n) / tile)).cast("int").alias(a + n) for n in ("ix", "iy") for a, g in (("lo_", F.min), ("hi_", F.max))))
     z_far = F.array_max(F.transform("ring", lambda q: q["z"]))
     z_near = F.array_min(F.transform("ring", lambda q: q["z"]))
@@ -90,7 +95,7 @@ def pinhole_hits(pixels: DataFrame, faces: DataFrame, f: tuple, c: tuple, tile:
     n, first = vec.vec("n"), F.get("ring", F.lit(0))
     axis = F.when((F.abs("nx") >= F.abs("ny")) & (F.abs("nx") >= F.abs("nz")), 0).when(F.abs("ny") >= F.abs("nz"), 1).otherwise(2)
     flat = F.transform("ring", lambda r: F.struct(*(e.alias(a) for e, a in zip(_drop_axis(F.col("axis"), (r["x"], r["y"], r["z"])), "xy"))))
-    q = faces.where((z_near < 0) & F.col("nx").isNotNull()).withColumn("front", front).where("size(front) > 0").join(extent, "image")
+    q = faces.where((z_near < 0) & F.col("nx").isNotNull()).withColumn("front", front).where("size(front) > 0").join(F.broadcast(extent), "image")  # a row an image
     q = q.withColumns({f"t_{k}": v for k, v in side.items()} | {"axis": axis, "plane": vec.dot(n, (first["x"], first["y"], first["z"]))})
     q = q.where("t_lo_x <= t_hi_x and t_lo_y <= t_hi_y").withColumn("flat", flat)
     q = q.withColumns({f"{g}_{a}": f(F.col("flat." + a)) for a in "xy" for g, f in (("lo", F.array_min), ("hi", F.array_max))})
@@ -102,12 +107,13 @@ def pinhole_hits(pixels: DataFrame, faces: DataFrame, f: tuple, c: tuple, tile:
     tiled = tiled.withColumns(dict(zip(("dx", "dy", "dz"), direction)) | dict(zip(("ox", "oy", "oz"), origin)))
     d, o = vec.vec("d"), vec.vec("o")
     facing = vec.dot(n, d)
-    j = tiled.join(q, ["image", "tx", "ty"]).withColumn("dist", F.try_divide(F.col("plane") - vec.dot(n, o), F.nullif(facing, F.lit(0.0)))).where("dist > 0")
+    met = F.broadcast(tiled).join(q, ["image", "tx", "ty"]) if p.count() <= SENT else tiled.join(dealt(q), ["image", "tx", "ty"])
+    j = met.withColumn("dist", F.try_divide(F.col("plane") - vec.dot(n, o), F.nullif(facing, F.lit(0.0)))).where("dist > 0")
     hx, hy = _drop_axis(F.col("axis"), vec.add_scaled(o, d, F.col("dist")))
     # the box of the facet first: it is compiled, and few rows are left for the exact test
     hit = j.where(hx.between(F.col("lo_x"), F.col("hi_x")) & hy.between(F.col("lo_y"), F.col("hi_y")) & pr.in_polygon(F.col("flat"), hx, hy))
     near = hit.groupBy("image", "ix", "iy").agg(F.min(F.struct("dist", "facet", F.abs(facing).alias("cosine"))).alias("near"))
-    return p.join(near, ["image", "ix", "iy"], "left").select("image", "ix", "iy", "near.dist", "near.facet", "near.cosine")
+    return p.join(dealt(near), ["image", "ix", "iy"], "left").select("image", "ix", "iy", "near.dist", "near.facet", "near.cosine")
 
 
 def orthographic_hits(pixels: DataFrame, faces: DataFrame, f: tuple, c: tuple, tile: int = 8) -> DataFrame:
@@ -122,7 +128,7 @@ def pixel_products(hits: DataFrame, facet_frames: DataFrame, f: tuple, c: tuple)
     from .uv import to_uv
 
     keys = ["image", "ix", "iy", "mesh", "facet", "dist", "cosine"]
-    j = hits.select(*keys).where("facet is not null").join(facet_frames.select("mesh", "facet", *(a + b for a in "cn" for b in "xyz")), ["mesh", "facet"])
+    j = hits.select(*keys).where("facet is not null").join(dealt(facet_frames.select("mesh", "facet", *(a + b for a in "cn" for b in "xyz"))), ["mesh", "facet"])
     n = vec.vec("n")
     plane = vec.dot(n, vec.vec("c"))
     intrinsic = tuple(map(float, (*f, *c)))

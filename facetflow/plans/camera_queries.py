@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import camera as op, fusion, project, uv
 from ..operators.diffusion import diffusion_steps
-from ..session import cut, table
+from ..session import cut, spread, table
 from ..sources import fixtures as fx
 from .registry import query
 
@@ -73,7 +73,7 @@ def _faces(spark, d):
     corner = [(a, b), (a + s, b), (a + s, b + s), (a, b + s)]
     ring = F.array(*(F.struct((x * depth).alias("x"), (-y * depth).alias("y"), (-depth).alias("z")) for x, y in corner)).cast("array<struct<x:double,y:double,z:double>>")
     shots = F.explode(F.array(*(F.lit(i).cast("long") for i in range(4)))).alias("image")
-    return table(spark, d, "part").select(k.alias("facet"), ring.alias("ring"), F.lit(0.0).alias("nx"), F.lit(0.0).alias("ny"), F.lit(1.0).alias("nz"), shots)
+    return spread(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey").select(k.alias("facet"), ring.alias("ring"), F.lit(0.0).alias("nx"), F.lit(0.0).alias("ny"), F.lit(1.0).alias("nz"), shots)
 
 
 _SLOPES = f"WITH {fx.PIXELS_SQL}, p AS (SELECT DISTINCT shot AS image, ix, iy, (ix - 15.3::DOUBLE) / 20 AS sx, (iy - 15.7::DOUBLE) / 21 AS sy FROM pixels), f AS (SELECT p_partkey AS facet, 2 + p_partkey / 1000.0::DOUBLE AS depth, (p_partkey % 101) / 101.0::DOUBLE * 1.6::DOUBLE - 0.79863::DOUBLE AS a, (p_partkey % 103) / 103.0::DOUBLE * 1.6::DOUBLE - 0.79741::DOUBLE AS b, p_size / 500.0::DOUBLE AS s FROM part), n AS (SELECT image, ix, iy, min(facet) AS facet, min(depth) AS depth FROM p JOIN f ON sx BETWEEN a AND a + s AND sy BETWEEN b AND b + s GROUP BY ALL)"
