@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import dealt
 from .locate import cells
 
 #: Distance, in UV pixels, that a source pixel reaches.
@@ -28,11 +29,14 @@ def splat(pixels: DataFrame, *frame: str, reach: float = REACH) -> DataFrame:
 
 def nearest_hits(rays: DataFrame, faces: DataFrame, n: int) -> DataFrame:
     """id, facet, dist: the nearest face (u0, u1, v0, v1, dist) that each parallel ray (id, u, v) meets, the smallest facet of equally
-    near ones; null where it meets none. Rays and faces meet by equi-join on the cells of an n x n division."""
-    p = rays.withColumn("cu", F.floor(F.col("u") * n).cast("int")).withColumn("cv", F.floor(F.col("v") * n).cast("int"))
-    hit = p.join(cells(faces, n), ["cu", "cv"]).where("u between u0 and u1 and v between v0 and v1")
-    near = hit.groupBy("id").agg(F.min(F.struct("dist", "facet")).alias("near"))
-    return rays.select("id").join(near, "id", "left").select("id", "near.facet", "near.dist")
+    near ones; null where it meets none. Rays and faces meet by equi-join on the cells of an n x n division. Equal rays are one while they meet
+    faces, and of equal faces only the nearest does: pairs grow with the different places, not with the rows."""
+    p = rays.select("u", "v").distinct().withColumn("cu", F.floor(F.col("u") * n).cast("int")).withColumn("cv", F.floor(F.col("v") * n).cast("int"))
+    side = ["u0", "u1", "v0", "v1"]
+    nearest = faces.groupBy(*side).agg(F.min(F.struct("dist", "facet")).alias("near"))
+    hit = p.join(dealt(cells(nearest, n)), ["cu", "cv"]).where("u between u0 and u1 and v between v0 and v1")
+    near = hit.groupBy("u", "v").agg(F.min("near").alias("near"))
+    return rays.select("id", "u", "v").join(near, ["u", "v"], "left").select("id", "near.facet", "near.dist")
 
 
 def line_means(lines: DataFrame, raster: DataFrame, n: int) -> DataFrame:
