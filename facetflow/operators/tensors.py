@@ -20,6 +20,9 @@ from . import uv
 from .mesh import FACET
 from .surface import mirrored_pieces, tensor_at
 
+#: Cells of a raster that are sent to all tasks; those of more are dealt by cell.
+SENT = 1_000_000
+
 
 def corner_tensors(ring: DataFrame, bent: DataFrame, facet_frames: DataFrame) -> DataFrame:
     """mesh, facet, x, y, z, t11, t12, t22 of every corner (mesh, facet, k, vid, x, y, z): V K V^T of its vertex's principal curvatures k1, k2
@@ -97,6 +100,8 @@ def _raster_steps(lines: DataFrame, raster: DataFrame, nu: int, nv: int, du: flo
     c = F.col
     s = _steps(lines, du, dv).withColumns({"ix": F.floor(c("u") * nu).cast("int"), "iy": F.floor(c("v") * nv).cast("int")})
     r = raster.select("ix", "iy", "c11", "c12", "c21", "c22", c("su").alias("wide"), c("sv").alias("high"))
+    if nu * nv <= SENT:
+        r = F.broadcast(r)  # steps are many more than cells: they stay where they are, and only sums by line are shuffled
     on = F.when((c("u") >= 0) & (c("v") >= 0) & c("wide").isNotNull(), F.lit(True))
     j = s.select(*key, "ix", "iy", "u", "v", "su", "sv").join(r, ["ix", "iy"], "left")
     bend, across = _along(c("su"), c("sv"))

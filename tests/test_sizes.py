@@ -62,3 +62,35 @@ def test_boxes_are_dealt_before_they_multiply(spark, name):
     text = plan(registry.QUERIES[name](spark, SF))
     n = spark.conf.get("spark.sql.shuffle.partitions")
     assert f"REPARTITION_BY_NUM" in text and f", {n})" in text and text.rindex("Exchange") > text.rindex("Generate")
+
+
+@pytest.mark.parametrize("name", ["agg15_raster_line_curvature", "agg16_mirrored_line_curvature"])
+def test_steps_of_lines_stay(spark, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a raster that is made from a large table
+    try:
+        text = plan(registry.QUERIES[name](spark, SF))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin [ix" in text and "hashpartitioning(ix" not in text[: text.index("BroadcastHashJoin [ix")]
+
+
+def test_a_batch_of_the_live_graph_is_many_files(spark, monkeypatch):
+    from facetflow.plans import live_queries as q
+
+    seen = {}
+    monkeypatch.setattr(q.op, "live_source", lambda spark, path, schema, files=1: seen.update(read=spark.read.parquet(path), files=files))
+    q._stream(spark, spark.range(1000), "many", 3)
+    tasks = spark.sparkContext.defaultParallelism
+    assert seen["files"] == tasks and len(seen["read"].inputFiles()) == 3 * tasks and seen["read"].count() == 1000
+
+
+def test_a_chain_meets_only_what_is_referred_to(spark, monkeypatch):
+    from facetflow.operators import metadata
+
+    met = []
+    monkeypatch.setattr(metadata, "cut", lambda df, name: met.append(df) or df)
+    refs = spark.range(100).select(F.concat(F.lit("O"), "id").alias("channel"), F.lit("C").alias("target"), F.lit("o.").alias("prefix"))
+    refs = refs.unionByName(spark.createDataFrame([("C", "P", "c.")], "channel string, target string, prefix string"))
+    out = metadata.reference_chain(refs)
+    assert {tuple(r) for r in out.where("channel <> 'C'").collect()} == {(f"O{i}", "P", "o.c.") for i in range(100)} and out.where("channel = 'C'").first().prefix == "c."
+    assert "LeftSemi" in met[0]._jdf.queryExecution().optimizedPlan().toString()
