@@ -1,4 +1,4 @@
-"""Queries of the live graph. Streams take one file a batch."""
+"""Queries of the live graph. Streams take one file for each task a batch."""
 
 from __future__ import annotations
 
@@ -15,11 +15,11 @@ from .registry import query
 R = lambda c, n=6: (F.round(c, n) + 0.0)
 
 
-def _stream(spark, df, name, files):
-    """df written as so many files and read back as a stream of them."""
-    path = fresh_path(spark, name)
-    df.repartition(files).write.parquet(path)
-    return op.live_source(spark, path, df.schema)
+def _stream(spark, df, name, batches):
+    """df written as files and read back as a stream of so many batches, whose files are as many as tasks run at once."""
+    path, tasks = fresh_path(spark, name), spark.sparkContext.defaultParallelism
+    df.repartition(batches * tasks).write.parquet(path)
+    return op.live_source(spark, path, df.schema, tasks)
 
 
 def _pixels(spark, d):
