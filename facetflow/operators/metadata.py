@@ -57,6 +57,7 @@ def reference_chain(refs: DataFrame) -> DataFrame:
     cur = refs.select("channel", F.col("target").alias("root"), "prefix")
     for _ in range(MAX_DOUBLINGS):
         far = cur.select(F.col("channel").alias("root"), F.col("root").alias("far"), F.col("prefix").alias("more"))
+        far = far.join(cur.select("root").distinct(), "root", "left_semi")  # most rows are referred to by none
         joined = cut(cur.join(far, "root", "left"), "chain")
         cur = joined.select("channel", F.coalesce("far", "root").alias("root"), F.concat("prefix", F.coalesce("more", F.lit(""))).alias("prefix"))
         if joined.where("far is not null").isEmpty():
