@@ -94,3 +94,48 @@ def test_a_chain_meets_only_what_is_referred_to(spark, monkeypatch):
     out = metadata.reference_chain(refs)
     assert {tuple(r) for r in out.where("channel <> 'C'").collect()} == {(f"O{i}", "P", "o.c.") for i in range(100)} and out.where("channel = 'C'").first().prefix == "c."
     assert "LeftSemi" in met[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_of_a_tile_pass_by_in_batches():
+    """Two tiles, a point whose pairs stand in several batches: the same points are decided as from one batch, and none waits for a whole tile."""
+    import numpy as np
+    import pandas as pd
+
+    from facetflow.operators import mesh
+
+    rng = np.random.default_rng(5)
+    at = {t: rng.uniform(0, 4, 60) for t in (0, 1)}
+    rows = [(t, 0, 0, 100 * t + i, 100 * t + j, None) for t in at for i in range(60) for j in range(i) if abs(at[t][i] - at[t][j]) <= 0.5]
+    rows = [(*r[:5], 1.0 if not any(q[3] == r[4] for q in rows) else None) for r in rows]
+    pairs = pd.DataFrame(rows, columns=["tx", "ty", "tz", "id", "other", "known"])
+    left = {i for i in pairs.id}
+    want = {}
+    for i in sorted(left):
+        near = [want.get(o, k) for o, k in zip(pairs.other[pairs.id == i], pairs.known[pairs.id == i])]
+        want[i] = 0 if 1 in near else 1
+    read = []
+
+    def frames(size):
+        for k in range(0, len(pairs), size):
+            read.append(k)
+            yield pairs[k : k + size].reset_index(drop=True)
+
+    for size in (3, 7, len(pairs)):
+        out, early = [], None
+        for f in mesh._decided(["point", "known"])(frames(size)):
+            out.append(f)
+            early = early or (len(f) and max(read))
+        assert dict(pd.concat(out).itertuples(index=False, name=None)) == want
+        assert size == len(pairs) or early < len(pairs) // 2
+        read.clear()
+
+
+def test_no_group_of_pairs_is_made(spark, monkeypatch):
+    from facetflow.operators import mesh
+
+    seen, cut = [], mesh.cut
+    monkeypatch.setattr(mesh, "cut", lambda df, name: seen.append((name, plan(df))) or cut(df, name))
+    points = spark.range(300).select("id", (F.col("id") % 20 * 0.001).alias("x"), (F.col("id") % 50 * 0.02).alias("y"), F.lit(0.0).alias("z"))
+    assert mesh.merge_close(points, 0.03).count() == 300
+    rounds = [p for n, p in seen if n == "decided"][1:]
+    assert rounds and all("MapInPandas" in p and "FlatMapGroups" not in p for p in rounds)
