@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import mesh, surface as op
@@ -18,6 +19,15 @@ def _boxes(spark, d):
     return mesh.box_corners(b), mesh.box_vertices(b)
 
 
+def _numbered(meshes):
+    """mesh, at: its place among all meshes, from 0. Ranges of meshes are numbered apart; a row a range says how many lie before it."""
+    ids = meshes.where("mesh is not null").repartitionByRange("mesh").sortWithinPartitions("mesh").select("mesh", F.monotonically_increasing_id().alias("id"))
+    ids = cut(ids.select("mesh", F.shiftright("id", 33).alias("part"), F.expr("id & 8589934591").alias("k")), "numbered-meshes")
+    n = ids.groupBy("part").agg(F.count("*").alias("n"))
+    before = n.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    return ids.join(F.broadcast(before), "part").select("mesh", (F.col("before") + F.col("k")).alias("at"))
+
+
 @query("src03_x3d_vertices", f"{W} SELECT mesh, vid, x, y, z FROM vertices")
 def x3d_vertices(spark, d):
     """All boxes written as X3D texts and read back."""
@@ -82,11 +92,12 @@ def stl_binary(spark, d):
     t = mesh.corner_points(c, v).join(dealt(mesh.normals(mesh.corner_points(c, v))), ["mesh", "facet"]).withColumn("a", half).where("a.t = k")
     t = t.select("mesh", (F.col("facet") * 2 + F.col("a.h")).alias("facet"), F.col("a.j").alias("k"), *"xyz", "nx", "ny", "nz")
     path = fresh_path(spark, "stl-binary")
-    stl.write_stl_binary(t, path)
-    back = stl.read_stl_binary(spark, path, 1.0, 1000)
-    first = table(spark, d, "part").agg(F.min("p_partkey")).first()[0]  # parts are numbered without gaps
-    at = F.expr("facet div 12") + (first or 0)
-    out = back.groupBy(at.alias("mesh"), F.expr("cast(facet % 12 div 2 as int)").alias("facet")).agg(F.count_distinct("facet").cast("int").alias("n"), *(F.avg(a).alias(o) for a, o in (("nx", "nx"), ("ny", "ny"), ("nz", "nz"), ("x", "cx"), ("y", "cy"), ("z", "cz"))))
+    files = stl.write_stl_binary(t, path)
+    start = files.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("start"))  # a row a file
+    back = stl.read_stl_binary(spark, path, 1.0, 100_000).withColumn("file", F.substring_index("mesh", "/", -1)).join(F.broadcast(start), "file")
+    back = back.withColumn("facet", F.col("facet") + F.col("start"))
+    out = back.groupBy(F.expr("facet div 12").alias("at"), F.expr("cast(facet % 12 div 2 as int)").alias("facet")).agg(F.count_distinct("facet").cast("int").alias("n"), *(F.avg(a).alias(o) for a, o in (("nx", "nx"), ("ny", "ny"), ("nz", "nz"), ("x", "cx"), ("y", "cy"), ("z", "cz"))))
+    out = out.join(dealt(_numbered(fx.box_dims(spark, d).select("mesh"))), "at")
     return out.select("mesh", "facet", "n", *(R(a).alias(a) for a in ("nx", "ny", "nz")), *(R(a, 3).alias(a) for a in ("cx", "cy", "cz")))
 
 

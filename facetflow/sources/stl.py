@@ -167,12 +167,14 @@ def read_stl_binary(spark: SparkSession, path: str, scale: float = 1.0, facets:
     return spark.read.format(BinaryStl.name()).options(path=path, scale=str(scale), facets=str(facets)).load()
 
 
-def write_stl_binary(triangles: DataFrame, folder: str, files: int = 1) -> DataFrame:
-    """Binary files of triangles (mesh, facet, k = 0 to 2, x, y, z, nx, ny, nz) ordered by mesh and facet, cut in so many ranges: file, n. A file is
-    as large as its task's triangles are; a task that is run again writes the same file anew. Numbers are stored in single precision."""
+def write_stl_binary(triangles: DataFrame, folder: str, files: int | None = None, facets: int = RANGE) -> DataFrame:
+    """Binary files of triangles (mesh, facet, k = 0 to 2, x, y, z, nx, ny, nz) ordered by mesh and facet, cut in so many ranges, else in as many as
+    Spark makes: file, n; files in the order of their names hold the triangles in order. A file holds at most so many facets, and a task holds one
+    file; a task that is run again writes the same files anew. Numbers are stored in single precision; a normal that is null becomes zero."""
     corners = F.array_sort(F.collect_list(F.struct("k", "x", "y", "z")))
-    rows = triangles.groupBy("mesh", "facet").agg(F.array(*(F.first(c).cast("float") for c in ("nx", "ny", "nz"))).alias("n"), F.flatten(F.transform(corners, lambda c: F.array(*(c[a].cast("float") for a in "xyz")))).alias("v"))
-    rows = rows.repartitionByRange(files, "mesh", "facet").sortWithinPartitions("mesh", "facet").select("n", "v")
+    normal = lambda c: F.coalesce(F.first(c).cast("float"), F.lit(0.0).cast("float"))
+    rows = triangles.groupBy("mesh", "facet").agg(F.array(*(normal(c) for c in ("nx", "ny", "nz"))).alias("n"), F.flatten(F.transform(corners, lambda c: F.array(*(c[a].cast("float") for a in "xyz")))).alias("v"))
+    rows = (rows.repartitionByRange(files, "mesh", "facet") if files else rows.repartitionByRange("mesh", "facet")).sortWithinPartitions("mesh", "facet").select("n", "v")
 
     def run(batches):
         from pyarrow import fs
@@ -180,17 +182,32 @@ def write_stl_binary(triangles: DataFrame, folder: str, files: int = 1) -> DataF
 
         where, path = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
         where.create_dir(path, recursive=True)
-        parts = [(b.column("n").flatten().to_numpy(), b.column("v").flatten().to_numpy()) for b in batches if b.num_rows]
-        n = sum(len(a) // 3 for a, _ in parts)
-        r = np.zeros(n, _RECORD)
-        r["n"] = np.concatenate([a for a, _ in parts] or [np.empty(0)]).reshape(-1, 3)
-        r["v"] = np.concatenate([b for _, b in parts] or [np.empty(0)]).reshape(-1, 3, 3)
         context = TaskContext.get()
-        name = f"part-{context.partitionId():05d}.stl"
-        with where.open_output_stream(f"{path}/_{name}-{context.taskAttemptId()}") as out:
-            out.write(b"binary".ljust(_HEADER) + np.array([n], "<u4").tobytes() + r.tobytes())
-        where.move(f"{path}/_{name}-{context.taskAttemptId()}", f"{path}/{name}")
-        yield pa_batch(name, n)
+        held, size, made = [], 0, 0
+
+        def write():
+            r = np.zeros(size, _RECORD)
+            r["n"] = np.concatenate([a for a, _ in held] or [np.empty((0, 3))])
+            r["v"] = np.concatenate([b for _, b in held] or [np.empty((0, 3, 3))])
+            name = f"part-{context.partitionId():06d}-{made:06d}.stl"
+            with where.open_output_stream(f"{path}/_{name}-{context.taskAttemptId()}") as out:
+                out.write(b"binary".ljust(_HEADER) + np.array([size], "<u4").tobytes())
+                out.write(memoryview(r).cast("B") if size else b"")
+            where.move(f"{path}/_{name}-{context.taskAttemptId()}", f"{path}/{name}")
+            return pa_batch(name, size)
+
+        for b in batches:
+            n, v = b.column("n").flatten().to_numpy().reshape(-1, 3), b.column("v").flatten().to_numpy().reshape(-1, 3, 3)
+            at = 0
+            while at < len(n):
+                end = min(len(n), at + facets - size)
+                held.append((n[at:end], v[at:end]))
+                size, at = size + end - at, end
+                if size == facets:
+                    yield write()
+                    held, size, made = [], 0, made + 1
+        if size or not made:
+            yield write()
 
     return cut(rows.mapInArrow(run, "file string, n long"), "stl-files")
 
