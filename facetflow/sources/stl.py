@@ -69,13 +69,14 @@ def read_stl_text(spark: SparkSession, path: str, scale: float = 1.0) -> DataFra
 
 
 def write_stl_text(triangles: DataFrame, path: str) -> None:
-    """Text files of triangles (mesh, facet, k = 0 to 2, x, y, z, nx, ny, nz), a facet a row, each in a solid of its mesh's name."""
+    """Text files of triangles (mesh, facet, k = 0 to 2, x, y, z, nx, ny, nz), a facet a row, each in a solid of its mesh's name. A file
+    is a mesh to the readers, so all facets of one stand in one file."""
     number = lambda *cs: F.concat_ws(" ", *(F.col(c).cast("string") for c in cs))
     line = F.concat(F.lit("    vertex "), number(*"xyz"))
     corners = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", line.alias("s")))), lambda r: r["s"]), "\n")
     f = triangles.groupBy("mesh", "facet").agg(corners.alias("corners"), *(F.first(c).alias(c) for c in ("nx", "ny", "nz")))
     name = F.col("mesh").cast("string")
-    f.select(F.concat(F.lit("solid "), name, F.lit("\nfacet normal "), number("nx", "ny", "nz"), F.lit("\n  outer loop\n"), "corners", F.lit("\n  endloop\nendfacet\nendsolid "), name)).write.text(path)
+    f.repartition("mesh").select(F.concat(F.lit("solid "), name, F.lit("\nfacet normal "), number("nx", "ny", "nz"), F.lit("\n  outer loop\n"), "corners", F.lit("\n  endloop\nendfacet\nendsolid "), name)).write.text(path)
 
 
 def with_normals(triangles: DataFrame, again: bool = False) -> DataFrame:
