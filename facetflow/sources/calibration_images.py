@@ -43,15 +43,19 @@ def write_images(records: DataFrame) -> DataFrame:
     return records.select("id", F.to_xml(record, {"rowTag": "calibration_image"}).alias("text"))
 
 
-def _points(c: Column, n: int) -> tuple[Column, Column]:
-    """(points, whether the text is fit) of an array's text."""
+def _points(c: Column, n: int) -> Column:
+    """points, and whether the text is fit, of an array's text, as a struct. The text is taken apart once, not for each number."""
     axes = "xyz"[:n]
-    numbers = F.transform(F.filter(F.split(c["arraydata"], r"\s+"), lambda w: w != ""), lambda w: w.try_cast("double"))
-    fit = (F.size(numbers) % n == 0) & ~F.exists(numbers, lambda x: x.isNull())
-    at = lambda i, k: F.get(numbers, i * n + k)
-    many = F.size(numbers) / n
-    rows = F.when(many >= 1, F.transform(F.sequence(F.lit(0), F.greatest(many - 1, F.lit(0)).cast("int")), lambda i: F.struct(*(at(i, k).alias(a) for k, a in enumerate(axes))))).otherwise(F.array().cast(_POINT[n]))
-    return F.when(c.isNotNull() & c["arraydata"].isNotNull(), rows), F.coalesce(fit, F.lit(True))
+    words = F.transform(F.filter(F.split(c["arraydata"], r"\s+"), lambda w: w != ""), lambda w: w.try_cast("double"))
+
+    def of(numbers: Column) -> Column:
+        fit = (F.size(numbers) % n == 0) & ~F.exists(numbers, lambda x: x.isNull())
+        at = lambda i, k: F.get(numbers, i * n + k)
+        many = F.size(numbers) / n
+        rows = F.when(many >= 1, F.transform(F.sequence(F.lit(0), F.greatest(many - 1, F.lit(0)).cast("int")), lambda i: F.struct(*(at(i, k).alias(a) for k, a in enumerate(axes))))).otherwise(F.array().cast(_POINT[n]))
+        return F.struct(F.when(c.isNotNull() & c["arraydata"].isNotNull(), rows).alias("points"), F.coalesce(fit, F.lit(True)).alias("fit"))
+
+    return F.get(F.transform(F.array(words), of), F.lit(0))
 
 
 def read_images(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -60,17 +64,20 @@ def read_images(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     inside = F.regexp_extract("text", r"(?s)<(?:[\w.-]+:)?calibration_image_params\b[^>]*>(.*)</(?:[\w.-]+:)?calibration_image_params\s*>", 1)
     tags = F.array_distinct(F.regexp_extract_all(inside, F.lit(r"<(?:[\w.-]+:)?([\w.-]+)"), F.lit(1)))
     unknown = F.array_except(tags, F.array(*map(F.lit, (*TEXTS, *NUMBERS, *OTHERS))))
-    r = cut(texts.select("id", "text", F.from_xml("text", _RECORD, options).alias("r"), unknown.alias("unknown")), "calibration-images")  # parsed once
-    p = F.col("r")["calibration_image_params"]
+    r = F.from_xml("text", _RECORD, options)
+    r = texts.select("id", F.col("text").isNull().alias("none"), r.alias("r"), unknown.alias("unknown"))
+    r = r.select("id", "none", "unknown", *(F.col("r")[c].alias(c) for c in ("calibration_image_params", "image_points_timestamp")), (F.col("r").isNull() | F.col("r")["broken"].isNotNull()).alias("broken"), _points(F.col("r")["object_points"], 3).alias("solid"), _points(F.col("r")["image_points"], 2).alias("flat"))
+    r = cut(r, "calibration-images")  # parsed once, without the texts
+    p = F.col("calibration_image_params")
     flags = F.filter(F.split(F.trim(p["cvflags"]), r"\|"), lambda f: f != "")
     numbers = {c: F.trim(p[c]).try_cast(kind) for c, kind in NUMBERS.items()}
     spacing = F.trim(p["pattern_spacing"]["_VALUE"]).try_cast("double")
-    (solid, fit3), (flat, fit2) = _points(F.col("r")["object_points"], 3), _points(F.col("r")["image_points"], 2)
+    (solid, fit3), (flat, fit2) = ((F.col(c)["points"], F.col(c)["fit"]) for c in ("solid", "flat"))
     wrong = lambda raw, value: F.trim(raw).isNotNull() & (F.trim(raw) != "") & value.isNull()
     bad = F.filter(F.array(*(F.when(wrong(p[c], v), F.lit(c)) for c, v in numbers.items()), F.when(wrong(p["pattern_spacing"]["_VALUE"], spacing), F.lit("pattern_spacing"))), lambda x: x.isNotNull())
     other = F.array_except(F.coalesce(flags, F.array().cast("array<string>")), F.array(*map(F.lit, FLAGS)))
     reason = (
-        F.when(F.col("text").isNull() | F.col("r").isNull() | F.col("r")["broken"].isNotNull() | p.isNull(), "no calibration image")
+        F.when(F.col("none") | F.col("broken") | p.isNull(), "no calibration image")
         .when(F.size("unknown") > 0, F.concat(F.lit("unknown parameter: "), F.array_join("unknown", ", ")))
         .when(F.size(bad) > 0, F.concat(F.lit("not a number: "), F.array_join(bad, ", ")))
         .when(F.size(other) > 0, F.concat(F.lit("unknown flag: "), F.array_join(other, ", ")))
@@ -90,7 +97,7 @@ def read_images(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         p["pattern_spacing"]["_units"].alias("spacing_units"),
         solid.alias("object_points"),
         flat.alias("image_points"),
-        F.col("r")["image_points_timestamp"].alias("at"),
+        F.col("image_points_timestamp").alias("at"),
     )
     return good, out.where("reason is not null").select("id", "reason")
 
