@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import camera, landmarks as op
-from ..session import cut, table
+from ..session import cut, dealt, spread, table
 from ..sources import calibration_images as src, fixtures as fx
 from . import camera_queries as cam
 from .registry import query
@@ -49,12 +49,13 @@ def in_frame(spark, d):
 
 
 def _images(spark, d):
-    """A calibration image a part with a point for each line item of it."""
+    """A calibration image a part with a point for each line item of it. Points are dealt by image to all tasks, which make and read the texts: these are
+    long, but short when packed, so that few tasks would be made for them."""
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_brand", "p_size")
     n = table(spark, d, "lineitem").select(F.col("l_partkey").alias("id"), "l_orderkey", "l_linenumber", "l_quantity", "l_discount")
     place = F.struct("l_orderkey", "l_linenumber", (F.col("l_quantity") * 12.5).cast("double").alias("x"), (F.col("l_discount") * 4000).cast("double").alias("y"))
-    points = n.groupBy("id").agg(F.array_sort(F.collect_list(place)).alias("q"))
-    j = p.join(points, "id", "left")
+    points = spread(n.select("id", place.alias("q")), "id").groupBy("id").agg(F.sort_array(F.collect_list("q")).alias("q"))
+    j = spread(p, "id").join(dealt(points), "id", "left")
     lit = lambda x: F.lit(x)
     return j.select(
         "id", F.concat(lit("file:///images/"), F.col("id").cast("string")).alias("input"), F.col("p_brand").alias("channel_name"), F.when(F.col("id") % 3 == 0, F.col("p_size").cast("int")).alias("frame_number"),
@@ -86,7 +87,6 @@ def calibration_images(spark, d):
 def calibration_coverage(spark, d):
     """Images appended to those of odd ids, and what all their points cover of the picture."""
     good, _ = src.read_images(cut(_spoilt(src.write_images(_images(spark, d))), "image-texts"))
-    good = cut(good, "images")
     return src.coverage(src.appended(good.where("id % 2 = 1"), good), 640, 480, 8, 6)
 
 
