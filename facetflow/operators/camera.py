@@ -11,6 +11,8 @@ from ..session import cut, dealt
 
 #: Pixels that hits send to all tasks; more are dealt by tile.
 SENT = 1_000_000
+#: Groups of a tile's facets of which the nearest are tested before all others.
+FIRST = 16
 
 
 def distorted(x: Column, y: Column, k: list) -> tuple[Column, Column]:
@@ -77,7 +79,8 @@ def pinhole_hits(pixels: DataFrame, faces: DataFrame, f: tuple, c: tuple, tile:
     faces: image, facet, ring (array of x, y, z in camera coordinates; the camera looks along -z), normal nx, ny, nz. Pixels and
     facets meet on the square tiles that a facet's picture touches; of a facet that reaches behind the camera this is the picture of its part in
     front, from a billionth of its depth on. Facets are many: they stay where they are while up to SENT pixels (counted) are sent to them, else both are
-    dealt by tile. The exact test is done in the coordinate plane that the facet faces most. Degenerate facets (null normal) are never hit."""
+    dealt by tile. Facets that stay are tested twice: some near ones of each tile first, then all, but only where these are as near as what the pixel has
+    met. The exact test is done in the coordinate plane that the facet faces most. Degenerate facets (null normal) are never hit."""
     p = cut(pixels.select("image", "ix", "iy").distinct(), "pixels")
     extent = p.groupBy("image").agg(*(g(F.floor(F.col(n) / tile)).cast("int").alias(a + n) for n in ("ix", "iy") for a, g in (("lo_", F.min), ("hi_", F.max))))
     z_far = F.array_max(F.transform("ring", lambda q: q["z"]))
@@ -100,20 +103,33 @@ def pinhole_hits(pixels: DataFrame, faces: DataFrame, f: tuple, c: tuple, tile:
     q = q.where("t_lo_x <= t_hi_x and t_lo_y <= t_hi_y").withColumn("flat", flat)
     q = q.withColumns({f"{g}_{a}": f(F.col("flat." + a)) for a in "xy" for g, f in (("lo", F.array_min), ("hi", F.array_max))})
     q = q.withColumn("tx", F.explode(F.sequence("t_lo_x", "t_hi_x"))).withColumn("ty", F.explode(F.sequence("t_lo_y", "t_hi_y")))
-    q = q.select("image", "tx", "ty", "facet", "nx", "ny", "nz", "axis", "plane", "flat", "lo_x", "hi_x", "lo_y", "hi_y")
+    q = q.select("image", "tx", "ty", "facet", "nx", "ny", "nz", "axis", "plane", "flat", "lo_x", "hi_x", "lo_y", "hi_y", z_far.alias("z_far"))
     tiled = p.withColumns({"tx": F.floor(F.col("ix") / tile).cast("int"), "ty": F.floor(F.col("iy") / tile).cast("int")})
     at = (F.col("ix"), F.col("iy"), *map(float, (*f, *c)))
     origin, direction = ((F.lit(0.0),) * 3, vec.pixel_ray(*at)) if perspective else vec.orthographic_ray(*at)
     tiled = tiled.withColumns(dict(zip(("dx", "dy", "dz"), direction)) | dict(zip(("ox", "oy", "oz"), origin)))
     d, o = vec.vec("d"), vec.vec("o")
     facing = vec.dot(n, d)
-    met = F.broadcast(tiled).join(q, ["image", "tx", "ty"]) if p.count() <= SENT else tiled.join(dealt(q), ["image", "tx", "ty"])
-    j = met.withColumn("dist", F.try_divide(F.col("plane") - vec.dot(n, o), F.nullif(facing, F.lit(0.0)))).where("dist > 0")
     hx, hy = _drop_axis(F.col("axis"), vec.add_scaled(o, d, F.col("dist")))
-    # the box of the facet first: it is compiled, and few rows are left for the exact test
-    hit = j.where(hx.between(F.col("lo_x"), F.col("hi_x")) & hy.between(F.col("lo_y"), F.col("hi_y")) & pr.in_polygon(F.col("flat"), hx, hy))
-    near = hit.groupBy("image", "ix", "iy").agg(F.min(F.struct("dist", "facet", F.abs(facing).alias("cosine"))).alias("near"))
-    return p.join(dealt(near), ["image", "ix", "iy"], "left").select("image", "ix", "iy", "near.dist", "near.facet", "near.cosine")
+    key = ["image", "ix", "iy"]
+
+    def nearest(met: DataFrame) -> DataFrame:
+        j = met.withColumn("dist", F.try_divide(F.col("plane") - vec.dot(n, o), F.nullif(facing, F.lit(0.0)))).where("dist > 0")
+        if "most" in met.columns:
+            j = j.where("most is null or dist <= most")
+        # the box of the facet first: it is compiled, and few rows are left for the exact test
+        hit = j.where(hx.between(F.col("lo_x"), F.col("hi_x")) & hy.between(F.col("lo_y"), F.col("hi_y")) & pr.in_polygon(F.col("flat"), hx, hy))
+        return hit.groupBy(*key).agg(F.min(F.struct("dist", "facet", F.abs(facing).alias("cosine"))).alias("near"))
+
+    if p.count() <= SENT:
+        groups = q.groupBy("image", "tx", "ty", F.pmod(F.xxhash64("facet"), F.lit(FIRST)).alias("g")).agg(F.max("z_far").alias("z"))
+        some = cut(groups.groupBy("image", "tx", "ty").agg(F.min("z").alias("z")), "near-depths")  # a row a tile
+        first = q.join(F.broadcast(some), ["image", "tx", "ty"]).where("z_far >= z").drop("z")
+        first = cut(nearest(F.broadcast(tiled).join(first, ["image", "tx", "ty"])).select(*key, F.col("near")["dist"].alias("most")), "first-hits")
+        met = F.broadcast(tiled.join(F.broadcast(first), key, "left")).join(q, ["image", "tx", "ty"])
+    else:
+        met = tiled.join(dealt(q), ["image", "tx", "ty"])
+    return p.join(dealt(nearest(met)), key, "left").select(*key, "near.dist", "near.facet", "near.cosine")
 
 
 def orthographic_hits(pixels: DataFrame, faces: DataFrame, f: tuple, c: tuple, tile: int = 8) -> DataFrame:
