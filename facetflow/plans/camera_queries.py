@@ -112,12 +112,13 @@ def _texture_hits(spark, d):
     u, v = (k % 8) / 8.0, F.expr("p_partkey div 8 % 5") / 5.0
     corner = [(a, b, u, v), (a + s, b, u + 1 / 8, v), (a + s, b + s, u + 1 / 8, v + 1 / 5), (a, b + s, u, v + 1 / 5)]
     ring = F.array(*(F.struct((x * depth).alias("x"), (-y * depth).alias("y"), (-depth).alias("z"), p.alias("u"), q.alias("v")) for x, y, p, q in corner))
-    parts = cut(table(spark, d, "part").select(F.lit(0).alias("mesh"), k.alias("facet"), ring.alias("ring")), "textured")
-    frames = cut(uv.frames(parts.select("mesh", "facet", F.posexplode("ring").alias("k", "q")).select("mesh", "facet", "k", "q.*")), "textured-frames")
+    parts = cut(spread(table(spark, d, "part"), "p_partkey").select(F.lit(0).alias("mesh"), k.alias("facet"), ring.alias("ring")), "textured")
     shots = F.explode(F.array(*(F.lit(i).cast("long") for i in range(4)))).alias("image")
     n = lambda x: F.lit(float(x))
     faces = parts.select("facet", F.transform("ring", lambda q: F.struct(*(q[c].alias(c) for c in "xyz"))).alias("ring"), n(0).alias("nx"), n(0).alias("ny"), n(1).alias("nz"), shots)
-    hits = op.pinhole_hits(fx.pixels(spark, d).withColumnRenamed("shot", "image"), faces, FOCAL, CENTRE, 4)
+    hits = cut(op.pinhole_hits(fx.pixels(spark, d).withColumnRenamed("shot", "image"), faces, FOCAL, CENTRE, 4), "textured-hits")
+    seen = parts.join(hits.select("facet").distinct(), "facet", "left_semi")  # of the others no frame is needed
+    frames = cut(uv.frames(seen.select("mesh", "facet", F.posexplode("ring").alias("k", "q")).select("mesh", "facet", "k", "q.*")), "textured-frames")
     return cut(op.pixel_products(hits.withColumn("mesh", F.lit(0)), frames, FOCAL, CENTRE), "texture-hits")
 
 
@@ -137,10 +138,13 @@ e AS (SELECT *, (x / 48 / du) ** 2 + (y / 40 / dv) ** 2 AS r2 FROM k), h AS (SEL
 SELECT t, iu, iv, round(sum(c * value), 4) + 0.0 AS sum_wv, round(sum(c), 4) + 0.0 AS sum_w FROM h GROUP BY ALL""")
 def texture_projection(spark, d):
     """All measurements on the texture behind their pixels, each as wide as its pixel is there, weighted by the facets' inclination: pixels to
-    facets to texture coordinates to texels. Hits and their products are made once for all frames."""
+    facets to texture coordinates to texels. Hits and their products are made once for all frames. What a pixel measured in a frame is one weighted
+    mean before it goes to the texels: their sums are linear in it."""
     hits = _texture_hits(spark, d)
-    p = fx.pixels(spark, d).withColumnRenamed("shot", "image").withColumnsRenamed({"v": "value"}).join(hits, ["image", "ix", "iy"])
-    p = p.select("t", "u", "v", F.col("value").cast("double").alias("value"), (F.col("w") * F.col("cosine")).alias("w"), "du_h", "dv_h", "du_v", "dv_v")
+    p = fx.pixels(spark, d).withColumnRenamed("shot", "image").where("w > 0 and v is not null and not isnan(v)")
+    w = F.col("w").cast("double")
+    p = p.groupBy("image", "ix", "iy", "t").agg((F.sum(w * F.col("v")) / F.sum(w)).alias("value"), F.sum(w).alias("w")).join(hits, ["image", "ix", "iy"])
+    p = p.select("t", "u", "v", "value", (F.col("w") * F.col("cosine")).alias("w"), "du_h", "dv_h", "du_v", "dv_v")
     return uv.splat_footprints(p, 48, 40, "t").select("t", "iu", "iv", R("sum_wv", 4).alias("sum_wv"), R("sum_w", 4).alias("sum_w"))
 
 
