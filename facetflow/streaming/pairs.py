@@ -1,42 +1,63 @@
 """Two streams that meet: manual poses and solved ones, frames and the landmarks found in them, landmarks and the poses solved from them.
 
-All are one watermarked outer join of streams on keys and time: a left row meets the right rows of its keys from `before` earlier to
-`after` later, and of these the last counts. Watermarks let the join forget rows that nothing can meet any more, and only then does it
-say that a row has met nothing; so rows may be late by `late`, and a row's answer comes once both streams are further on than that. Batches
-leave the pairs that they find; what several batches found for a row is folded when it is read, so that the result is that of one join over
-all rows, however they fall into batches. With a store, a job that is started again goes on from its checkpoint.
+All are one outer join of streams on keys and time: a left row meets the right rows of its keys from `before` earlier to `after` later, and of
+these the last counts. Batches leave the rows of both streams. When they are read, the rows of a key and a slice of time pass in order of time
+once, and each takes the last one of the other side that has passed: the work grows with the rows, not with the pairs in reach of each other, and the
+result is that of one join over all rows, however they fall into batches. A row that has met something is answered at once, one that has met nothing
+when both streams are further on, by `late`, than it could be met from. With a store, a job that is started again goes on from its checkpoint.
 
-Defined results: rows without time are left out; null keys meet nothing, and such rows may not move the watermark; of right rows at the same time the one with the greatest values
+Defined results: rows without time are left out; null keys meet nothing; left rows without id are left out, but show how far their stream is; of right rows at the same time the one with the greatest values
 counts; repeated rows of the same id are one; empty streams give empty tables.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import frames
 from .store import run_batches
 
 
+def _passed(asked: DataFrame, until: Column, values: DataFrame, at: Column, keys: list[str], width: Column) -> DataFrame:
+    """asked with `last`: of values (keys, value) with the same keys the one with the greatest time (at) not after `until`, then the greatest value.
+    Both are dealt by keys and slices of time, a value to its own slice and the next: what is more than `width` before `until` may be missed."""
+    micros = lambda c: F.unix_micros(c)
+    slice_ = lambda c: F.floor(micros(c) / F.greatest(width, F.lit(1)))
+    rest = F.struct(*(F.col(c) for c in asked.columns))
+    q = asked.select(*keys, slice_(until).alias("_slice"), micros(until).alias("_t"), F.lit(1).alias("_kind"), rest.alias("_row"), F.lit(None).cast(values.schema["value"].dataType).alias("value"))
+    v = values.select(*keys, F.explode(F.array(slice_(at), slice_(at) + 1)).alias("_slice"), micros(at).alias("_t"), F.lit(0).alias("_kind"), F.lit(None).cast(q.schema["_row"].dataType).alias("_row"), "value")
+    known = v.dropna(subset=keys)
+    order = Window.partitionBy(*keys, "_slice").orderBy("_t", "_kind", "value").rowsBetween(Window.unboundedPreceding, 0)
+    return q.unionByName(known).withColumn("last", F.last("value", ignorenulls=True).over(order)).where("_kind = 1").select("_row.*", "last")
+
+
 def last_within(left: DataFrame, right: DataFrame, keys: list[str], before: str, after: str, late: str, name: str, store: str | None = None, how: str = "leftOuter") -> DataFrame:
     """left (id, at, keys, ...) with `found`: the last row of right (at, keys, ...) in its time, as a struct, or null. With fullOuter also the
     right rows that no left row met, with nulls on the left."""
     columns = [c for c in left.columns if c not in ("id", "at")]
-    r = right.select(F.struct("at", *[c for c in right.columns if c != "at"]).alias("found"), F.col("at").alias("r_at"), *(F.col(k).alias(f"r_{k}") for k in keys))
-    unknown = lambda names, mark: F.when(F.greatest(*(F.col(c).isNull().cast("int") for c in (*names, names[0]))) == 1, mark).otherwise(0)
-    a = left.where("at is not null").withColumn("_null", unknown(keys, 1)).withWatermark("at", late)
-    b = r.where("r_at is not null").withColumn("r_null", unknown([f"r_{k}" for k in keys], 2)).withWatermark("r_at", late)
-    near = (F.col("r_at") >= F.col("at") - F.expr(f"INTERVAL {before}")) & (F.col("r_at") <= F.col("at") + F.expr(f"INTERVAL {after}"))
-    near = near & (F.col("_null") == F.col("r_null"))  # an outer join of streams would let null keys meet
-    for k in keys:
-        near = near & (F.col(k) == F.col(f"r_{k}"))
-    pairs = a.join(b, near, how).select("id", "at", *columns, "found")
-    schema = ", ".join(f"`{c}` {kind}" for c, kind in pairs.dtypes)
-    rows = run_batches(pairs, lambda p: p, name, schema, store).drop("round")
-    met = rows.where("id is not null").groupBy("id").agg(F.any_value("at").alias("at"), *(F.any_value(c).alias(c) for c in columns), F.max("found").alias("found"))
-    alone = rows.where("id is null and found is not null") if how == "fullOuter" else rows.limit(0)
-    return met.unionByName(alone)
+    row = {"l": F.struct("id", "at", *columns), "r": F.struct("at", *[c for c in right.columns if c != "at"])}
+    sides = {k: df.where("at is not null").select(row[k].alias(k)) for k, df in (("l", left), ("r", right))}
+    schema = ", ".join(f"{k} {df.dtypes[0][1]}" for k, df in sides.items())
+    rows = run_batches(sides["l"].unionByName(sides["r"], allowMissingColumns=True).select("l", "r"), lambda p: p, name, schema, store).drop("round")
+
+    gap = {k: F.expr(f"INTERVAL {x}") for k, x in (("before", before), ("after", after), ("late", late))}
+    start = F.timestamp_seconds(F.lit(0))
+    width = F.unix_micros(start + gap["before"] + gap["after"])
+    ends = rows.agg(F.max("l.at").alias("l"), F.max("r.at").alias("r"))
+    ends = ends.select(F.when(F.col("l").isNotNull() & F.col("r").isNotNull(), F.least("l", "r") - gap["late"]).alias("_end"))  # one row
+    lefts = rows.where("l is not null").select("l.*").where("id is not null")
+    rights = rows.where("r is not null").select(F.col("r").alias("found"), F.col("r.at").alias("at"), *(F.col("r")[k].alias(k) for k in keys))
+
+    met = _passed(lefts, F.col("at") + gap["after"], rights.withColumnRenamed("found", "value"), F.col("at"), keys, width)
+    met = met.withColumn("found", F.when(F.col("last")["at"] >= F.col("at") - gap["before"], F.col("last")))
+    met = met.crossJoin(F.broadcast(ends)).where(F.col("found").isNotNull() | (F.col("at") + gap["after"] < F.col("_end")))
+    met = met.groupBy("id").agg(F.any_value("at").alias("at"), *(F.any_value(c).alias(c) for c in columns), F.max("found").alias("found"))
+    if how != "fullOuter":
+        return met
+    alone = _passed(rights, F.col("at") + gap["before"], lefts.select("at", *keys, F.struct("at").alias("value")), F.col("at"), keys, width)
+    alone = alone.crossJoin(F.broadcast(ends)).where((F.col("last").isNull() | (F.col("last")["at"] < F.col("at") - gap["after"])) & (F.col("at") + gap["before"] < F.col("_end")))
+    return met.unionByName(alone.select("found"), allowMissingColumns=True)
 
 
 def posed(solved: DataFrame, manual: DataFrame, before: str, after: str, late: str, store: str | None = None) -> DataFrame:
