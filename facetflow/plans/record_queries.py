@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import curvature
-from ..session import table
+from ..session import spread, table
 from ..sources import calibration as src
 from .registry import query
 
@@ -30,9 +30,9 @@ def landmark_lines(spark, d):
 
 
 def _patches(spark, d):
-    """A 5 x 5 patch of z = (a x^2 + b y^2) / 2 a part: vertices, corners."""
+    """A 5 x 5 patch of z = (a x^2 + b y^2) / 2 a part: vertices, corners, dealt by part."""
     side = F.explode(F.sequence(F.lit(0), F.lit(4)))
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("mesh"), (F.col("p_size") / 25.0).alias("a"), (F.col("p_partkey") % 7 / 4.0 - 1).alias("b"))
+    p = spread(table(spark, d, "part"), "p_partkey").select(F.col("p_partkey").alias("mesh"), (F.col("p_size") / 25.0).alias("a"), (F.col("p_partkey") % 7 / 4.0 - 1).alias("b"))
     g = p.withColumn("i", side).withColumn("j", side)
     x, y = (F.col("i") - 2) * 0.1, (F.col("j") - 2) * 0.1
     vertices = g.select("mesh", (F.col("j") * 5 + F.col("i")).alias("vid"), x.alias("x"), y.alias("y"), ((F.col("a") * x * x + F.col("b") * y * y) / 2).alias("z"))
