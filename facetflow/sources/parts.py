@@ -6,11 +6,11 @@ shapes; a circle of references raises. Of repeated landmark names of a part the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.metadata import reference_chain
-from ..session import cut
+from ..session import cut, dealt
 from . import x3d
 
 #: Metadata keys of channels with geometry.
@@ -19,12 +19,29 @@ GEOMETRY, TEXTURES, REFERENCE, PREFIX = "X3DGeom", "TextureChans", "X3DGeomRef",
 
 def bind(parts: DataFrame, surfaces: DataFrame, landmarks: DataFrame) -> DataFrame:
     """part, frame, surfaces (sorted array of meshes), landmarks (map of name to x, y, z) from parts (part, frame), surfaces (part, mesh) and
-    landmarks (part, name, x, y, z). A part's landmarks and surfaces are few: people name them."""
-    s = surfaces.groupBy("part").agg(F.sort_array(F.collect_set("mesh")).alias("surfaces"))
+    landmarks (part, name, x, y, z). A part's landmarks and surfaces are few: people name them. Surfaces that a rule gives are many for each part:
+    they come counted (part, n), and surfaces is their number."""
+    counted = "n" in surfaces.columns
+    s = surfaces.select("part", F.col("n").alias("surfaces")) if counted else surfaces.groupBy("part").agg(F.sort_array(F.collect_set("mesh")).alias("surfaces"))
     marks = landmarks.where("name is not null").groupBy("part", "name").agg(F.min(F.struct("x", "y", "z")).alias("at"))
     marks = marks.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("name", "at"))).alias("landmarks"))
     j = parts.select("part", "frame").join(s, "part", "left").join(marks, "part", "left")
-    return j.select("part", "frame", F.coalesce("surfaces", F.array()).alias("surfaces"), F.coalesce("landmarks", F.create_map().cast(marks.schema["landmarks"].dataType)).alias("landmarks"))
+    return j.select("part", "frame", F.coalesce("surfaces", F.lit(0) if counted else F.array()).alias("surfaces"), F.coalesce("landmarks", F.create_map().cast(marks.schema["landmarks"].dataType)).alias("landmarks"))
+
+
+def after(parts: DataFrame, meshes: DataFrame, key: str, block: int = 1 << 16) -> DataFrame:
+    """part, n: how many different meshes (mesh, key) of a part's key (part, key) have a larger number than the part. Numbers are cut in blocks: those of
+    a part's block pass in order, of later blocks only their counts; no pair is made. Null parts and meshes count for nothing."""
+    in_block = lambda c: F.floor(F.col(c) / block).alias("block")
+    p = parts.where("part is not null").select(key, in_block("part"), F.col("part").alias("at"), F.lit(0).alias("n")).distinct()
+    m = meshes.where("mesh is not null").select(key, in_block("mesh"), F.col("mesh").alias("at"), F.lit(1).alias("n")).distinct()
+    rows = p.unionByName(m)
+    larger = Window.partitionBy(key, "block").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    equal = Window.partitionBy(key, "block", "at")
+    here = rows.withColumn("n_here", F.sum("n").over(larger) - F.sum("n").over(equal)).where("n = 0")
+    later = Window.partitionBy(key).orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy(key, "block").agg(F.sum("n").alias("n")).withColumn("n_later", F.coalesce(F.sum("n").over(later), F.lit(0)))
+    return here.join(dealt(blocks.select(key, "block", "n_later")), [key, "block"]).select(F.col("at").alias("part"), (F.col("n_here") + F.col("n_later")).alias("n"))
 
 
 def channel_geometry(channels: DataFrame) -> tuple[DataFrame, DataFrame]:
