@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import mesh, surface as op
-from ..session import cut, dealt, table
+from ..session import cut, dealt, discard, table
 from ..sources import fixtures as fx, stl, x3d
 from .registry import query
 
@@ -76,9 +76,15 @@ def stl_surfaces(spark, d):
     t = r.withColumn("a", half).where("a.t = k").select("mesh", (F.col("facet") * 2 + F.col("a.h")).alias("facet"), "k", *((F.col(a) * 1000).alias(a) for a in "xyz"), *(F.lit(0.0).alias(n) for n in ("nx", "ny", "nz")))
     path = fresh_path(spark, "stl")
     stl.write_stl_text(t, path)
-    tri = cut(stl.with_normals(stl.read_stl_text(spark, path, 0.001)), "triangles")
-    s = stl.surfaces(tri, 0.5).join(dealt(tri), ["mesh", "facet"])
-    whole = s.groupBy("mesh", "surface").agg(F.count_distinct("facet").cast("int").alias("n"), *(F.avg(a).alias(o) for a, o in (("nx", "nx"), ("ny", "ny"), ("nz", "nz"), ("x", "cx"), ("y", "cy"), ("z", "cz"))))
+    read = cut(stl.read_stl_text(spark, path, 0.001), "stl-triangles")
+    discard(path)  # read whole
+    files = cut(_numbered(read.select("mesh").distinct()), "stl-files").withColumnRenamed("mesh", "file")  # a row a file: its path would go with each corner
+    tri = cut(stl.with_normals(read.withColumnRenamed("mesh", "file").join(files, "file").drop("file").withColumnRenamed("at", "mesh")), "triangles")
+    discard(read)
+    means = {"nx": "nx", "ny": "ny", "nz": "nz", "x": "cx", "y": "cy", "z": "cz"}
+    facets = tri.groupBy("mesh", "facet").agg(*(F.sum(a).alias(a) for a in means), F.count("*").alias("corners"))
+    s = stl.surfaces(tri, 0.5).join(dealt(facets), ["mesh", "facet"])
+    whole = s.groupBy("mesh", "surface").agg(F.count("*").cast("int").alias("n"), *((F.sum(a) / F.sum("corners")).alias(o) for a, o in means.items()))
     return whole.select(F.floor(F.col("cx") / 100 + 1e-9).alias("mesh"), "n", *(R(a).alias(a) for a in ("nx", "ny", "nz")), *(R(a, 4).alias(a) for a in ("cx", "cy", "cz")))
 
 

@@ -10,7 +10,7 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -70,13 +70,13 @@ def read_stl_text(spark: SparkSession, path: str, scale: float = 1.0) -> DataFra
 
 def write_stl_text(triangles: DataFrame, path: str) -> None:
     """Text files of triangles (mesh, facet, k = 0 to 2, x, y, z, nx, ny, nz), a facet a row, each in a solid of its mesh's name. A file
-    is a mesh to the readers, so all facets of one stand in one file."""
+    is a mesh to the readers, so all facets of one stand in one file. Corners are dealt by mesh once, as numbers; texts are made where they are written."""
     number = lambda *cs: F.concat_ws(" ", *(F.col(c).cast("string") for c in cs))
     line = F.concat(F.lit("    vertex "), number(*"xyz"))
     corners = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", line.alias("s")))), lambda r: r["s"]), "\n")
-    f = triangles.groupBy("mesh", "facet").agg(corners.alias("corners"), *(F.first(c).alias(c) for c in ("nx", "ny", "nz")))
+    f = triangles.repartition("mesh").groupBy("mesh", "facet").agg(corners.alias("corners"), *(F.first(c).alias(c) for c in ("nx", "ny", "nz")))
     name = F.col("mesh").cast("string")
-    f.repartition("mesh").select(F.concat(F.lit("solid "), name, F.lit("\nfacet normal "), number("nx", "ny", "nz"), F.lit("\n  outer loop\n"), "corners", F.lit("\n  endloop\nendfacet\nendsolid "), name)).write.text(path)
+    f.select(F.concat(F.lit("solid "), name, F.lit("\nfacet normal "), number("nx", "ny", "nz"), F.lit("\n  outer loop\n"), "corners", F.lit("\n  endloop\nendfacet\nendsolid "), name)).write.text(path)
 
 
 def with_normals(triangles: DataFrame, again: bool = False) -> DataFrame:
@@ -92,9 +92,9 @@ def with_normals(triangles: DataFrame, again: bool = False) -> DataFrame:
 def surfaces(triangles: DataFrame, angle: float) -> DataFrame:
     """mesh, facet, surface: triangles (with their normals) joined over shared edges where normals are within an angle. A vertex is named by the
     first corner at its place."""
-    t = triangles.withColumn("corner", F.col("facet") * 3 + F.col("k"))
     place = ["mesh", "x", "y", "z"]
-    corners = t.join(dealt(t.groupBy(*place).agg(F.min("corner").alias("vid"))), place).select("mesh", "facet", "k", "vid")
+    first = F.min(F.col("facet") * 3 + F.col("k")).over(Window.partitionBy(*place))
+    corners = cut(triangles.select(*place, "facet", "k").dropna(subset=place).select("mesh", "facet", "k", first.alias("vid")), "named-corners")  # read for edges, and for facets without any
     normals = triangles.where("k = 0").select("mesh", "facet", "nx", "ny", "nz")
     return op.segments(corners, normals, angle)
 
